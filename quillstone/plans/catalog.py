@@ -1,12 +1,1088 @@
-"""The registered queries and the SQL they are checked against."""
+"""The registered queries and the SQL they are checked against.
+
+Each query binds an operator to whole fixture tables. SQL is DuckDB's; it is left out where SQL can't express the operator.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillstone.functions import text as X
+from quillstone.operators import aggregates as A
+from quillstone.operators import expectations as E
+from quillstone.operators import graph as G
+from quillstone.operators import joins as J
+from quillstone.operators import model_boundary as M
+from quillstone.operators import projections as P
+from quillstone.operators import retrieval as R
+from quillstone.operators import windows as W
+from quillstone.plans.domain import Tables, bigrams_sql, compact_sql, sql
+from quillstone.sources import readers, writers
+from quillstone.streaming import online
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+def query(text: str | None = None):
+    """Register a function of ``Tables`` under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if text:
+            ORACLES[f.__name__] = text
+        return f
+
+    return add
+
+
+def entry(spark: SparkSession, folder: str) -> DataFrame:
+    """Cited search hits for a question of two words."""
+    t = Tables(spark, folder)
+    units, records = t.units(), cite_records(t)
+    return R.cite(R.search(units, records, "ththe thatnd", limit=20), units, records)
+
+
+def cite_records(t: Tables) -> DataFrame:
+    src = t.raw("documents").select(F.col("doc_id").alias("d"), F.col("source").alias("event"))
+    return t.records().join(src, F.col("source_id") == F.col("d")).select("event", "record_id", F.col("text").alias("clean_literal"), F.col("start_s").alias("start_seconds"), F.col("end_s").alias("end_seconds"))
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def jsonl_scan(t: Tables) -> DataFrame:
+    rows = t.raw("documents").select("doc_id", "lang", "source", "n_chars")
+    path = f"{G.work_folder(t.spark)}/rows.jsonl"
+    writers.jsonl(rows, path)
+    return readers.jsonl(t.spark, path, rows.schema)
+
+
+@query("SELECT doc_id, line_no, text FROM (SELECT doc_id, unnest(generate_series(1, len(x))) AS line_no, trim(unnest(x)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE text <> '' AND NOT starts_with(text, '#')")
+def note_lines(t: Tables) -> DataFrame:
+    return readers.note_lines(t.raw("documents"), "doc_id", "text")
+
+
+@query("""SELECT printf('N%06d', row_number() OVER (ORDER BY doc_id, line_no)) AS note_evidence_id, doc_id, line_no FROM (
+  SELECT doc_id, unnest(generate_series(1, len(x))) AS line_no, trim(unnest(x)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE text <> '' AND NOT starts_with(text, '#')""")
+def note_evidence(t: Tables) -> DataFrame:
+    rows = readers.note_evidence(readers.note_lines(t.raw("documents"), "doc_id", "text"), "doc_id")
+    return rows.select("note_evidence_id", F.col("locator.path").alias("doc_id"), F.col("locator.line_start").alias("line_no"))
+
+
+@query("""SELECT conv_id, count(*) AS n_notes, md5(string_agg('# ' || printf('%04d', turn) || chr(10) || chr(10) || trim(text) || chr(10), chr(10) ORDER BY turn)) AS document_md5 FROM conversations GROUP BY conv_id""")
+def merge_notes(t: Tables) -> DataFrame:
+    rows = readers.merge_notes(t.turns().withColumn("name", F.format_string("%04d", "turn")), "conv_id", "name", "text")
+    return rows.select("conv_id", "n_notes", F.md5("document").alias("document_md5"))
+
+
+@query("SELECT page_id, printf('F%06d', page_id) AS source_id, CAST(page_id * 2 AS DOUBLE) AS start_seconds, CAST(page_id * 2 + 20 AS DOUBLE) AS end_seconds, 'normalized' AS route FROM pages")
+def composite_key(t: Tables) -> DataFrame:
+    stem = F.format_string("F%06d_%d_%d__normalized", "page_id", F.col("page_id") * 20000, (F.col("page_id") * 2 + 20) * 10000)
+    return t.raw("pages").select("page_id", readers.composite_key(stem).alias("k")).select("page_id", "k.source_id", "k.start_seconds", "k.end_seconds", "k.route")
+
+
+_EXT = "CASE page_id % 6 WHEN 0 THEN 'PNG' WHEN 1 THEN 'wav' WHEN 2 THEN 'mp4' WHEN 3 THEN 'md' WHEN 4 THEN 'json' ELSE 'bin' END"
+_KIND = "CASE page_id % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' WHEN 2 THEN 'video' WHEN 3 THEN 'note' WHEN 4 THEN 'config' ELSE 'other' END"
+
+
+def _files(t: Tables) -> DataFrame:
+    rows = t.raw("pages").select(F.col("page_id"), F.concat_ws(".", F.concat(F.lit("in/"), F.expr("CAST(page_id % 9 AS STRING)"), F.lit("/"), F.col("page_id").cast("string")), F.expr(_EXT)).alias("path"), F.length("html").cast("long").alias("size_bytes"), (F.col("page_id") * 1.5).cast("double").alias("duration"), F.sha2("html", 256).alias("sha256"))
+    return rows.withColumn("kind", P.file_kind(F.regexp_extract("path", r"\.([^./]+)$", 1))).withColumn("event", F.concat(F.lit("ev"), F.expr("CAST(page_id % 9 AS STRING)"), F.expr("CASE WHEN page_id % 9 = 8 THEN '_private' ELSE '' END")))
+
+
+_FILES = f"files AS (SELECT page_id, 'in/' || (page_id % 9) || '/' || page_id || '.' || {_EXT} AS path, length(html) AS size_bytes, CAST(page_id * 1.5 AS DOUBLE) AS duration, {_KIND} AS kind, 'ev' || (page_id % 9) || CASE WHEN page_id % 9 = 8 THEN '_private' ELSE '' END AS event FROM pages)"
+
+
+@query(f"WITH {_FILES} SELECT kind, count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, sum(CASE WHEN kind = 'audio' THEN duration ELSE 0 END) AS audio_seconds FROM files GROUP BY kind")
+def inventory_counts(t: Tables) -> DataFrame:
+    return A.inventory_counts(_files(t))
+
+
+@query(f"WITH {_FILES} SELECT page_id, kind FROM files")
+def file_kind(t: Tables) -> DataFrame:
+    return _files(t).select("page_id", "kind")
+
+
+@query(f"WITH {_FILES} SELECT page_id, event FROM files WHERE event NOT LIKE '%\\_private' ESCAPE '\\'")
+def hide_private(t: Tables) -> DataFrame:
+    return P.hide_private(_files(t)).select("page_id", "event")
+
+
+@query(f"WITH {_FILES} SELECT event, count(*) FILTER (WHERE kind = 'audio') AS n_audio, count(*) FILTER (WHERE kind = 'video') AS n_video, count(*) FILTER (WHERE kind = 'image') AS n_image, count(*) FILTER (WHERE kind = 'note') AS n_note, count(*) FILTER (WHERE kind = 'video') > 0 AND event NOT IN ('ev1', 'ev2') AS awaiting_region FROM files GROUP BY event")
+def queue_scan(t: Tables) -> DataFrame:
+    regions = t.spark.createDataFrame([("ev1",), ("ev2",)], "event string")
+    return readers.queue(_files(t), regions)
+
+
+@query(f"WITH {_FILES} SELECT page_id, path FROM files WHERE kind IN ('audio', 'video', 'image')")
+def eligible_sources(t: Tables) -> DataFrame:
+    return P.eligible_sources(_files(t).withColumn("eligible", F.lit(None).cast("boolean")), ["audio", "video", "image"]).select("page_id", "path")
+
+
+@query(f"""WITH {_FILES}, m AS (SELECT page_id, path, event FROM files WHERE page_id % 10 <> 0)
+SELECT page_id, path, printf('F%06d', CASE WHEN page_id % 10 <> 0 THEN page_id ELSE 0 END + CASE WHEN page_id % 10 = 0 THEN (SELECT max(page_id) FROM m) + row_number() OVER (PARTITION BY page_id % 10 = 0 ORDER BY event, path) ELSE 0 END) AS source_id FROM files""")
+def derived_upsert(t: Tables) -> DataFrame:
+    rows = _files(t).select("page_id", "path", F.format_string("F%06d", "page_id").alias("source_id"), F.when(F.col("page_id") % 10 == 0, F.col("event")).alias("derived_from"))
+    return J.derived_upsert(rows, rows.where("derived_from IS NOT NULL").drop("source_id")).select("page_id", "path", "source_id")
+
+
+@query("""SELECT 'audio' AS kind, 'whisper' AS route, count(*) AS n, count(*) AS unresolved FROM conversations WHERE trim(text) <> ''
+UNION ALL SELECT 'image', 'vision', count(*), count(*) FILTER (WHERE item_id % 10 < 5) FROM benchmark
+UNION ALL SELECT 'audio', 'funasr', count(*), count(*) FROM benchmark UNION ALL SELECT 'image', 'vlm', count(*), count(*) FROM benchmark""")
+def normalize_evidence(t: Tables) -> DataFrame:
+    w = t.turns().select(F.col("conv_id").cast("string").alias("source_id"), F.array(F.struct(F.struct((F.col("turn") * 1000).alias("from"), (F.col("turn") * 1000 + 900).alias("to")).alias("offsets"), "text")).alias("transcription"))
+    b = t.raw("benchmark")
+    zero = F.lit(0.0)
+    v = b.select(F.col("item_id").cast("string").alias("file"), F.array(F.struct("text", F.when(F.col("item_id") % 10 < 5, 0.7).otherwise(0.9).alias("confidence"), zero.alias("x"), zero.alias("y"), zero.alias("width"), zero.alias("height"))).alias("items"))
+    c = b.select(F.col("item_id").cast("string").alias("source_id"), zero.alias("start_seconds"), zero.alias("end_seconds"), F.lit(0).alias("chunk_index"), F.to_json(F.struct(F.array(F.struct("text")).alias("sentences"))).alias("result"))
+    p = b.select(F.col("item_id").cast("string").alias("source_id"), "text")
+    return readers.normalize_evidence(w, v, c, p).groupBy("kind", "route").agg(F.count(F.lit(1)).alias("n"), F.count("uncertainty").alias("unresolved"))
+
+
+# ---------------------------------------------------------------- projections
+
+
+_HITS = {"scheduling": "schedule|tomorrow", "acknowledgment": "^(?:the|that)\\b", "figures": "[0-9]{3,}", "shout": "!!"}
+
+
+@query(r"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(x, '(?i)schedule|tomorrow') THEN 'scheduling' END, CASE WHEN regexp_matches(x, '(?i)^(?:the|that)\b') AND length(x) <= 40 THEN 'acknowledgment' END,
+  CASE WHEN regexp_matches(x, '(?i)[0-9]{3,}') THEN 'figures' END, CASE WHEN regexp_matches(x, '(?i)!!') THEN 'shout' END) AS rules,
+  regexp_matches(x, '(?i)[0-9]+(?:\.[0-9]+)?%?|[$€£]|\b(?:million|billion|percent)\b') AS has_content FROM (SELECT doc_id, trim(text) AS x FROM documents)""")
+def relevance_lexical(t: Tables) -> DataFrame:
+    rows = P.relevance_candidates(t.raw("documents").select("doc_id", F.trim("text").alias("text")), lexicon=_HITS)
+    return rows.select("doc_id", F.array_join("rules", ",").alias("rules"), "has_content")
+
+
+def _decided(t: Tables) -> DataFrame:
+    rows = P.relevance_candidates(t.raw("documents").select("doc_id", F.trim("text").alias("text")), lexicon=_HITS)
+    verdicts = t.raw("labels").select("doc_id", F.when(F.col("quality") == 0, "logistics").otherwise("content").alias("verdict"))
+    return P.relevance_decide(rows, verdicts, "doc_id")
+
+
+_DECIDED = r"""c AS (SELECT doc_id, regexp_matches(x, '(?i)schedule|tomorrow') OR (regexp_matches(x, '(?i)^(?:the|that)\b') AND length(x) <= 40) OR regexp_matches(x, '(?i)[0-9]{3,}') OR regexp_matches(x, '(?i)!!') AS cand,
+  regexp_matches(x, '(?i)[0-9]+(?:\.[0-9]+)?%?|[$€£]|\b(?:million|billion|percent)\b') AS guard FROM (SELECT doc_id, trim(text) AS x FROM documents)),
+v AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'logistics' ELSE 'content' END AS verdict FROM labels),
+decided AS (SELECT c.doc_id, CASE WHEN NOT cand THEN 'content' WHEN verdict IS NULL THEN 'uncertain' ELSE verdict END AS label,
+  CASE WHEN NOT cand THEN 'default' WHEN verdict IS NULL THEN 'lexical' ELSE 'lexical+verdict' END AS detector, cand AND coalesce(verdict, '') = 'logistics' AND NOT guard AS excluded FROM c LEFT JOIN v ON c.doc_id = v.doc_id)"""
+
+
+@query(f"WITH {_DECIDED} SELECT * FROM decided")
+def relevance_decide(t: Tables) -> DataFrame:
+    return _decided(t).select("doc_id", "label", "detector", "excluded")
+
+
+@query(f"WITH {_DECIDED} SELECT label, count(*) AS n FROM decided GROUP BY label")
+def label_counts(t: Tables) -> DataFrame:
+    return A.value_counts(_decided(t), "label")
+
+
+@query(f"WITH {_DECIDED} SELECT count(*) AS n, count(*) FILTER (WHERE excluded) AS excluded, count(*) FILTER (WHERE excluded) / count(*) AS ratio, count(*) FILTER (WHERE excluded) / count(*) > 0.4 AS warn FROM decided")
+def over_filter(t: Tables) -> DataFrame:
+    return A.over_filter(_decided(t))
+
+
+@query("SELECT vec_id, CASE WHEN label % 10 >= 8 THEN 'high' WHEN label % 10 >= 6 THEN 'medium' ELSE 'low' END AS quality, label % 10 < 8 AS uncertain FROM (SELECT vec_id, coalesce(label, 0) AS label FROM embeddings)")
+def quality_bucket(t: Tables) -> DataFrame:
+    c = (F.coalesce("label", F.lit(0)) % 10) / 10 + 0.05
+    return t.raw("embeddings").select("vec_id", P.quality_bucket(c, 0.85, 0.65).alias("q")).select("vec_id", "q.*")
+
+
+@query("""SELECT event_id FROM events WHERE event_type = 'error' OR value < 93.0 AND event_id % 3 = 0 OR user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 11 = 0)""")
+def disagreement_gate(t: Tables) -> DataFrame:
+    rows = t.raw("events").select("event_id", F.col("user_id").alias("k"), F.when(F.col("event_type") == "error", "engines disagree").alias("uncertainty"), F.when(F.col("event_id") % 3 == 0, F.col("value") / 100).alias("agreement"))
+    marked = t.raw("customer").where("c_custkey % 11 = 0").select(F.col("c_custkey").alias("k"))
+    return P.disagreement_gate(rows, marked, "k").select("event_id")
+
+
+@query(r"""SELECT conv_id, turn, concat_ws(',', CASE WHEN trim(text) = '' THEN 'empty_candidate' END, CASE WHEN s < 0.95 THEN 'low_similarity' END, CASE WHEN regexp_matches(text, '[0-9]|%|\$') THEN 'high_risk' END,
+  CASE WHEN CAST('0x' || substr(sha256(k), 1, 8) AS BIGINT) % 100 < 10 THEN 'audit_sample' END) AS reasons FROM (SELECT conv_id, turn, text, conv_id || '-' || turn AS k, 1 - (length(text) % 10) / 100.0 AS s FROM conversations)""")
+def asr_escalate(t: Tables) -> DataFrame:
+    key = F.concat_ws("-", "conv_id", "turn")
+    reasons = P.escalation_reasons(key, F.col("text"), 1 - (F.length("text") % 10) / 100.0)
+    return t.turns().select("conv_id", "turn", F.array_join(reasons, ",").alias("reasons"))
+
+
+@query("SELECT event_id FROM events WHERE value > 20 AND trim(event_type) <> ''")
+def segment_filter(t: Tables) -> DataFrame:
+    return P.segment_filter(t.raw("events").withColumn("start", F.lit(20.0)), "start", "value", "event_type").select("event_id")
+
+
+@query(sql("rec", r"""SELECT record_id, CASE WHEN NOT regexp_matches(trim(text), '[.!?。！？…]$') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(trim(text), '(?i)\b(?:and|but|or|und|et|y|because|so)\s*$') THEN 4 ELSE 0 END
+  + CASE WHEN idx % 13 = 0 THEN 2 ELSE 0 END + CASE WHEN source_id % 4 = 0 THEN 3 ELSE 0 END AS risk FROM rec"""))
+def continuity_risk(t: Tables) -> DataFrame:
+    risk = P.continuity_risk(F.col("text"), F.col("idx") % 13 == 0, F.when(F.col("source_id") % 4 == 0, "low").otherwise("high"))
+    return t.records().select("record_id", risk.alias("risk"))
+
+
+@query("SELECT vec_id, round(m, 6) AS mean_confidence FROM (SELECT vec_id, (coalesce(label, 0) % 10 / 10.0 + vec_id % 10 / 10.0) / 2 AS m FROM embeddings) WHERE m < 0.65 OR vec_id % 17 = 0")
+def difficult_images(t: Tables) -> DataFrame:
+    item = lambda c: F.struct(c.alias("confidence"))
+    rows = t.raw("embeddings").select("vec_id", F.array(item(F.coalesce("label", F.lit(0)) % 10 / 10.0), item(F.col("vec_id") % 10 / 10.0)).alias("items"), F.when(F.col("vec_id") % 17 == 0, "unreadable").alias("error"))
+    return P.difficult_images(rows).select("vec_id", F.round("mean_confidence", 6).alias("mean_confidence"))
+
+
+_RECT = "(vec_id % 14) / 10.0 - 0.2 AS x, (vec_id % 13) / 10.0 - 0.1 AS y, (vec_id % 7) / 5.0 AS w, (vec_id % 5) / 4.0 AS h"
+
+
+@query(f"""SELECT vec_id, x >= -1e-6 AND y >= -1e-6 AND w > 0 AND h > 0 AND x + w <= 1 + 1e-6 AND y + h <= 1 + 1e-6 AS valid, round(cx, 6) AS cx, round(cy, 6) AS cy, round(greatest(least(w, 1 - cx), 0), 6) AS cw, round(greatest(least(h, 1 - cy), 0), 6) AS ch
+FROM (SELECT *, least(greatest(x, 0), 1) AS cx, least(greatest(y, 0), 1) AS cy FROM (SELECT vec_id, {_RECT} FROM embeddings))""")
+def region_rectangle(t: Tables) -> DataFrame:
+    # doubles on both sides
+    rows = t.raw("embeddings").select("vec_id", ((F.col("vec_id") % 14) / 10.0 - 0.2).alias("x"), ((F.col("vec_id") % 13) / 10.0 - 0.1).alias("y"), ((F.col("vec_id") % 7) / 5.0).alias("w"), ((F.col("vec_id") % 5) / 4.0).alias("h"))
+    rows = rows.withColumn("valid", P.rectangle_valid(*map(F.col, "xywh"))).withColumn("c", P.rectangle_clamp(*map(F.col, "xywh")))
+    return rows.select("vec_id", "valid", F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"), F.round("c.width", 6).alias("cw"), F.round("c.height", 6).alias("ch"))
+
+
+@query("SELECT conv_id, turn, coalesce(nullif(CASE WHEN turn % 3 = 0 THEN '' ELSE substr(text, 1, 20) END, ''), nullif(CASE WHEN turn % 2 = 0 THEN substr(text, 21, 20) END, ''), role) AS chosen FROM conversations")
+def first_route(t: Tables) -> DataFrame:
+    rows = t.turns().select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(F.substring("text", 1, 20)).alias("normalized"), F.when(F.col("turn") % 2 == 0, F.substring("text", 21, 20)).alias("noise_reduced"), F.col("role").alias("first"))
+    return rows.select("conv_id", "turn", P.first_route("normalized", "noise_reduced", "first").alias("chosen"))
+
+
+def _loops(t: Tables) -> DataFrame:
+    return A.hallucination_score(t.records(), "source_id", "text", ["the.", "a."])
+
+
+_LOOP = """per AS (SELECT source_id, trim(text) AS x, count(*) AS c FROM rec GROUP BY ALL),
+loops AS (SELECT source_id, CAST(coalesce(sum(c) FILTER (WHERE x <> ''), 0) AS BIGINT) AS n, max(c) FILTER (WHERE x <> '') AS top, count(*) FILTER (WHERE x <> '') AS d, coalesce(sum(c) FILTER (WHERE lower(x) IN ('the.', 'a.')), 0) AS g FROM per GROUP BY source_id),
+scored AS (SELECT source_id, n AS n_segments, CASE WHEN n = 0 THEN 1.0 ELSE greatest(CASE WHEN n >= 3 THEN top / n ELSE 0 END, g / n, 1 - d / n) END AS score FROM loops)"""
+
+
+@query(sql("rec", "").rstrip() + ",\n" + _LOOP + "\nSELECT source_id, n_segments, round(score, 6) AS score FROM scored")
+def hallucination_score(t: Tables) -> DataFrame:
+    return _loops(t).select("source_id", "n_segments", F.round("score", 6).alias("score"))
+
+
+@query("""WITH f AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'user'), '') AS a, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS b FROM conversations GROUP BY conv_id),
+r AS (SELECT *, length(regexp_replace(a, '[^A-Za-z]', '', 'g')) AS la, length(regexp_replace(b, '[^A-Za-z]', '', 'g')) AS lb FROM f)
+SELECT conv_id, CASE WHEN trim(b) = '' THEN 'first' WHEN trim(a) = '' THEN 'second' WHEN la > 0 AND lb > 0 THEN 'first' ELSE 'arbiter' END AS engine FROM r""")
+def engine_route(t: Tables) -> DataFrame:
+    side = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), " ")
+    rows = t.turns().groupBy("conv_id").agg(side("user").alias("a"), side("assistant").alias("b"))
+    return rows.select("conv_id", P.engine_route(F.col("a"), F.col("b"), F.lit(0.0), F.lit(0.0)).alias("engine"))
+
+
+@query("SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, CASE WHEN count(DISTINCT lang) = 1 AND min(lang) = 'en' THEN 'first' ELSE 'first,second' END AS engines FROM documents GROUP BY source")
+def language_route(t: Tables) -> DataFrame:
+    rows = P.language_route(t.raw("documents").withColumnRenamed("lang", "language"), "source")
+    return rows.select("source", F.array_join(F.array_sort("languages"), ",").alias("languages"), F.array_join("engines", ",").alias("engines"))
+
+
+@query("""SELECT event_id, CASE WHEN txt = '' THEN 'low' WHEN NOT esc THEN CASE WHEN sim >= 0.95 THEN 'high' ELSE 'medium' END WHEN mis OR sc < 0.72 OR sup < 0.82 THEN 'low' WHEN sc >= 0.82 AND sup >= 0.90 THEN 'high' ELSE 'medium' END AS quality,
+  CASE WHEN txt = '' THEN 'unintelligible' WHEN esc AND mis THEN 'route_unavailable' WHEN esc AND sc < 0.72 THEN 'low_agreement' WHEN esc AND sup < 0.82 THEN 'low_support' END AS reason
+FROM (SELECT event_id, CASE WHEN event_id % 19 = 0 THEN '' ELSE event_type END AS txt, event_id % 2 = 0 AS esc, event_id % 23 = 0 AS mis, CAST(50 + event_id % 50 AS DOUBLE) / 100 AS sc, CAST(70 + event_id % 30 AS DOUBLE) / 100 AS sup, CAST(90 + event_id % 10 AS DOUBLE) / 100 AS sim FROM events)""")
+def ensemble_quality(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    share = lambda base, mod: (base + e % mod).cast("double") / 100
+    q = P.ensemble_quality(share(50, 50), share(70, 30), e % 2 == 0, share(90, 10), F.when(e % 19 == 0, "").otherwise(F.col("event_type")), e % 23 == 0)
+    return t.raw("events").select("event_id", q.alias("q")).select("event_id", "q.*")
+
+
+@query("SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'unavailable' WHEN item_id % 4 = 1 THEN 'failed' ELSE 'ok' END AS state, CASE WHEN item_id % 4 IN (0, 1) THEN '' ELSE trim(text) || chr(10) || 'x' END AS literal_text, CASE WHEN item_id % 4 IN (0, 1) THEN 'low' ELSE 'medium' END AS quality FROM benchmark")
+def page_evidence(t: Tables) -> DataFrame:
+    b = t.raw("benchmark")
+    ocr = b.where("item_id % 4 <> 0").select("item_id", F.array(F.struct("text"), F.struct(F.lit(" ").alias("text")), F.struct(F.lit("x").alias("text"))).alias("items"), F.when(F.col("item_id") % 4 == 1, "boom").alias("error"))
+    return P.pages_to_evidence(b.select("item_id"), ocr, "item_id").select("item_id", "state", "literal_text", "quality")
+
+
+@query(sql("rec", "SELECT record_id AS evidence_id, source_id, 'audio' AS kind, text AS literal_text, round(start_s, 4) AS start_seconds FROM rec"))
+def record_evidence(t: Tables) -> DataFrame:
+    rows = t.records().select("record_id", "source_id", F.col("start_s").alias("start_seconds"), F.col("end_s").alias("end_seconds"), F.col("text").alias("clean_literal"), F.lit("high").alias("certainty"), F.lit(None).cast("string").alias("uncertainty"))
+    return P.records_to_evidence(rows).select("evidence_id", "source_id", "kind", "literal_text", F.round("locator.start_seconds", 4).alias("start_seconds"))
+
+
+@query("SELECT conv_id, count(*) AS n, bool_and(turn % 7 <> 6) AS ready, bool_and(turn % 7 <> 6) AND false OR conv_id % 2 = 0 AS confirmed FROM conversations GROUP BY conv_id")
+def candidate_readiness(t: Tables) -> DataFrame:
+    w = Window.partitionBy("conv_id")
+    rows = t.turns().withColumn("candidate_id", F.col("turn").cast("string"))
+    order = F.transform(F.sort_array(F.collect_list(F.struct("turn", "candidate_id")).over(w)), lambda x: x["candidate_id"])
+    rows = rows.select("conv_id", F.col("turn").alias("ordinal"), "candidate_id", (F.col("turn") % 7 != 6).alias("parsed"), F.col("turn").alias("start"), F.when(F.col("conv_id") % 2 == 0, order).alias("saved_order"))
+    return P.ready_candidates(rows, "conv_id").select("conv_id", "n", "ready", "confirmed")
+
+
+# ---------------------------------------------------------------- joins
+
+
+@query(sql("units evidence", "SELECT topic, count(DISTINCT unit_id) AS n_units, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS record_ids FROM (SELECT unit_id, topic, unnest(evidence_ids) AS e FROM units) u JOIN evidence ON u.e = evidence_id GROUP BY topic"))
+def topic_index(t: Tables) -> DataFrame:
+    return J.topic_index(t.units(), t.evidence()).select("topic", "n_units", F.array_join("record_ids", ",").alias("record_ids"))
+
+
+@query("SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, 0 AS orphan, 0 AS repeated FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def alignment_check(t: Tables) -> DataFrame:
+    return J.alignment_check(t.raw("documents"), t.raw("labels"), "doc_id")
+
+
+@query(sql("evidence dispositions", """SELECT 'dispositions' AS law, (SELECT count(*) FROM evidence WHERE evidence_id NOT IN (SELECT evidence_id FROM dispositions)) AS n_left_only, (SELECT count(*) FROM dispositions WHERE evidence_id NOT IN (SELECT evidence_id FROM evidence)) AS n_right_only,
+  (SELECT count(*) FROM evidence WHERE evidence_id NOT IN (SELECT evidence_id FROM dispositions)) = 0 AS holds
+UNION ALL SELECT 'images', (SELECT count(*) FROM evidence WHERE kind = 'image' AND evidence_id NOT IN (SELECT evidence_id FROM dispositions)), (SELECT count(*) FROM dispositions WHERE evidence_id NOT IN (SELECT evidence_id FROM evidence WHERE kind = 'image')), false"""))
+def coverage_check(t: Tables) -> DataFrame:
+    return J.coverage_check(t.evidence(), t.dispositions(), t.dispositions())
+
+
+@query("SELECT d.doc_id, count(l.doc_id) AS n_corrections FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0 UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) l ON d.doc_id = l.doc_id GROUP BY d.doc_id")
+def apply_corrections(t: Tables) -> DataFrame:
+    labels = t.raw("labels")
+    made = labels.where("quality = 0").select(F.col("doc_id").alias("record_id"), F.lit("a").alias("original"), F.lit("b").alias("suggested")).unionAll(labels.where("toxic = 1").select("doc_id", F.lit("c"), F.lit("d")))
+    return J.apply_corrections(t.raw("documents").select(F.col("doc_id").alias("record_id")), made).select(F.col("record_id").alias("doc_id"), F.size("corrections").cast("long").alias("n_corrections"))
+
+
+_MERGED = """merged AS (SELECT e.evidence_id, coalesce(d.status, CASE WHEN kind = 'image' THEN 'uncertain' WHEN x.record_id IS NOT NULL THEN 'excluded_logistics' ELSE 'unreconciled' END) AS status, d.evidence_id IS NULL AS auto_filled
+  FROM evidence e LEFT JOIN dispositions d ON e.evidence_id = d.evidence_id LEFT JOIN excluded x ON e.record_id = x.record_id)"""
+
+
+@query(sql("evidence dispositions excluded", "").rstrip() + ",\n" + _MERGED + "\nSELECT * FROM merged")
+def merge_dispositions(t: Tables) -> DataFrame:
+    return J.merge_dispositions(t.evidence(), t.dispositions(), t.excluded())
+
+
+@query(sql("evidence dispositions excluded", "").rstrip() + ",\n" + _MERGED + "\nSELECT status, count(*) AS n FROM merged GROUP BY status")
+def disposition_counts(t: Tables) -> DataFrame:
+    return A.value_counts(J.merge_dispositions(t.evidence(), t.dispositions(), t.excluded()), "status")
+
+
+@query(sql("evidence dispositions", "SELECT true AS \"unique\", true AS known_status, true AS no_orphan, (SELECT count(*) FROM evidence WHERE evidence_id NOT IN (SELECT evidence_id FROM dispositions)) = 0 AS complete"))
+def disposition_invariants(t: Tables) -> DataFrame:
+    return A.disposition_invariants(t.dispositions(), t.evidence(), ["covered", "uncertain", "conflict"])
+
+
+@query(sql("evidence excluded", "SELECT evidence_id FROM evidence WHERE evidence_id NOT IN (SELECT evidence_id FROM excluded)"))
+def reconcile_view(t: Tables) -> DataFrame:
+    return J.reconcile_view(t.evidence(), t.excluded()).select("evidence_id")
+
+
+@query("""SELECT l_orderkey, l_linenumber, o.o_orderkey FROM lineitem l JOIN orders o ON l.l_suppkey = o.o_custkey AND epoch(l_shipdate) / 86400 <= epoch(o_orderdate) / 86400 + 20 AND epoch(l_shipdate) / 86400 + 10 >= epoch(o_orderdate) / 86400""")
+def interval_overlap(t: Tables) -> DataFrame:
+    day = lambda c: F.unix_seconds(F.col(c).cast("timestamp")) / 86400
+    points = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", day("l_shipdate").alias("s"), (day("l_shipdate") + 10).alias("e"))
+    ranges = t.raw("orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("s"), (day("o_orderdate") + 20).alias("e"))
+    return J.interval_overlap(points, ranges, "s", "e", "s", "e", 30, ["l_orderkey", "l_linenumber"], ["o_orderkey"], [("l_suppkey", "o_custkey")])
+
+
+def _grams(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    return rows.select(key, X.char_bigrams(text).alias("grams"))
+
+
+_TOPK = f"""a AS (SELECT item_id, unnest({bigrams_sql('text')}) AS g FROM benchmark), b AS (SELECT doc_id, unnest({bigrams_sql('text')}) AS g FROM documents),
+na AS (SELECT item_id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT doc_id, count(*) AS n FROM b GROUP BY 1),
+p AS (SELECT item_id, doc_id, count(*) AS k FROM a JOIN b USING (g) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_TOPK}, s AS (SELECT p.item_id, p.doc_id, k / (na.n + nb.n - k) AS score FROM p JOIN na ON p.item_id = na.item_id JOIN nb ON p.doc_id = nb.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 0.03)
+SELECT b.item_id, doc_id, round(score, 6) AS score, rank FROM benchmark b LEFT JOIN r ON b.item_id = r.item_id AND rank <= 5""")
+def lexical_topk(t: Tables) -> DataFrame:
+    out = J.lexical_topk(_grams(t.raw("benchmark"), "item_id"), _grams(t.raw("documents"), "doc_id"), "item_id", "doc_id")
+    return out.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {_TOPK}, s AS (SELECT p.item_id, p.doc_id, k / (na.n + nb.n - k) AS score FROM p JOIN na ON p.item_id = na.item_id JOIN nb ON p.doc_id = nb.doc_id)
+SELECT doc_id, item_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id DESC) AS rn FROM s WHERE score >= 0.02) WHERE rn = 1""")
+def note_eligibility(t: Tables) -> DataFrame:
+    out = J.best_document(_grams(t.raw("documents"), "doc_id"), _grams(t.raw("benchmark"), "item_id"), "doc_id", "item_id")
+    return out.select("doc_id", "item_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_TOPK}, s AS (SELECT p.item_id, p.doc_id, k / least(na.n, nb.n) AS score FROM p JOIN na ON p.item_id = na.item_id JOIN nb ON p.doc_id = nb.doc_id WHERE (p.item_id % 4) * 5 <= p.doc_id % 20 AND p.doc_id % 20 < (p.item_id % 4) * 5 + 5)
+SELECT * FROM (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 0.03) WHERE rank <= 3""")
+def note_topk(t: Tables) -> DataFrame:
+    notes = _grams(t.raw("benchmark"), "item_id").withColumn("document", F.col("item_id") % 4)
+    records = _grams(t.raw("documents"), "doc_id").withColumn("src", F.col("doc_id") % 20)
+    eligible = t.spark.range(20).select(F.col("id").alias("src"), F.floor(F.col("id") / 5).alias("document"))
+    out = J.note_topk(notes, records, eligible, "item_id", "doc_id", "src", "document")
+    return out.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _fragments(t: Tables) -> DataFrame:
+    """conv_id with the sets of words of all turns, of the first and of the last."""
+    w = Window.partitionBy("conv_id")
+    rows = t.turns().withColumn("first", F.row_number().over(w.orderBy("turn"))).withColumn("last", F.row_number().over(w.orderBy(F.col("turn").desc())))
+    rows = rows.withColumn("w", X.keywords("text"))
+    take = lambda c: F.flatten(F.collect_list(F.when(F.col(c) == 1, F.col("w"))))
+    return rows.groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("keywords"), take("first").alias("head"), take("last").alias("tail"))
+
+
+_STOP = "(" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
+_FRAG = f"""tok AS (SELECT conv_id, turn, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9'']+'))) AS w FROM conversations),
+kw AS (SELECT DISTINCT conv_id, turn, w FROM tok WHERE w NOT IN {_STOP} AND NOT regexp_matches(w, '^[a-z0-9'']$')),
+ends AS (SELECT conv_id, min(turn) AS f, max(turn) AS l FROM conversations GROUP BY conv_id),
+ks AS (SELECT DISTINCT conv_id, w FROM kw), hs AS (SELECT DISTINCT kw.conv_id, w FROM kw JOIN ends ON kw.conv_id = ends.conv_id AND turn = f), ts AS (SELECT DISTINCT kw.conv_id, w FROM kw JOIN ends ON kw.conv_id = ends.conv_id AND turn = l),
+c AS (SELECT e.conv_id, (SELECT count(*) FROM ks WHERE ks.conv_id = e.conv_id) AS nk, (SELECT count(*) FROM hs WHERE hs.conv_id = e.conv_id) AS nh, (SELECT count(*) FROM ts WHERE ts.conv_id = e.conv_id) AS nt FROM ends e),
+k2 AS (SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS n FROM ks x JOIN ks y ON x.w = y.w AND x.conv_id < y.conv_id GROUP BY 1, 2),
+ab AS (SELECT x.conv_id AS a, y.conv_id AS b, count(*) AS n FROM ts x JOIN hs y ON x.w = y.w AND x.conv_id < y.conv_id GROUP BY 1, 2),
+ba AS (SELECT y.conv_id AS a, x.conv_id AS b, count(*) AS n FROM ts x JOIN hs y ON x.w = y.w AND y.conv_id < x.conv_id GROUP BY 1, 2),
+pairs AS (SELECT k2.a, k2.b, k2.n / (ca.nk + cb.nk - k2.n) AS overall, coalesce(ab.n / (ca.nt + cb.nh - ab.n), 0) AS a_to_b, coalesce(ba.n / (cb.nt + ca.nh - ba.n), 0) AS b_to_a, k2.n AS shared
+  FROM k2 JOIN c ca ON ca.conv_id = k2.a JOIN c cb ON cb.conv_id = k2.b LEFT JOIN ab ON ab.a = k2.a AND ab.b = k2.b LEFT JOIN ba ON ba.a = k2.a AND ba.b = k2.b)"""
+
+
+def _pairs(t: Tables) -> DataFrame:
+    return J.pair_scores(_fragments(t), "conv_id")
+
+
+@query(f"WITH {_FRAG} SELECT a, b, round(overall, 6) AS overall, round(a_to_b, 6) AS a_to_b, round(b_to_a, 6) AS b_to_a, shared FROM pairs")
+def pair_scores(t: Tables) -> DataFrame:
+    return _pairs(t).select("a", "b", *(F.round(c, 6).alias(c) for c in ("overall", "a_to_b", "b_to_a")), "shared")
+
+
+@query(f"""WITH {_FRAG}, both_ AS (SELECT a AS me, b AS you, round(overall, 6) AS score FROM pairs UNION ALL SELECT b, a, round(overall, 6) FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY me ORDER BY score DESC, you) AS rn FROM both_) SELECT DISTINCT least(me, you) AS a, greatest(me, you) AS b, score FROM r WHERE rn <= 4""")
+def neighbor_cap(t: Tables) -> DataFrame:
+    return J.neighbor_cap(_pairs(t).select("a", "b", F.round("overall", 6).alias("score")))
+
+
+_DIRECTED = """d AS (SELECT a, b, round(a_to_b, 6) AS score FROM pairs UNION ALL SELECT b, a, round(b_to_a, 6) FROM pairs)"""
+
+
+def _directed(t: Tables) -> DataFrame:
+    p = _pairs(t)
+    return p.select("a", "b", F.round("a_to_b", 6).alias("score")).unionAll(p.select("b", "a", F.round("b_to_a", 6)))
+
+
+@query(f"""WITH {_FRAG}, {_DIRECTED}, s AS (SELECT * FROM d WHERE score >= 0.05),
+x AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n, score - coalesce(lead(score) OVER (PARTITION BY a ORDER BY score DESC, b), 0) AS gap FROM s),
+y AS (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS n, score - coalesce(lead(score) OVER (PARTITION BY b ORDER BY score DESC, a), 0) AS gap FROM s)
+SELECT x.a, x.b, x.score FROM x JOIN y ON x.a = y.a AND x.b = y.b WHERE x.n = 1 AND y.n = 1 AND x.gap >= 0.005 AND y.gap >= 0.005""")
+def mutual_best_edge(t: Tables) -> DataFrame:
+    return J.mutual_best(_directed(t), 0.05, 0.005)
+
+
+@query(f"""WITH {_FRAG}, q AS (SELECT *, greatest(a_to_b, b_to_a) AS hi, least(a_to_b, b_to_a) AS lo FROM pairs)
+SELECT a, b, CASE WHEN hi >= 0.20 AND hi - lo >= 0.05 AND shared >= 2 THEN 'same_continuous' WHEN overall >= 0.30 AND shared >= 2 AND hi >= 0.10 THEN 'same_gap' WHEN overall >= 0.30 AND shared >= 2 THEN 'same_reorder' ELSE 'different' END AS relation, a_to_b >= b_to_a AS forward FROM q""")
+def fallback_judge(t: Tables) -> DataFrame:
+    return G.fallback_judge(_pairs(t)).select("a", "b", "relation", "forward")
+
+
+@query("""SELECT l_orderkey, l_linenumber, (SELECT max(o_orderkey) FROM orders o WHERE o.o_custkey = l.l_suppkey AND o.o_orderdate = (SELECT max(o_orderdate) FROM orders p WHERE p.o_custkey = l.l_suppkey AND p.o_orderdate <= l.l_shipdate)) AS o_orderkey FROM lineitem l""")
+def asof_record(t: Tables) -> DataFrame:
+    probes = t.raw("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("k"), "l_shipdate")
+    records = t.raw("orders").select("o_orderkey", F.col("o_custkey").alias("k"), "o_orderdate")
+    return J.asof(probes, records, "k", "l_shipdate", "o_orderdate", "o_orderkey", ["l_orderkey", "l_linenumber"]).drop("k")
+
+
+@query(sql("units evidence", "SELECT unit_id, count(e.evidence_id) AS n, coalesce(string_agg(e.evidence_id, ',' ORDER BY e.evidence_id), '') AS ids FROM (SELECT unit_id, unnest(evidence_ids) AS i FROM units) u LEFT JOIN evidence e ON u.i = e.evidence_id GROUP BY unit_id"))
+def unit_evidence_packet(t: Tables) -> DataFrame:
+    rows = J.evidence_packet(t.units(), t.evidence())
+    return rows.select("unit_id", F.size("evidence").cast("long").alias("n"), F.array_join(F.transform("evidence", lambda x: x["evidence_id"]), ",").alias("ids"))
+
+
+def _ascii(c: str, start: int, n: int):
+    return F.substring(F.regexp_replace(c, "[^A-Za-z]", ""), start, n)
+
+
+def _candidates(t: Tables) -> DataFrame:
+    parts = [(e, r, (i * 3 + j)) for i, e in enumerate("abc") for j, r in enumerate(("first", "noise", "norm"))]
+    rows = [F.struct(F.lit(e).alias("engine"), F.lit(r).alias("route"), F.lit(k % 3).alias("rank"), _ascii("text", 1 + k % 4, 12).alias("text")) for e, r, k in parts]
+    return t.raw("benchmark").select("item_id", F.explode(F.array(*rows)).alias("c")).select("item_id", "c.*")
+
+
+_CAND = "cand AS (SELECT item_id, e AS engine, r AS route, k % 3 AS rank, substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1 + k % 4, 12) AS text FROM benchmark, (VALUES ('a', 'first', 0), ('a', 'noise', 1), ('a', 'norm', 2), ('b', 'first', 3), ('b', 'noise', 4), ('b', 'norm', 5), ('c', 'first', 6), ('c', 'noise', 7), ('c', 'norm', 8)) v(e, r, k))"
+_SIM = "(1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}), 1))"
+
+
+@query(f"""WITH {_CAND}, s AS (SELECT x.item_id, x.route AS route_a, y.route AS route_b, z.route AS route_c, ({_SIM.format('x.text', 'y.text')} + {_SIM.format('x.text', 'z.text')} + {_SIM.format('y.text', 'z.text')}) / 3 AS score
+  FROM cand x JOIN cand y ON x.item_id = y.item_id AND x.engine = 'a' AND y.engine = 'b' JOIN cand z ON z.item_id = x.item_id AND z.engine = 'c')
+SELECT item_id, route_a, route_b, route_c, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, route_a, route_b, route_c) AS n FROM s) WHERE n = 1""")
+def route_select(t: Tables) -> DataFrame:
+    return J.route_select(_candidates(t), "item_id").select("item_id", "route_a", "route_b", "route_c", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_CAND}, p AS (SELECT x.item_id, x.rank, x.route, avg({_SIM.format('x.text', 'y.text')}) AS m, min({_SIM.format('x.text', 'y.text')}) AS lo FROM cand x JOIN cand y ON x.item_id = y.item_id AND x.engine = 'a' AND y.engine = 'a' AND x.rank <> y.rank GROUP BY 1, 2, 3)
+SELECT item_id, route, round(m, 6) AS mean_similarity, round(low, 6) AS min_similarity FROM (SELECT *, min(lo) OVER (PARTITION BY item_id) AS low, row_number() OVER (PARTITION BY item_id ORDER BY round(m, 9) DESC, rank) AS n FROM p) WHERE n = 1""")
+def route_medoid(t: Tables) -> DataFrame:
+    rows = A.route_medoid(_candidates(t).where("engine = 'a'"), "item_id")
+    return rows.select("item_id", "route", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("min_similarity", 6).alias("min_similarity"))
+
+
+@query("""WITH tok AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS o FROM benchmark), term AS (SELECT s, min(doc_id) AS page FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS s FROM documents) GROUP BY s),
+p AS (SELECT item_id, o AS original, s AS suggested, page FROM tok JOIN term ON abs(length(o) - length(s)) <= 1 AND lower(o) <> lower(s) AND levenshtein(lower(o), lower(s)) <= 1)
+SELECT item_id, original, suggested, page FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY page, original, suggested) AS n FROM p) WHERE n <= 5""")
+def ocr_fuzzy(t: Tables) -> DataFrame:
+    long = lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z]{6,}"), F.lit(0))
+    records = t.raw("benchmark").select(F.col("item_id").alias("record_id"), long("text").alias("tokens"))
+    terms = t.raw("documents").select(F.col("doc_id").alias("page"), F.explode(long("text")).alias("term"))
+    return J.fuzzy_terms(records, terms).select(F.col("record_id").alias("item_id"), "original", "suggested", "page")
+
+
+@query("SELECT page_id, max(k) AS stem FROM (SELECT p.page_id, 'p' || n.n_nationkey AS k, 'p' || p.page_id AS f, n.n_nationkey AS o FROM pages p JOIN nation n ON starts_with('p' || p.page_id, 'p' || n.n_nationkey)) x WHERE o = (SELECT min(n_nationkey) FROM nation m WHERE starts_with(x.f, 'p' || m.n_nationkey)) GROUP BY page_id")
+def prefix_join(t: Tables) -> DataFrame:
+    files = t.raw("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("file"))
+    sources = t.raw("nation").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("stem"), F.col("n_nationkey").alias("ordinal"))
+    return J.prefix_first(files, sources, "file", "stem", "ordinal").select(F.substring("file", 2, 20).cast("long").alias("page_id"), "stem")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)")
+def resume_pending(t: Tables) -> DataFrame:
+    done = t.raw("labels").select("doc_id", F.lit("").alias("text"), F.when(F.col("toxic") == 0, "empty").otherwise("complete").alias("status"))
+    return J.resume_pending(t.raw("documents"), done, "doc_id").select("doc_id")
+
+
+@query("SELECT conv_id, conv_id % 3 <> 0 AS confirmed FROM conversations GROUP BY conv_id")
+def permutation_confirm(t: Tables) -> DataFrame:
+    plan = t.turns().select("conv_id", "turn")
+    asked = plan.select("conv_id", F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") == 0), F.lit(99)).otherwise(F.col("turn")).alias("turn"))
+    return J.same_multiset(plan, asked, "conv_id", "turn")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN o_totalprice <= 0 THEN 'unknown' WHEN l_extendedprice < 0.9 * o_totalprice THEN 'short' ELSE 'ok' END AS state FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def track_duration(t: Tables) -> DataFrame:
+    tracks = t.raw("lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("duration"))
+    sources = t.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("duration"))
+    return J.track_duration(tracks, sources, "l_orderkey").where("source_duration IS NOT NULL").select("l_orderkey", "l_linenumber", "state")
+
+
+@query("SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 50 = 0 THEN 'missing' WHEN doc_id % 31 = 0 THEN 'changed' END AS state FROM documents WHERE doc_id % 50 = 0 OR doc_id % 31 = 0")
+def hash_mismatch(t: Tables) -> DataFrame:
+    m = t.raw("documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    c = m.where("doc_id % 50 <> 0").withColumn("sha256", F.when(F.col("doc_id") % 31 == 0, "x").otherwise(F.col("sha256")))
+    return J.hash_mismatch(m, c)
+
+
+@query("SELECT user_id, min_by(ts, event_id) AS started FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS DOUBLE) AS ts FROM events WHERE event_type = 'signup') GROUP BY user_id")
+def timeline_start(t: Tables) -> DataFrame:
+    log = t.log().withColumn("kind", F.when(F.col("kind") == "signup", "event_start").otherwise(F.col("kind")))
+    return J.timeline_start(log.select("event").distinct(), log, "event").where("started IS NOT NULL").select(F.col("event").alias("user_id"), "started")
+
+
+# ---------------------------------------------------------------- aggregates
+
+
+@query(sql("evidence", "SELECT kind || ':' || source_id AS route, count(*) AS n, count(*) FILTER (WHERE n % 3 = 0) AS unresolved FROM evidence GROUP BY 1"))
+def route_counts(t: Tables) -> DataFrame:
+    return A.route_counts(t.evidence(), route="source_id", unresolved=F.col("n") % 3 == 0)
+
+
+@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), c AS (SELECT doc_id, line, count(*) AS c FROM l WHERE line <> '' GROUP BY 1, 2),
+s AS (SELECT doc_id, sum(c) AS n, max(c) AS top FROM c GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CASE WHEN n >= 8 THEN round(top / n, 6) END AS dominant_share FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""")
+def dominant_line(t: Tables) -> DataFrame:
+    return A.dominant_line(t.raw("documents"), "doc_id", "text").select("doc_id", "n_lines", F.round("dominant_share", 6).alias("dominant_share"))
+
+
+@query("""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), c AS (SELECT doc_id, line, count(*) AS c FROM l WHERE line <> '' GROUP BY 1, 2),
+s AS (SELECT doc_id, sum(c) AS n, max(c) AS top FROM c GROUP BY 1)
+SELECT d.doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) - length(replace(text, chr(65533), '')) >= 2 THEN 'replacement_marks' WHEN n >= 8 AND top / n > 0.35 THEN 'dominant_line' ELSE 'healthy' END AS health FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""")
+def text_health(t: Tables) -> DataFrame:
+    return A.text_health(t.raw("documents"), "doc_id", "text")
+
+
+@query("SELECT doc_id, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1), 6) AS ratio FROM documents")
+def latin_ratio(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", F.round(X.latin_ratio("text"), 6).alias("ratio"))
+
+
+@query(sql("units", "SELECT topic, count(*) AS n_units, min(ordinal) AS first_seen FROM units GROUP BY topic"))
+def topic_rollup(t: Tables) -> DataFrame:
+    return A.topic_rollup(t.units())
+
+
+@query(f"WITH {_FRAG}, n AS (SELECT count(DISTINCT conv_id) AS n FROM ks) SELECT w AS word, count(*) AS df, any_value(n) >= 4 AND count(*) > floor(any_value(n) * 0.75) AS common FROM ks, n GROUP BY w")
+def document_frequency(t: Tables) -> DataFrame:
+    return A.document_frequency(_fragments(t).where(F.size("keywords") > 0), "conv_id", "keywords")
+
+
+@query(sql("rec", """, a AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY idx) AS n, row_number() OVER (PARTITION BY source_id ORDER BY idx DESC) AS m FROM rec)
+SELECT source_id, count(*) AS sentence_count, round(max(end_s), 4) AS duration_seconds, substr(string_agg(text, ' ' ORDER BY idx) FILTER (WHERE n <= 2), 1, 180) AS head, right(string_agg(text, ' ' ORDER BY idx) FILTER (WHERE m <= 2), 180) AS tail FROM a GROUP BY source_id""").replace("\n, a AS", ", a AS"))
+def fragment_summary(t: Tables) -> DataFrame:
+    out = A.fragment_summary(t.records(), "source_id", "idx", "text", "end_s")
+    return out.withColumn("duration_seconds", F.round("duration_seconds", 4))
+
+
+@query(sql("rec", "SELECT source_id, CAST(floor(start_s / 20) AS BIGINT) AS window_index, string_agg(text, '' ORDER BY idx) AS text, count(*) AS n FROM rec GROUP BY 1, 2"))
+def window_regroup(t: Tables) -> DataFrame:
+    return A.ordered_text(t.records().withColumn("window_index", F.floor(F.col("start_s") / 20)), ["source_id", "window_index"], ["idx"], "text", "")
+
+
+@query("SELECT source, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS text_md5, count(*) AS n FROM documents GROUP BY source")
+def slide_text(t: Tables) -> DataFrame:
+    return A.ordered_text(t.raw("documents"), ["source"], ["doc_id"], "text", "\n").select("source", F.md5("text").alias("text_md5"), "n")
+
+
+@query("SELECT event_type AS engine, count(*) AS n, count(*) FILTER (WHERE value > 50) AS escalated, count(*) FILTER (WHERE value > 90) AS uncertain FROM events GROUP BY 1")
+def selection_counts(t: Tables) -> DataFrame:
+    return A.selection_counts(t.raw("events").select(F.col("event_type").alias("engine"), (F.col("value") > 50).alias("escalated"), (F.col("value") > 90).alias("uncertain")))
+
+
+@query(sql("log", "SELECT event, count(*) AS n, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS failed, round(sum(hours), 4) AS hours FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY ts DESC, ordinal DESC) AS r FROM log) WHERE r <= 200 GROUP BY event"))
+def event_totals(t: Tables) -> DataFrame:
+    return A.event_totals(t.log(), "event").withColumn("hours", F.round("hours", 4))
+
+
+@query(sql("units rec", "SELECT coalesce(u.event, r.event) AS event, coalesce(n_units, 0) AS n_units, coalesce(n_records, 0) AS n_records, round(last_end, 4) AS last_end FROM (SELECT event, count(*) AS n_units FROM units GROUP BY 1) u FULL JOIN (SELECT source AS event, count(*) AS n_records, max(end_s) AS last_end FROM rec JOIN documents ON source_id = doc_id GROUP BY 1) r ON u.event = r.event"))
+def event_listing(t: Tables) -> DataFrame:
+    return A.event_listing(t.units(), cite_records(t), "event").withColumn("last_end", F.round("last_end", 4))
+
+
+@query("SELECT term, expected, CAST(count(DISTINCT lang) AS BIGINT) AS engines, CASE WHEN expected THEN count(DISTINCT lang) >= 2 ELSE count(DISTINCT lang) = 0 END AS passes FROM (VALUES ('idiot', false), ('la', true), ('zzzz', true), ('der', true)) v(term, expected) LEFT JOIN documents ON contains(lower(text), term) GROUP BY 1, 2")
+def term_hits(t: Tables) -> DataFrame:
+    terms = t.spark.createDataFrame([("idiot", False), ("la", True), ("zzzz", True), ("der", True)], "term string, expected boolean")
+    return A.term_hits(t.raw("documents").select(F.col("lang").alias("engine"), "text"), terms).withColumn("engines", F.col("engines").cast("long"))
+
+
+@query("SELECT count(*) FILTER (WHERE v = 'faithful') AS faithful, count(*) FILTER (WHERE v = 'bad' AND doc_id % 2 = 0) AS repaired, count(*) FILTER (WHERE v = 'bad' AND doc_id % 2 <> 0) AS residual FROM (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'bad' ELSE 'faithful' END AS v FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
+def audit_counts(t: Tables) -> DataFrame:
+    return A.audit_counts(_audited(t))
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE regexp_matches(props, '[13579]')) AS total, count(*) FILTER (WHERE regexp_matches(props, '[13579]') AND value > 50) AS done FROM events GROUP BY 1")
+def substage_progress(t: Tables) -> DataFrame:
+    log = t.raw("events").select("event_type", F.col("props").alias("message"), F.when(F.col("value") > 50, "done").otherwise("running").alias("status"))
+    return A.substage_progress(log, "event_type", "[13579]")
+
+
+@query("""SELECT errors, warnings, CASE WHEN errors > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM (
+  SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) + (SELECT CASE WHEN bool_or(doc_id + 1 NOT IN (SELECT doc_id FROM documents)) THEN count(*) FILTER (WHERE doc_id + 1 NOT IN (SELECT doc_id FROM documents)) ELSE 0 END FROM documents) AS errors, (SELECT count(*) FROM documents WHERE trim(text) = '') AS warnings)""")
+def quality_gate(t: Tables) -> DataFrame:
+    records = t.raw("documents").select(F.format_string("R%06d", "doc_id").alias("record_id"), F.col("text").alias("clean_literal"), F.lit(0.0).alias("start_seconds"), F.lit(1.0).alias("end_seconds"))
+    return A.gate(E.package_checks(t.evidence(), records, t.units(), t.dispositions()))
+
+
+# ---------------------------------------------------------------- ordered
+
+
+@query("SELECT doc_id, printf('E%06d', row_number() OVER (ORDER BY source, n_chars, doc_id)) AS evidence_id FROM documents")
+def assign_ids(t: Tables) -> DataFrame:
+    return W.assign_ids(t.raw("documents"), "source", ["n_chars", "doc_id"]).select("doc_id", "evidence_id")
+
+
+@query(sql("log", """, s AS (SELECT event, ordinal, ts AS a, ts + value AS b FROM log), g AS (SELECT *, max(b) OVER (PARTITION BY event ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_end FROM s)
+SELECT event, ordinal, round(a - last_end, 4) AS gap FROM g WHERE a - last_end > 30""").replace("\n, s AS", ", s AS"))
+def silence_gaps(t: Tables) -> DataFrame:
+    rows = t.log().select("event", "ordinal", F.col("ts").alias("a"), (F.col("ts") + F.col("value")).alias("b"))
+    return W.silence_gaps(rows, "event", "a", "b").select("event", "ordinal", F.round("gap", 4).alias("gap"))
+
+
+@query(sql("log", """, s AS (SELECT event, ordinal, ts AS a, ts + value AS b, kind FROM log), g AS (SELECT *, max(b) OVER (PARTITION BY event ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM s)
+SELECT event, ordinal, 'non_positive_duration' AS rule, 'error' AS severity FROM g WHERE b <= a UNION ALL SELECT event, ordinal, 'overlap', 'warning' FROM g WHERE a < l - 0.05""").replace("\n, s AS", ", s AS"))
+def transcript_checks(t: Tables) -> DataFrame:
+    rows = t.log().select("event", "ordinal", F.col("ts").alias("a"), (F.col("ts") + F.col("value")).alias("b"), "kind")
+    return W.transcript_checks(rows, "event", "ordinal", "a", "b", "kind")
+
+
+@query("""WITH n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
+SELECT n.conv_id, t.turn AS target, n.turn, CAST(n.r - t.r AS INTEGER) AS distance FROM n t JOIN n ON t.conv_id = n.conv_id AND n.r BETWEEN t.r - 2 AND t.r + 2 WHERE t.role = 'assistant'""")
+def context_rows(t: Tables) -> DataFrame:
+    turns = t.turns()
+    return W.context_rows(turns, turns.where("role = 'assistant'"), "conv_id", "turn", 2).select("conv_id", "target", "turn", "distance")
+
+
+@query("SELECT conv_id, turn, right(lag(text) OVER w, 120) AS previous, substr(lead(text) OVER w, 1, 120) AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def neighbor_text(t: Tables) -> DataFrame:
+    return W.neighbor_text(t.turns(), "conv_id", "turn", "text").select("conv_id", "turn", "previous", "next")
+
+
+@query("""WITH p AS (SELECT conv_id, turn, coalesce(lag(x) OVER (PARTITION BY conv_id ORDER BY turn), '') AS a, x AS b FROM (SELECT conv_id, turn, regexp_replace(text, '\\s+', '', 'g') AS x FROM conversations))
+SELECT conv_id, turn, coalesce(list_max(list_filter(range(4, least(length(a), length(b), 80) + 1), lambda n: right(a, n) = left(b, n))), 0) AS matched FROM p""")
+def overlap_dedup(t: Tables) -> DataFrame:
+    return W.overlap_dedup(t.turns(), "conv_id", "turn", "text").select("conv_id", "turn", F.col("matched").cast("long").alias("matched"))
+
+
+@query("SELECT doc_id, i AS sentence_index, s AS sentence FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(replace(text, '!', '!' || chr(1)), '?', '?' || chr(1)), ';', ';' || chr(1)), chr(1)), lambda z: trim(z)), lambda z: z <> '') AS x FROM documents))")
+def sentence_split(t: Tables) -> DataFrame:
+    return W.split_sentences(t.raw("documents").select("doc_id", "text"), "text").select("doc_id", "sentence_index", "sentence")
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars / 15.0 AS d FROM documents WHERE n_chars > 0), w AS (SELECT doc_id, d, unnest(range(0, CASE WHEN d <= 20 THEN 1 ELSE 1 + CAST(ceil((d - 20) / 15) AS BIGINT) END)) AS k FROM d)
+SELECT doc_id, k AS window_index, CAST(k * 15.0 AS DOUBLE) AS start_seconds, round(least(k * 15.0 + 20, d), 4) AS end_seconds FROM w""")
+def slide_windows(t: Tables) -> DataFrame:
+    rows = t.raw("documents").select("doc_id", (F.col("n_chars") / 15).alias("d"))
+    return W.slide_windows(rows, "doc_id", "d").select("doc_id", "window_index", "start_seconds", F.round("end_seconds", 4).alias("end_seconds"))
+
+
+@query()
+def paragraphs(t: Tables) -> DataFrame:
+    return W.paragraphs(t.records(), "source_id", "idx", "text")
+
+
+@query()
+def overlap_dedup_running(t: Tables) -> DataFrame:
+    return W.overlap_dedup_running(t.turns(), "conv_id", "turn", "text").select("conv_id", "turn", "matched", "cut_text")
+
+
+@query()
+def spaced_topk(t: Tables) -> DataFrame:
+    risk = P.continuity_risk(F.col("text"), F.lit(False), F.lit("high"))
+    return W.spaced_topk(t.records().select("source_id", "record_id", "start_s", risk.alias("risk")), "source_id", "start_s", "risk", 4, 60.0)
+
+
+def _frames(t: Tables) -> DataFrame:
+    """Embedding vectors as frames: sign bits are the hash."""
+    bits = F.aggregate(F.transform("embedding", lambda x: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
+    return t.raw("embeddings").select(F.concat(F.lit("v"), F.coalesce("label", F.lit(0)).cast("string")).alias("video"), F.col("vec_id").cast("double").alias("t"), bits.alias("phash"), F.transform("embedding", lambda x: (x * 100).cast("float")).alias("gray64"), F.lit(1.0).alias("lap"), "vec_id")
+
+
+@query("""WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings), n AS (SELECT *, lag(s) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM b)
+SELECT vec_id, CAST(list_sum(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN s[i] <> p[i] THEN 1 ELSE 0 END)) AS BIGINT) AS distance FROM n WHERE p IS NOT NULL""")
+def hamming_neighbors(t: Tables) -> DataFrame:
+    before = F.lag("phash").over(Window.partitionBy("video").orderBy("vec_id"))
+    return _frames(t).select("vec_id", X.hamming(F.col("phash"), before).cast("long").alias("distance")).where("distance IS NOT NULL")
+
+
+@query()
+def slide_segments(t: Tables) -> DataFrame:
+    return online.segment_frames(_frames(t))
+
+
+@query()
+def dedupe_pages(t: Tables) -> DataFrame:
+    pages = W.dedupe_pages(online.segment_frames(_frames(t)), "video", "start", "phash")
+    return pages.select("video", "page_id", "image_time", F.size("time_ranges").alias("n_ranges"))
+
+
+@query(sql("log", """, s AS (SELECT *, CASE WHEN value >= 40 THEN 'high' ELSE 'low' END AS side FROM log), p AS (SELECT *, lag(side) OVER (PARTITION BY event ORDER BY ts, ordinal) AS q FROM s),
+z AS (SELECT *, CASE WHEN q IS NULL OR q = side THEN side END AS fixed FROM p)
+SELECT event, ordinal, last_value(fixed IGNORE NULLS) OVER (PARTITION BY event ORDER BY ts, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS zone FROM z""").replace("\n, s AS", ", s AS"))
+def zone_hysteresis(t: Tables) -> DataFrame:
+    return W.zone_hysteresis(t.log(), "event", ["ts", "ordinal"], "value", 40.0).select("event", "ordinal", "zone")
+
+
+@query(sql("log", """, d AS (SELECT event, ordinal, ordinal - lag(ordinal) OVER w AS dt, value - lag(value) OVER w AS dv FROM log WINDOW w AS (PARTITION BY event ORDER BY ordinal))
+SELECT event, ordinal, round(CASE WHEN dt > 0 THEN dv / dt * 10 END, 6) AS rate FROM d""").replace("\n, d AS", ", d AS"))
+def swap_rate(t: Tables) -> DataFrame:
+    return W.rate_of_change(t.log(), "event", "ordinal", "value").select("event", "ordinal", F.round("rate", 6).alias("rate"))
+
+
+@query(sql("log", """, c AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY event ORDER BY ts, ordinal) IS NOT DISTINCT FROM kind THEN 0 ELSE 1 END AS n FROM log), r AS (SELECT *, sum(n) OVER (PARTITION BY event ORDER BY ts, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM c)
+SELECT event, ordinal, CAST(run AS BIGINT) AS run, min(ts) OVER (PARTITION BY event, run) AS stage_started FROM r""").replace("\n, c AS", ", c AS"))
+def stage_elapsed(t: Tables) -> DataFrame:
+    return W.stage_elapsed(t.log(), "event", ["ts", "ordinal"], "kind", "ts").select("event", "ordinal", F.col("run").cast("long").alias("run"), "stage_started")
+
+
+@query(sql("log", "SELECT event, max(ts) AS newest, 1704153600.0 - max(ts) AS age, 1704153600.0 - max(ts) > 3600 AS stale FROM log GROUP BY event"))
+def stale_stage(t: Tables) -> DataFrame:
+    return W.stale_stages(t.log(), "event", "ts", F.lit(1704153600.0), 3600.0)
+
+
+@query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal ASC NULLS LAST, c_custkey) AS position FROM customer")
+def nulls_last_order(t: Tables) -> DataFrame:
+    w = Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").asc_nulls_last(), "c_custkey")
+    return t.raw("customer").select("c_custkey", F.row_number().over(w).alias("position"))
+
+
+@query("SELECT item_id, 'P' || item_id AS page, row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) AS position FROM benchmark")
+def natural_sort(t: Tables) -> DataFrame:
+    rows = t.raw("benchmark").select("item_id", F.concat(F.lit("P"), F.col("item_id").cast("string")).alias("page"))
+    w = Window.partitionBy(F.col("item_id") % 3).orderBy(*W.natural_order("page"))
+    return rows.select("item_id", "page", F.row_number().over(w).alias("position"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN conv_id % 2 = 0 THEN -turn ELSE turn END) AS position FROM conversations")
+def guarded_order(t: Tables) -> DataFrame:
+    rows = t.turns().select("conv_id", "turn")
+    orders = rows.where("conv_id % 2 = 0 OR turn > 0").withColumn("ordinal", -F.col("turn"))
+    return W.guarded_order(rows, orders, "conv_id", "turn").select("conv_id", "turn", "position")
+
+
+# ---------------------------------------------------------------- text functions
+
+
+@query(f"SELECT doc_id, len({bigrams_sql('text')}) AS n_bigrams, md5({compact_sql('text')}) AS compact_md5 FROM documents")
+def char_bigrams(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", F.size(X.char_bigrams("text")).cast("long").alias("n_bigrams"), F.md5(X.compact_alnum("text")).alias("compact_md5"))
+
+
+@query(f"WITH {_FRAG} SELECT conv_id, count(*) AS n_keywords FROM ks GROUP BY conv_id")
+def keywords(t: Tables) -> DataFrame:
+    return _fragments(t).where(F.size("keywords") > 0).select("conv_id", F.size("keywords").cast("long").alias("n_keywords"))
+
+
+@query("SELECT conv_id, turn, len(list_distinct(list_concat(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'), regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z][a-z0-9]{2,}')))) AS n_details FROM conversations")
+def key_details(t: Tables) -> DataFrame:
+    return t.turns().select("conv_id", "turn", F.size(X.key_details("text")).cast("long").alias("n_details"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS clean_md5 FROM documents")
+def clean_space(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", F.md5(X.clean_space("text")).alias("clean_md5"))
+
+
+@query("SELECT doc_id, printf('%02d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) AS clock, printf('%02d:%02d', n_chars // 60, n_chars % 60) AS minutes, CAST(n_chars AS DOUBLE) AS seconds FROM documents")
+def timestamps(t: Tables) -> DataFrame:
+    rows = t.raw("documents").select("doc_id", X.clock("n_chars").alias("clock"), X.minutes("n_chars").alias("minutes"))
+    return rows.withColumn("seconds", X.parse_timestamp("clock"))
+
+
+@query("SELECT event_id, CASE WHEN value <= 5 OR value >= 200 THEN 0.0 WHEN value < 20 THEN round((value - 5) / 15, 6) WHEN value > 100 THEN round((200 - value) / 100, 6) ELSE 1.0 END AS plausible FROM events")
+def edge_plausibility(t: Tables) -> DataFrame:
+    return t.raw("events").select("event_id", F.round(X.plausible_edge(F.col("value"), 5, 20, 100, 200), 6).alias("plausible"))
+
+
+@query("SELECT doc_id, round(n_chars * 0.125, 4) AS first_time, round(n_chars * 0.875, 4) AS last_time FROM documents")
+def sample_times(t: Tables) -> DataFrame:
+    s = X.sample_times(F.col("n_chars").cast("double"), 4)
+    return t.raw("documents").select("doc_id", F.round(s[0], 4).alias("first_time"), F.round(s[3], 4).alias("last_time"))
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(text, 'The ') THEN 'The ' ELSE '' END AS removed, CASE WHEN starts_with(text, 'The ') THEN length(text) - 4 ELSE length(text) END AS n_left FROM documents")
+def strip_filler(t: Tables) -> DataFrame:
+    rows = t.raw("documents").select("doc_id", X.strip_filler("text", ["The "]).alias("s"))
+    return rows.select("doc_id", F.coalesce(F.try_element_at("s.edits.removed_text", F.lit(1)), F.lit("")).alias("removed"), F.length("s.text").cast("long").alias("n_left"))
+
+
+@query("SELECT x.item_id AS a, y.item_id AS b, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t), 1), 6) AS similarity FROM (SELECT item_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS t FROM benchmark) x JOIN (SELECT item_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS t FROM benchmark) y ON y.item_id = x.item_id + 1")
+def edit_similarity(t: Tables) -> DataFrame:
+    rows = t.raw("benchmark").select("item_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("t"))
+    other = rows.select((F.col("item_id") - 1).alias("i"), F.col("item_id").alias("b"), F.col("t").alias("u"))
+    return rows.join(other, F.col("item_id") == F.col("i")).select(F.col("item_id").alias("a"), "b", F.round(X.edit_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
+
+
+@query()
+def sequence_ratio(t: Tables) -> DataFrame:
+    rows = t.raw("benchmark").select("item_id", "text")
+    other = rows.select((F.col("item_id") - 1).alias("i"), F.col("text").alias("u"))
+    return rows.join(other, F.col("item_id") == F.col("i")).select("item_id", F.round(X.sequence_ratio("text", "u"), 6).alias("ratio"))
+
+
+@query()
+def support_metrics(t: Tables) -> DataFrame:
+    rows = _candidates(t).where("rank = 0").groupBy("item_id").pivot("engine", ["a", "b", "c"]).agg(F.first("text"))
+    return rows.select("item_id", A.support("a", "b", "c").alias("s")).select("item_id", "s.*")
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query(sql("units rec", """, two AS (SELECT 2 AS tier, unit_id AS id, claim AS text, row_number() OVER (ORDER BY CASE certainty WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, unit_id) AS rank FROM units WHERE claim ILIKE '%thatnd%' OR topic ILIKE '%thatnd%'),
+three AS (SELECT 3 AS tier, record_id AS id, text, row_number() OVER (ORDER BY record_id) AS rank FROM rec WHERE text ILIKE '%thatnd%'), al AS (SELECT * FROM two WHERE rank <= 20 UNION ALL SELECT * FROM three WHERE rank <= 20)
+SELECT * FROM al WHERE tier = (SELECT min(tier) FROM al)""").replace("\n, two AS", ", two AS"))
+def search_token(t: Tables) -> DataFrame:
+    return R.search_token(t.units(), cite_records(t), "thatnd", fulltext=False)
+
+
+_SEARCH = """u AS (SELECT event, 'unit' AS kind, unit_id AS id, claim || chr(10) || topic AS s FROM units UNION ALL SELECT source, 'record', record_id, rec.text FROM rec JOIN documents ON source_id = doc_id),
+tok AS (SELECT * FROM (VALUES ('ththe thatnd', 0, 0), ('ththe', 1, 0), ('thatnd', 1, 1)) v(token, stage, ordinal)),
+h AS (SELECT event, kind, id, stage, ordinal FROM u JOIN tok ON s ILIKE '%' || token || '%'), h1 AS (SELECT *, min(stage) OVER (PARTITION BY event) AS m FROM h), h2 AS (SELECT *, max(CASE WHEN kind = 'unit' THEN 1 ELSE 0 END) OVER (PARTITION BY event, ordinal) AS has FROM h1 WHERE stage = m),
+g AS (SELECT event, kind, id, count(*) AS matched, min(ordinal) AS f FROM h2 WHERE kind = 'unit' OR has = 0 GROUP BY 1, 2, 3)"""
+
+
+@query(sql("units rec", "").rstrip() + ",\n" + _SEARCH + "\nSELECT * EXCLUDE (f) FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY matched DESC, f, kind DESC, id) AS rank FROM g) WHERE rank <= 20")
+def search_meetings(t: Tables) -> DataFrame:
+    return R.search(t.units(), cite_records(t), "ththe thatnd").select("event", "kind", "id", "matched", "rank")
+
+
+@query()
+def search_bm25(t: Tables) -> DataFrame:
+    units = t.units().withColumn("both", F.concat_ws(" ", "topic", "claim"))
+    asked = t.spark.createDataFrame([("thatnd",), ("er be",), ("la re",)], "query string")
+    return R.bm25(R.trigram_postings(units, "unit_id", "both"), asked).select("query", "key", F.round("score", 6).alias("score"))
+
+
+@query(sql("units", "SELECT unit_id, certainty FROM units WHERE certainty IN ('low', 'medium') ORDER BY certainty, unit_id LIMIT 20"))
+def uncertain_units(t: Tables) -> DataFrame:
+    return R.uncertain_units(t.units()).select("unit_id", "certainty")
+
+
+@query(sql("units", "SELECT event, count(*) AS n_units, CASE WHEN event IN ('src0', 'src1') THEN 'PASS' ELSE 'unknown' END AS status FROM units WHERE NOT ends_with(event, '_private') GROUP BY event"))
+def list_events(t: Tables) -> DataFrame:
+    gates = t.spark.createDataFrame([("src0", "PASS"), ("src1", "PASS")], "event string, status string")
+    return R.list_events(A.event_listing(t.units(), cite_records(t), "event"), gates, "event").select("event", "n_units", "status")
+
+
+# ---------------------------------------------------------------- graph
+
+
+_LINKS = "e AS (SELECT DISTINCT a, b FROM (SELECT min(doc_id) OVER (PARTITION BY text) AS a, doc_id AS b FROM documents UNION ALL SELECT doc_id, doc_id + 1 FROM documents WHERE doc_id % 5 = 0 AND doc_id + 1 IN (SELECT doc_id FROM documents)) WHERE a <> b)"
+
+
+def _links(t: Tables) -> DataFrame:
+    d = t.raw("documents")
+    first = d.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("doc_id").alias("a"))
+    copies = d.select(F.col("doc_id").alias("b"), F.xxhash64("text").alias("g"), F.length("text").alias("m")).join(first, (F.col("h") == F.col("g")) & (F.col("n") == F.col("m"))).select("a", "b")
+    ids = d.select(F.col("doc_id").alias("k"))
+    steps = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(ids, F.col("b") == F.col("k"), "left_semi")
+    return copies.unionAll(steps).where("a <> b").distinct()
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, s.b FROM r JOIN s ON r.y = s.a)
+SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x""")
+def components(t: Tables) -> DataFrame:
+    return G.components(t.raw("documents").select("doc_id"), _links(t), "doc_id", "a", "b")
+
+
+@query()
+def topo_order(t: Tables) -> DataFrame:
+    links = _links(t)
+    comp = G.components(t.raw("documents").select("doc_id"), links, "doc_id", "a", "b")
+    nodes = comp.select("component", F.col("doc_id").alias("node"), (-F.col("doc_id")).alias("key"))
+    edges = links.join(comp, F.col("a") == F.col("doc_id")).select("component", "a", "b", F.lit(False).alias("weak"))
+    return G.topological_order(nodes, edges, "component", "key")
+
+
+@query()
+def fragment_plan(t: Tables) -> DataFrame:
+    """Fragments grouped by continuity, ordered, rated and numbered."""
+    judged = G.fallback_judge(_pairs(t)).where("relation <> 'different'")
+    arcs = judged.select(F.when(F.col("forward"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("forward"), F.col("b")).otherwise(F.col("a")).alias("b"), "relation")
+    convs = t.turns().select("conv_id").distinct()
+    comp = G.components(convs, arcs, "conv_id", "a", "b")
+    nodes = comp.select("component", F.col("conv_id").alias("node"), F.col("conv_id").alias("key"))
+    edges = arcs.join(comp, F.col("a") == F.col("conv_id")).select("component", "a", "b", (F.col("relation") == "same_gap").alias("weak"))
+    order = G.topological_order(nodes, edges, "component", "key")
+    hints = t.spark.createDataFrame([(1, 5), (3, 2)], "node long, note_position int")
+    plan = G.assemble_plan(order, "component", hints)
+    return plan.join(G.group_confidence(order, arcs, "component", F.lit(False)).drop("n"), "component")
+
+
+@query()
+def chain_walk(t: Tables) -> DataFrame:
+    return G.chain_walk(J.mutual_best(_directed(t), 0.05, 0.005))
+
+
+# ---------------------------------------------------------------- model boundary
+
+
+@query("""SELECT source, chunk, count(*) AS n FROM (SELECT source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 5) AS BIGINT) AS chunk FROM documents) GROUP BY 1, 2""")
+def model_chunks(t: Tables) -> DataFrame:
+    rows = M.chunks(t.raw("documents"), "source", "doc_id", 5)
+    keyed = M.chunk_fingerprints(rows, "source", "doc_id", ["doc_id", "text"])
+    return rows.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n")).join(keyed, ["source", "chunk"]).select("source", "chunk", "n")
+
+
+@query(sql("units evidence", "SELECT unit_id, list_has_all(ids, evidence_ids) AS valid FROM units JOIN (SELECT source_id, list(evidence_id) AS ids FROM evidence GROUP BY 1) ON event = source_id"))
+def valid_units(t: Tables) -> DataFrame:
+    c = t.evidence().groupBy(F.col("source_id").alias("chunk")).agg(F.collect_set("evidence_id").alias("ids"))
+    return M.valid_units(t.units().withColumnRenamed("event", "chunk"), c).select("unit_id", "valid")
+
+
+_FILLED = "f AS (SELECT e.evidence_id, coalesce(d.status, 'uncertain') AS status, d.evidence_id IS NULL AS auto_filled FROM evidence e LEFT JOIN dispositions d ON e.evidence_id = d.evidence_id)"
+
+
+@query(sql("evidence dispositions", "").rstrip() + f",\n{_FILLED}\nSELECT * FROM f")
+def coverage_fill(t: Tables) -> DataFrame:
+    return M.coverage_fill(t.evidence(), t.dispositions())
+
+
+@query(sql("evidence dispositions units", "").rstrip() + f",\n{_FILLED}, c AS (SELECT DISTINCT unnest(evidence_ids) AS i FROM units WHERE certainty = 'high')\nSELECT evidence_id, CASE WHEN auto_filled AND status = 'uncertain' AND i IS NOT NULL THEN 'covered' ELSE status END AS status FROM f LEFT JOIN c ON evidence_id = i")
+def promote_covered(t: Tables) -> DataFrame:
+    return M.promote_covered(M.coverage_fill(t.evidence(), t.dispositions()), t.units().where("certainty = 'high'")).select("evidence_id", "status")
+
+
+_DET = "list_distinct(list_concat(regexp_extract_all({0}, '[0-9]+(?:\\.[0-9]+)?'), regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z][a-z0-9]{{2,}}')))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, substr(text, 1, 300) AS o, substr(text, 1, 300 - CAST(doc_id % 3 AS INTEGER) * 40) AS f, substr(text, 100, 400) AS e FROM documents)
+SELECT doc_id, len(list_filter({_DET.format('o')}, lambda x: NOT list_contains({_DET.format('f')}, x) AND list_contains({_DET.format('e')}, x))) = 0 AS keeps FROM p""")
+def repair_guard(t: Tables) -> DataFrame:
+    cut = F.substring(F.col("text"), F.lit(1), (300 - F.col("doc_id") % 3 * 40).cast("int"))
+    return t.raw("documents").select("doc_id", M.repair_guard(F.substring("text", 1, 300), cut, F.substring("text", 100, 400)).alias("keeps"))
+
+
+def _audited(t: Tables) -> DataFrame:
+    labels = t.raw("labels")
+    first = labels.select(F.format_string("U%06d", "doc_id").alias("unit_id"), F.when(F.col("toxic") == 1, "unfaithful").otherwise("faithful").alias("verdict"), F.when(F.col("toxic") == 1, "repaired").alias("repair"))
+    second = labels.where("toxic = 1").select(F.format_string("U%06d", "doc_id").alias("unit_id"), F.when(F.col("doc_id") % 2 == 0, "faithful").otherwise("unfaithful").alias("verdict"))
+    return M.audit_resolve(t.units(), first, second)
+
+
+@query("""SELECT printf('U%06d', d.doc_id) AS unit_id, coalesce(toxic = 1 AND d.doc_id % 2 = 0, false) AS audit_repaired, coalesce(toxic = 1 AND d.doc_id % 2 <> 0, false) AS audit_flagged, CASE WHEN toxic = 1 AND d.doc_id % 2 <> 0 THEN 'low' WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' ELSE 'medium' END AS certainty FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def audit_resolve(t: Tables) -> DataFrame:
+    return _audited(t).select("unit_id", "audit_repaired", "audit_flagged", "certainty")
+
+
+@query("SELECT conv_id AS a, conv_id + 1 AS b, CASE WHEN conv_id % 3 = 0 THEN 'different' WHEN conv_id % 3 = 1 THEN 'different' ELSE 'same_gap' END AS relation, CASE WHEN conv_id % 3 = 0 THEN 'missing' WHEN conv_id % 3 = 1 THEN 'unknown_relation' END AS degraded FROM conversations GROUP BY conv_id")
+def judge_pairs(t: Tables) -> DataFrame:
+    pairs = t.turns().select(F.col("conv_id").alias("a")).distinct().withColumn("b", F.col("a") + 1)
+    verdicts = pairs.where("a % 3 <> 0").select(F.col("b").alias("a"), F.col("a").alias("b"), F.when(F.col("a") % 3 == 1, "maybe").otherwise("same_gap").alias("relation"))
+    return M.judge_pairs(pairs, verdicts, ["same_continuous", "same_gap", "same_reorder", "different"])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'supports' ELSE 'unknown' END AS relation, CAST(CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_matched FROM documents")
+def classify_relations(t: Tables) -> DataFrame:
+    d = t.raw("documents")
+    cands = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("R1"), F.lit("R2"))).otherwise(F.array().cast("array<string>")).alias("candidates"))
+    verdicts = d.select("doc_id", F.lit("supports").alias("relation"), F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("R1"))).otherwise(F.array(F.lit("R9"))).alias("matched"))
+    out = M.classify_relations(cands, verdicts, "doc_id", ["supports", "partial_support", "conflict", "possible_related", "unknown"])
+    return out.select("doc_id", "relation", F.size("matched").cast("long").alias("n_matched"))
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 1 AND doc_id % 2 = 0 THEN 'unknown' WHEN toxic = 1 THEN 'conflict' ELSE 'supports' END AS relation FROM labels")
+def absence_not_conflict(t: Tables) -> DataFrame:
+    rows = t.raw("labels").select("doc_id", F.when(F.col("toxic") == 1, "conflict").otherwise("supports").alias("relation"), F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("R1"))).otherwise(F.array().cast("array<string>")).alias("matched"))
+    return M.absence_not_conflict(rows).select("doc_id", "relation")
+
+
+@query("SELECT doc_id, doc_id % 2 = 1 AND n_chars <= 1000 AS nominated FROM documents")
+def nominate(t: Tables) -> DataFrame:
+    d = t.raw("documents")
+    c = d.select("doc_id", "n_chars", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("R1"))).otherwise(F.array().cast("array<string>")).alias("candidates"))
+    return M.nominate(c, d.select("doc_id", F.array(F.lit("R2")).alias("ids")), "doc_id", F.col("n_chars"), 1000).select("doc_id", "nominated")
+
+
+@query("SELECT source, 2 * count(*) AS n_cited, count(*) AS n_unknown, false AS valid FROM documents GROUP BY source")
+def report_references(t: Tables) -> DataFrame:
+    line = F.concat(F.format_string("U%06d", "doc_id"), F.lit(" and "), F.format_string("U%06d", F.col("doc_id") + 500000))
+    reports = t.raw("documents").groupBy("source").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    return M.report_references(reports, t.units(), "source", "text")
+
+
+@query("SELECT event_id, CASE WHEN value > 90 AND event_id % 4 >= 2 THEN 'report' WHEN value > 90 THEN 'retry' WHEN value > 50 THEN 'wait' ELSE 'archive' END AS action FROM events")
+def supervisor_actions(t: Tables) -> DataFrame:
+    runs = t.raw("events").select("event_id", F.when(F.col("value") > 90, "failed").when(F.col("value") > 50, "running").otherwise("done").alias("status"), (F.col("event_id") % 4).alias("attempts"))
+    return M.supervisor_actions(runs).select("event_id", "action")
+
+
+# ---------------------------------------------------------------- sinks and status
+
+
+@query(sql("units", "SELECT topic, count(*) AS n_units, coalesce(string_agg(unit_id, ',' ORDER BY unit_id) FILTER (WHERE certainty = 'high'), '') AS high FROM units GROUP BY topic"))
+def report(t: Tables) -> DataFrame:
+    return writers.report(t.units()).select("topic", "n_units", F.array_join(F.transform("high", lambda x: F.substring(x, 1, 7)), ",").alias("high"))
+
+
+@query(sql("evidence dispositions", "SELECT e.evidence_id, status FROM evidence e JOIN dispositions d ON e.evidence_id = d.evidence_id WHERE status IN ('uncertain', 'conflict')"))
+def uncertainty_report(t: Tables) -> DataFrame:
+    none = t.spark.createDataFrame([], "record_id string, original string, suggested string")
+    return writers.uncertainty(t.dispositions(), t.evidence().withColumn("locator", F.col("n")), none).select("evidence_id", "status")
+
+
+@query("SELECT CASE WHEN toxic = 1 THEN 'conflict' ELSE 'supports' END AS relation, count(*) AS n FROM labels WHERE toxic = 1 OR quality = 1 GROUP BY 1")
+def note_corroboration(t: Tables) -> DataFrame:
+    rows = t.raw("labels").select(F.when(F.col("toxic") == 1, "conflict").when(F.col("quality") == 1, "supports").otherwise("unknown").alias("relation"), F.format_string("N%06d", "doc_id").alias("note_evidence_id"))
+    return writers.note_corroboration(rows, ["supports", "conflict"]).select("relation", "n")
+
+
+@query(sql("rec", "SELECT source_id, md5(string_agg('### ' || record_id || ' ' || printf('%02d:%02d:%02d', a // 3600, a % 3600 // 60, a % 60) || '-' || printf('%02d:%02d:%02d', b // 3600, b % 3600 // 60, b % 60) || chr(10) || text || chr(10) || record_id || chr(10), chr(10) ORDER BY record_id)) AS markdown_md5 FROM (SELECT *, CAST(floor(start_s) AS BIGINT) AS a, CAST(floor(end_s) AS BIGINT) AS b FROM rec) GROUP BY source_id"))
+def literal_markdown(t: Tables) -> DataFrame:
+    rows = t.records().select("record_id", "source_id", F.floor("start_s").cast("double").alias("start_seconds"), F.floor("end_s").cast("double").alias("end_seconds"), F.col("text").alias("clean_literal"), F.col("text").alias("raw_text"), F.array("record_id").alias("evidence_ids"))
+    return writers.literal_markdown(rows).select("source_id", F.md5("markdown").alias("markdown_md5"))
+
+
+@query("SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 50 = 0 THEN 'missing' WHEN doc_id % 31 = 0 THEN 'changed' ELSE 'move' END AS action FROM documents")
+def archive_plan(t: Tables) -> DataFrame:
+    m = t.raw("documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    c = m.where("doc_id % 50 <> 0").withColumn("sha256", F.when(F.col("doc_id") % 31 == 0, "x").otherwise(F.col("sha256")))
+    return writers.archive_plan(m, c).select("path", "action")
+
+
+@query(sql("log", "SELECT event, max(ordinal) AS ordinal, count(*) AS n_rows FROM log GROUP BY event"))
+def latest_snapshot(t: Tables) -> DataFrame:
+    rows = t.log().select("event", F.col("ordinal").cast("double").alias("ts"), "ordinal", "kind")
+    return online.latest_snapshot(rows).select("event", "ordinal", "n_rows")
+
+
+@query(sql("log", "SELECT event, CASE WHEN status = 'running' AND event % 2 = 1 THEN 'stopped' ELSE status END AS status FROM (SELECT event, max_by(status, ordinal) AS status FROM log GROUP BY event)"))
+def current_event(t: Tables) -> DataFrame:
+    snap = online.latest_snapshot(t.log().select("event", F.col("ordinal").cast("double").alias("ts"), "status"))
+    return online.current_state(snap, snap.where("event % 2 = 0").select("event")).select("event", "status")
+
+
+@query("SELECT o_orderkey AS task FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 3 <> 0)")
+def ready_tasks(t: Tables) -> DataFrame:
+    tasks = t.raw("orders").select(F.col("o_orderkey").alias("task"))
+    needs = t.raw("lineitem").select(F.col("l_orderkey").alias("task"), (F.col("l_suppkey") + 0).alias("needs")).select("task", F.expr("CASE WHEN needs % 3 = 0 THEN 0 ELSE -needs END").alias("needs"))
+    done = tasks.where("task % 3 = 0").unionAll(t.spark.range(1).select(F.col("id").alias("task")))
+    return online.ready_tasks(tasks, needs, done)
+
+
+@query("SELECT conv_id AS run, min_by(role, turn) AS next_stage FROM conversations WHERE turn >= 2 GROUP BY conv_id")
+def next_stage(t: Tables) -> DataFrame:
+    stages = t.turns().select(F.col("conv_id").alias("run"), F.col("turn").alias("ordinal"), F.col("role").alias("stage"), F.when(F.col("turn") < 2, "passed").otherwise("open").alias("status"))
+    return online.next_stage(stages)
+
+
+@query("SELECT label, count(*) AS frames, count(*) < 12 - greatest(2.0, 1.2) AS short FROM embeddings GROUP BY label")
+def frame_shortfall(t: Tables) -> DataFrame:
+    seen = t.raw("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("frames"))
+    return online.frame_shortfall(seen, F.lit(12.0))
