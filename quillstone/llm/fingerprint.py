@@ -35,8 +35,8 @@ def classes(canon: DataFrame) -> DataFrame:
     """
     one = canon.groupBy("bucket", "canon").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"))
     one = one.select("bucket", F.sha2(F.col("canon"), 256).alias("strong"), "copy_of", "n_copies")
-    several = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("b"))
-    return one.join(several, F.col("bucket") == F.col("b"), "left").select("bucket", "strong", "copy_of", "n_copies", F.col("b").isNotNull().alias("collides"))
+    # one row a class by now, without its text
+    return one.withColumn("collides", F.count(F.lit(1)).over(Window.partitionBy("bucket")) > 1)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
