@@ -1,8 +1,9 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Fit: a bounded sample of labelled rows gives class counts of tokens and the vocabulary; the counts of that vocabulary over all
-documents are the Dirichlet prior of the log-odds; each token scores the lower confidence bound of its log-odds, and tokens
-without evidence a small cost. Score: a linear-time scan finds all maximal segments of a text; extreme-value theory gives each
+Tokens are words and their stems of six bytes. Fit: a bounded sample of labelled rows gives the class counts of tokens, each document
+counting a token once, so that a document that repeats itself is one witness; the counts of the vocabulary over all documents are,
+with a small constant, the Dirichlet prior of the log-odds; each token scores the lower confidence bound of its log-odds, a word the
+better of its own and its stem's, and words without evidence a small cost. Score: a linear-time scan finds all maximal segments of a text; extreme-value theory gives each
 its expected number by chance in a clean text of that length (lambda solves the moment equation, K fits the sample's clean
 maxima); a logistic map of the best and of all significant segments, fitted on the sample, gives the probability.
 """
@@ -22,10 +23,35 @@ from pyspark.sql import functions as F
 _TABLE = bytes(b if b > 127 or chr(b).isalnum() and not chr(b).isupper() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
+#: Bytes of a stem.
+STEM = 6
+
+
 def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def terms(words: list[bytes]) -> list[bytes]:
+    """Words and the stems of longer ones."""
+    return words + [w[:STEM] + b"*" for w in words if len(w) > STEM]
+
+
+class Scores(dict):
+    """word -> score, remembered within a bound."""
+
+    def __init__(self, known: dict[bytes, float], rest: float):
+        self.known, self.rest = known, rest
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        best = self.known.get(word, self.rest)
+        if len(word) > STEM:
+            best = max(best, self.known.get(word[:STEM] + b"*", self.rest))
+        self[word] = best
+        return best
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, train, most: int) -> DataFrame:
     """(doc_id, y, text) of at most ``most`` labelled documents for which ``train(doc_id)`` holds, drawn by a hash of doc_id.
 
@@ -63,11 +89,19 @@ class Model:
     weights: tuple[float, float, float, float]
     alpha: float
 
+    @property
+    def scores(self) -> Scores:
+        if "_scores" not in self.__dict__:
+            self.__dict__["_scores"] = Scores(self.score, self.rest)
+        return self.__dict__["_scores"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_scores"}
+
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, float, float]]]:
         """Number of tokens; (first token, end, score, expected number by chance) of each significant passage or else of the best."""
         words = tokens(text)
-        get, rest = self.score.get, self.rest
-        found = segments(np.fromiter((get(w, rest) for w in words), dtype=float, count=len(words)))
+        found = segments(np.fromiter(map(self.scores.__getitem__, words), dtype=float, count=len(words)))
         size = np.log(self.k * max(len(words), 1))
         out = [(a, b, s, float(np.exp(min(50.0, size - self.lam * s)))) for a, b, s in found]
         return len(words), [x for x in out if x[3] <= self.alpha] or sorted(out, key=lambda x: x[3])[:1]
@@ -94,7 +128,7 @@ def _class_counts(most: int):
 
         for batch in batches:
             for y, t in zip(batch.column("y").to_pylist(), batch.column("text")):
-                held[1 if y else 0].update(tokens(t.as_py()))
+                held[1 if y else 0].update(set(terms(tokens(t.as_py()))))
                 if len(held[0]) + len(held[1]) > most:
                     yield out()
         yield out()
@@ -102,17 +136,28 @@ def _class_counts(most: int):
     return run
 
 
+def _pour(held: Counter, index: dict[bytes, int], sums: np.ndarray) -> None:
+    """Add counts of words to those of the vocabulary's words and stems; the last place has what is in neither."""
+    other = len(index)
+    for w, n in held.items():
+        sums[index.get(w, other)] += n
+        if len(w) > STEM:
+            sums[index.get(w[:STEM] + b"*", other)] += n
+    held.clear()
+
+
 def _corpus_counts(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {w: i for i, w in enumerate(vocabulary.value)}
         other = len(index)
         sums = np.zeros(other + 1, dtype=np.int64)
+        held: Counter = Counter()
         for batch in batches:
             for t in batch.column("text"):
-                words = tokens(t.as_py() or "")
-                sums += np.bincount(np.fromiter((index.get(w, other) for w in words), dtype=np.int64, count=len(words)), minlength=other + 1) if len(words) > 5000 else 0
-                if len(words) <= 5000:
-                    np.add.at(sums, [index.get(w, other) for w in words], 1) if words else None
+                held.update(tokens(t.as_py() or ""))
+                if len(held) > 200_000:
+                    _pour(held, index, sums)
+        _pour(held, index, sums)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["at", "n"])
 
@@ -132,7 +177,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, train=lambda k: F.lit(True), most_labelled: int = 20_000, vocabulary: int = 65_536, prior: float = 1000.0, cost: float = 0.3, z: float = 1.64, alpha: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train=lambda k: F.lit(True), most_labelled: int = 20_000, vocabulary: int = 65_536, prior: float = 1000.0, floor: float = 0.5, cost: float = 0.3, z: float = 2.33, alpha: float = 0.05) -> Model:
     """A model from labels ``toxic``; the sample is bounded by ``most_labelled`` documents and the model by ``vocabulary`` tokens.
 
     Without examples of both classes every text scores the share of toxic labels (0 without labels).
@@ -150,11 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, train=lambda k: F.lit(True), most_la
     told.unpersist()
     score, rest, lam, k = {}, -cost, 1.0, 1.0
     if len(words) and bad.sum() and good.sum():
-        a = prior * (prior_n[:-1] + 0.5) / (prior_n.sum() + 1)
+        a = prior * prior_n[:-1] / (prior_n.sum() + 1) + floor
         odds = lambda y, n: np.log((y + a) / (n + prior - y - a))
         delta = odds(bad, bad.sum()) - odds(good, good.sum())
         bound = delta - z * np.sqrt(1 / (bad + a) + 1 / (good + a))
-        up = np.flatnonzero(bound > 0.5)
+        up = np.flatnonzero(bound > 1.0)
         score = {words[i]: float(min(bound[i], 8.0)) for i in up}
         if score:
             q = (good[up] + a[up]) / (good.sum() + prior)
@@ -189,7 +234,7 @@ def _sample_scan(model):
             ns, best, all_ = [], [], []
             for t in batch.column("text"):
                 words = tokens(t.as_py())
-                found = segments(np.fromiter((m.score.get(w, m.rest) for w in words), dtype=float, count=len(words)))
+                found = segments(np.fromiter(map(m.scores.__getitem__, words), dtype=float, count=len(words)))
                 ns.append(len(words))
                 best.append(max((s for *_, s in found), default=0.0))
                 all_.append([{"score": s} for s in sorted((s for *_, s in found), reverse=True)[:64]])
