@@ -39,14 +39,28 @@ def clean_space(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(col(c), r"\s+", " "))
 
 
+def strip(c: str | Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(col(c), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def let(c: Column, f) -> Column:
+    """``f`` of a value that is computed once: inside other lambdas a plain expression would be computed again for each element."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def grams(c: Column, n: int = 2) -> Column:
     """n-character grams in order; a shorter non-empty string is its own only gram; empty and null give none.
 
     The length guard comes before ``sequence``, which would count down.
     """
-    size = F.length(c)
-    made = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(F.coalesce(size, F.lit(0)) == 0, F.array().cast("array<string>")).when(size < n, F.array(c)).otherwise(made)
+    none = F.array().cast("array<string>")
+
+    def cut(x: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
+        return F.when(F.length(x) == 0, none).when(F.length(x) < n, F.array(x)).otherwise(made)
+
+    return let(F.coalesce(c, F.lit("")), cut)
 
 
 def char_bigrams(c: str | Column) -> Column:
@@ -56,8 +70,8 @@ def char_bigrams(c: str | Column) -> Column:
 
 def words(c: str | Column) -> Column:
     """2-grams of all CJK characters together, across what stands between them, then Latin words in lower case; distinct."""
-    joined = F.regexp_replace(col(c), f"[^{CJK}]", "")
-    pairs = F.when(F.length(joined) >= 2, grams(joined)).otherwise(F.array().cast("array<string>"))
+    joined = F.regexp_replace(F.coalesce(col(c), F.lit("")), f"[^{CJK}]", "")
+    pairs = F.filter(grams(joined), lambda g: F.length(g) == 2)
     latin = F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit("[A-Za-z0-9']+"), F.lit(0)), F.lower)
     return F.array_distinct(F.concat(F.coalesce(pairs, F.array().cast("array<string>")), latin))
 

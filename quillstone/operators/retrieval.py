@@ -79,11 +79,10 @@ def search(units: DataFrame, records: DataFrame, query: str, event: str = "event
     spark = units.sparkSession
     parts = tokens_of(query)
     asked = [(query, 0, 0)] + [(t, 1, i) for i, t in enumerate(parts) if t != query]
-    tokens = F.broadcast(spark.createDataFrame(asked, "token string, stage int, ordinal int"))  # the words of one question
     u = units.select(event, F.lit("unit").alias("kind"), F.col("unit_id").alias("id"), F.col("claim").alias("text"), F.concat_ws("\n", "claim", "topic").alias("__in"))
     r = records.select(event, F.lit("record").alias("kind"), F.col("record_id").alias("id"), F.col("clean_literal").alias("text"), F.col("clean_literal").alias("__in"))
     listed = spark.createDataFrame([(asked,)], "a array<struct<token:string,stage:int,ordinal:int>>")
-    hit = F.filter("a", lambda t: F.col("__in").ilike(F.concat(F.lit("%"), t["token"], F.lit("%"))))
+    hit = F.filter("a", lambda t: F.ilike(F.col("__in"), F.concat(F.lit("%"), t["token"], F.lit("%"))))
     rows = u.unionAll(r).crossJoin(F.broadcast(listed)).select(event, "kind", "id", "text", F.explode(hit).alias("t")).select(event, "kind", "id", "text", "t.stage", "t.ordinal")
     first = Window.partitionBy(event)
     rows = rows.withColumn("s", F.min("stage").over(first)).where("stage = s")

@@ -59,17 +59,26 @@ def neighbor_text(records: DataFrame, key: str, order: str, text: str, chars: in
 
 def overlap_size(before: Column, now: Column, least: int = 4, most: int = 80) -> Column:
     """The longest suffix of one text that begins the other, within bounds; 0 if none."""
-    top = F.least(F.length(before), F.length(now), F.lit(most))
-    sizes = F.when(top >= least, F.filter(F.sequence(F.lit(least), F.greatest(top, F.lit(least))), lambda n: F.substring(before, F.length(before) - n + 1, n) == F.substring(now, F.lit(1), n)))
-    return F.coalesce(F.array_max(sizes), F.lit(0))
+
+    def size(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        top = F.least(F.length(a), F.length(b))
+        found = F.filter(F.sequence(F.lit(least), F.greatest(top, F.lit(least))), lambda n: F.substring(a, F.length(a) - n + 1, n) == F.substring(b, F.lit(1), n))
+        return F.when(top >= least, F.array_max(found))
+
+    # only the last and first ``most`` characters can take part
+    tail = F.when(F.length(before) > most, F.substring(before, F.length(before) - most + 1, F.lit(most))).otherwise(before)
+    return F.coalesce(X.let(F.struct(tail.alias("a"), F.substring(now, 1, most).alias("b")), size), F.lit(0))
 
 
 def cut_compact(text: Column, n: Column) -> Column:
     """A text without its first ``n`` characters that aren't white space (and without what white space stands before the rest)."""
-    rest = F.regexp_replace(text, F.lit(r"^\s+"), F.lit(""))
-    chars = F.split(rest, "")
-    step = F.aggregate(chars, F.struct(F.lit(0).alias("seen"), F.lit(0).alias("cut")), lambda s, c: F.when(s["seen"] < n, F.struct((s["seen"] + F.when(c.rlike(r"^\s$") | (c == ""), 0).otherwise(1)).alias("seen"), (s["cut"] + F.length(c)).alias("cut"))).otherwise(s))
-    return F.regexp_replace(F.substring(rest, step["cut"] + 1, F.length(rest)), r"^\s+", "")
+
+    def cut(rest: Column) -> Column:
+        ends = F.aggregate(F.split(rest, ""), F.struct(F.lit(0).alias("seen"), F.lit(0).alias("cut")), lambda s, c: F.when(s["seen"] < n, F.struct((s["seen"] + F.when(c.rlike(r"^\s$") | (c == ""), 0).otherwise(1)).alias("seen"), (s["cut"] + F.length(c)).alias("cut"))).otherwise(s))
+        return F.regexp_replace(F.substring(rest, ends["cut"] + 1, F.length(rest)), r"^\s+", "")
+
+    return X.let(F.regexp_replace(text, F.lit(r"^\s+"), F.lit("")), cut)
 
 
 def overlap_dedup(records: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -109,7 +118,7 @@ def overlap_dedup_running(records: DataFrame, key: str, order: str, text: str, l
 
 def split_sentences(records: DataFrame, text: str, ends: str = "。！？!?；;") -> DataFrame:
     """A row for each sentence with its index; the closing mark stays with it and blank pieces go."""
-    parts = F.filter(F.transform(F.split(F.col(text), f"(?<=[{ends}])"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.col(text), f"(?<=[{ends}])"), X.strip), lambda s: s != "")
     return records.select("*", F.posexplode(parts).alias("sentence_index", "sentence"))
 
 

@@ -679,7 +679,7 @@ def overlap_dedup(t: Tables) -> DataFrame:
     return W.overlap_dedup(t.turns(), "conv_id", "turn", "text").select("conv_id", "turn", F.col("matched").cast("long").alias("matched"))
 
 
-@query("SELECT doc_id, i AS sentence_index, s AS sentence FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(replace(text, '!', '!' || chr(1)), '?', '?' || chr(1)), ';', ';' || chr(1)), chr(1)), lambda z: trim(z)), lambda z: z <> '') AS x FROM documents))")
+@query(r"SELECT doc_id, i AS sentence_index, s AS sentence FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(replace(replace(text, '!', '!' || chr(1)), '?', '?' || chr(1)), ';', ';' || chr(1)), chr(1)), lambda z: regexp_replace(z, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda z: z <> '') AS x FROM documents))")
 def sentence_split(t: Tables) -> DataFrame:
     return W.split_sentences(t.raw("documents").select("doc_id", "text"), "text").select("doc_id", "sentence_index", "sentence")
 
