@@ -56,11 +56,13 @@ def grams(c: Column, n: int = 2) -> Column:
     """
     none = F.array().cast("array<string>")
 
-    def cut(x: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
-        return F.when(F.length(x) == 0, none).when(F.length(x) < n, F.array(x)).otherwise(made)
+    def cut(chars: Column) -> Column:
+        # characters are an array by now: a substring of a string would be searched for from its start each time
+        size = F.size(chars)
+        made = F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda i: F.concat(*(F.get(chars, i + k) for k in range(n))))
+        return F.when(size == 0, none).when(size < n, F.array(F.array_join(chars, ""))).otherwise(made)
 
-    return let(F.coalesce(c, F.lit("")), cut)
+    return let(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?s)."), F.lit(0)), cut)
 
 
 def char_bigrams(c: str | Column) -> Column:

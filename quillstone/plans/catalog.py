@@ -17,7 +17,7 @@ from quillstone.operators import model_boundary as M
 from quillstone.operators import projections as P
 from quillstone.operators import retrieval as R
 from quillstone.operators import windows as W
-from quillstone.plans.domain import Tables, bigrams_sql, compact_sql, sql
+from quillstone.plans.domain import Tables, bigrams_sql, compacted_sql, sql
 from quillstone.sources import readers, writers
 from quillstone.streaming import online
 
@@ -366,7 +366,7 @@ def _grams(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, X.char_bigrams(text).alias("grams"))
 
 
-_TOPK = f"""a AS (SELECT item_id, unnest({bigrams_sql('text')}) AS g FROM benchmark), b AS (SELECT doc_id, unnest({bigrams_sql('text')}) AS g FROM documents),
+_TOPK = f"""a AS (SELECT item_id, unnest({bigrams_sql('c')}) AS g FROM {compacted_sql('benchmark', 'item_id')}), b AS (SELECT doc_id, unnest({bigrams_sql('c')}) AS g FROM {compacted_sql('documents', 'doc_id')}),
 na AS (SELECT item_id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT doc_id, count(*) AS n FROM b GROUP BY 1),
 p AS (SELECT item_id, doc_id, count(*) AS k FROM a JOIN b USING (g) GROUP BY 1, 2)"""
 
@@ -778,7 +778,7 @@ def guarded_order(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- text functions
 
 
-@query(f"SELECT doc_id, len({bigrams_sql('text')}) AS n_bigrams, md5({compact_sql('text')}) AS compact_md5 FROM documents")
+@query(f"SELECT doc_id, len({bigrams_sql('c')}) AS n_bigrams, md5(c) AS compact_md5 FROM {compacted_sql('documents', 'doc_id')}")
 def char_bigrams(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.size(X.char_bigrams("text")).cast("long").alias("n_bigrams"), F.md5(X.compact_alnum("text")).alias("compact_md5"))
 

@@ -84,6 +84,9 @@ def compact_sql(c: str) -> str:
 
 
 def bigrams_sql(c: str) -> str:
-    """Distinct 2-grams of an ASCII-compacted column."""
-    k = compact_sql(c)
-    return f"CASE WHEN length({k}) = 0 THEN [] WHEN length({k}) < 2 THEN [{k}] ELSE list_distinct(list_transform(range(1, length({k})), lambda i: substr({k}, i, 2))) END"
+    """Distinct 2-grams of a column that is compacted already; inside a lambda it would be compacted again for each gram."""
+    return f"CASE WHEN length({c}) = 0 THEN [] WHEN length({c}) < 2 THEN [{c}] ELSE list_distinct(list_transform(range(1, length({c})), lambda i: substr({c}, i, 2))) END"
+
+
+def compacted_sql(table: str, key: str) -> str:
+    return f"(SELECT {key}, {compact_sql('text')} AS c FROM {table})"
