@@ -14,20 +14,41 @@ from quillstone.functions import text as X
 CERTAINTY = "CASE certainty WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
 
-def trigram_postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(gram, key, tf, size): case-folded trigrams of each row with their number; rows of fewer than three characters have none."""
+def trigram_sizes(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, size): the number of trigrams of each row; rows of fewer than three characters have none."""
+    return rows.select(F.col(key).alias("key"), F.length(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("n")).where("n >= 3").select("key", (F.col("n") - 2).alias("size")).distinct()
+
+
+def asked_grams(queries: DataFrame) -> DataFrame:
+    """(query, g): the distinct case-folded trigrams of ``queries(query)``."""
+    return queries.select("query", F.explode(F.array_distinct(X.grams(F.lower("query"), 3))).alias("g")).where(F.length("g") == 3)
+
+
+def trigram_postings(rows: DataFrame, key: str, text: str, queries: DataFrame | None = None) -> DataFrame:
+    """(gram, key, tf, size): case-folded trigrams of each row with their number; rows of fewer than three characters have none.
+
+    With ``queries(query)`` only the trigrams they ask for, each looked for in each row, which suits a few queries; ``bm25`` then needs
+    ``trigram_sizes`` of the same rows.
+    """
     t = rows.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).where(F.length("t") >= 3)
+    if queries is not None:
+        listed = asked_grams(queries).agg(F.collect_set("g").alias("a"))
+        found = t.crossJoin(F.broadcast(listed)).select("key", "t", F.explode(F.filter("a", lambda g: F.contains(F.col("t"), g))).alias("gram"))
+        # a look-ahead counts occurrences that overlap
+        quoted = F.concat(F.lit(r"(?=\Q"), F.replace("gram", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+        return found.groupBy("gram", "key", (F.length("t") - 2).alias("size")).agg(F.sum(F.regexp_count("t", quoted)).alias("tf"))
     grams = t.select("key", (F.length("t") - 2).alias("size"), F.explode(X.grams(F.col("t"), 3)).alias("gram"))
     return grams.groupBy("gram", "key", "size").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(postings: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(postings: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, sizes: DataFrame | None = None) -> DataFrame:
     """(query, key, score, matched, asked): trigram BM25 of rows that have all of a query's trigrams; higher is better.
 
     Queries shorter than three characters match nothing here. ``queries(query)`` is any number of rows; it joins by gram.
+    ``sizes(key, size)`` are all rows with trigrams, where the postings hold those of the queries only.
     """
-    docs = postings.select("key", "size").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    asked = queries.select("query", F.explode(F.array_distinct(X.grams(F.lower("query"), 3))).alias("g")).where(F.length("g") == 3)
+    docs = (postings.select("key", "size").distinct() if sizes is None else sizes).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+    asked = asked_grams(queries)
     asked = asked.withColumn("asked", F.count(F.lit(1)).over(Window.partitionBy("query")))
     df = postings.groupBy(F.col("gram").alias("d")).agg(F.count(F.lit(1)).alias("df"))
     hits = postings.join(asked, F.col("gram") == F.col("g")).join(df, F.col("gram") == F.col("d")).crossJoin(F.broadcast(docs))

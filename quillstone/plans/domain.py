@@ -29,7 +29,7 @@ class Tables:
         labels = self.raw("labels").select(F.col("doc_id").alias("k"), "quality")
         rows = self.raw("documents").join(labels, F.col("doc_id") == F.col("k"), "left")
         return rows.select(
-            F.format_string("U%06d", "doc_id").alias("unit_id"), F.col("source").alias("event"), F.array("lang", "source").alias("topic_path"), F.concat_ws(" / ", "lang", "source").alias("topic"), F.substring("text", 1, 200).alias("claim"),
+            F.format_string("U%06d", "doc_id").alias("unit_id"), F.col("source").alias("event"), F.array("lang", "source").alias("topic_path"), F.concat_ws(" / ", "lang", "source").alias("topic"), F.col("text").alias("claim"),
             F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low").otherwise("medium").alias("certainty"), F.array(F.format_string("E%06d", "doc_id"), F.format_string("E%06d", F.col("doc_id") + 1)).alias("evidence_ids"), F.col("doc_id").alias("ordinal"),
         )
 
