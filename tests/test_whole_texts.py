@@ -31,3 +31,10 @@ def test_postings_of_asked_grams_score_alike(spark, rows):
     asked = spark.createDataFrame([("ABC",), ("bcx",), ("zzz",), (r"\\Eb",), ("b.c",)], "query string")
     some = R.bm25(R.trigram_postings(docs, "k", "t", asked), asked, sizes=R.trigram_sizes(docs, "k", "t"))
     assert rows(some, "query", "key", "score") == rows(R.bm25(R.trigram_postings(docs, "k", "t"), asked), "query", "key", "score")
+
+
+def test_repairs_lose_details_anywhere(spark, tmp_path):
+    text = "." * 410 + "zebra" + "." * 395
+    spark.createDataFrame([(0, text), (1, text), (2, text), (5, "zebra" + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.keeps for r in catalog.QUERIES["repair_guard"](spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: False, 2: False, 5: True}, "only what stands nowhere else is lost"
