@@ -496,13 +496,19 @@ def route_medoid(t: Tables) -> DataFrame:
     return rows.select("item_id", "route", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("min_similarity", 6).alias("min_similarity"))
 
 
+#: Terms that are no correction.
+_OCR_STOP = "一个 我们 你们 他们 她们 它们 这个 那个 这些 那些 什么 怎么 因为 所以 但是 如果 已经 现在 今天 大家 就是 还有 没有 不是 可以 一下 一些 以及 或者 然后 这样 那样 自己 知道 觉得 时候".split()
+
+
 @query("""WITH tok AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS o FROM benchmark), term AS (SELECT s, min(doc_id) AS page FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS s FROM documents) GROUP BY s),
 p AS (SELECT item_id, o AS original, s AS suggested, page FROM tok JOIN term ON abs(length(o) - length(s)) <= 1 AND lower(o) <> lower(s) AND levenshtein(lower(o), lower(s)) <= 1)
 SELECT item_id, original, suggested, page FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY page, original, suggested) AS n FROM p) WHERE n <= 5""")
 def ocr_fuzzy(t: Tables) -> DataFrame:
-    long = lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z]{6,}"), F.lit(0))
-    records = t.raw("benchmark").select(F.col("item_id").alias("record_id"), long("text").alias("tokens"))
-    terms = t.raw("documents").select(F.col("doc_id").alias("page"), F.explode(long("text")).alias("term"))
+    """Latin tokens of three or more letters or digits with a letter, CJK runs of 2 to 6 characters as terms and CJK windows of those lengths as tokens."""
+    latin = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{3,}"), F.lit(0)), lambda w: w.rlike("[A-Za-z]"))
+    records = t.raw("benchmark").select(F.col("item_id").alias("record_id"), F.concat(latin, *(X.cjk_windows("text", n) for n in range(2, 7))).alias("tokens"))
+    words = F.filter(X.ocr_terms("text", []), lambda w: ~w.isin(_OCR_STOP))
+    terms = t.raw("documents").select(F.col("doc_id").alias("page"), F.explode(words).alias("term"))
     return J.fuzzy_terms(records, terms).select(F.col("record_id").alias("item_id"), "original", "suggested", "page")
 
 

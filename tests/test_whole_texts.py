@@ -38,3 +38,10 @@ def test_repairs_lose_details_anywhere(spark, tmp_path):
     spark.createDataFrame([(0, text), (1, text), (2, text), (5, "zebra" + text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.keeps for r in catalog.QUERIES["repair_guard"](spark, str(tmp_path)).collect()}
     assert got == {0: True, 1: False, 2: False, 5: True}, "only what stands nowhere else is lost"
+
+
+def test_short_and_mixed_tokens_get_corrections(spark, tmp_path, rows):
+    spark.createDataFrame([(1, "cta v2x 123 kubernetis the 会仪")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "cat cut 124 v2y thx 会议"), (8, "kubernetes cuta 我们")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(catalog.QUERIES["ocr_fuzzy"](spark, str(tmp_path)), "original", "suggested", "page")
+    assert got == [("cta", "cuta", 8), ("kubernetis", "kubernetes", 8), ("the", "thx", 7), ("v2x", "v2y", 7), ("会仪", "会议", 7)]
