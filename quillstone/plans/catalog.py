@@ -468,13 +468,15 @@ def unit_evidence_packet(t: Tables) -> DataFrame:
     return rows.select("unit_id", F.size("evidence").cast("long").alias("n"), F.array_join(F.transform("evidence", lambda x: x["evidence_id"]), ",").alias("ids"))
 
 
-def _ascii(c: str, start: int, n: int):
-    return F.substring(F.regexp_replace(c, "[^A-Za-z]", ""), start, n)
+def _without_word(c: str, k: int):
+    """The whole text but its word ``k``."""
+    return F.array_join(F.filter(F.split(c, " "), lambda _, i: i != k), " ")
 
 
 def _candidates(t: Tables) -> DataFrame:
+    """item_id, engine, route, rank, text: nine versions of each benchmark text, each without another word."""
     parts = [(e, r, (i * 3 + j)) for i, e in enumerate("abc") for j, r in enumerate(("first", "noise", "norm"))]
-    rows = [F.struct(F.lit(e).alias("engine"), F.lit(r).alias("route"), F.lit(k % 3).alias("rank"), _ascii("text", 1 + k % 4, 12).alias("text")) for e, r, k in parts]
+    rows = [F.struct(F.lit(e).alias("engine"), F.lit(r).alias("route"), F.lit(k % 3).alias("rank"), _without_word("text", k).alias("text")) for e, r, k in parts]
     return t.raw("benchmark").select("item_id", F.explode(F.array(*rows)).alias("c")).select("item_id", "c.*")
 
 

@@ -45,3 +45,14 @@ def test_short_and_mixed_tokens_get_corrections(spark, tmp_path, rows):
     spark.createDataFrame([(7, "cat cut 124 v2y thx 会议"), (8, "kubernetes cuta 我们")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = rows(catalog.QUERIES["ocr_fuzzy"](spark, str(tmp_path)), "original", "suggested", "page")
     assert got == [("cta", "cuta", 8), ("kubernetis", "kubernetes", 8), ("the", "thx", 7), ("v2x", "v2y", 7), ("会仪", "会议", 7)]
+
+
+def test_routes_are_whole_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    spark.createDataFrame([(1, " ".join(words)), (2, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.item_id, r.engine + r.route): r.text for r in catalog._candidates(Tables(spark, str(tmp_path))).collect()}
+    assert len(got) == 18 and got[1, "cnorm"] == " ".join(words[:8] + words[9:]) and got[2, "cnorm"] == "one two" and got[2, "afirst"] == "two"
+    for name in ("route_select", "route_medoid", "support_metrics"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 2
+    best = catalog.QUERIES["route_medoid"](spark, str(tmp_path)).where("item_id = 1").first()
+    assert best.min_similarity > 0.9, "versions of a long text differ in a word"
