@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Tokens are words and their stems of six bytes. Fit: a bounded sample of labelled rows gives the class counts of tokens, each document
-counting a token once, so that a document that repeats itself is one witness; the counts of the vocabulary over all documents are,
+counting a token once, so that a document that repeats itself is one witness; the counts of tokens over all documents are,
 with a small constant, the Dirichlet prior of the log-odds; each token scores the lower confidence bound of its log-odds, a word the
 better of its own and its stem's, and words without evidence a small cost. Score: a linear-time scan finds all maximal segments of a text; extreme-value theory gives each
 its expected number by chance in a clean text of that length (lambda solves the moment equation, K fits the sample's clean
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import Scratch
+
 #: A-Z to a-z, ASCII that is neither letter nor digit to a space.
 _TABLE = bytes(b if b > 127 or chr(b).isalnum() and not chr(b).isupper() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -136,34 +138,48 @@ def _class_counts(most: int):
     return run
 
 
-def _pour(held: Counter, index: dict[bytes, int], sums: np.ndarray) -> None:
-    """Add counts of words to those of the vocabulary's words and stems; the last place has what is in neither."""
-    other = len(index)
-    for w, n in held.items():
-        sums[index.get(w, other)] += n
-        if len(w) > STEM:
-            sums[index.get(w[:STEM] + b"*", other)] += n
-    held.clear()
-
-
-def _corpus_counts(vocabulary):
+def _corpus_counts(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {w: i for i, w in enumerate(vocabulary.value)}
-        other = len(index)
-        sums = np.zeros(other + 1, dtype=np.int64)
         held: Counter = Counter()
+
+        def out():
+            stems: Counter = Counter()
+            for w, n in held.items():
+                if len(w) > STEM:
+                    stems[w[:STEM] + b"*"] += n
+            total = sum(held.values()) + sum(stems.values())
+            words, counts = [*held.keys(), *stems.keys(), None], [*held.values(), *stems.values(), total]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["token", "n"])
+
         for batch in batches:
             for t in batch.column("text"):
                 held.update(tokens(t.as_py() or ""))
-                if len(held) > 200_000:
-                    _pour(held, index, sums)
-        _pour(held, index, sums)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["at", "n"])
+                if len(held) > most:
+                    yield out()
+        yield out()
 
     return run
 
 
+def evidence(sample: DataFrame, docs: DataFrame, scratch: Scratch, prior: float, floor: float, z: float) -> DataFrame:
+    """(token, bound, share): the lower confidence bound of each token's log-odds, and its share among clean ones with the prior.
+
+    All tokens in three or more documents of ``sample`` are there, however many; without tokens of both classes none is.
+    """
+    counts = sample.mapInArrow(_class_counts(200_000), "token binary, bad long, good long").select("token", "bad", "good", F.lit(0).cast("long").alias("n"))
+    corpus = docs.select("text").mapInArrow(_corpus_counts(200_000), "token binary, n long").select("token", F.lit(0).cast("long").alias("bad"), F.lit(0).cast("long").alias("good"), "n")
+    met = counts.unionByName(corpus).groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("n").alias("n"))
+    # the null token has the number of all tokens
+    met = scratch.keep(met.where("bad + good >= 3 OR token IS NULL"), "tokens")
+    all_ = met.agg(F.sum("bad").alias("bads"), F.sum("good").alias("goods"), F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("total")).where("bads > 0 AND goods > 0")
+    a = prior * F.col("n") / (F.col("total") + 1) + floor
+    rows = met.where("token IS NOT NULL").crossJoin(F.broadcast(all_)).withColumn("a", a)
+    odds = lambda y, n: F.log((F.col(y) + F.col("a")) / (F.col(n) + prior - F.col(y) - F.col("a")))
+    bound = odds("bad", "bads") - odds("good", "goods") - z * F.sqrt(1 / (F.col("bad") + F.col("a")) + 1 / (F.col("good") + F.col("a")))
+    return rows.select("token", bound.alias("bound"), ((F.col("good") + F.col("a")) / (F.col("goods") + prior)).alias("share"))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Newton's method for a small logistic regression."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -177,40 +193,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, train=lambda k: F.lit(True), most_labelled: int = 20_000, vocabulary: int = 65_536, prior: float = 1000.0, floor: float = 0.5, cost: float = 0.3, z: float = 2.33, alpha: float = 0.05) -> Model:
-    """A model from labels ``toxic``; the sample is bounded by ``most_labelled`` documents and the model by ``vocabulary`` tokens.
+def fit(docs: DataFrame, labels: DataFrame, train=lambda k: F.lit(True), most_labelled: int = 20_000, prior: float = 1000.0, floor: float = 0.5, cost: float = 0.3, z: float = 2.33, alpha: float = 0.05) -> Model:
+    """A model from labels ``toxic``; the sample is bounded by ``most_labelled`` documents; the model has every token whose bound passes.
 
     Without examples of both classes every text scores the share of toxic labels (0 without labels).
     """
     sc = docs.sparkSession.sparkContext
     sample = labelled(docs, labels, "toxic", train, most_labelled)
-    counts = sample.mapInArrow(_class_counts(200_000), "token binary, bad long, good long").groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    top = counts.where("bad + good >= 3").orderBy((F.col("bad") + F.col("good")).desc(), "token").limit(vocabulary).collect()
-    words = [bytes(r.token) for r in top]
-    bad, good = np.array([r.bad for r in top], dtype=float), np.array([r.good for r in top], dtype=float)
-    told = sc.broadcast(words)
-    prior_n = np.zeros(len(words) + 1)
-    for r in docs.select("text").mapInArrow(_corpus_counts(told), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        prior_n[r["at"]] = r["n"]
-    told.unpersist()
-    score, rest, lam, k = {}, -cost, 1.0, 1.0
-    if len(words) and bad.sum() and good.sum():
-        a = prior * prior_n[:-1] / (prior_n.sum() + 1) + floor
-        odds = lambda y, n: np.log((y + a) / (n + prior - y - a))
-        delta = odds(bad, bad.sum()) - odds(good, good.sum())
-        bound = delta - z * np.sqrt(1 / (bad + a) + 1 / (good + a))
-        up = np.flatnonzero(bound > 1.0)
-        score = {words[i]: float(min(bound[i], 8.0)) for i in up}
-        if score:
-            q = (good[up] + a[up]) / (good.sum() + prior)
-            s = np.array([score[words[i]] for i in up])
-            low, high = 1e-6, 50.0
-            for _ in range(100):
-                lam = (low + high) / 2
-                over = (q * np.exp(np.minimum(lam * s, 600))).sum() + (1 - q.sum()) * np.exp(lam * rest) > 1
-                low, high = (low, lam) if over else (lam, high)
+    up = evidence(sample, docs, Scratch(docs.sparkSession, "toxicity"), prior, floor, z).where("bound > 1.0").orderBy("token").collect()
+    rest, lam, k = -cost, 1.0, 1.0
+    score = {bytes(r.token): min(r.bound, 8.0) for r in up}
+    if score:
+        q = np.array([r.share for r in up])
+        s = np.array([score[bytes(r.token)] for r in up])
+        low, high = 1e-6, 50.0
+        for _ in range(100):
+            lam = (low + high) / 2
+            over = (q * np.exp(np.minimum(lam * s, 600))).sum() + (1 - q.sum()) * np.exp(lam * rest) > 1
+            low, high = (low, lam) if over else (lam, high)
     model = Model(score, rest, lam, k, (0.0, 0.0, 0.0, 0.0), alpha)
-    seen = sample.mapInArrow(_sample_scan(sc.broadcast(model)), "y int, n long, best double, found array<struct<score:double>>").collect()
+    seen = sample.mapInArrow(_sample_scan(sc.broadcast(model)), "y int, n long, best double, found array<double>").collect()
     y = np.array([r.y for r in seen], dtype=float)
     if not len(y) or y.min() == y.max() or not score:
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
@@ -221,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=lambda k: F.lit(True), most_la
     x = []
     for r in seen:
         size = np.log(model.k * max(r.n, 1))
-        all_ = [(0, 0, f.score, float(np.exp(min(50.0, size - lam * f.score)))) for f in r.found]
+        all_ = [(0, 0, f, float(np.exp(min(50.0, size - lam * f)))) for f in r.found]
         x.append(model.features(r.n, [f for f in all_ if f[3] <= alpha] or sorted(all_, key=lambda f: f[3])[:1]))
     model.weights = tuple(map(float, _logistic(np.array(x), y)))
     return model
@@ -237,8 +239,8 @@ def _sample_scan(model):
                 found = segments(np.fromiter(map(m.scores.__getitem__, words), dtype=float, count=len(words)))
                 ns.append(len(words))
                 best.append(max((s for *_, s in found), default=0.0))
-                all_.append([{"score": s} for s in sorted((s for *_, s in found), reverse=True)[:64]])
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("y").to_pylist(), pa.int32()), pa.array(ns, pa.int64()), pa.array(best, pa.float64()), pa.array(all_, pa.list_(pa.struct([("score", pa.float64())])))], names=["y", "n", "best", "found"])
+                all_.append(sorted((s for *_, s in found), reverse=True))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("y").to_pylist(), pa.int32()), pa.array(ns, pa.int64()), pa.array(best, pa.float64()), pa.array(all_, pa.list_(pa.float64()))], names=["y", "n", "best", "found"])
 
     return run
 
