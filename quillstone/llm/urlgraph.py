@@ -2,7 +2,7 @@
 
 Hosts whose urls a rule allows are trusted seeds, hosts with blocked ones distrusted seeds. Personalised PageRank carries trust
 along links; over the reversed links the same walk carries distrust to those who link to distrusted hosts. A host is blocked
-where its distrust exceeds ``ratio`` times its trust by more than ``floor``. Links count once a pair of hosts with their number as weight.
+where its distrust exceeds ``ratio`` times its trust; both are shares of their seeds' mass, so only their ratio decides, at any corpus size. Links count once a pair of hosts with their number as weight.
 """
 
 from __future__ import annotations
@@ -43,10 +43,11 @@ def host_links(pages: DataFrame) -> DataFrame:
     return rows.select("src", dst.alias("dst"), "n").where("dst <> ''").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """(host, rank): personalised PageRank from ``seeds(host, weight)`` over ``links(src, dst, n)``.
 
-    What reaches hosts without links of their own returns to the seeds. Rounds are written to the shared folder.
+    What reaches hosts without links of their own returns to the seeds. Rounds are written to the shared folder. Without ``rounds`` they go on
+    until no host's rank changes by more than ``tolerance`` of itself, so that a host that is reached late or holds little counts like any other.
     """
     total = seeds.agg(F.sum("weight").alias("total"))
     seed = scratch.keep(seeds.crossJoin(F.broadcast(total)).select("host", (F.col("weight") / F.col("total")).alias("p")), "seeds")
@@ -55,16 +56,23 @@ def propagate(links: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     out = links.groupBy("src").agg(F.sum("n").alias("d")).withColumnRenamed("src", "s")
     steps = scratch.keep(links.join(out, F.col("src") == F.col("s")).select("src", "dst", (F.col("n") / F.col("d")).alias("w")), "steps")
     rank = seed.select("host", F.col("p").alias("rank"))
-    for i in range(rounds):
+    done, none = 0, F.lit(0.0)
+    while rounds is None or done < rounds:
         moved = steps.join(rank, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("w")).alias("m"))
         lost = moved.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("moved"))
-        back = seed.crossJoin(F.broadcast(lost)).select("host", (F.col("p") * (1 - damping * F.col("moved"))).alias("m"))
-        new = moved.select("host", (F.col("m") * damping).alias("m")).unionByName(back).groupBy("host").agg(F.sum("m").alias("rank"))
-        rank = scratch.keep(new, f"rank{i}")
+        back = seed.crossJoin(F.broadcast(lost)).select("host", (F.col("p") * (1 - damping * F.col("moved"))).alias("m"), none.alias("was"))
+        new = moved.select("host", (F.col("m") * damping).alias("m"), none.alias("was")).unionByName(back).unionByName(rank.select("host", none.alias("m"), F.col("rank").alias("was")))
+        last, kept = rank, scratch.keep(new.groupBy("host").agg(F.sum("m").alias("rank"), F.sum("was").alias("was")), f"rank{done}")
+        rank, done = kept.select("host", "rank"), done + 1
+        settled = rounds is None and kept.where(F.abs(F.col("rank") - F.col("was")) > tolerance * F.col("rank")).isEmpty()
+        if done > 1:
+            scratch.drop(last)
+        if settled:
+            break
     return rank
 
 
-def judge(pages: DataFrame, rules: list[Rule], floor: float = 1e-9, ratio: float = 1.0, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], ratio: float = 1.0, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """page_id, host, path, rule, trust, distrust, verdict for each row of ``pages(page_id, url, html, ...)``.
 
     Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#`` or the end; a null
@@ -78,10 +86,10 @@ def judge(pages: DataFrame, rules: list[Rule], floor: float = 1e-9, ratio: float
     cut = cut.withColumn("rule", rule).withColumn("ruled", verdict)
     seeds = scratch.keep(cut.where("host <> '' AND ruled IS NOT NULL").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").cast("double").alias("good"), F.count_if(F.col("ruled") == "block").cast("double").alias("bad")), "ruled")
     links = scratch.keep(host_links(cut), "links")
-    trust = propagate(links, seeds.where("good > 0").select("host", F.col("good").alias("weight")), scratch, damping, rounds)
+    trust = propagate(links, seeds.where("good > 0").select("host", F.col("good").alias("weight")), scratch, damping, rounds, tolerance)
     turned = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(turned, seeds.where("bad > 0").select("host", F.col("bad").alias("weight")), scratch, damping, rounds)
+    distrust = propagate(turned, seeds.where("bad > 0").select("host", F.col("bad").alias("weight")), scratch, damping, rounds, tolerance)
     scores = trust.select("host", F.col("rank").alias("t"), F.lit(0.0).alias("d")).unionByName(distrust.select("host", F.lit(0.0).alias("t"), F.col("rank").alias("d"))).groupBy(F.col("host").alias("h")).agg(F.sum("t").alias("trust"), F.sum("d").alias("distrust"))
-    scores = scores.withColumn("method", F.when(F.col("distrust") > ratio * F.col("trust") + floor, "block").otherwise("allow"))
+    scores = scores.withColumn("method", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
     out = cut.drop("html").join(scores, F.col("host") == F.col("h"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.coalesce("ruled", "method", F.lit("allow")).alias("verdict"))
