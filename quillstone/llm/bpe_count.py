@@ -2,7 +2,8 @@
 
 Texts are cut at single spaces into chunks, which is a cut that the pre-tokenizer's pattern always makes; each new chunk is cut
 into pre-tokens, and all new pre-tokens of a batch lie end to end in one symbol array. In each round every pre-token applies
-its own lowest-rank pair, at all its places at once; finished ones leave. Counts of chunks are remembered within a bound.
+its own lowest-rank pair, at all its places at once; finished ones leave. Counts of chunks are remembered within a bound of
+characters and until the end of the task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import give_back
+
 NEVER = np.iinfo(np.int32).max
 
 
@@ -35,7 +38,7 @@ def byte_symbols() -> dict[str, int]:
 class RankMerger:
     """A vocabulary's merges as sorted arrays, and its counts of texts."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 12_000_000):
         import public_tokenizers
         import regex
 
@@ -60,7 +63,14 @@ class RankMerger:
         self.plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{latin}]+| ?[0-9]+| ?[^\t-\r 0-9{latin}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
         self.other = re.compile(rf"[^\t-\r -~{latin}]")
         self.loose = re.compile(r"\s[ ]|[ ]\s")
-        self.remember, self.chunks, self.starts, self.tokens = remember, {}, {}, {}
+        self.remember = remember
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered of chunks and pre-tokens."""
+        self.chunks: dict[str, int] = {}
+        self.tokens: dict[str, int] = {}
+        self.held = 0  # characters of both
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -122,19 +132,19 @@ class RankMerger:
         new = list({t for ts, _ in cuts for t in ts}.difference(known))
         if new:
             known.update(zip(new, self.merge([t.encode("utf-8", "surrogatepass") for t in new]).tolist()))
+            self.held += sum(map(len, new))
         return [(known[ts[0]] if len(ts) == 1 else sum([known[t] for t in ts])) + n for ts, n in cuts]
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.chunks) > self.remember:
-            self.chunks.clear()
-        if len(self.tokens) > self.remember:
-            self.tokens.clear()
+        if self.held > self.remember:
+            self.forget()
         split = [None if self.loose.search(t) else t.split(" ") for t in texts]
         # where white space meets a space the pattern may not cut there: such texts count whole
         whole = [i for i, s in enumerate(split) if s is None]
         heads = [s[0] for s in split if s is not None]
         new = list({c for s in split if s is not None for c in s[1:]} - self.chunks.keys())
         self.chunks.update(zip(new, self.learn([f" {c}" for c in new])))
+        self.held += sum(map(len, new))
         head = dict(zip(set(heads), self.learn(list(set(heads))))) if heads else {}
         out = [0] * len(texts)
         for i, s in enumerate(split):
@@ -159,6 +169,13 @@ def merger(path: str | None) -> RankMerger:
 def _counter(path: str | None, text: str, bytes_at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(path)
+        try:
+            yield from rows(m, batches)
+        finally:
+            m.forget()
+            give_back()
+
+    def rows(m: RankMerger, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, counts, some, held = [], [], [], 0
             for t in batch.column(text):
@@ -178,7 +195,7 @@ def _counter(path: str | None, text: str, bytes_at_once: int):
     return run
 
 
-def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, limit: int = 512, bytes_at_once: int = 4_000_000) -> DataFrame:
+def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, limit: int = 512, bytes_at_once: int = 2_000_000) -> DataFrame:
     """key, n_bytes (UTF-8), n_tokens, over_limit: one row per row of ``docs``, whole texts, in one pass without a shuffle.
 
     Null and empty texts have 0 of each. Special strings inside texts count as the tokenizer's special tokens. Repeated rows stay; other columns are not read.

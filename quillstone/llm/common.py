@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Where the session names none, a local master (tests on one machine) gets a temporary folder; a cluster is told to name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -43,12 +46,44 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _remove(self, folder) -> None:
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def drop(self, df: DataFrame) -> None:
         """Remove a kept table that no later plan reads."""
         for file in df.inputFiles()[:1]:
-            jvm = self.spark._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+            self._remove(self.spark._jvm.org.apache.hadoop.fs.Path(file).getParent())
+
+    def clear(self) -> None:
+        """Remove all kept tables, once no later plan reads any."""
+        self._remove(self.spark._jvm.org.apache.hadoop.fs.Path(self.base))
+
+
+def give_back() -> None:
+    """At a task's end: memory that Arrow and the C library keep for later goes back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that clashes with none, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def place(docs: DataFrame, name: str) -> int:
+    """Where a column stands."""
+    return [c.lower() for c in docs.columns].index(name)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """A written table ready to be broadcast if it has at most ``most`` rows, and as it is beyond."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def ascii_lower(col: Column) -> Column:

@@ -3,7 +3,7 @@
 No piece of such a vocabulary has a space mark after another character, so texts cut before each run of spaces into segments
 that merge on their own; ``Codec`` verifies that of the vocabulary. Each new segment is encoded by the agenda and decoded from its
 ids; every Arrow batch then checks its new segments against the sentencepiece library, both ways, and stops on a difference.
-Segments are remembered within a bound, so the work follows the distinct segments.
+Segments are remembered within a bound of characters and until the end of the task, so the work follows the distinct segments.
 """
 
 from __future__ import annotations
@@ -12,11 +12,17 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import repeat
+from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import give_back
+
+_NEVER = float("inf")
 MARK = "▁"  # stands for a space in pieces
 _SEGMENT = re.compile(r" +[^ ]*")
 
@@ -28,7 +34,7 @@ def default_path() -> str:
 
 
 class Codec:
-    def __init__(self, path: str, verify: bool = True, remember: int = 350_000):
+    def __init__(self, path: str, verify: bool = True, remember: int = 10_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -53,8 +59,13 @@ class Codec:
         self.raw[self.unknown] = (train.unk_surface or " ⁇ ").encode()
         self.verify, self.remember = verify, remember
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.known: dict[str, tuple[int, str]] = {}
-        self.past: dict[str, tuple[int, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered of segments."""
+        self.held = 0  # characters of the segments known and of their ids
+        self.known: dict[str, str] = {}
+        self.past: dict[str, str] = {}
         self.odd: dict[str, str] = {}
 
     def agenda(self, s: str) -> list[int]:
@@ -65,16 +76,16 @@ class Codec:
         else:
             # short segments keep the agenda as a plain list beside the symbols: its least entry is found by one scan
             parts = list(s)
-            none = float("inf")
-            cost = [order.get(s[i : i + 2], none) for i in range(len(s) - 1)]
-            while cost and (best := min(cost)) != none:
+            get = order.get
+            cost = list(map(get, map(add, s, s[1:]), repeat(_NEVER)))
+            while cost and (best := min(cost)) != _NEVER:
                 i = cost.index(best)
-                parts[i] += parts.pop(i + 1)
-                cost.pop(i)
+                mine = parts[i] = parts[i] + parts.pop(i + 1)
+                del cost[i]
                 if i < len(cost):
-                    cost[i] = order.get(parts[i] + parts[i + 1], none)
+                    cost[i] = get(mine + parts[i + 1], _NEVER)
                 if i:
-                    cost[i - 1] = order.get(parts[i - 1] + parts[i], none)
+                    cost[i - 1] = get(parts[i - 1] + mine, _NEVER)
         ids = self.ids
         out = [ids.get(p) for p in parts]
         if None not in out:
@@ -134,31 +145,33 @@ class Codec:
                 if mine != theirs or self.library.decode(theirs) != "".join([texts[k] for k in group])[1:]:
                     raise AssertionError(f"the library gives other ids or text for a run that begins with {new[group[0]]!r}")
         for s, x, t in zip(new, ids, texts):
-            self.known[s] = (len(x), ",".join(map(str, x)))
+            self.known[s] = got = ",".join(map(str, x))
+            self.held += len(s) + len(got)
             if t != s:
                 self.odd[s] = t
 
     def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(ids' number, ids joined by commas, decoded text) of each text."""
-        if len(self.known) > self.remember:
+        if self.held > self.remember:
             # what is met again moves back from the past, the rest is forgotten the next time
-            self.past, self.known = self.known, {}
+            self.past, self.known, self.held = self.known, {}, 0
             self.odd = {s: t for s, t in self.odd.items() if s in self.past}
         cuts = [self.segments(t) if t else [] for t in texts]
         known, past = self.known, self.past
         new = []
         for s in {s for c in cuts for s in c}.difference(known):
             if s in past:
-                known[s] = past[s]
+                known[s] = got = past[s]
+                self.held += len(s) + len(got)
             else:
                 new.append(s)
         if new:
             self.learn(new)
         out = []
         for c in cuts:
-            got = list(map(self.known.__getitem__, c))
+            ids = ",".join(map(self.known.__getitem__, c))
             text = "".join([self.odd.get(s, s) for s in c] if self.odd else c)
-            out.append((sum(n for n, _ in got), ",".join([x for _, x in got]), text[1:]))
+            out.append((ids.count(",") + 1 if ids else 0, ids, text[1:]))
         return out
 
 
@@ -175,29 +188,38 @@ def codec(path: str | None, verify: bool) -> Codec:
 def _runner(path: str | None, verify: bool, chars_at_once: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, verify)
+        try:
+            yield from rows(c, batches)
+        finally:
+            c.forget()
+            give_back()
+
+    def rows(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for batch in batches:
-            n, ids, back, some, held = [], [], [], [], 0
 
-            def flush():
-                for k, i, t in c.run(some):
-                    n.append(k)
-                    ids.append(sha(i) if digests else [int(x) for x in i.split(",")] if i else [])
-                    back.append(sha(t) if digests else t)
+        def out(keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
+            n, ids, back = zip(*c.run(texts))
+            if digests:
+                ids, back = pa.array(list(map(sha, ids)), pa.string()), list(map(sha, back))
+            else:
+                # all ids of the batch lie in one array, without an object for each
+                flat = np.fromstring(",".join([x for x in ids if x]), dtype=np.int32, sep=",")
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(flat, pa.int32()))
+            return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), ids, pa.array(back, pa.string())], names=["k", "n_tokens", "ids", "decoded"])
 
-            for t in batch.column("t"):
-                some.append(t.as_py() or "")
+        for batch in batches:
+            texts, some, start, held = batch.column("t"), [], 0, 0
+            for i in range(batch.num_rows):
+                some.append(texts[i].as_py() or "")
                 held += len(some[-1])
-                if held > chars_at_once:
-                    flush()
-                    some, held = [], 0
-            flush()
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(back, pa.string())], names=["k", "n_tokens", "ids", "decoded"])
+                if held > chars_at_once or i + 1 == batch.num_rows:
+                    yield out(batch.column("k").slice(start, i + 1 - start), some)
+                    some, start, held = [], i + 1, 0
 
     return run
 
 
-def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, verify: bool = True, digests: bool = False, chars_at_once: int = 4_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, verify: bool = True, digests: bool = False, chars_at_once: int = 2_000_000) -> DataFrame:
     """key, n_tokens, ids, decoded: whole texts encoded, then decoded from those ids, in one pass without a shuffle.
 
     With ``digests`` both become SHA-256 in hex, made where the ids are, so that they need not be moved: of the decimal ids joined by commas, and of the text in UTF-8.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch
+from quillstone.llm.common import Scratch, give_back, place
 
 #: A-Z to a-z, ASCII that is neither letter nor digit to a space.
 _TABLE = bytes(b if b > 127 or chr(b).isalnum() and not chr(b).isupper() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -45,7 +45,7 @@ class Scores(dict):
         self.known, self.rest = known, rest
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         best = self.known.get(word, self.rest)
         if len(word) > STEM:
@@ -57,11 +57,13 @@ class Scores(dict):
 def labelled(docs: DataFrame, labels: DataFrame, label: str, train, most: int) -> DataFrame:
     """(doc_id, y, text) of at most ``most`` labelled documents for which ``train(doc_id)`` holds, drawn by a hash of doc_id.
 
-    The drawn ids are a table of at most ``most`` rows, which bounds what is broadcast. Rows without a label or a doc_id are no examples.
+    The drawn ids are a table of at most ``most`` rows, which bounds what is broadcast. Rows without a label or a doc_id are no examples; of
+    rows that share a doc_id the least text is one, with its highest label.
     """
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("k")).agg(F.max(label).cast("int").alias("y"))
     drawn = one.where(train(F.col("k"))).orderBy(F.xxhash64("k"), "k").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("k")).select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("k"))
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -163,21 +165,21 @@ def _corpus_counts(most: int):
 
 
 def evidence(sample: DataFrame, docs: DataFrame, scratch: Scratch, prior: float, floor: float, z: float) -> DataFrame:
-    """(token, bound, share): the lower confidence bound of each token's log-odds, and its share among clean ones with the prior.
+    """(token, bad, bound, share): toxic documents with each token, the lower confidence bound of its log-odds, and its share among clean ones with the prior.
 
-    All tokens in three or more documents of ``sample`` are there, however many; without tokens of both classes none is.
+    All tokens of ``sample`` are there, however rare; without tokens of both classes none is.
     """
     counts = sample.mapInArrow(_class_counts(200_000), "token binary, bad long, good long").select("token", "bad", "good", F.lit(0).cast("long").alias("n"))
     corpus = docs.select("text").mapInArrow(_corpus_counts(200_000), "token binary, n long").select("token", F.lit(0).cast("long").alias("bad"), F.lit(0).cast("long").alias("good"), "n")
     met = counts.unionByName(corpus).groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("n").alias("n"))
     # the null token has the number of all tokens
-    met = scratch.keep(met.where("bad + good >= 3 OR token IS NULL"), "tokens")
+    met = scratch.keep(met.where("bad + good > 0 OR token IS NULL"), "tokens")
     all_ = met.agg(F.sum("bad").alias("bads"), F.sum("good").alias("goods"), F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("total")).where("bads > 0 AND goods > 0")
     a = prior * F.col("n") / (F.col("total") + 1) + floor
     rows = met.where("token IS NOT NULL").crossJoin(F.broadcast(all_)).withColumn("a", a)
     odds = lambda y, n: F.log((F.col(y) + F.col("a")) / (F.col(n) + prior - F.col(y) - F.col("a")))
     bound = odds("bad", "bads") - odds("good", "goods") - z * F.sqrt(1 / (F.col("bad") + F.col("a")) + 1 / (F.col("good") + F.col("a")))
-    return rows.select("token", bound.alias("bound"), ((F.col("good") + F.col("a")) / (F.col("goods") + prior)).alias("share"))
+    return rows.select("token", "bad", bound.alias("bound"), ((F.col("good") + F.col("a")) / (F.col("goods") + prior)).alias("share"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -199,8 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, train=lambda k: F.lit(True), most_la
     Without examples of both classes every text scores the share of toxic labels (0 without labels).
     """
     sc = docs.sparkSession.sparkContext
-    sample = labelled(docs, labels, "toxic", train, most_labelled)
-    up = evidence(sample, docs, Scratch(docs.sparkSession, "toxicity"), prior, floor, z).where("bound > 1.0").orderBy("token").collect()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.keep(labelled(docs, labels, "toxic", train, most_labelled), "sample")
+    up = evidence(sample, docs, scratch, prior, floor, z).where("bound > 1.0 AND bad > 0").orderBy("token").collect()
     rest, lam, k = -cost, 1.0, 1.0
     score = {bytes(r.token): min(r.bound, 8.0) for r in up}
     if score:
@@ -212,7 +215,10 @@ def fit(docs: DataFrame, labels: DataFrame, train=lambda k: F.lit(True), most_la
             over = (q * np.exp(np.minimum(lam * s, 600))).sum() + (1 - q.sum()) * np.exp(lam * rest) > 1
             low, high = (low, lam) if over else (lam, high)
     model = Model(score, rest, lam, k, (0.0, 0.0, 0.0, 0.0), alpha)
-    seen = sample.mapInArrow(_sample_scan(sc.broadcast(model)), "y int, n long, best double, found array<double>").collect()
+    told = sc.broadcast(model)
+    seen = sample.mapInArrow(_sample_scan(told), "y int, n long, best double, found array<double>").collect()
+    told.destroy()
+    scratch.clear()
     y = np.array([r.y for r in seen], dtype=float)
     if not len(y) or y.min() == y.max() or not score:
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
@@ -264,19 +270,19 @@ def _spans(text: str, found: list, alpha: float) -> list[dict]:
 _PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
 
 
-def _scorer(model, spans: bool):
+def _scorer(model, spans: bool, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             p, got = [], []
-            for t in batch.column("__text"):
-                text = t.as_py() or ""
-                n, found = m.scan(text)
+            for t in batch.column(at):
+                said = t.as_py() or ""
+                n, found = m.scan(said)
                 p.append(m.probability(n, found))
-                got.append(_spans(text, found, m.alpha) if spans else [])
-            at = batch.schema.get_field_index("__text")
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(p, pa.float64()), pa.array(got, _PASSAGES)], names=[*(batch.schema.names[i] for i in keep), "toxic_score", "toxic_passages"])
+                got.append(_spans(said, found, m.alpha) if spans else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(got, _PASSAGES)], names=[*batch.schema.names, "toxic_score", "toxic_passages"])
+        m.scores.clear()
+        give_back()
 
     return run
 
@@ -289,5 +295,4 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     docs = docs.drop("toxic_score", "toxic_passages")
     told = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    wide = docs.withColumn("__text", F.col("text"))
-    return wide.mapInArrow(_scorer(told, spans), f"{fields}, toxic_score double, toxic_passages array<struct<start:bigint,end:bigint,score:double,expected:double>>")
+    return docs.mapInArrow(_scorer(told, spans, place(docs, "text")), f"{fields}, toxic_score double, toxic_passages array<struct<start:bigint,end:bigint,score:double,expected:double>>")
