@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontam, piece_codec, quality, toxicity
-from quillstone.llm.common import Scratch, table
+from quillstone.llm.common import Scratch, few, fresh, table
 from quillstone.llm.neardup import near_duplicates
 
 
@@ -28,9 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id. Null doc_ids stay."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that with the smallest doc_id. Null doc_ids stay.
+
+    The ids that go are written first and broadcast up to a million of them; beyond, the texts are joined with them by a shuffle.
+    """
+    k = fresh(docs.columns, "gone")
+    gone = Scratch(spark, "near-copies").keep(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(k)).distinct(), "ids")
+    return docs.join(few(gone, 1_000_000), F.col("doc_id") == F.col(k), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each document, checked by decoding."""
-    return piece_codec.encode_decode(docs).select("doc_id", "n_tokens", "ids")
+    return piece_codec.encode_decode(docs, remember=4_000_000).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [

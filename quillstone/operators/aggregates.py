@@ -108,7 +108,7 @@ def document_frequency(docs: DataFrame, key: str, words: str, share: float = 0.7
     """(word, df, common): words in more than int(share x N) documents are common, once there are ``from_docs``."""
     n = docs.agg(F.count_distinct(key).alias("n"))
     df = docs.select(F.col(key).alias("k"), F.explode(words).alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(n)).select("word", "df", ((F.col("n") >= from_docs) & (F.col("df") > F.floor(F.col("n") * share))).alias("common"))
+    return df.withColumn("n", n.scalar()).select("word", "df", ((F.col("n") >= from_docs) & (F.col("df") > F.floor(F.col("n") * share))).alias("common"))
 
 
 def fragment_summary(records: DataFrame, key: str, ordinal: str, text: str, end: str, edge: int = 2, chars: int = 180) -> DataFrame:
@@ -151,7 +151,7 @@ def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     ``texts(engine, text)``, ``terms(term, expected)``: terms are a short configuration table; each text is read once and emits the terms it has.
     """
     listed = terms.agg(F.collect_set("term").alias("all"))
-    has = texts.crossJoin(F.broadcast(listed)).select("engine", F.explode(F.filter("all", lambda t: F.contains(F.lower("text"), F.lower(t)))).alias("__t")).distinct()
+    has = texts.withColumn("all", listed.scalar()).select("engine", F.explode(F.filter("all", lambda t: F.contains(F.lower("text"), F.lower(t)))).alias("__t")).distinct()
     n = has.groupBy("__t").agg(F.count(F.lit(1)).alias("engines"))
     out = terms.join(n, F.col("term") == F.col("__t"), "left").withColumn("engines", F.coalesce("engines", F.lit(0)))
     return out.select("term", "expected", "engines", F.when(F.col("expected"), F.col("engines") >= 2).otherwise(F.col("engines") == 0).alias("passes"))
@@ -178,3 +178,9 @@ def substage_progress(log: DataFrame, key: str, pattern: str) -> DataFrame:
     """Per key: rows whose message matches, and those of them that are done."""
     hit = F.col("message").rlike(pattern)
     return log.groupBy(key).agg(F.count_if(hit).alias("total"), F.count_if(hit & (F.col("status") == "done")).alias("done"))
+
+
+def continuity_counts(records: DataFrame, text: str, joined: Column) -> DataFrame:
+    """One row: records, those that end without a closing mark, those that end in a connecting word, those whose window join is unresolved."""
+    t = F.trim(F.coalesce(F.col(text), F.lit("")))
+    return records.agg(F.count(F.lit(1)).alias("records"), F.count_if(~t.rlike(r"[.!?。！？…]$")).alias("nonterminal"), F.count_if(t.rlike(r"(?i)\b(?:and|but|or|und|et|y|because|so)\s*$")).alias("connector_ending"), F.count_if(joined).alias("unresolved_joins"))

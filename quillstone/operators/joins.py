@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
+from quillstone.operators.scratch import ranked
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, values: list[str], required: bool = True) -> DataFrame:
@@ -22,11 +23,11 @@ def lookup(left: DataFrame, right: DataFrame, key: str, values: list[str], requi
 
 
 def topic_index(units: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per topic path: units and sorted distinct record ids, through the units' evidence ids."""
+    """(topic, record_id, n_units): the records of each topic path, through the units' evidence ids, and how many of its units cite each. A row a record, so a topic of any size is no row of its own."""
     path = F.array_join("topic_path", " / ")
     e = evidence.select(F.col("evidence_id").alias("__e"), "record_id")
     rows = units.select(path.alias("topic"), "unit_id", F.explode("evidence_ids").alias("evidence_id")).join(e, F.col("evidence_id") == F.col("__e"))
-    return rows.groupBy("topic").agg(F.count_distinct("unit_id").alias("n_units"), F.array_sort(F.collect_set("record_id")).alias("record_ids"))
+    return rows.groupBy("topic", "record_id").agg(F.count_distinct("unit_id").alias("n_units"))
 
 
 def alignment_check(records: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
@@ -207,11 +208,12 @@ def fuzzy_terms(records: DataFrame, terms: DataFrame, most: int = 5) -> DataFram
     return one.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def prefix_first(files: DataFrame, sources: DataFrame, file: str, stem: str, ordinal: str, shortest: int = 1, longest: int = 64) -> DataFrame:
-    """For each file the first source, by ordinal, whose stem it begins with: an equi-join on the file's prefixes."""
-    prefixes = F.transform(F.sequence(F.lit(shortest), F.greatest(F.lit(shortest), F.least(F.length(file), F.lit(longest)))), lambda n: F.substring(F.col(file), F.lit(1), n))
-    s = sources.select(F.col(stem).alias("__stem"), F.col(ordinal).alias("__o"))
-    rows = files.select(file, F.explode(prefixes).alias("__p")).join(s, F.col("__p") == F.col("__stem"))
+def prefix_first(files: DataFrame, sources: DataFrame, file: str, stem: str, ordinal: str) -> DataFrame:
+    """For each file the first source, by ordinal, whose stem it begins with: an equi-join on the file's prefixes of the lengths that stems have."""
+    s = sources.select(F.col(stem).alias("__stem"), F.col(ordinal).alias("__o")).where(F.length("__stem") > 0)
+    lengths = s.agg(F.collect_set(F.length("__stem")).alias("n")).scalar()
+    prefixes = F.transform(F.filter("__n", lambda n: n <= F.length(file)), lambda n: F.substring(F.col(file), F.lit(1), n))
+    rows = files.withColumn("__n", lengths).select(file, F.explode(prefixes).alias("__p")).join(s, F.col("__p") == F.col("__stem"))
     return rows.groupBy(file).agg(F.min(F.struct("__o", "__stem")).alias("m")).select(file, F.col("m.__stem").alias(stem))
 
 
@@ -229,12 +231,11 @@ def mutual_best(scores: DataFrame, least: float = 0.20, margin: float = 0.05) ->
 def derived_upsert(manifest: DataFrame, fresh: DataFrame) -> DataFrame:
     """Derived rows replaced by fresh ones, with ids that go on from the largest; applying it twice changes nothing but the order of ids.
 
-    ``fresh`` is ordered by derived_from and path. Only the fresh rows' numbering meets in one window for each hash part, with offsets.
+    ``fresh`` is ordered by derived_from and path, over range partitions.
     """
     kept = manifest.where(F.col("derived_from").isNull())
     base = kept.agg(F.coalesce(F.max(F.regexp_extract("source_id", r"(\d+)$", 1).cast("long")), F.lit(0)).alias("base"))
-    n = F.row_number().over(Window.orderBy("derived_from", "path"))
-    new = fresh.withColumn("n", n).crossJoin(base).withColumn("source_id", F.format_string("F%06d", F.col("base") + F.col("n"))).drop("n", "base")
+    new = ranked(fresh, ["derived_from", "path"], "__place").withColumn("source_id", F.format_string("F%06d", base.scalar() + F.col("__place"))).drop("__place")
     return kept.unionByName(new, allowMissingColumns=True)
 
 

@@ -36,6 +36,25 @@ def chunk_fingerprints(rows: DataFrame, group: str, order: str, cols: list[str])
     return rows.groupBy(group, "chunk").agg(F.sha2(packed, 256).alias("fingerprint"))
 
 
+def pending(keyed: DataFrame, cache: DataFrame) -> DataFrame:
+    """Chunks whose content the ``cache(fingerprint)`` of earlier answers lacks: what a resumed run still has to ask."""
+    done = cache.select(F.col("fingerprint").alias("__f"))
+    return keyed.join(done, F.col("fingerprint") == F.col("__f"), "left_anti")
+
+
+def halve(rows: DataFrame, failed: DataFrame, group: str, order: str) -> DataFrame:
+    """The rows of ``failed(group, chunk)`` chunks with a new chunk: a chunk of several rows falls into its first and second half, one of a single row stays and has ``spent``.
+
+    Chunk c becomes 2c and 2c + 1, so halving again goes on from there.
+    """
+    f = failed.select(F.col(group).alias("__g"), F.col("chunk").alias("__c")).distinct()
+    w = Window.partitionBy(group, "chunk")
+    out = rows.join(f, (F.col(group) == F.col("__g")) & (F.col("chunk") == F.col("__c")), "left_semi")
+    out = out.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__at", F.row_number().over(w.orderBy(order)))
+    second = (F.col("__at") > F.ceil(F.col("__n") / 2)).cast("long")
+    return out.withColumn("chunk", F.col("chunk") * 2 + second).withColumn("spent", F.col("__n") == 1).drop("__n", "__at")
+
+
 def valid_units(units: DataFrame, chunks: DataFrame) -> DataFrame:
     """Adds valid: a unit's references are there and all inside its own chunk (``chunks(chunk, ids)``)."""
     c = chunks.select(F.col("chunk").alias("__c"), "ids")

@@ -7,19 +7,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
+from quillstone.operators.scratch import ranked
 
 
 def assign_ids(rows: DataFrame, group: str, order: list[str], prefix: str = "E", name: str = "evidence_id") -> DataFrame:
-    """Padded ordinals in the total order (group, *order), without one task seeing all rows.
-
-    Rows number inside their group; groups are offset by a running sum over the groups' counts, which are one small row each.
-    """
-    counts = rows.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__c"))
-    before = F.coalesce(F.sum("__c").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__g", before.alias("__before"))
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    out = rows.withColumn("__n", n).join(offsets, F.col(group).eqNullSafe(F.col("__g")))
-    return out.withColumn(name, F.format_string(f"{prefix}%06d", F.col("__before") + F.col("__n"))).drop("__n", "__g", "__before")
+    """Padded ordinals in the total order (group, *order), over range partitions, so neither one task nor one group's task sees all rows."""
+    return ranked(rows, [group, *order], "__n").withColumn(name, F.format_string(f"{prefix}%06d", "__n")).drop("__n")
 
 
 def silence_gaps(rows: DataFrame, key: str, start: str, end: str, over: float = 30.0) -> DataFrame:
@@ -178,7 +171,7 @@ def spaced_topk(rows: DataFrame, key: str, at: str, risk: str, k: int = 4, apart
 
 
 def dedupe_pages(segments: DataFrame, video: str, start: str, phash: str, near: int = 5, most: int = 500) -> DataFrame:
-    """(video, page_id, image time, time_ranges): in time order, the first page within ``near`` bits takes a segment in, else a new page begins, ``most`` at most; later ones go to the nearest page."""
+    """(video, page_id, image time, time_ranges): in time order, the first page within ``near`` bits takes a segment in, else a new page begins; a video of more than ``most`` pages is no slides and has none."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pages: list[list] = []
@@ -186,7 +179,8 @@ def dedupe_pages(segments: DataFrame, video: str, start: str, phash: str, near:
             gaps = [((int(h) ^ int(p[0])) & (1 << 64) - 1).bit_count() for p in pages]
             hit = next((i for i, g in enumerate(gaps) if g <= near), None)
             if hit is None and len(pages) >= most:
-                hit = gaps.index(min(gaps))
+                pages = []
+                break
             if hit is None:
                 pages.append([h, s, [{"start": s, "end": e}]])
             else:

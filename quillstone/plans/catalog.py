@@ -17,6 +17,7 @@ from quillstone.operators import model_boundary as M
 from quillstone.operators import projections as P
 from quillstone.operators import retrieval as R
 from quillstone.operators import windows as W
+from quillstone.operators.scratch import work_folder
 from quillstone.plans.domain import Tables, bigrams_sql, compacted_sql, sql
 from quillstone.sources import readers, writers
 from quillstone.streaming import online
@@ -55,7 +56,7 @@ def cite_records(t: Tables) -> DataFrame:
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
 def jsonl_scan(t: Tables) -> DataFrame:
     rows = t.raw("documents").select("doc_id", "lang", "source", "n_chars")
-    path = f"{G.work_folder(t.spark)}/rows.jsonl"
+    path = f"{work_folder(t.spark)}/rows.jsonl"
     writers.jsonl(rows, path)
     return readers.jsonl(t.spark, path, rows.schema)
 
@@ -306,14 +307,23 @@ def candidate_readiness(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- joins
 
 
-@query(sql("units evidence", "SELECT topic, count(DISTINCT unit_id) AS n_units, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS record_ids FROM (SELECT unit_id, topic, unnest(evidence_ids) AS e FROM units) u JOIN evidence ON u.e = evidence_id GROUP BY topic"))
+@query(sql("units evidence", "SELECT topic, record_id, count(DISTINCT unit_id) AS n_units FROM (SELECT unit_id, topic, unnest(evidence_ids) AS e FROM units) u JOIN evidence ON u.e = evidence_id GROUP BY topic, record_id"))
 def topic_index(t: Tables) -> DataFrame:
-    return J.topic_index(t.units(), t.evidence()).select("topic", "n_units", F.array_join("record_ids", ",").alias("record_ids"))
+    return J.topic_index(t.units(), t.evidence())
 
 
-@query("SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, 0 AS orphan, 0 AS repeated FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query(sql("units evidence", "SELECT topic, record_id, '- ' || topic || ': ' || record_id || ' (' || count(DISTINCT unit_id) || ' units)' AS markdown FROM (SELECT unit_id, topic, unnest(evidence_ids) AS e FROM units) u JOIN evidence ON u.e = evidence_id GROUP BY topic, record_id"))
+def topic_markdown(t: Tables) -> DataFrame:
+    return writers.topic_markdown(J.topic_index(t.units(), t.evidence()))
+
+
+@query("""WITH l AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id + 10000000 FROM labels WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 5 = 0)
+SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l)) AS missing, (SELECT count(DISTINCT doc_id) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS orphan, (SELECT count(*) FROM (SELECT doc_id FROM l GROUP BY doc_id HAVING count(*) > 1)) AS repeated""")
 def alignment_check(t: Tables) -> DataFrame:
-    return J.alignment_check(t.raw("documents"), t.raw("labels"), "doc_id")
+    """Labels of which some name no document and some repeat."""
+    k = t.raw("labels").select("doc_id")
+    odd = k.where("doc_id % 7 = 0").select((F.col("doc_id") + 10000000).alias("doc_id"))
+    return J.alignment_check(t.raw("documents"), k.unionAll(odd).unionAll(k.where("doc_id % 5 = 0")), "doc_id")
 
 
 @query(sql("evidence dispositions", """SELECT 'dispositions' AS law, (SELECT count(*) FROM evidence WHERE evidence_id NOT IN (SELECT evidence_id FROM dispositions)) AS n_left_only, (SELECT count(*) FROM dispositions WHERE evidence_id NOT IN (SELECT evidence_id FROM evidence)) AS n_right_only,
@@ -344,9 +354,21 @@ def disposition_counts(t: Tables) -> DataFrame:
     return A.value_counts(J.merge_dispositions(t.evidence(), t.dispositions(), t.excluded()), "status")
 
 
-@query(sql("evidence dispositions", "SELECT true AS \"unique\", true AS known_status, true AS no_orphan, (SELECT count(*) FROM evidence WHERE evidence_id NOT IN (SELECT evidence_id FROM dispositions)) = 0 AS complete"))
+_LAWS = """SELECT '{0}' AS source, (SELECT count(*) = count(DISTINCT evidence_id) FROM {1}) AS "unique", (SELECT bool_and(status IN ('covered', 'uncertain', 'conflict')) FROM {1}) AS known_status,
+  (SELECT count(*) FROM {1} WHERE evidence_id NOT IN (SELECT evidence_id FROM {2})) = 0 AS no_orphan, (SELECT count(*) FROM {2} WHERE evidence_id NOT IN (SELECT evidence_id FROM {1})) = 0 AS complete"""
+
+
+@query(sql("evidence dispositions", """, odd AS (SELECT * FROM dispositions UNION ALL SELECT * FROM dispositions WHERE status = 'conflict' UNION ALL SELECT 'X' || evidence_id, 'strange' FROM dispositions WHERE status = 'uncertain'),
+labelled AS (SELECT e.* FROM evidence e SEMI JOIN dispositions d ON e.evidence_id = d.evidence_id)
+""".replace("\n, odd", ", odd") + " UNION ALL ".join(_LAWS.format(*x) for x in (("as_is", "dispositions", "evidence"), ("odd", "odd", "evidence"), ("labelled", "dispositions", "labelled")))).replace("\n, odd", ", odd"))
 def disposition_invariants(t: Tables) -> DataFrame:
-    return A.disposition_invariants(t.dispositions(), t.evidence(), ["covered", "uncertain", "conflict"])
+    """The dispositions as they are, with repeats, strange statuses and orphans, and against the evidence that has one."""
+    d, e = t.dispositions(), t.evidence()
+    d = d.select("evidence_id", "status")
+    odd = d.unionAll(d.where("status = 'conflict'")).unionAll(d.where("status = 'uncertain'").select(F.concat(F.lit("X"), "evidence_id"), F.lit("strange")))
+    some = e.join(d.select(F.col("evidence_id").alias("k")), F.col("evidence_id") == F.col("k"), "left_semi")
+    laws = lambda name, x, y: A.disposition_invariants(x, y, ["covered", "uncertain", "conflict"]).withColumn("source", F.lit(name))
+    return laws("as_is", d, e).unionByName(laws("odd", odd, e)).unionByName(laws("labelled", d, some))
 
 
 @query(sql("evidence excluded", "SELECT evidence_id FROM evidence WHERE evidence_id NOT IN (SELECT evidence_id FROM excluded)"))
@@ -480,7 +502,10 @@ def _candidates(t: Tables) -> DataFrame:
     return t.raw("benchmark").select("item_id", F.explode(F.array(*rows)).alias("c")).select("item_id", "c.*")
 
 
-_CAND = "cand AS (SELECT item_id, e AS engine, r AS route, k % 3 AS rank, substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1 + k % 4, 12) AS text FROM benchmark, (VALUES ('a', 'first', 0), ('a', 'noise', 1), ('a', 'norm', 2), ('b', 'first', 3), ('b', 'noise', 4), ('b', 'norm', 5), ('c', 'first', 6), ('c', 'noise', 7), ('c', 'norm', 8)) v(e, r, k))"
+#: DuckDB's edit distance counts bytes; the fixtures' letters beyond ASCII become one control sign each.
+_LETTERS = "ÄÇÈÉÊÑÖÜßäçèéêíñóöüáàúëâûî"
+_NARROW = f"translate(text, '{_LETTERS}', '{''.join(chr(i) for i in [*range(1, 9), *range(14, 32)])}')"
+_CAND = f"cand AS (SELECT item_id, e AS engine, r AS route, k % 3 AS rank, array_to_string(list_filter(string_split({_NARROW}, ' '), lambda x, i: i <> k + 1), ' ') AS text FROM benchmark, (VALUES ('a', 'first', 0), ('a', 'noise', 1), ('a', 'norm', 2), ('b', 'first', 3), ('b', 'noise', 4), ('b', 'norm', 5), ('c', 'first', 6), ('c', 'noise', 7), ('c', 'norm', 8)) v(e, r, k))"
 _SIM = "(1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}), 1))"
 
 
@@ -502,8 +527,13 @@ def route_medoid(t: Tables) -> DataFrame:
 _OCR_STOP = "一个 我们 你们 他们 她们 它们 这个 那个 这些 那些 什么 怎么 因为 所以 但是 如果 已经 现在 今天 大家 就是 还有 没有 不是 可以 一下 一些 以及 或者 然后 这样 那样 自己 知道 觉得 时候".split()
 
 
-@query("""WITH tok AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS o FROM benchmark), term AS (SELECT s, min(doc_id) AS page FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS s FROM documents) GROUP BY s),
-p AS (SELECT item_id, o AS original, s AS suggested, page FROM tok JOIN term ON abs(length(o) - length(s)) <= 1 AND lower(o) <> lower(s) AND levenshtein(lower(o), lower(s)) <= 1)
+_DELETED = "unnest(list_distinct(list_concat([lower({0})], list_transform(range(1, length({0}) + 1), lambda i: substr(lower({0}), 1, i - 1) || substr(lower({0}), i + 1)))))"
+
+
+#: The fixtures have no CJK text, so the SQL has the Latin rule alone.
+@query(f"""WITH tok AS (SELECT DISTINCT item_id, o FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{{3,}}')) AS o FROM benchmark) WHERE regexp_matches(o, '[A-Za-z]')),
+term AS (SELECT s, min(doc_id) AS page FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{{3,}}')) AS s FROM documents) WHERE regexp_matches(s, '[A-Za-z]') GROUP BY s),
+p AS (SELECT DISTINCT item_id, o AS original, s AS suggested, page FROM (SELECT item_id, o, {_DELETED.format('o')} AS k FROM tok) JOIN (SELECT s, page, {_DELETED.format('s')} AS k FROM term) USING (k) WHERE lower(o) <> lower(s) AND levenshtein(lower(o), lower(s)) <= 1)
 SELECT item_id, original, suggested, page FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY page, original, suggested) AS n FROM p) WHERE n <= 5""")
 def ocr_fuzzy(t: Tables) -> DataFrame:
     """Latin tokens of three or more letters or digits with a letter, CJK runs of 2 to 6 characters as terms and CJK windows of those lengths as tokens."""
@@ -534,11 +564,11 @@ def permutation_confirm(t: Tables) -> DataFrame:
     return J.same_multiset(plan, asked, "conv_id", "turn")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN o_totalprice <= 0 THEN 'unknown' WHEN l_extendedprice < 0.9 * o_totalprice THEN 'short' ELSE 'ok' END AS state FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN o_totalprice IS NULL OR o_totalprice <= 0 THEN 'unknown' WHEN l_extendedprice < 0.9 * o_totalprice THEN 'short' ELSE 'ok' END AS state FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus <> 'P'")
 def track_duration(t: Tables) -> DataFrame:
     tracks = t.raw("lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("duration"))
-    sources = t.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("duration"))
-    return J.track_duration(tracks, sources, "l_orderkey").where("source_duration IS NOT NULL").select("l_orderkey", "l_linenumber", "state")
+    sources = t.raw("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("duration"))
+    return J.track_duration(tracks, sources, "l_orderkey").select("l_orderkey", "l_linenumber", "state")
 
 
 @query("SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 50 = 0 THEN 'missing' WHEN doc_id % 31 = 0 THEN 'changed' END AS state FROM documents WHERE doc_id % 50 = 0 OR doc_id % 31 = 0")
@@ -548,10 +578,10 @@ def hash_mismatch(t: Tables) -> DataFrame:
     return J.hash_mismatch(m, c)
 
 
-@query("SELECT user_id, min_by(ts, event_id) AS started FROM (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS DOUBLE) AS ts FROM events WHERE event_type = 'signup') GROUP BY user_id")
+@query("SELECT user_id, min_by(ts, event_id) FILTER (WHERE event_type = 'signup') AS started FROM (SELECT user_id, event_id, event_type, CAST(floor(epoch(ts)) AS DOUBLE) AS ts FROM events) GROUP BY user_id")
 def timeline_start(t: Tables) -> DataFrame:
     log = t.log().withColumn("kind", F.when(F.col("kind") == "signup", "event_start").otherwise(F.col("kind")))
-    return J.timeline_start(log.select("event").distinct(), log, "event").where("started IS NOT NULL").select(F.col("event").alias("user_id"), "started")
+    return J.timeline_start(log.select("event").distinct(), log, "event").select(F.col("event").alias("user_id"), "started")
 
 
 # ---------------------------------------------------------------- aggregates
@@ -603,9 +633,10 @@ def window_regroup(t: Tables) -> DataFrame:
     return A.ordered_text(t.records().withColumn("window_index", F.floor(F.col("start_s") / 20)), ["source_id", "window_index"], ["idx"], "text", "")
 
 
-@query("SELECT source, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS text_md5, count(*) AS n FROM documents GROUP BY source")
+@query("SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY line_no)) AS text_md5, count(*) AS n FROM (SELECT doc_id, unnest(generate_series(1, len(x))) AS line_no, trim(unnest(x)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE text <> '' AND NOT starts_with(text, '#') GROUP BY doc_id")
 def slide_text(t: Tables) -> DataFrame:
-    return A.ordered_text(t.raw("documents"), ["source"], ["doc_id"], "text", "\n").select("source", F.md5("text").alias("text_md5"), "n")
+    """A document is a slide here and its note lines are the slide's."""
+    return A.ordered_text(readers.note_lines(t.raw("documents"), "doc_id", "text"), ["doc_id"], ["line_no"], "text", "\n").select("doc_id", F.md5("text").alias("text_md5"), "n")
 
 
 @query("SELECT event_type AS engine, count(*) AS n, count(*) FILTER (WHERE value > 50) AS escalated, count(*) FILTER (WHERE value > 90) AS uncertain FROM events GROUP BY 1")
@@ -652,7 +683,7 @@ def quality_gate(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, printf('E%06d', row_number() OVER (ORDER BY source, n_chars, doc_id)) AS evidence_id FROM documents")
 def assign_ids(t: Tables) -> DataFrame:
-    return W.assign_ids(t.raw("documents"), "source", ["n_chars", "doc_id"]).select("doc_id", "evidence_id")
+    return W.assign_ids(t.raw("documents").select("source", "n_chars", "doc_id"), "source", ["n_chars", "doc_id"]).select("doc_id", "evidence_id")
 
 
 @query(sql("log", """, s AS (SELECT event, ordinal, ts AS a, ts + value AS b FROM log), g AS (SELECT *, max(b) OVER (PARTITION BY event ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_end FROM s)
@@ -699,22 +730,11 @@ def slide_windows(t: Tables) -> DataFrame:
     return W.slide_windows(rows, "doc_id", "d").select("doc_id", "window_index", "start_seconds", F.round("end_seconds", 4).alias("end_seconds"))
 
 
-@query()
-def paragraphs(t: Tables) -> DataFrame:
-    return W.paragraphs(t.records(), "source_id", "idx", "text")
-
-
 @query()
 def overlap_dedup_running(t: Tables) -> DataFrame:
     return W.overlap_dedup_running(t.turns(), "conv_id", "turn", "text").select("conv_id", "turn", "matched", "cut_text")
 
 
-@query()
-def spaced_topk(t: Tables) -> DataFrame:
-    risk = P.continuity_risk(F.col("text"), F.lit(False), F.lit("high"))
-    return W.spaced_topk(t.records().select("source_id", "record_id", "start_s", risk.alias("risk")), "source_id", "start_s", "risk", 4, 60.0)
-
-
 def _frames(t: Tables) -> DataFrame:
     """Embedding vectors as frames: sign bits are the hash."""
     bits = F.aggregate(F.transform("embedding", lambda x: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
@@ -852,25 +872,94 @@ def support_metrics(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- retrieval
 
 
-@query(sql("units rec", """, two AS (SELECT 2 AS tier, unit_id AS id, claim AS text, row_number() OVER (ORDER BY CASE certainty WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, unit_id) AS rank FROM units WHERE claim ILIKE '%thatnd%' OR topic ILIKE '%thatnd%'),
-three AS (SELECT 3 AS tier, record_id AS id, text, row_number() OVER (ORDER BY record_id) AS rank FROM rec WHERE text ILIKE '%thatnd%'), al AS (SELECT * FROM two WHERE rank <= 20 UNION ALL SELECT * FROM three WHERE rank <= 20)
-SELECT * FROM al WHERE tier = (SELECT min(tier) FROM al)""").replace("\n, two AS", ", two AS"))
-def search_token(t: Tables) -> DataFrame:
-    return R.search_token(t.units(), cite_records(t), "thatnd", fulltext=False)
+def _counted(column: str, word: str) -> str:
+    """Occurrences of a word that can't overlap itself."""
+    return f"(length(lower({column})) - length(replace(lower({column}), '{word}', ''))) // {len(word)}"
+
+
+_SIZES = "greatest(length(topic) - 2, 0) + greatest(length(claim) - 2, 0) AS size"
+_PART = "{idf} * ({tf} * 2.2) / ({tf} + 1.2 * (1 - 0.75 + 0.75 * size / mean))"
+_CERTAIN = "CAST(CASE certainty WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS DOUBLE)"
 
 
-_SEARCH = """u AS (SELECT event, 'unit' AS kind, unit_id AS id, claim || chr(10) || topic AS s FROM units UNION ALL SELECT source, 'record', record_id, rec.text FROM rec JOIN documents ON source_id = doc_id),
-tok AS (SELECT * FROM (VALUES ('ththe thatnd', 0, 0), ('ththe', 1, 0), ('thatnd', 1, 1)) v(token, stage, ordinal)),
-h AS (SELECT event, kind, id, stage, ordinal FROM u JOIN tok ON s ILIKE '%' || token || '%'), h1 AS (SELECT *, min(stage) OVER (PARTITION BY event) AS m FROM h), h2 AS (SELECT *, max(CASE WHEN kind = 'unit' THEN 1 ELSE 0 END) OVER (PARTITION BY event, ordinal) AS has FROM h1 WHERE stage = m),
-g AS (SELECT event, kind, id, count(*) AS matched, min(ordinal) AS f FROM h2 WHERE kind = 'unit' OR has = 0 GROUP BY 1, 2, 3)"""
+def _idf(df: str) -> str:
+    return f"greatest(ln((n - {df} + 0.5) / ({df} + 0.5)), 1e-6)"
 
 
-@query(sql("units rec", "").rstrip() + ",\n" + _SEARCH + "\nSELECT * EXCLUDE (f) FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY matched DESC, f, kind DESC, id) AS rank FROM g) WHERE rank <= 20")
+def _token_sql(word: str) -> str:
+    return sql("units rec", f""", m AS (SELECT *, {_counted('topic', word)} + {_counted('claim', word)} AS tf, {_SIZES} FROM units), k AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE tf > 0) AS df FROM m),
+one AS (SELECT 1 AS tier, unit_id AS id, claim AS text, row_number() OVER (ORDER BY {_PART.format(idf=_idf('df'), tf='tf')} DESC, unit_id) AS rank FROM m, k WHERE tf > 0 AND {len(word)} >= 3),
+two AS (SELECT 2 AS tier, unit_id AS id, claim AS text, row_number() OVER (ORDER BY {_CERTAIN}, unit_id) AS rank FROM units WHERE claim ILIKE '%{word}%' OR topic ILIKE '%{word}%'),
+three AS (SELECT 3 AS tier, record_id AS id, text, row_number() OVER (ORDER BY record_id) AS rank FROM rec WHERE text ILIKE '%{word}%'),
+al AS (SELECT * FROM one WHERE rank <= 20 UNION ALL SELECT * FROM two WHERE rank <= 20 UNION ALL SELECT * FROM three WHERE rank <= 20)
+SELECT * FROM al WHERE tier = (SELECT min(tier) FROM al)""").replace("\n, m AS", ", m AS")
+
+
+@query(_token_sql("thatnd"))
+def search_token(t: Tables) -> DataFrame:
+    return R.search_token(t.units(), cite_records(t), "thatnd")
+
+
+#: Two letters are no trigram, so the LIKE tier answers.
+@query(_token_sql("nd"))
+def search_short_token(t: Tables) -> DataFrame:
+    return R.search_token(t.units(), cite_records(t), "nd")
+
+
+def _search_sql(first: str, second: str, shown: str) -> str:
+    hit = "SELECT event, 'unit' AS kind, unit_id AS id, {o} AS ordinal, {tier} AS tier, {key} AS key FROM {source} WHERE {where}"
+    p1, p2 = (_PART.format(idf=f"i{k}", tf=f"t{k}") for k in (1, 2))
+    like = lambda w: f"(claim ILIKE '%{w}%' OR topic ILIKE '%{w}%')"
+    asked = ((0, f"{first} {second}"), (1, first), (2, second))
+    rows = [hit.format(o=0, tier=1, key=f"-({p1} + {p2})", source="s", where="t1 > 0 AND t2 > 0"), hit.format(o=1, tier=1, key=f"-({p1})", source="s", where="t1 > 0"), hit.format(o=2, tier=1, key=f"-({p2})", source="s", where="t2 > 0")]
+    rows += [hit.format(o=o, tier=2, key=_CERTAIN, source="units", where=like(w)) for o, w in asked]
+    rows += [f"SELECT source, 'record', record_id, {o}, 3, 0.0 FROM rec JOIN documents ON source_id = doc_id WHERE rec.text ILIKE '%{w}%'" for o, w in asked]
+    return sql("units rec", f""", m AS (SELECT *, {_counted('topic', first)} + {_counted('claim', first)} AS t1, {_counted('topic', second)} + {_counted('claim', second)} AS t2, {_SIZES} FROM units),
+k AS (SELECT event AS e, mean, {_idf('d1')} AS i1, {_idf('d2')} AS i2 FROM (SELECT event, count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE t1 > 0) AS d1, count(*) FILTER (WHERE t2 > 0) AS d2 FROM m GROUP BY event)),
+s AS (SELECT * FROM m JOIN k ON event = e), a AS ({' UNION ALL '.join(rows)}),
+b AS (SELECT event AS be, ordinal AS bo, min(tier) AS bt FROM a GROUP BY 1, 2), w AS (SELECT *, min(bo) OVER (PARTITION BY be) = 0 AS whole FROM b),
+r AS (SELECT a.*, row_number() OVER (PARTITION BY event, ordinal ORDER BY key, id) AS place FROM a JOIN w ON event = be AND ordinal = bo AND tier = bt AND whole = (bo = 0)),
+g AS (SELECT event, kind, id, count(*) AS matched, min(ordinal * 1000 + place) AS seen FROM r WHERE place <= 20 GROUP BY 1, 2, 3),
+hits AS (SELECT event, kind, id, matched, rank FROM (SELECT *, row_number() OVER (PARTITION BY event, kind ORDER BY matched DESC, seen) AS rank FROM g) WHERE rank <= 20)
+{shown}""").replace("\n, m AS", ", m AS")
+
+
+@query(_search_sql("ththe", "thatnd", "SELECT * FROM hits"))
 def search_meetings(t: Tables) -> DataFrame:
     return R.search(t.units(), cite_records(t), "ththe thatnd").select("event", "kind", "id", "matched", "rank")
 
 
-@query()
+@query(_search_sql("ththe", "thatnd", "SELECT event, coalesce(string_agg(id, ',' ORDER BY rank) FILTER (WHERE kind = 'unit'), '') AS units, coalesce(string_agg(id, ',' ORDER BY rank) FILTER (WHERE kind = 'record'), '') AS evidence FROM hits GROUP BY event"))
+def search_response(t: Tables) -> DataFrame:
+    units = t.units()
+    out = R.response(R.search(units, cite_records(t), "ththe thatnd"), units.select("event"))
+    return out.select("event", F.array_join("units", ",").alias("units"), F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("SELECT min(source) AS event, 0 AS n_units, 0 AS n_evidence FROM documents")
+def search_response_empty(t: Tables) -> DataFrame:
+    units = t.units()
+    out = R.response(R.search(units, cite_records(t), "qqqqzzzz"), units.select("event"))
+    return out.select("event", F.size("units").alias("n_units"), F.size("evidence").alias("n_evidence"))
+
+
+@query(sql("units evidence", f""", m AS (SELECT *, {_counted('topic', 'thatnd')} + {_counted('claim', 'thatnd')} AS tf, {_SIZES} FROM units), k AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE tf > 0) AS df FROM m),
+one AS (SELECT unit_id AS id, evidence_ids, row_number() OVER (ORDER BY {_PART.format(idf=_idf('df'), tf='tf')} DESC, unit_id) AS rank FROM m, k WHERE tf > 0)
+SELECT id, rank, coalesce(string_agg(e.evidence_id || ' ' || e.source_id || ' ' || e.kind, ',' ORDER BY e.evidence_id), '') AS evidence FROM (SELECT id, rank, unnest(evidence_ids) AS i FROM one WHERE rank <= 8) LEFT JOIN evidence e ON i = e.evidence_id GROUP BY id, rank""").replace("\n, m AS", ", m AS"))
+def search_packet(t: Tables) -> DataFrame:
+    out = R.packet(t.units(), t.evidence(), "thatnd")
+    line = F.transform("evidence", lambda e: F.concat_ws(" ", e["evidence_id"], e["source_id"], e["kind"]))
+    return out.select("id", "rank", F.coalesce(F.array_join(line, ","), F.lit("")).alias("evidence"))
+
+
+_GRAMS = "q AS (SELECT query, unnest(list_distinct(list_transform(range(1, length(query) - 1), lambda i: substr(query, i, 3)))) AS gram FROM (VALUES ('thatnd'), ('er be'), ('la re')) v(query))"
+
+
+@query(sql("units", f""", {_GRAMS}, t AS (SELECT unit_id AS key, lower(topic || ' ' || claim) AS t FROM units),
+p AS (SELECT gram, key, (length(t) - length(replace(t, gram, ''))) // 3 AS tf, length(t) - 2 AS size FROM t, (SELECT DISTINCT gram FROM q) WHERE contains(t, gram)),
+d AS (SELECT gram, count(*) AS df FROM p GROUP BY 1), k AS (SELECT count(*) AS n, avg(length(t) - 2) AS mean FROM t WHERE length(t) >= 3), c AS (SELECT query, count(*) AS asked FROM q GROUP BY 1),
+s AS (SELECT q.query, key, sum({_PART.format(idf=_idf('df'), tf='tf')}) AS score, count(*) AS matched FROM p JOIN q ON p.gram = q.gram JOIN d ON p.gram = d.gram, k GROUP BY 1, 2)
+SELECT s.query, key, round(score, 6) AS score FROM s JOIN c ON s.query = c.query WHERE matched = asked""").replace("\n, q AS", ", q AS"))
 def search_bm25(t: Tables) -> DataFrame:
     units = t.units().withColumn("both", F.concat_ws(" ", "topic", "claim"))
     asked = t.spark.createDataFrame([("thatnd",), ("er be",), ("la re",)], "query string")
@@ -933,11 +1022,6 @@ def fragment_plan(t: Tables) -> DataFrame:
     return plan.join(G.group_confidence(order, arcs, "component", F.lit(False)).drop("n"), "component")
 
 
-@query()
-def chain_walk(t: Tables) -> DataFrame:
-    return G.chain_walk(J.mutual_best(_directed(t), 0.05, 0.005))
-
-
 # ---------------------------------------------------------------- model boundary
 
 
@@ -948,10 +1032,11 @@ def model_chunks(t: Tables) -> DataFrame:
     return rows.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n")).join(keyed, ["source", "chunk"]).select("source", "chunk", "n")
 
 
-@query(sql("units evidence", "SELECT unit_id, list_has_all(ids, evidence_ids) AS valid FROM units JOIN (SELECT source_id, list(evidence_id) AS ids FROM evidence GROUP BY 1) ON event = source_id"))
+@query(sql("units evidence", "SELECT unit_id, coalesce(list_has_all(ids, evidence_ids), false) AS valid FROM units LEFT JOIN (SELECT n // 5 AS chunk, list(evidence_id) AS ids FROM evidence GROUP BY 1) ON ordinal // 5 = chunk"))
 def valid_units(t: Tables) -> DataFrame:
-    c = t.evidence().groupBy(F.col("source_id").alias("chunk")).agg(F.collect_set("evidence_id").alias("ids"))
-    return M.valid_units(t.units().withColumnRenamed("event", "chunk"), c).select("unit_id", "valid")
+    """Chunks of five evidence ids, as they go to a model."""
+    c = t.evidence().groupBy(F.floor(F.col("n") / 5).alias("chunk")).agg(F.collect_set("evidence_id").alias("ids"))
+    return M.valid_units(t.units().withColumn("chunk", F.floor(F.col("ordinal") / 5)), c).select("unit_id", "valid")
 
 
 _FILLED = "f AS (SELECT e.evidence_id, coalesce(d.status, 'uncertain') AS status, d.evidence_id IS NULL AS auto_filled FROM evidence e LEFT JOIN dispositions d ON e.evidence_id = d.evidence_id)"
@@ -970,8 +1055,8 @@ def promote_covered(t: Tables) -> DataFrame:
 _DET = "list_distinct(list_concat(regexp_extract_all({0}, '[0-9]+(?:\\.[0-9]+)?'), regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z][a-z0-9]{{2,}}')))"
 
 
-@query(f"""WITH p AS (SELECT doc_id, substr(text, 1, 300) AS o, substr(text, 1, 300 - CAST(doc_id % 3 AS INTEGER) * 40) AS f, substr(text, 100, 400) AS e FROM documents)
-SELECT doc_id, len(list_filter({_DET.format('o')}, lambda x: NOT list_contains({_DET.format('f')}, x) AND list_contains({_DET.format('e')}, x))) = 0 AS keeps FROM p""")
+@query(f"""WITH p AS (SELECT doc_id, text AS o, substr(text, 1, length(text) // 2) || substr(text, length(text) // 2 + 1 + CAST(doc_id % 3 AS INTEGER) * 40) AS f FROM documents)
+SELECT doc_id, list_has_all({_DET.format('f')}, {_DET.format('o')}) AS keeps FROM p""")
 def repair_guard(t: Tables) -> DataFrame:
     """The repair leaves out none, 40 or 80 characters from the middle of the whole text."""
     half = F.floor(F.length("text") / 2).cast("int")
@@ -1020,11 +1105,13 @@ def nominate(t: Tables) -> DataFrame:
     return M.nominate(c, d.select("doc_id", F.array(F.lit("R2")).alias("ids")), "doc_id", F.col("n_chars"), 1000).select("doc_id", "nominated")
 
 
-@query("SELECT source, 2 * count(*) AS n_cited, count(*) AS n_unknown, false AS valid FROM documents GROUP BY source")
+@query("""WITH c AS (SELECT doc_id, unnest([doc_id, doc_id + CASE doc_id % 3 WHEN 0 THEN 500000 WHEN 1 THEN 1 ELSE 0 END]) AS k FROM documents), d AS (SELECT DISTINCT doc_id, k FROM c)
+SELECT doc_id, count(*) AS n_cited, count(*) FILTER (WHERE k NOT IN (SELECT doc_id FROM documents)) AS n_unknown, count(*) FILTER (WHERE k NOT IN (SELECT doc_id FROM documents)) = 0 AS valid FROM d GROUP BY doc_id""")
 def report_references(t: Tables) -> DataFrame:
-    line = F.concat(F.format_string("U%06d", "doc_id"), F.lit(" and "), F.format_string("U%06d", F.col("doc_id") + 500000))
-    reports = t.raw("documents").groupBy("source").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
-    return M.report_references(reports, t.units(), "source", "text")
+    """A report a document, which cites its own unit and an unknown, the next or the same one."""
+    other = F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 500000).when(F.col("doc_id") % 3 == 1, 1).otherwise(0)
+    reports = t.raw("documents").select("doc_id", F.concat(F.format_string("U%06d", "doc_id"), F.lit(" and "), F.format_string("U%06d", other)).alias("text"))
+    return M.report_references(reports, t.units(), "doc_id", "text")
 
 
 @query("SELECT event_id, CASE WHEN value > 90 AND event_id % 4 >= 2 THEN 'report' WHEN value > 90 THEN 'retry' WHEN value > 50 THEN 'wait' ELSE 'archive' END AS action FROM events")
@@ -1036,15 +1123,18 @@ def supervisor_actions(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------- sinks and status
 
 
-@query(sql("units", "SELECT topic, count(*) AS n_units, coalesce(string_agg(unit_id, ',' ORDER BY unit_id) FILTER (WHERE certainty = 'high'), '') AS high FROM units GROUP BY topic"))
+@query(sql("units", "SELECT topic, '' AS unit_id, md5('## ' || topic || ' (' || count(*) || ')') AS line_md5 FROM units GROUP BY topic UNION ALL SELECT topic, unit_id, md5('- ' || unit_id || ': ' || claim) FROM units WHERE certainty = 'high'"))
 def report(t: Tables) -> DataFrame:
-    return writers.report(t.units()).select("topic", "n_units", F.array_join(F.transform("high", lambda x: F.substring(x, 1, 7)), ",").alias("high"))
+    return writers.report(t.units()).select("topic", "unit_id", F.md5("line").alias("line_md5"))
 
 
-@query(sql("evidence dispositions", "SELECT e.evidence_id, status FROM evidence e JOIN dispositions d ON e.evidence_id = d.evidence_id WHERE status IN ('uncertain', 'conflict')"))
+@query(sql("evidence dispositions", "SELECT e.evidence_id, status, CASE WHEN n % 2 = 0 THEN 'teh -> the' ELSE '' END || CASE WHEN n % 6 = 0 THEN '; wiht -> with' ELSE '' END AS corrections FROM evidence e JOIN dispositions d ON e.evidence_id = d.evidence_id WHERE status IN ('uncertain', 'conflict')"))
 def uncertainty_report(t: Tables) -> DataFrame:
-    none = t.spark.createDataFrame([], "record_id string, original string, suggested string")
-    return writers.uncertainty(t.dispositions(), t.evidence().withColumn("locator", F.col("n")), none).select("evidence_id", "status")
+    """Corrections of every second record, two of every sixth."""
+    e = t.evidence()
+    fix = lambda n, a, b: e.where(F.col("n") % n == 0).select("record_id", F.lit(a).alias("original"), F.lit(b).alias("suggested"))
+    out = writers.uncertainty(t.dispositions(), e.withColumn("locator", F.col("n")), fix(2, "teh", "the").unionAll(fix(6, "wiht", "with")))
+    return out.select("evidence_id", "status", F.array_join("corrections", "; ").alias("corrections"))
 
 
 @query("SELECT CASE WHEN toxic = 1 THEN 'conflict' ELSE 'supports' END AS relation, count(*) AS n FROM labels WHERE toxic = 1 OR quality = 1 GROUP BY 1")

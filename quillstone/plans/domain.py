@@ -60,7 +60,7 @@ CTE = {
   FROM (SELECT doc_id AS source_id, i - 1 AS idx, s AS text, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
     FROM (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{SENTENCE}') AS x FROM documents))))""",
     "units": """units AS (
-  SELECT printf('U%06d', d.doc_id) AS unit_id, source AS event, lang || ' / ' || source AS topic, substr(text, 1, 200) AS claim,
+  SELECT printf('U%06d', d.doc_id) AS unit_id, source AS event, lang || ' / ' || source AS topic, text AS claim,
     CASE WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' ELSE 'medium' END AS certainty, [printf('E%06d', d.doc_id), printf('E%06d', d.doc_id + 1)] AS evidence_ids, d.doc_id AS ordinal
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
     "evidence": """evidence AS (

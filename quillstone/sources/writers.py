@@ -46,14 +46,18 @@ def slide_markdown(relations: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def topic_markdown(index: DataFrame) -> DataFrame:
-    """One line a topic: units and records."""
-    return index.select("topic", F.concat(F.lit("- "), F.col("topic"), F.lit(": "), F.col("n_units").cast("string"), F.lit(" units, "), F.array_join("record_ids", ", ")).alias("markdown"))
+    """One line a topic and record: how many of the topic's units cite it."""
+    return index.select("topic", "record_id", F.concat(F.lit("- "), F.col("topic"), F.lit(": "), F.col("record_id"), F.lit(" ("), F.col("n_units").cast("string"), F.lit(" units)")).alias("markdown"))
 
 
 def report(units: DataFrame) -> DataFrame:
-    """Per topic: number of units and the claims of high certainty in order."""
-    claim = F.when(F.col("certainty") == "high", F.struct("unit_id", "claim"))
-    return units.groupBy(F.array_join("topic_path", " / ").alias("topic")).agg(F.count(F.lit(1)).alias("n_units"), F.transform(F.array_sort(F.collect_list(claim)), lambda x: F.concat(x["unit_id"], F.lit(": "), x["claim"])).alias("high"))
+    """(topic, unit_id, line): a heading a topic with its number of units (unit_id empty), and a line for each claim of high certainty; in order of topic and unit_id.
+
+    A line is a row, so a topic may have any number of them; ``jsonl`` with that order writes them without one task that holds all.
+    """
+    topic = F.array_join("topic_path", " / ").alias("topic")
+    heads = units.groupBy(topic).agg(F.count(F.lit(1)).alias("n")).select("topic", F.lit("").alias("unit_id"), F.concat(F.lit("## "), "topic", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
+    return heads.unionByName(units.where("certainty = 'high'").select(topic, "unit_id", F.concat(F.lit("- "), "unit_id", F.lit(": "), "claim").alias("line")))
 
 
 def uncertainty(dispositions: DataFrame, evidence: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -79,3 +83,29 @@ def archive_plan(manifest: DataFrame, current: DataFrame) -> DataFrame:
     c = current.select(F.col("path").alias("__p"), F.col("sha256").alias("__h"))
     out = manifest.join(c, F.col("path") == F.col("__p"), "left")
     return out.select("path", "sha256", F.when(F.col("__p").isNull(), "missing").when(F.col("__h") != F.col("sha256"), "changed").otherwise("move").alias("action"))
+
+
+def readable(paragraphs: DataFrame, records: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, paragraph, line): each paragraph of a reading copy under its times, with the first and last record as evidence; nothing is reworded.
+
+    ``paragraphs`` as ``windows.paragraphs`` gives them, ``records(key, order, record_id, start_seconds, end_seconds)``.
+    """
+    at = lambda p: records.select(F.col(key).alias(f"__{p}k"), F.col(order).alias(f"__{p}o"), F.col("record_id").alias(f"{p}_id"), F.col("start_seconds").alias(f"{p}_start"), F.col("end_seconds").alias(f"{p}_end"))
+    rows = paragraphs.join(at("a"), (F.col(key) == F.col("__ak")) & (F.col("first") == F.col("__ao"))).join(at("b"), (F.col(key) == F.col("__bk")) & (F.col("last") == F.col("__bo")))
+    line = F.concat(F.lit("**"), X.minutes("a_start"), F.lit("–"), X.minutes("b_end"), F.lit("**  "), "text", F.lit("\n<sub>"), "a_id", F.lit("–"), "b_id", F.lit("</sub>"))
+    return rows.select(key, "paragraph", line.alias("line"))
+
+
+def details(units: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(topic, unit_id, evidence_id, line): the first package form as lines: a unit's claim (evidence_id empty), then an appendix line for each evidence row that it cites."""
+    topic = F.array_join("topic_path", " / ").alias("topic")
+    claims = units.select(topic, "unit_id", F.lit("").alias("evidence_id"), F.concat(F.lit("### "), "unit_id", F.lit(" ["), "certainty", F.lit("]\n"), "claim").alias("line"))
+    e = evidence.select(F.col("evidence_id").alias("__e"), "source_id", "kind", "literal_text")
+    cited = units.select(topic, "unit_id", F.explode("evidence_ids").alias("evidence_id")).join(e, F.col("evidence_id") == F.col("__e"))
+    return claims.unionByName(cited.select("topic", "unit_id", "evidence_id", F.concat(F.lit("- "), "evidence_id", F.lit(" "), "source_id", F.lit(" "), "kind", F.lit(": "), "literal_text").alias("line")))
+
+
+def word_postings(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(word, key, tf): the first package form's index, of words of letters and digits, case folded."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return rows.select(F.col(key).alias("key"), F.explode(words).alias("word")).groupBy("word", "key").agg(F.count(F.lit(1)).alias("tf"))

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Segmenter:
-    """Anchor hysteresis over frames (t, phash, gray, sharpness).
+    """Anchor hysteresis over frames (t, phash, gray, sharpness) that are pushed in time order.
 
-    A frame differs from the anchor by Hamming distance or mean pixel difference; two differing samples in a row confirm a change, whose
-    boundary is the first of them. Of each segment the sharpest frame is kept. Segments under ``least`` seconds go to the one before.
-    ``wild`` frames of great pixel difference in a row cut a segment short; many segments of short mean length retract all into one.
+    A frame differs from the anchor by Hamming distance or mean pixel difference. ``confirm`` differing samples in a row confirm a change, whose
+    boundary is the first of them: it becomes the new anchor, and the confirming frame is judged against it. A run that falls back to the anchor
+    leaves no trace. Of each segment the sharpest frame is kept. A segment under ``least`` seconds only lengthens the one before. ``wild_run``
+    frames in a row that differ greatly from the frame before them cut the track off where that run began. Many segments of short mean
+    length, or more than ``pages`` unlike pages, withdraw all segments. The last segment ends at the video's duration.
     """
 
     bits: int = 10
@@ -30,82 +32,131 @@ class Segmenter:
     wild_run: int = 3
     flicker: int = 8
     flicker_mean: float = 5.0
+    near: int = 5
+    pages: int = 500
     anchor: tuple | None = None
-    pending: list = field(default_factory=list)
-    runs: int = 0
-    now: dict | None = None
+    sharpest: tuple | None = None
+    pending: tuple | None = None
+    waiting: int = 0
+    last: tuple | None = None
+    wild_seen: int = 0
+    wild_from: float = 0.0
+    cut_at: float | None = None
+    flooded: bool = False
+    first_t: float | None = None
+    frames: int = 0
     done: list = field(default_factory=list)
+    hashes: list = field(default_factory=list)
 
     @staticmethod
-    def apart(a: tuple, b: tuple) -> tuple[int, float]:
-        bits = ((int(a[1]) ^ int(b[1])) & (1 << 64) - 1).bit_count()
-        pix = sum(abs(float(x) - float(y)) for x, y in zip(a[2], b[2])) / max(len(a[2]), 1) / 255 if len(a[2]) else 0.0
-        return bits, pix
+    def bits_apart(a: tuple, b: tuple) -> int:
+        return ((int(a[1]) ^ int(b[1])) & (1 << 64) - 1).bit_count()
+
+    @staticmethod
+    def pixels_apart(a: tuple, b: tuple) -> float:
+        return sum(abs(float(x) - float(y)) for x, y in zip(a[2], b[2])) / len(a[2]) / 255 if a[2] and b[2] else 0.0
+
+    def _differs(self, frame: tuple) -> bool:
+        return self.bits_apart(self.anchor, frame) >= self.bits or self.pixels_apart(self.anchor, frame) >= self.pixels
 
     def _begin(self, frame: tuple) -> None:
-        self.anchor = frame
-        self.now = {"start": frame[0], "end": frame[0], "best_t": frame[0], "best_lap": frame[3], "phash": frame[1]}
-
-    def _extend(self, frame: tuple) -> None:
-        self.now["end"] = frame[0]
-        if frame[3] > self.now["best_lap"]:
-            self.now |= {"best_t": frame[0], "best_lap": frame[3]}
-
-    def _close(self) -> None:
-        seg = self.now
-        if self.done and seg["end"] - seg["start"] < self.least:
-            self.done[-1]["end"] = seg["end"]
-        else:
-            self.done.append(seg)
-        self.now = None
+        self.anchor = self.sharpest = frame
 
-    def push(self, frame: tuple) -> None:
-        """Take the next frame (t, phash, gray, sharpness)."""
-        if self.now is None:
-            self._begin(frame)
+    def _offer(self, frame: tuple) -> None:
+        if frame[3] > self.sharpest[3]:
+            self.sharpest = frame
+
+    def _close(self, end: float) -> None:
+        if self.anchor is None or end <= self.anchor[0]:
             return
-        bits, pix = self.apart(self.anchor, frame)
-        self.runs = self.runs + 1 if pix >= self.wild else 0
-        if bits < self.bits and pix < self.pixels:
-            for f in self.pending:
-                self._extend(f)
-            self.pending = []
-            self._extend(frame)
+        shown = self.sharpest if self.sharpest[0] < end else self.anchor
+        if self.done and end - self.anchor[0] < self.least:
+            self.done[-1]["end"] = end
             return
-        self.pending.append(frame)
-        if len(self.pending) >= self.confirm or self.runs >= self.wild_run:
-            first, rest = self.pending[0], self.pending[1:]
-            self.now["end"] = first[0]
-            self._close()
-            self._begin(first)
-            self.pending = []
-            for f in rest:
-                self._extend(f)
-
-    def finish(self) -> list[dict]:
-        if self.now is not None:
-            for f in self.pending:
-                self._extend(f)
-            self._close()
-        self.pending = []
-        if len(self.done) >= self.flicker and sum(s["end"] - s["start"] for s in self.done) / len(self.done) < self.flicker_mean:
-            best = max(self.done, key=lambda s: s["best_lap"])
-            self.done = [best | {"start": self.done[0]["start"], "end": self.done[-1]["end"]}]
+        if all(self.bits_apart(shown, (0, h)) > self.near for h in self.hashes):
+            if len(self.hashes) >= self.pages:
+                self.flooded = True
+                return
+            self.hashes.append(int(shown[1]))
+        self.done.append({"start": self.anchor[0], "end": end, "best_t": shown[0], "phash": int(shown[1])})
+
+    def push(self, frame: tuple) -> bool:
+        """Take the next frame; false once no later frame counts."""
+        if self.flooded or self.cut_at is not None:
+            return False
+        self.frames += 1
+        self.first_t = frame[0] if self.first_t is None else self.first_t
+        leap = self.last is not None and self.pixels_apart(self.last, frame) >= self.wild
+        self.wild_seen = self.wild_seen + 1 if leap else 0
+        if self.wild_seen == 1:
+            self.wild_from = frame[0]
+        self.last = frame
+        if self.wild_seen >= self.wild_run:
+            self.cut_at, self.pending = self.wild_from, None
+            self._close(self.cut_at)
+            return False
+        if self.anchor is None:
+            self._begin(frame)
+        elif not self._differs(frame):
+            self.pending = None
+            self._offer(frame)
+        elif self.pending is None:
+            self.pending, self.waiting = frame, 1
+        else:
+            self.waiting += 1
+            if self.waiting >= self.confirm:
+                first, self.pending = self.pending, None
+                self._close(first[0])
+                if not self.flooded:
+                    self._begin(first)
+                    if self._differs(frame):
+                        self.pending, self.waiting = frame, 1
+                    else:
+                        self._offer(frame)
+        return not self.flooded
+
+    def length(self) -> float:
+        """The duration that the frames' spacing tells: as many mean steps as frames."""
+        return 0.0 if self.last is None else self.last[0] + (self.last[0] - self.first_t) / max(1, self.frames - 1)
+
+    def finish(self, duration: float | None = None) -> list[dict]:
+        """The segments, the last one up to ``duration`` (without it, to ``length()``)."""
+        self.pending = None
+        if self.last is not None and self.cut_at is None and not self.flooded:
+            self._close(self.length() if duration is None else duration)
+        if self.withdrawn():
+            self.done = []
         return self.done
 
+    def withdrawn(self) -> bool:
+        """Whether the track is no slides at all: too many pages, or segments that change too fast."""
+        spans = [x["end"] - x["start"] for x in self.done]
+        return self.flooded or self.cut_at is None and len(spans) >= self.flicker and sum(spans) / len(spans) < self.flicker_mean
+
 
 _SEGMENT = "start double, end double, best_t double, phash bigint"
 
 
-def segment_frames(frames: DataFrame, video: str = "video", **settings) -> DataFrame:
-    """(video, start, end, best_t, phash) of a batch table of frames; a video's frames meet in one task."""
+def _frame(row) -> tuple:
+    return float(row[0]), int(row[1]), [float(x) for x in row[2]] if row[2] is not None else [], float(row[3])
+
+
+def segment_frames(frames: DataFrame, video: str = "video", duration: str | None = None, **settings) -> DataFrame:
+    """(video, start, end, best_t, phash) of a batch table of frames (video, t, phash, gray64, lap).
+
+    ``duration`` names a column with the video's length; without it the frames' spacing tells. A video's frames meet in one task, where the machine's
+    state holds three frames.
+    """
+    columns = ["t", "phash", "gray64", "lap"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = Segmenter(**settings)
-        for row in pdf.sort_values("t", kind="stable")[["t", "phash", "gray64", "lap"]].itertuples(index=False):
-            s.push((row[0], row[1], list(row[2]) if row[2] is not None else [], row[3]))
+        for row in pdf.sort_values("t", kind="stable")[columns].itertuples(index=False):
+            if not s.push(_frame(row)):
+                break
         v = pdf[video].iloc[0]
-        return pd.DataFrame([(v, x["start"], x["end"], x["best_t"], x["phash"]) for x in s.finish()], columns=[video, "start", "end", "best_t", "phash"])
+        got = s.finish(None if duration is None else float(pdf[duration].max()))
+        return pd.DataFrame([(v, x["start"], x["end"], x["best_t"], x["phash"]) for x in got], columns=[video, "start", "end", "best_t", "phash"])
 
     return frames.groupBy(video).applyInPandas(run, f"`{video}` {frames.schema[video].dataType.simpleString()}, {_SEGMENT}")
 
@@ -116,25 +167,47 @@ def segment_stream(frames: DataFrame, idle: str = "1 minute", **settings) -> Dat
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         s = Segmenter(**(settings | (json.loads(state.get[0]) if state.exists else {})))
-        if s.anchor is not None:
-            s.anchor = tuple(s.anchor)
-        s.pending = [tuple(p) for p in s.pending]
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame([(key[0], x["start"], x["end"], x["best_t"], x["phash"]) for x in s.finish()], columns=["video", "start", "end", "best_t", "phash"])
             return
         for pdf in batches:
             for row in pdf.sort_values("t", kind="stable")[["t", "phash", "gray64", "lap"]].itertuples(index=False):
-                s.push((float(row[0]), int(row[1]), [float(x) for x in row[2]] if row[2] is not None else [], float(row[3])))
+                s.push(_frame(row))
         state.update((json.dumps(asdict(s)),))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(columns=["video", "start", "end", "best_t", "phash"])
+        state.setTimeoutDuration(_millis(idle))
 
-    n, unit = idle.split()
-    idle_ms = int(float(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")])
     return frames.groupBy("video").applyInPandasWithState(run, f"video string, {_SEGMENT}", "machine string", "append", "ProcessingTimeTimeout")
 
 
+def _millis(span: str) -> int:
+    n, unit = span.split()
+    return int(float(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")])
+
+
+def stall_stream(log: DataFrame, idle: str = "10 minutes", key: str = "event") -> DataFrame:
+    """(event, state, n_rows, last_ts) of a progress stream (event, ts): ``running`` after each batch of an event's rows, ``stalled`` once none has come for ``idle``.
+
+    The timer is one of processing time in the event's state, which holds two numbers; a stalled event that goes on runs again.
+    """
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, last = state.get if state.exists else (0, None)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [name[0]], "state": ["stalled"], "n_rows": [n], "last_ts": [last]})
+            return
+        for pdf in batches:
+            n += len(pdf)
+            last = max([x for x in (last, pdf["ts"].max()) if x is not None])
+        state.update((n, last))
+        state.setTimeoutDuration(_millis(idle))
+        yield pd.DataFrame({key: [name[0]], "state": ["running"], "n_rows": [n], "last_ts": [last]})
+
+    kind = log.schema[key].dataType.simpleString()
+    return log.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, state string, n_rows bigint, last_ts double", "n bigint, last double", "append", "ProcessingTimeTimeout")
+
+
 def frame_shortfall(seen: DataFrame, expected: Column) -> DataFrame:
     """Adds short: fewer frames than expected by more than 2 and more than a tenth."""
     return seen.withColumn("short", F.col("frames") < expected - F.greatest(F.lit(2.0), expected * 0.1))

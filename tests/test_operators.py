@@ -208,3 +208,68 @@ def test_gate_and_checks(spark):
     assert {r.rule for r in found.collect()} == {"record_id_unique", "disposition_missing", "disposition_orphan", "unit_cites_unknown", "unit_without_evidence", "unit_without_claim", "record_without_text", "record_times"}
     assert A.gate(found).first().status == "FAIL" and A.gate(found.where("false")).first().status == "PASS"
     assert A.gate(found.where("severity = 'warning'")).first().status == "WARN"
+
+
+def test_full_text_scores_by_hand(spark):
+    """Counts and the mean size are of all units, whatever the filter; a word is one phrase; occurrences may overlap."""
+    texts = {"U0": "aaaa zebra zebra", "U1": "zebra crossing", "U2": "nothing here", "U3": "aaa", "U4": "other words", "U5": "more words here"}
+    units = spark.createDataFrame([("e", k, "t", v, "high", ["E"]) for k, v in texts.items()], "event string, unit_id string, topic string, claim string, certainty string, evidence_ids array<string>")
+    size = {k: len(v) - 2 for k, v in texts.items()}
+    mean = sum(size.values()) / len(size)
+
+    def score(counts, k):
+        out = 0.0
+        for word in counts:
+            df = sum(1 for c in counts[word].values() if c)
+            idf = max(math.log((6 - df + 0.5) / (df + 0.5)), 1e-6)
+            out += idf * counts[word][k] * 2.2 / (counts[word][k] + 1.2 * (0.25 + 0.75 * size[k] / mean))
+        return out
+
+    got = R.match(units, ["zebra", "aaa"], ["event"], "topic", "claim").select("unit_id", R.bm25_of([0]).alias("z"), R.bm25_of([0, 1]).alias("both")).collect()
+    counts = {"zebra": {"U0": 2, "U1": 1, "U3": 0}, "aaa": {"U0": 2, "U1": 0, "U3": 1}}
+    by = {r.unit_id: r for r in got}
+    assert set(by) == {"U0", "U1", "U3"}
+    assert by["U0"].z == pytest.approx(score({"zebra": counts["zebra"]}, "U0")) and by["U1"].z == pytest.approx(score({"zebra": counts["zebra"]}, "U1")) and by["U3"].z is None
+    assert by["U0"].both == pytest.approx(score(counts, "U0")) and by["U1"].both is None
+    first = R.search_token(units, spark.createDataFrame([], "record_id string, clean_literal string"), "zebra aaa").collect()
+    assert [(r.tier, r.id) for r in first] == [(1, "U0")]
+    assert R.phrases_of("To be or NOT") == ["not"]
+
+
+def test_search_without_hits_names_the_first_event(spark):
+    units, records = search_tables(spark)
+    out = R.response(R.search(units, records, "qqqq"), units.select("event")).collect()
+    assert [(r.event, r.units, r.evidence) for r in out] == [("e", [], [])]
+    out = R.response(R.search(units, records, "launch hiring"), units.select("event")).first()
+    assert (out.event, out.units, out.evidence) == ("e", ["U0", "U2"], [])
+    packet = R.packet(units, spark.createDataFrame([("E1", "s", "audio", "spoken zzz"), ("E9", "s", "image", "qqqq here")], "evidence_id string, source_id string, kind string, literal_text string"), "qqqq").collect()
+    assert [(r.tier, r.id, r.evidence) for r in packet] == [(3, "E9", None)]
+
+
+def test_context_by_record_and_by_time(spark):
+    records = spark.createDataFrame([("e", f"R{i}", float(i * 10), f"said {i}", "logistics" if i == 3 else "content") for i in range(8)], "event string, record_id string, start_seconds double, clean_literal string, label string")
+    asks = spark.createDataFrame([("a", "e", "R2", None), ("b", "e", None, 65.0), ("c", "e", None, -1.0), ("d", "nowhere", "R2", None), ("f", "e", "R99", None)], "ask string, event string, record_id string, around_seconds double")
+    got = {}
+    for r in R.transcript_context(records, asks, context=1).orderBy("ask", "position").collect():
+        got.setdefault(r.ask, []).append(r.line)
+    assert got == {"a": ["  R1 [00:00:10] said 1", "→ R2 [00:00:20] said 2", "  R3 [00:00:30] said 3 [logistics]"], "b": ["  R5 [00:00:50] said 5", "→ R6 [00:01:00] said 6", "  R7 [00:01:10] said 7"]}
+
+
+def test_components_raise_rather_than_stop_early(spark):
+    nodes = spark.range(64).withColumnRenamed("id", "n")
+    edges = spark.range(63).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = G.components(nodes, edges, "n", "a", "b")
+    assert got.select("component").distinct().collect()[0].component == 0 and got.count() == 64
+    with pytest.raises(RuntimeError):
+        G.components(nodes, edges, "n", "a", "b", rounds=2)
+    odd = spark.createDataFrame([("x", None), (None, "x"), ("x", "x"), ("y", "z"), ("y", "z")], "a string, b string")
+    assert sorted(map(tuple, G.components(spark.createDataFrame([("x",), ("y",), ("z",)], "n string"), odd, "n", "a", "b").collect())) == [("x", "x"), ("y", "y"), ("z", "y")]
+
+
+def test_places_in_a_global_order(spark):
+    from quillstone.operators.scratch import ranked
+
+    rows_ = [(i * 7919 % 1000, "k" if i % 3 else "hot") for i in range(1000)]
+    got = ranked(spark.createDataFrame(rows_, "v long, g string").repartition(7), ["g", "v"], "place").collect()
+    want = {(g, v): i + 1 for i, (g, v) in enumerate(sorted((g, v) for v, g in rows_))}
+    assert {(r.g, r.v): r.place for r in got} == want

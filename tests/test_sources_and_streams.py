@@ -100,11 +100,88 @@ def test_segments_follow_the_schedule(spark, parts):
     assert len(pages) == 4 and max(len(p.time_ranges) for p in pages) == 2
 
 
+def machine(track, duration=None, **settings):
+    s = online.Segmenter(**settings)
+    for frame in track:
+        if not s.push(frame):
+            break
+    return s, [(x["start"], x["end"], x["best_t"]) for x in s.finish(duration)]
+
+
+FAR = (1 << 30) - 1
+
+
 def test_flicker_retracts_all():
-    s = online.Segmenter()
-    for i in range(60):
-        s.push((i * 0.5, 0 if i // 3 % 2 else (1 << 30) - 1, [], 1.0))
-    assert len(s.finish()) == 1
+    assert machine([(i * 0.5, 0 if i // 3 % 2 else FAR, [], 1.0) for i in range(60)])[1] == []
+
+
+def test_the_last_segment_ends_at_the_duration():
+    track = [(float(t), 0 if t < 5 else FAR, [], float(t % 3)) for t in range(10)]
+    assert machine(track, 10.0)[1] == [(0.0, 5.0, 2.0), (5.0, 10.0, 5.0)]
+    assert machine(track)[1][-1][1] == 10.0, "ten frames a second apart are ten seconds"
+
+
+def test_a_flash_leaves_no_trace():
+    """One differing frame, the sharpest of all, falls back to the anchor; another stays open at the end."""
+    track = [(float(t), FAR if t in (4, 9) else 0, [], 9.0 if t in (4, 9) else 1.0) for t in range(10)]
+    assert machine(track, 10.0)[1] == [(0.0, 10.0, 0.0)]
+
+
+def test_the_confirming_frame_is_judged_by_the_new_anchor():
+    """Page b begins at 3; the frame that confirms it is page c already, whose next frame confirms c at 4."""
+    b, c = FAR, FAR << 32
+    track = [(float(t), h, [], 1.0) for t, h in enumerate([0, 0, 0, b, c, c, c])]
+    assert machine(track, 7.0)[1] == [(0.0, 3.0, 0.0), (3.0, 4.0, 3.0), (4.0, 7.0, 4.0)]
+
+
+def test_wild_frames_cut_the_track_off():
+    """Each of three frames differs greatly from the one before it: the track ends where that began, also for the sharpest frame."""
+    calm, wild = [(float(t), 0, [0.0] * 4, 1.0) for t in range(5)], [(5.0, 0, [255.0] * 4, 7.0), (6.0, 0, [0.0] * 4, 8.0), (7.0, 0, [255.0] * 4, 9.0)]
+    s, got = machine([*calm, *wild, (8.0, 0, [0.0] * 4, 1.0)], 9.0)
+    assert got == [(0.0, 5.0, 0.0)] and s.cut_at == 5.0 and s.frames == 8
+    slow = [(float(t), 0, [0.0 if t < 5 else 255.0] * 4, 1.0) for t in range(10)]
+    assert len(machine(slow, 10.0)[1]) == 2, "one great change is a page"
+
+
+def test_short_segments_lengthen_the_one_before_and_floods_are_withdrawn():
+    short = [(t / 4, h, [], 1.0) for t, h in enumerate([0] * 8 + [FAR] * 2 + [FAR << 32] * 8)]
+    assert machine(short, 4.5)[1] == [(0.0, 2.5, 0.0), (2.5, 4.5, 2.5)]
+    pages = [(float(t), (t // 10 + 1) * 0x0F1E2D3C4B5A6978 % (1 << 62), [], 1.0) for t in range(100)]
+    assert len(machine(pages, 100.0)[1]) == 10 and machine(pages, 100.0, pages=4)[1] == []
+
+
+def test_the_stream_equals_the_batch(spark, tmp_path):
+    df = spark.createDataFrame(frames(), FRAME)
+    want = sorted(map(tuple, online.segment_frames(df).collect()))
+    for i, (low, high) in enumerate(((0, 15), (15, 33), (33, 60))):
+        df.where(f"t >= {low} AND t < {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = online.segment_stream(stream, "3 seconds").writeStream.outputMode("append").format("memory").queryName("segs").option("checkpointLocation", str(tmp_path / "cp")).start()
+    until(lambda: spark.sql("SELECT * FROM segs").count() >= len(want), lambda i: df.limit(0).write.mode("append").parquet(str(tmp_path / "in")))
+    q.stop()
+    assert sorted(map(tuple, spark.sql("SELECT * FROM segs").collect())) == want
+
+
+def until(done, push, seconds=60):
+    """Wait for a processing-time timer; batches without rows keep the query going."""
+    import time
+
+    end, i = time.time() + seconds, 0
+    while time.time() < end and not done():
+        time.sleep(1)
+        push(i)
+        i += 1
+
+
+def test_events_without_rows_stall(spark, tmp_path):
+    log = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.5)], "event string, ts double")
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    q = online.stall_stream(stream, "2 seconds").writeStream.outputMode("append").format("memory").queryName("stalls").option("checkpointLocation", str(tmp_path / "cp")).start()
+    found = lambda: {(r.event, r.state): (r.n_rows, r.last_ts) for r in spark.sql("SELECT * FROM stalls").collect()}
+    until(lambda: ("b", "stalled") in found(), lambda i: log.limit(0).write.mode("append").parquet(str(tmp_path / "in")))
+    q.stop()
+    assert found() == {("a", "running"): (2, 2.0), ("a", "stalled"): (2, 2.0), ("b", "running"): (1, 1.5), ("b", "stalled"): (1, 1.5)}
 
 
 def test_latest_snapshot_streams(spark, tmp_path):

@@ -22,7 +22,7 @@ def folder(spark, tmp_path_factory):
 def test_claims_are_whole_texts(spark, folder):
     assert all(r.claim == r.text for r in Tables(spark, folder).units().join(Tables(spark, folder).raw("documents"), F.col("ordinal") == F.col("doc_id")).collect())
     assert {r.key for r in catalog.QUERIES["search_bm25"](spark, folder).where("query = 'thatnd'").collect()} == {"U000001", "U000003"}
-    assert [(r.tier, r.id) for r in catalog.QUERIES["search_token"](spark, folder).orderBy("rank").collect()] == [(2, "U000001"), (2, "U000003")]
+    assert [(r.tier, r.id) for r in catalog.QUERIES["search_token"](spark, folder).orderBy("id").collect()] == [(1, "U000001"), (1, "U000003")]
     assert {(r.kind, r.id) for r in catalog.QUERIES["search_meetings"](spark, folder).collect()} == {("unit", "U000001"), ("unit", "U000003")}
 
 
