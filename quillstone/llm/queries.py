@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe_count, chat, decontam, fingerprint, piece_codec, quality, toxicity, urlgraph, warc
-from quillstone.llm.common import Scratch, fold_of, table
+from quillstone.llm.common import Scratch, few, fold_of, table
 from quillstone.llm.neardup import near_duplicates
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -98,15 +98,23 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n, size = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - size), F.substring("next_text", F.lit(1), size))
-    rows = fingerprint.with_next(docs).select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = rows.withColumns({"canon": fingerprint.canonical(F.col("text")), "edited_canon": fingerprint.canonical(F.col("edited")), "next_canon": fingerprint.canonical(F.col("next_text"))})
-    same = lambda c: (F.col("canon") == F.col(c)).cast("double")
-    rows = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint.wide_hash(F.col("canon")).alias("bucket"), F.sha2("canon", 256).alias("strong"),
-        fingerprint.wide_hash(F.col("edited_canon")).alias("edited_fingerprint"), same("edited_canon").alias("near_edited"), same("next_canon").alias("near_next"),
-    )
-    found = fingerprint.classes(fingerprint.fingerprint(docs).select("doc_id", "bucket", "canon"))
-    return fingerprint.join_classes(rows, found)
+    rows = fingerprint.with_next(fingerprint.fingerprint(docs).drop("canon"), also=("bucket", "strong")).withColumn("edited", edited)
+    rows = rows.withColumn("canon", fingerprint.canonical(F.col("edited")))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "bucket", "strong", "next_bucket", "next_strong", fingerprint.wide_hash(F.col("canon")).alias("edited_bucket"), F.sha2("canon", 256).alias("edited_strong"))
+    scratch = Scratch(spark, "fingerprint")
+    rows = scratch.keep(rows, "rows")
+    found = scratch.keep(fingerprint.classes(fingerprint.fingerprint(docs).select("doc_id", "bucket", "canon")), "classes")
+    # hashes that two unlike texts share, among the documents and their edited texts; none is to be expected
+    met = found.select("bucket", "strong").union(rows.select("edited_bucket", "edited_strong")).distinct()
+    met = few(scratch.keep(met.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b"), "collisions"), 500_000)
+    same = lambda c: ((F.col("bucket") == F.col(f"{c}_bucket")) & (F.col("strong") == F.col(f"{c}_strong"))).cast("double")
+    rows = rows.withColumns({"near_edited": same("edited"), "near_next": same("next")})
+    rows = rows.join(met.select("b", F.lit(True).alias("own")), F.col("bucket") == F.col("b"), "left").drop("b")
+    rows = rows.join(met.select("b", F.lit(True).alias("other")), F.col("edited_bucket") == F.col("b"), "left").drop("b")
+    rows = rows.withColumn("edited_fingerprint", fingerprint.mark("edited_bucket", "edited_strong", F.col("other")))
+    found = found.select(F.col("bucket").alias("k"), F.col("strong").alias("s"), "copy_of", "n_copies")
+    out = rows.join(found, (F.col("bucket") == F.col("k")) & (F.col("strong") == F.col("s")))
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint.mark("bucket", "strong", F.col("own")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "copy_of", "n_copies")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
