@@ -3,7 +3,7 @@
 A bundle is one file: WARC records grouped into frames that decompress on their own, then a skippable frame with the seek table
 of the public seekable format (sizes of every frame, and a footer with their number). An index maps each record identifier to
 bundle, frame and the record's place inside the frame. Bundles and index are one Parquet table in the shared folder, so that
-they can be in any store that Spark reads; ``export_bundle`` writes one as a plain file.
+they can be in any store that Spark reads; ``export_bundles`` writes them as plain files.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import Scratch, few, give_back
+
 #: Fixed values of the seekable format: skippable frame, footer, bytes a frame in the table without checksums.
 SKIPPABLE, FOOTER, ENTRY = 0x184D2A5E, 0x8F92EAB1, 8
 
@@ -109,10 +111,25 @@ def fetch(archive: bytes, frame: int, offset: int, length: int) -> dict:
     return parse(read_frame(archive, seek_table(archive)[frame])[offset : offset + length])
 
 
-def export_bundle(archive: bytes, path: str) -> None:
-    """A bundle as a plain .warc.zst file."""
-    with open(path, "wb") as f:
-        f.write(archive)
+def export_bundles(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """(bundle_id, file): every bundle of the table at ``path`` as a plain ``.warc.zst`` file in ``folder``.
+
+    Executors write through pyarrow's file systems, so ``folder`` is a URI or path that all of them reach.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            names = [f"{root}/{b}.warc.zst" for b in batch.column("bundle_id").to_pylist()]
+            for name, archive in zip(names, batch.column("archive")):
+                with store.open_output_stream(name) as f:
+                    f.write(archive.as_buffer())
+            yield pa.RecordBatch.from_arrays([batch.column("bundle_id"), pa.array(names)], names=["bundle_id", "file"])
+
+    return spark.read.parquet(path).select("bundle_id", "archive").mapInArrow(run, "bundle_id string, file string")
 
 
 def _packer(frame_bytes: int, bundle_bytes: int, level: int):
@@ -138,6 +155,7 @@ def _packer(frame_bytes: int, bundle_bytes: int, level: int):
                     yield out()
         if w.index:
             yield out()
+        give_back()
 
     return run
 
@@ -161,6 +179,7 @@ def _reader(payloads: bool):
                         rows = []
                 if rows:
                     yield _rows(rows)
+        give_back()
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
@@ -169,18 +188,21 @@ def _reader(payloads: bool):
     return run
 
 
-def write_bundles(pages: DataFrame, path: str, least: int = 100, frame_bytes: int = 262_144, bundle_bytes: int = 8_388_608, level: int = 3) -> None:
+def write_bundles(pages: DataFrame, path: str, least: int = 100, frame_bytes: int = 262_144, bundle_bytes: int = 8_388_608, level: int = 3, most_repeated: int = 500_000) -> None:
     """Write a record for each row of ``pages(page_id, url, html, ...)`` to bundles at ``path``.
 
     Payload: html in UTF-8, null as empty. Of equal payloads of at least ``least`` bytes the one with the smallest page_id is a response and
     the others revisit it; smaller payloads are all responses. Rows that repeat page_id and payload of a response are responses too, so are
     payloads whose rows have no page_id. A null url is written as empty. Equality is that of SHA-256 digests. Only digests and ids are grouped, with
-    combining before the shuffle; the join back may be split where many pages are alike.
+    combining before the shuffle. The digests that repeat are broadcast up to ``most_repeated``, so that no payload moves; beyond, payloads are joined
+    with them by a shuffle that may be split where many pages are alike. A payload is a string column's value, of less than 2 GiB.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))
     groups = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    rows = rows.join(groups, F.col("digest") == F.col("d"), "left").drop("d")
+    scratch = Scratch(pages.sparkSession, "digests")
+    rows = rows.join(few(scratch.keep(groups, "repeated"), most_repeated), F.col("digest") == F.col("d"), "left").drop("d")
     rows.mapInArrow(_packer(frame_bytes, bundle_bytes, level), _BUNDLES).write.parquet(path)
+    scratch.clear()
 
 
 def read_bundles(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
