@@ -1,14 +1,14 @@
 """Quality probabilities from random-indexing word vectors and a small network.
 
-Every word and every word shape has a fixed sparse index vector, a rule of its hash. One pass over all documents adds to each
-word bucket the index vectors of the words and shapes around it; the sums are aggregated in Spark and, centred and scaled, are
-the word vectors. A document pools its words' vectors and its shapes' index vectors. A two-layer network, trained with numpy on
-a bounded sample, maps that to a logit, and a temperature fitted on examples that it has not trained on calibrates it.
+Words are runs of letters and digits as written, and runs of marks. Every word has a fixed sparse index vector, a rule of its
+hash. One pass over all documents adds to each word bucket the index vectors of the words around it; the sums are aggregated in
+Spark and, centred and scaled, are the word vectors. A document pools its words' vectors: their mean, their spread and the mean
+product of neighbours'. Nothing else enters. A two-layer network, trained with numpy on a bounded sample, maps that to a logit, and a temperature fitted on examples
+that it has not trained on calibrates it.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,89 +18,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import mix64
+from quillstone.llm.common import give_back, mix64, place
 from quillstone.llm.toxicity import labelled
 
-WORDS, SHAPES, DIM, ONES, REACH = 1 << 14, 1 << 10, 32, 4, 2
-
-_KINDS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"(?:[a-z]|[\x80-\xff])+"), b"a"), (re.compile(rb"[0-9]+"), b"0")]
-
-
-def shape(word: bytes) -> bytes:
-    """Runs of capitals, of other letters and of digits become one sign each; the rest stays."""
-    for pattern, sign in _KINDS:
-        word = pattern.sub(sign, word)
-    return word[:8]
-
-
-class Hasher(dict):
-    """word -> bucket of the word and bucket of its shape, in one number; remembered within a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        at = zlib.crc32(word.lower()) % WORDS * SHAPES + zlib.crc32(shape(word)) % SHAPES
-        self[word] = at
-        return at
-
-
-def index_vectors(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the few non-zero entries of each index vector."""
-    h = mix64(np.arange(n * ONES, dtype=np.uint64) + np.uint64(salt << 40)).reshape(n, ONES)
+WORDS, DIM, ONES, REACH = 1 << 14, 32, 2, 2
+
+#: 0: white space and control signs, 1: letters, digits and all beyond ASCII, 2: marks.
+_KIND = np.array([0 if b <= 32 or b == 127 else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.uint8)
+#: An odd base and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+class Powers:
+    """Powers of the base and of its inverse, as many as were ever asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            rows = [np.full(n, v, dtype=np.uint64) for v in (_BASE, _BACK)]
+            for r in rows:
+                r[0] = 1
+            self.up, self.down = (np.multiply.accumulate(r) for r in rows)
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = Powers()
+
+
+def words(raw: bytes, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Places and buckets of the words of UTF-8 text, read in slices that end where a word does."""
+    whole = np.frombuffer(raw, dtype=np.uint8)
+    places, found, at = [], [], 0
+    while at < len(whole):
+        size = step
+        while True:
+            part = whole[at : at + size]
+            kind = _KIND[part]
+            cuts = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+            if at + len(part) == len(whole):
+                cuts = np.r_[cuts, len(part)]
+            if len(cuts):
+                break
+            size *= 2  # a word longer than the slice
+        cuts = np.r_[0, cuts]
+        up, down = _POWERS.get(int(cuts[-1]))
+        sums = np.zeros(cuts[-1] + 1, dtype=np.uint64)
+        np.cumsum((part[: cuts[-1]].astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        real = np.flatnonzero(kind[cuts[:-1]] > 0)
+        first, last = cuts[:-1][real], cuts[1:][real]
+        places.append(first + at)
+        found.append((mix64((sums[last] - sums[first]) * down[first]) % np.uint64(WORDS)).astype(np.int64))
+        at += int(cuts[-1])
+    return (np.concatenate(places), np.concatenate(found)) if places else (np.empty(0, np.int64),) * 2
+
+
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the few non-zero entries of each word's index vector."""
+    h = mix64(np.arange(WORDS * ONES, dtype=np.uint64) + np.uint64(1 << 40)).reshape(WORDS, ONES)
     return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
-def dense(n: int, salt: int) -> np.ndarray:
-    place, sign = index_vectors(n, salt)
-    out = np.zeros((n, DIM), dtype=np.float32)
-    np.add.at(out, (np.arange(n)[:, None], place), sign.astype(np.float32))
-    return out
+def blocks(texts: Iterator[str], most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(texts, text of each word, its bucket) of texts that lie end to end, about ``most`` bytes at once; a longer text stands alone."""
+    held, size = [], 0
 
+    def out() -> tuple[int, np.ndarray, np.ndarray]:
+        ends = np.cumsum([len(x) + 1 for x in held])
+        at, w = words(b"\n".join(held))
+        return len(held), np.searchsorted(ends, at, "right"), w
 
-def buckets(text: str, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    words = text.encode("utf-8", "surrogatepass").split()
-    at = np.fromiter(map(hasher.__getitem__, words), dtype=np.int64, count=len(words))
-    return at // SHAPES, at % SHAPES
+    for t in texts:
+        held.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size > most:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher, rw, rs = Hasher(), dense(WORDS, 1), dense(SHAPES, 2)
-    sums, seen = np.zeros((WORDS, DIM)), np.zeros(WORDS, dtype=np.int64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add() -> None:
-        """Sum up what stands around each word; texts are kept apart by a gap."""
-        nonlocal sums, seen
-        if not held:
-            return
-        gap = np.full(REACH, -1)
-        w = np.concatenate([x for a, _ in held for x in (a, gap)])
-        s = np.concatenate([x for _, b in held for x in (b, gap)])
-        held.clear()
-        v = np.where((w >= 0)[:, None], rw[w] + rs[s], np.float32(0))
-        c = np.zeros_like(v)
-        for o in range(1, REACH + 1):
-            c[o:] += v[:-o]
-            c[:-o] += v[o:]
-        real = np.flatnonzero(w >= 0)
-        order = real[np.argsort(w[real], kind="stable")]
-        if len(order):
-            sw = w[order]
-            starts = np.flatnonzero(np.r_[True, sw[1:] != sw[:-1]])
-            sums[sw[starts]] += np.add.reduceat(c[order], starts, axis=0)
-            seen += np.bincount(sw, minlength=WORDS)
-
-    size = 0
-    for batch in batches:
-        for t in batch.column("text"):
-            held.append(buckets(t.as_py() or "", hasher))
-            size += len(held[-1][0])
-            if size > 200_000:
-                add()
-                size = 0
-    add()
-    at = np.flatnonzero(seen)
+    place, sign = index_vectors()
+    sums, seen = np.zeros(WORDS * DIM), np.zeros(WORDS, dtype=np.int64)
+    for _, doc, w in blocks(t.as_py() for b in batches for t in b.column("text")):
+        for a in range(0, len(w), 1 << 18):  # a long text's words, part by part
+            here, text = w[a : a + (1 << 18) + REACH], doc[a : a + (1 << 18) + REACH]
+            own = min(1 << 18, len(here))
+            seen += np.bincount(here[:own], minlength=WORDS)
+            for o in range(1, REACH + 1):
+                left = np.flatnonzero(text[o:] == text[:-o])
+                left = left[left < own]
+                for x, y in ((here[left], here[left + o]), (here[left + o], here[left])):
+                    for k in range(ONES):
+                        sums += np.bincount(x * DIM + place[y, k], weights=sign[y, k], minlength=WORDS * DIM)
+    at, sums = np.flatnonzero(seen), sums.reshape(WORDS, DIM)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64()), *(pa.array(sums[at, d], pa.float64()) for d in range(DIM))], names=["bucket", "n", *(f"d{d}" for d in range(DIM))])
+    give_back()
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -117,6 +133,24 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def pooled(vectors: np.ndarray, texts: Iterator[str]) -> np.ndarray:
+    """Mean and spread of each text's word vectors and the mean product of neighbours' vectors; texts without words pool to zeros."""
+    out = []
+    for n, doc, w in blocks(texts):
+        sums, size = np.zeros((n, 3 * DIM)), np.bincount(doc, minlength=n)
+        for a in range(0, len(w), 1 << 15):
+            v, d = vectors[w[a : a + (1 << 15) + 1]], doc[a : a + (1 << 15) + 1]
+            beside = np.zeros_like(v)
+            beside[:-1] = np.where((d[1:] == d[:-1])[:, None], v[1:] * v[:-1], np.float32(0))
+            all_, d = np.hstack([v, v * v, beside])[: 1 << 15], d[: 1 << 15]
+            starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            sums[d[starts]] += np.add.reduceat(all_, starts, axis=0)
+        sums /= np.maximum(size, 1)[:, None]
+        mean, square, beside = np.split(sums, 3, axis=1)
+        out.append(np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), beside]))
+    return np.concatenate(out) if out else np.zeros((0, 3 * DIM))
+
+
 @dataclass
 class Model:
     vectors: np.ndarray
@@ -128,17 +162,6 @@ class Model:
     b2: float
     temperature: float
 
-    def __post_init__(self):
-        self.shapes = dense(SHAPES, 2)
-
-    def pool(self, text: str, hasher: Hasher) -> np.ndarray:
-        w, s = buckets(text, hasher)
-        n = len(w)
-        if not n:
-            return np.zeros(2 * DIM + 2, dtype=np.float32)
-        same = len(np.unique(w)) / n
-        return np.concatenate([self.vectors[w].mean(axis=0), self.shapes[s].mean(axis=0), [np.log1p(n), same]]).astype(np.float32)
-
     def logits(self, x: np.ndarray) -> np.ndarray:
         x = (x - self.mean) / self.scale
         return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
@@ -149,10 +172,10 @@ class Model:
 
 def _pooler(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hasher = model.value, Hasher()
+        m = model.value
         for batch in batches:
-            x = [m.pool(t.as_py(), hasher).tolist() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
+            x = pooled(m.vectors, (t.as_py() for t in batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["h", "y", "x"])
 
     return run
 
@@ -194,27 +217,29 @@ def fit(docs: DataFrame, labels: DataFrame, train=lambda k: F.lit(True), most_la
     Without examples of both classes every text scores the share of good labels (1/2 without labels).
     """
     sc = docs.sparkSession.sparkContext
-    d = 2 * DIM + 2
+    d = 3 * DIM
     model = Model(word_vectors(docs), np.zeros(d), np.ones(d), np.zeros((d, 1)), np.zeros(1), np.zeros(1), 0.0, 1.0)
-    seen = labelled(docs, labels, "quality", train, most_labelled).mapInArrow(_pooler(sc.broadcast(model)), "doc_id long, y int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
+    told = sc.broadcast(model)
+    rows = labelled(docs, labels, "quality", train, most_labelled).select(F.xxhash64("doc_id").alias("h"), "y", "text")
+    seen = rows.mapInArrow(_pooler(told), "h long, y int, x array<double>").toPandas().sort_values("h", kind="stable")
+    told.destroy()
     y = seen["y"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
         model.b2 = float(np.log(p / (1 - p)))
         return model
     x = np.array(seen["x"].tolist(), dtype=float)
-    apart = np.array([zlib.crc32(f"t{k}".encode()) % 6 == 0 for k in seen["doc_id"]])
+    apart = seen["h"].to_numpy() % 6 == 0
     return _train(model, x, y, apart if 50 <= apart.sum() < len(y) else np.zeros(len(y), bool), hidden, rounds, seed)
 
 
-def _scorer(model):
+def _scorer(model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hasher = model.value, Hasher()
+        m = model.value
         for batch in batches:
-            x = np.array([m.pool(t.as_py() or "", hasher) for t in batch.column("__text")]).reshape(batch.num_rows, -1)
-            at = batch.schema.get_field_index("__text")
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(m.probabilities(x) if len(x) else [], pa.float64())], names=[*(batch.schema.names[i] for i in keep), "quality_score"])
+            x = pooled(m.vectors, (t.as_py() for t in batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.probabilities(x) if len(x) else [], pa.float64())], names=[*batch.schema.names, "quality_score"])
+        give_back()
 
     return run
 
@@ -224,4 +249,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("quality_score")
     told = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__text", F.col("text")).mapInArrow(_scorer(told), f"{fields}, quality_score double")
+    return docs.mapInArrow(_scorer(told, place(docs, "text")), f"{fields}, quality_score double")
