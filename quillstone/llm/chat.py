@@ -1,15 +1,17 @@
 """Chat formatting by schema fingerprints, with DataFrame functions only.
 
-A layout is known by its nested field paths; their SHA-256 selects a declarative mapping to canonical turns (conv_id, turn,
-role, text). Tables are matched by their schema, JSON rows each by the paths of its own value. The template writes
-``<|im_start|>role``, a line break, the text and ``<|im_end|>`` with a line break for each turn; inside roles and texts the
-control sign is escaped, so that no text can forge a turn, and reading back is exact.
+A layout is known by its nested field paths. Of the paths of a table's schema, or of a JSON row's own value, those that some layout
+declares are sorted and hashed; that SHA-256 selects a declarative mapping to canonical turns (conv_id, turn, role, text), so
+further fields of a row don't matter. The template writes ``<|im_start|>role``, a line break, the text and ``<|im_end|>`` with a
+line break for each turn; inside roles and texts the control sign is escaped, so that no text can forge a turn, and reading back is
+exact.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,22 +46,44 @@ def path_digest(fields: list[str]) -> str:
 
 
 def row_paths(value: Column) -> Column:
-    """Nested field paths of a VARIANT value, from the schema that Spark derives for it: sorted, without the leaves' types.
+    """Nested field paths of a VARIANT value, from the schema that Spark derives for it; ``[]`` steps into arrays, whose elements count together.
 
-    Objects and arrays nest three deep; arrays count by what all their elements hold.
+    One pass over the schema's signs keeps the path of the place reached and of all that enclose it.
     """
-    shape = F.regexp_replace(F.schema_of_variant(value), r"(?<=[ <])(?:STRING|BIGINT|DECIMAL\(\d+,\d+\)|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP(?:_NTZ)?|BINARY|VARIANT)\b", "v")
-    return F.sha2(shape, 256)
+    signs = F.regexp_extract_all(F.schema_of_variant(value), F.lit(r"(?:`(?:[^`]|``)*`|[^`<>:, ]+): |OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9,]+\))?"), F.lit(0))
+    texts = lambda *x: F.array(*x).cast("array<string>")
+
+    def step(state: Column, sign: Column) -> Column:
+        around, at, found = state["around"], state["at"], state["found"]
+        top = F.element_at(around, -1)
+        name = F.replace(F.regexp_replace(sign, r"^`|`?: $", ""), F.lit("``"), F.lit("`"))
+        inner = F.concat(at, F.lit("[]"))
+        go = lambda around, at, found: F.struct(around.alias("around"), at.alias("at"), found.alias("found"))
+        return (
+            F.when(sign == "OBJECT<", go(F.concat(around, F.array(at)), at, found))
+            .when(sign == "ARRAY<", go(F.concat(around, F.array(inner)), inner, found))
+            .when(sign == ">", go(F.slice(around, 1, F.size(around) - 1), at, found))
+            .when(F.endswith(sign, F.lit(": ")), go(around, F.when(top == "", name).otherwise(F.concat(top, F.lit("."), name)), found))
+            .otherwise(go(around, at, F.concat(found, F.array(at))))
+        )
+
+    start = F.struct(texts(F.lit("")).alias("around"), F.lit("").alias("at"), texts().alias("found"))
+    return F.aggregate(signs, start, step, lambda state: F.array_sort(F.array_distinct(state["found"])))
 
 
 @dataclass(frozen=True)
 class Layout:
-    """``sample`` is a JSON value of the layout; ``turns`` are SQL expressions (role, text) over the row, or one array expression of them."""
+    """``forms`` are the sets of field paths that name it, with any of ``more``; ``turns`` is a SQL expression of (role, text) over the row's ``v``."""
 
     name: str
-    sample: str
+    forms: tuple[tuple[str, ...], ...]
+    more: tuple[str, ...]
     turns: str
 
+    def digests(self) -> list[str]:
+        some = chain.from_iterable(combinations(self.more, n) for n in range(len(self.more) + 1))
+        return [path_digest([*form, *more]) for more in some for form in self.forms]
+
 
 def _pick(path: str) -> str:
     return f"coalesce(try_variant_get(v, '{path}', 'string'), '')"
@@ -69,21 +93,46 @@ def _pairs(*pairs: tuple[str, str]) -> str:
     return "array(" + ", ".join(f"named_struct('role', '{r}', 'text', {t})" for r, t in pairs) + ")"
 
 
-def _list(path: str, role: str, text: str, roles: str = "r") -> str:
-    return f"transform(try_variant_get(v, '{path}', 'array<map<string,string>>'), m -> named_struct('role', {roles.replace('r', f'''coalesce(m['{role}'], '')''', 1)}, 'text', coalesce(m['{text}'], '')))"
+def _said(c: str) -> str:
+    """The text of a content: a string, or the texts of its parts in a row; parts without text give none."""
+    part = "CASE WHEN schema_of_variant(p) = 'STRING' THEN try_variant_get(p, '$', 'string') ELSE coalesce(try_variant_get(p, '$.text', 'string'), '') END"
+    return f"CASE WHEN startswith(schema_of_variant({c}), 'ARRAY') THEN array_join(transform(try_variant_get({c}, '$', 'array<variant>'), p -> {part}), '') ELSE coalesce(try_variant_get({c}, '$', 'string'), '') END"
+
+
+def _list(path: str, role: str, text: str) -> str:
+    who = f"coalesce(try_variant_get(m, '$.{role}', 'string'), '')"
+    who = f"CASE {who} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE {who} END"
+    content = f"try_variant_get(m, '$.{text}', 'variant')"
+    return f"transform(try_variant_get(v, '$.{path}', 'array<variant>'), m -> named_struct('role', {who}, 'text', {_said(content)}))"
+
+
+def _listed(path: str, role: str, text: str) -> tuple[tuple[str, ...], ...]:
+    """A list's forms: contents are strings, lists of parts, or both."""
+    return tuple((f"{path}[].{role}", f"{path}[].{text}{end}") for end in ("", "[]", "[].text"))
+
 
+_ASKED = f"CASE WHEN {_pick('$.input')} = '' THEN {_pick('$.instruction')} ELSE concat({_pick('$.instruction')}, chr(10), chr(10), {_pick('$.input')}) END"
 
 LAYOUTS = [
-    Layout("messages", '{"messages": [{"role": "a", "content": "b"}]}', _list("$.messages", "role", "content")),
-    Layout("conversations", '{"conversations": [{"from": "a", "value": "b"}]}', f"transform({_list('$.conversations', 'from', 'value')}, m -> named_struct('role', CASE m.role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.role END, 'text', m.text))"),
-    Layout("instruction_input", '{"instruction": "a", "input": "b", "output": "c"}', f"CASE WHEN {_pick('$.input')} = '' THEN {_pairs(('user', _pick('$.instruction')), ('assistant', _pick('$.output')))} ELSE {_pairs(('user', f'''concat({_pick('$.instruction')}, chr(10), chr(10), {_pick('$.input')})'''), ('assistant', _pick('$.output')))} END"),
-    Layout("instruction", '{"instruction": "a", "output": "c"}', _pairs(("user", _pick("$.instruction")), ("assistant", _pick("$.output")))),
-    Layout("prompt_response", '{"prompt": "a", "response": "b"}', _pairs(("user", _pick("$.prompt")), ("assistant", _pick("$.response")))),
-    Layout("prompt_completion", '{"prompt": "a", "completion": "b"}', _pairs(("user", _pick("$.prompt")), ("assistant", _pick("$.completion")))),
-    Layout("question_answer", '{"question": "a", "answer": "b"}', _pairs(("user", _pick("$.question")), ("assistant", _pick("$.answer")))),
-    Layout("system_prompt_response", '{"system": "s", "prompt": "a", "response": "b"}', _pairs(("system", _pick("$.system")), ("user", _pick("$.prompt")), ("assistant", _pick("$.response")))),
+    Layout("messages", _listed("messages", "role", "content"), ("system", "prompt"), _list("messages", "role", "content")),
+    Layout("conversations", _listed("conversations", "from", "value"), ("system",), _list("conversations", "from", "value")),
+    Layout("conversations_by_role", _listed("conversations", "role", "content"), ("system",), _list("conversations", "role", "content")),
+    Layout("instruction_output", (("instruction", "output"),), ("input", "system"), _pairs(("user", _ASKED), ("assistant", _pick("$.output")))),
+    Layout("instruction_response", (("instruction", "response"),), ("input", "system"), _pairs(("user", _ASKED), ("assistant", _pick("$.response")))),
+    Layout("prompt_response", (("prompt", "response"),), ("system",), _pairs(("user", _pick("$.prompt")), ("assistant", _pick("$.response")))),
+    Layout("prompt_completion", (("prompt", "completion"),), ("system",), _pairs(("user", _pick("$.prompt")), ("assistant", _pick("$.completion")))),
+    Layout("question_answer", (("question", "answer"),), ("system",), _pairs(("user", _pick("$.question")), ("assistant", _pick("$.answer")))),
 ]
 
+#: All paths that a layout declares; others are no part of a fingerprint.
+DECLARED = sorted({p for x in LAYOUTS for form in (*x.forms, x.more) for p in form})
+
+
+def row_digest(value: Column) -> Column:
+    """Fingerprint of a VARIANT value: SHA-256 of its declared paths, sorted."""
+    return F.sha2(F.array_join(F.array_sort(F.array_intersect(row_paths(value), F.array(*map(F.lit, DECLARED)))), "\n"), 256)
+
+
 #: Tables with a row for each turn: field paths -> the columns of a canonical turn.
 TURN_TABLES = {
     path_digest(["conv_id", "turn", "role", "text"]): ("conv_id", "turn", "role", "text"),
@@ -93,16 +142,18 @@ TURN_TABLES = {
 
 
 def turns_from_json(rows: DataFrame, key: str = "conv_id", json: str = "json") -> DataFrame:
-    """Canonical turns of JSON rows of any known layout; rows of unknown layouts, null and broken JSON give one row with a null turn."""
-    v = rows.select(F.col(key).alias("conv_id"), F.try_parse_json(json).alias("v")).withColumn("layout", row_paths(F.col("v")))
-    spark = rows.sparkSession
-    digests = spark.range(1).select(*(row_paths(F.parse_json(F.lit(x.sample))).alias(x.name) for x in LAYOUTS)).first()
-    found = "CASE " + " ".join(f"WHEN layout = '{digests[x.name]}' THEN {x.turns}" for x in LAYOUTS) + " END"
-    return v.select("conv_id", F.posexplode_outer(F.expr(found)).alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), "m.role", "m.text")
+    """Canonical turns of JSON rows of any known layout, after a field ``system`` as a turn of its own where it has text.
+
+    Fields that no layout declares are ignored. Rows of unknown layouts or of fields of two, null and broken JSON give one row with a null turn.
+    """
+    v = rows.select(F.col(key).alias("conv_id"), F.try_parse_json(json).alias("v")).withColumn("layout", row_digest(F.col("v")))
+    found = "CASE " + " ".join(f"WHEN layout IN ({', '.join(repr(d) for d in x.digests())}) THEN {x.turns}" for x in LAYOUTS) + " END"
+    system = f"filter({_pairs(('system', _pick('$.system')))}, s -> s.text <> '')"
+    return v.select("conv_id", F.posexplode_outer(F.expr(f"concat({system}, {found})")).alias("turn", "m")).select("conv_id", F.col("turn").cast("long"), "m.role", "m.text")
 
 
 def canonical_turns(table: DataFrame) -> DataFrame:
-    """Canonical turns of a table with a row for each turn, by the fingerprint of its schema; more columns than a mapping's are ignored if they clash with none."""
+    """Canonical turns of a table with a row for each turn, by the fingerprint of its schema; further columns are ignored, and a table that has the columns of no mapping or of two raises."""
     names = paths(table.schema)
     exact = TURN_TABLES.get(path_digest(names))
     fit = [exact] if exact else [m for m in TURN_TABLES.values() if set(m) <= set(names)]
