@@ -178,16 +178,16 @@ class Codec:
 _READY: dict[tuple, Codec] = {}
 
 
-def codec(path: str | None, verify: bool) -> Codec:
-    key = (path or default_path(), verify)
+def codec(path: str | None, verify: bool, remember: int) -> Codec:
+    key = (path or default_path(), verify, remember)
     if key not in _READY:
         _READY[key] = Codec(*key)
     return _READY[key]
 
 
-def _runner(path: str | None, verify: bool, chars_at_once: int, digests: bool):
+def _runner(path: str | None, verify: bool, chars_at_once: int, digests: bool, remember: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, verify)
+        c = codec(path, verify, remember)
         try:
             yield from rows(c, batches)
         finally:
@@ -219,13 +219,13 @@ def _runner(path: str | None, verify: bool, chars_at_once: int, digests: bool):
     return run
 
 
-def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, verify: bool = True, digests: bool = False, chars_at_once: int = 2_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, verify: bool = True, digests: bool = False, chars_at_once: int = 2_000_000, remember: int = 10_000_000) -> DataFrame:
     """key, n_tokens, ids, decoded: whole texts encoded, then decoded from those ids, in one pass without a shuffle.
 
     With ``digests`` both become SHA-256 in hex, made where the ids are, so that they need not be moved: of the decimal ids joined by commas, and of the text in UTF-8.
-    Null and empty texts have no ids and decode to an empty text. Repeated rows stay; other columns are not read.
+    ``remember`` bounds the characters of segments and ids that a worker keeps, twice that in all. Null and empty texts have no ids and decode to an empty text. Repeated rows stay; other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
     wide = "string" if digests else "array<int>"
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_runner(path, verify, chars_at_once, digests), f"k {kind}, n_tokens long, ids {wide}, decoded string")
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_runner(path, verify, chars_at_once, digests, remember), f"k {kind}, n_tokens long, ids {wide}, decoded string")
     return out.withColumnRenamed("k", key)

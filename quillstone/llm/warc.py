@@ -125,7 +125,7 @@ def export_bundles(spark: SparkSession, path: str, folder: str) -> DataFrame:
         for batch in batches:
             names = [f"{root}/{b}.warc.zst" for b in batch.column("bundle_id").to_pylist()]
             for name, archive in zip(names, batch.column("archive")):
-                with store.open_output_stream(name) as f:
+                with store.open_output_stream(name, compression=None) as f:
                     f.write(archive.as_buffer())
             yield pa.RecordBatch.from_arrays([batch.column("bundle_id"), pa.array(names)], names=["bundle_id", "file"])
 

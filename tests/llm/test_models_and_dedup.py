@@ -1,5 +1,6 @@
 """Near-duplicates against brute force, models against held-out labels, and the pipeline."""
 
+import math
 import random
 import re
 
@@ -73,10 +74,16 @@ def test_estimates_are_corrected_for_chance():
     a, b = neardup._family(100)
     x = rng.integers(0, 2**63, 2000, dtype=np.uint64)
     y = np.concatenate([x[:1700], rng.integers(0, 2**63, 300, dtype=np.uint64)])
-    mx, my = (neardup.minima(np.unique(s), a, b).astype(np.uint8) for s in (x, y))
+    mx, my = (neardup.minima(np.unique(s), a, b) for s in (x, y))
+    px, py = (np.frombuffer(neardup.pack(m), dtype=np.uint64) for m in (mx, my))
+    differ = int(neardup.unequal(px, py))
+    assert differ == int(((mx & np.uint64(15)) != (my & np.uint64(15))).sum())
     true = 1700 / 2300
-    assert abs(float(neardup.corrected((mx == my).sum(), 100)) - true) < 0.15
+    assert abs(float(neardup.corrected(100 - differ, 100)) - true) < 0.15
     assert neardup.least_equal(0.85, 100) < 85
+    p = 0.85 + 0.15 / 16
+    tail = sum(math.comb(112, k) * p**k * (1 - p) ** (112 - k) for k in range(neardup.least_equal(0.85, 112)))
+    assert 0 < tail <= 1e-7
 
 
 def test_shingle_hashes_depend_on_order_and_count():
