@@ -1,16 +1,20 @@
 """Lookups, coverage laws, interval, as-of and similarity joins.
 
-Similarity joins meet on shared grams, so no pair without a common gram is made; interval joins meet on time buckets. Neither plans a
-nested loop. Strategy and skew are left to adaptive execution; nothing here forces a broadcast.
+Similarity against a stated query set (slides, notes) reads the rows once with the queries' postings at hand and moves the best of each
+partition; interval joins meet on time buckets. Neither plans a nested loop. Strategy and skew are left to adaptive execution; nothing here forces a broadcast.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.functions import text as X
-from quillstone.operators.scratch import ranked
+from quillstone.operators.scratch import keep, ranked
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, values: list[str], required: bool = True) -> DataFrame:
@@ -94,13 +98,98 @@ def interval_overlap(points: DataFrame, ranges: DataFrame, start: str, end: str,
     return left.join(right, match & first & (F.col("__s") <= F.col("__re")) & (F.col("__e") >= F.col("__rs"))).select(*keep, *r_keep)
 
 
-def gram_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_grams: str, right_grams: str, score: str = "jaccard") -> DataFrame:
-    """(left_id, right_id, overlap, score) of all pairs that share a gram. Sets are arrays of distinct grams."""
-    a = left.select(F.col(left_id).alias("l"), F.size(left_grams).alias("nl"), F.explode(left_grams).alias("g"))
-    b = right.select(F.col(right_id).alias("r"), F.size(right_grams).alias("nr"), F.explode(right_grams).alias("h"))
-    both = a.join(b, F.col("g") == F.col("h")).groupBy("l", "r", "nl", "nr").agg(F.count(F.lit(1)).alias("overlap"))
-    value = F.col("overlap") / (F.col("nl") + F.col("nr") - F.col("overlap")) if score == "jaccard" else F.col("overlap") / F.least("nl", "nr")
-    return both.select(F.col("l").alias(left_id), F.col("r").alias(right_id), "overlap", value.alias("score"))
+def _index(items: list) -> dict:
+    """Query items (id, grams, document) as postings: for each gram the places of the items that have it, end to end."""
+    grams = sorted({g for _, gs, _ in items for g in gs})
+    at = {g: i for i, g in enumerate(grams)}
+    pairs = sorted((at[g], n) for n, (_, gs, _) in enumerate(items) for g in gs)
+    starts = np.searchsorted([g for g, _ in pairs], np.arange(len(grams) + 1)) if pairs else np.zeros(1, dtype=np.int64)
+    return {"ids": [i for i, _, _ in items], "docs": [d for _, _, d in items], "sizes": np.array([len(g) for _, g, _ in items], dtype=np.int64), "grams": grams, "starts": starts, "places": np.array([n for _, n in pairs], dtype=np.int64)}
+
+
+def _scorer(told, score: str, least: float, k: int | None, larger: bool, id_type: pa.DataType, query_type: pa.DataType):
+    """Scores each row against all items of a block: its best item, or for each item the ``k`` best rows of the partition."""
+
+    def run(batches):
+        x = told.value
+        known, n_items = pa.array(x["grams"], pa.string()), len(x["ids"])
+        documents = np.array([str(d) for d in x["docs"]])
+        held: list[tuple] = []  # (item, score, row id)
+        floor = np.full(n_items, least)
+
+        def thin() -> None:
+            nonlocal held
+            held.sort(key=lambda h: (h[0], -h[1], h[2]))
+            out, last, n = [], None, 0
+            for h in held:
+                n = n + 1 if h[0] == last else 1
+                last = h[0]
+                if n <= k:
+                    out.append(h)
+                    if n == k:
+                        floor[last] = max(floor[last], h[1])
+            held = out
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x["ids"][i] for i, _, _ in found], query_type), pa.array([r for _, _, r in found], id_type), pa.array([float(s) for _, s, _ in found], pa.float64())], names=["q", "r", "score"])
+
+        for batch in batches:
+            lists = batch.column("g")
+            places = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            best = []
+            for i in range(batch.num_rows):
+                mine = places[(ends[i - 1] if i else 0) : ends[i]]
+                hit = [x["places"][x["starts"][g] : x["starts"][g + 1]] for g in mine[mine >= 0].tolist()]
+                if not hit:
+                    continue
+                both = np.bincount(np.concatenate(hit), minlength=n_items)
+                value = both / (x["sizes"] + len(mine) - both) if score == "jaccard" else both / np.maximum(np.minimum(x["sizes"], len(mine)), 1)
+                ok = (both > 0) & (value >= floor)
+                if "allowed" in batch.schema.names:
+                    ok &= np.isin(documents, batch.column("allowed")[i].as_py() or [])
+                at = np.flatnonzero(ok).tolist()
+                if not at:
+                    continue
+                key = batch.column("r")[i].as_py()
+                if k is None:
+                    top = max(value[j] for j in at)
+                    best.append(((max if larger else min)((j for j in at if value[j] == top), key=lambda j: x["ids"][j]), top, key))
+                else:
+                    held += [(j, value[j], key) for j in at]
+            if k is None:
+                yield rows(best)
+            elif len(held) > 200_000:
+                thin()
+        if k is not None:
+            thin()
+            yield rows(held)
+
+    return run
+
+
+def _scored(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, score: str, least: float, k: int | None, larger: bool = False, row_grams: str = "grams", query_grams: str = "grams", document: str | None = None, block_grams: int = 2_000_000) -> DataFrame:
+    """(q, r, score) against a stated query set, in one pass over the rows for each block of it; rows with nulls for ids take no part.
+
+    The queries (slides, notes, or the documents of one event) are gathered in blocks of about ``block_grams`` grams, which bounds what is broadcast;
+    more blocks mean more passes. No pair is moved but the best of each partition.
+    """
+    spark = rows.sparkSession
+    kind, query_kind = rows.schema[row_id].dataType, queries.schema[query_id].dataType
+    asked = queries.where(F.col(query_id).isNotNull() & (F.size(query_grams) > 0)).select(F.col(query_id).alias("q"), F.col(query_grams).alias("g"), (F.col(document) if document else F.lit(None)).cast("string").alias("d"))
+    total = asked.agg(F.sum(F.size("g")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-int(total) // block_grams))
+    source = rows.where(F.col(row_id).isNotNull() & (F.size(row_grams) > 0)).select(F.col(row_id).alias("r"), F.col(row_grams).alias("g"), *(["allowed"] if document else []))
+    out = None
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+        told = spark.sparkContext.broadcast(_index([(x["q"], x["g"], x["d"]) for x in part.collect()]))
+        got = source.mapInArrow(_scorer(told, score, least, k, larger, to_arrow_type(kind), to_arrow_type(query_kind)), f"q {query_kind.simpleString()}, r {kind.simpleString()}, score double")
+        if blocks > 1:
+            got = keep(got)
+            told.destroy()
+        out = got if out is None else out.unionAll(got)
+    return out
 
 
 def top_k(pairs: DataFrame, key: str, k: int, order: list[Column], least: float | None = None) -> DataFrame:
@@ -111,24 +200,23 @@ def top_k(pairs: DataFrame, key: str, k: int, order: list[Column], least: float
 
 def lexical_topk(slides: DataFrame, records: DataFrame, slide_id: str, record_id: str, slide_grams: str = "grams", record_grams: str = "grams", k: int = 5, least: float = 0.03) -> DataFrame:
     """The ``k`` most similar records of each slide by bigram Jaccard, ties by record id; slides without any stay with nulls."""
-    best = top_k(gram_pairs(slides, records, slide_id, record_id, slide_grams, record_grams), slide_id, k, [F.col("score").desc(), F.col(record_id)], least)
-    best = best.withColumnRenamed(slide_id, "__s")
-    return slides.select(slide_id).join(best, F.col(slide_id) == F.col("__s"), "left").drop("__s", "overlap")
+    pairs = _scored(records, slides, record_id, slide_id, "jaccard", least, k, row_grams=record_grams, query_grams=slide_grams)
+    best = top_k(pairs, "q", k, [F.col("score").desc(), F.col("r")]).withColumnRenamed("r", record_id)
+    return slides.select(slide_id).join(best, F.col(slide_id) == F.col("q"), "left").drop("q")
 
 
 def best_document(records: DataFrame, documents: DataFrame, record_id: str, document_id: str, least: float = 0.02) -> DataFrame:
-    """Each record's single best document; ties go to the larger id."""
-    return top_k(gram_pairs(records, documents, record_id, document_id, "grams", "grams"), record_id, 1, [F.col("score").desc(), F.col(document_id).desc()], least).drop("rank", "overlap")
+    """Each record's single best document by bigram Jaccard; ties go to the larger id. Rows that share a record_id give one."""
+    pairs = _scored(records, documents, record_id, document_id, "jaccard", least, None, larger=True)
+    return top_k(pairs, "r", 1, [F.col("score").desc(), F.col("q").desc()]).select(F.col("r").alias(record_id), F.col("q").alias(document_id), "score")
 
 
 def note_topk(notes: DataFrame, records: DataFrame, eligible: DataFrame, note_id: str, record_id: str, source: str, document: str, k: int = 3, least: float = 0.03) -> DataFrame:
-    """The ``k`` records that each note contains most, among records whose source opened the note's document (``eligible(source, document)``)."""
-    pairs = gram_pairs(notes, records, note_id, record_id, "grams", "grams", "containment")
-    docs = notes.select(F.col(note_id).alias("__n"), F.col(document).alias("__d"))
-    sources = records.select(F.col(record_id).alias("__r"), F.col(source).alias("__s"))
-    allowed = eligible.select(F.col(source).alias("__es"), F.col(document).alias("__ed")).distinct()
-    pairs = pairs.join(docs, F.col(note_id) == F.col("__n")).join(sources, F.col(record_id) == F.col("__r")).join(allowed, (F.col("__s") == F.col("__es")) & (F.col("__d") == F.col("__ed")), "left_semi")
-    return top_k(pairs, note_id, k, [F.col("score").desc(), F.col(record_id)], least).select(note_id, record_id, "score", "rank")
+    """The ``k`` records that each note contains most, among records whose source opened the note's document (``eligible(source, document)``, a few documents a source)."""
+    opened = eligible.groupBy(F.col(source).alias("__es")).agg(F.collect_set(F.col(document).cast("string")).alias("allowed"))
+    rows = records.join(opened, F.col(source) == F.col("__es"))
+    pairs = _scored(rows, notes, record_id, note_id, "containment", least, k, document=document)
+    return top_k(pairs, "q", k, [F.col("score").desc(), F.col("r")]).select(F.col("q").alias(note_id), F.col("r").alias(record_id), "score", "rank")
 
 
 def pair_scores(fragments: DataFrame, key: str) -> DataFrame:
