@@ -35,7 +35,8 @@ class Scratch:
     """Tables written once to the shared folder, to cut lineage and to survive lost executors."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base, self.n = spark, f"{shared_root(spark)}/quillstone-{label}-{uuid.uuid4().hex}", 0
+        self.spark, self.base, self.made = spark, f"{shared_root(spark)}/quillstone-{label}-{uuid.uuid4().hex}", []
+        self.n = 0
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -44,6 +45,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
+        self.made.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _remove(self, folder) -> None:
@@ -54,6 +56,16 @@ class Scratch:
         for file in df.inputFiles()[:1]:
             self._remove(self.spark._jvm.org.apache.hadoop.fs.Path(file).getParent())
 
+    def sweep(self, out: DataFrame) -> DataFrame:
+        """Remove the kept tables that ``out`` doesn't read."""
+        mark = self.base.rsplit("/", 1)[1] + "/"
+        used = {f.split(mark, 1)[1].split("/")[0] for f in out.inputFiles() if mark in f}
+        for path in self.made:
+            if path.rsplit("/", 1)[1] not in used:
+                self._remove(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+        self.made = [p for p in self.made if p.rsplit("/", 1)[1] in used]
+        return out
+
     def clear(self) -> None:
         """Remove all kept tables, once no later plan reads any."""
         self._remove(self.spark._jvm.org.apache.hadoop.fs.Path(self.base))

@@ -298,18 +298,18 @@ def _linked_within(rows: DataFrame, weight: str, most: float, run, scratch: Scra
     return first.union(second).union(third).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, hashes: int = 112, bands: int = 28, width: int = 5, block: int = 1024, block_shingles: int = 2_000_000, most_ids: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, hashes: int = 112, bands: int = 28, width: int = 5, block: int = 1024, block_shingles: int = 2_000_000, most_ids: int = 1_000_000, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs(doc_id, text, ...)``.
 
     Documents link where 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles; a component's id is
     its smallest doc_id, and only that document is kept. Null, empty and blank texts have size 0 and link with nothing. Rows
     that share a doc_id count as one document with several texts. A null doc_id gives component null and is kept. doc_id is of a whole-number type; other columns of ``docs`` are not read.
-    The ids of likely members are broadcast up to ``most_ids`` of them, so that no other text is moved; beyond, texts are joined by a shuffle.
+    Tables on the way go to ``scratch`` in the shared folder; those that the result doesn't read are removed. The ids of likely members are broadcast up to ``most_ids`` of them, so that no other text is moved; beyond, texts are joined by a shuffle.
     """
     spark = docs.sparkSession
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise ValueError("components are named by the smallest doc_id, which must be of a whole-number type")
-    scratch = Scratch(spark, "neardup")
+    scratch = scratch or Scratch(spark, "neardup")
     least = float(corrected(least_equal(percent / 100, hashes), hashes))
     signed = scratch.keep(signatures(docs, hashes, bands, width), "signed")
     full = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
@@ -327,4 +327,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, hashes: int = 112, bands
     out = signed.select("doc_id", "n_shingles", "digest").join(reps, F.col("digest") == F.col("dg"), "left")
     out = out.join(labels, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+    return scratch.sweep(out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept")))

@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding for merge-type vocabularies, by a score-ordered agenda of adjacent symbol pairs.
 
 No piece of such a vocabulary has a space mark after another character, so texts cut before each run of spaces into segments
-that merge on their own; ``Codec`` verifies that of the vocabulary. Each new segment is encoded by the agenda and decoded from its
-ids; every Arrow batch then checks its new segments against the sentencepiece library, both ways, and stops on a difference.
-Segments are remembered within a bound of characters and until the end of the task, so the work follows the distinct segments.
+that merge on their own; ``Codec`` verifies that of the vocabulary. Every segment has an agenda of its adjacent pairs that make a
+piece; the best-scored pair, the leftmost of equals, is taken, merged, and its neighbours enter anew. Segments of up to 48
+characters hold their agendas end to end in one array and take one pair each at a time; longer ones have a heap. Each new segment
+is then decoded from its ids, and every Arrow batch checks its new segments against the sentencepiece library, both ways, and
+stops on a difference. Segments are remembered within a bound of characters and until the end of the task, so the work follows
+the distinct segments.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def default_path() -> str:
 
 
 class Codec:
-    def __init__(self, path: str, verify: bool = True, remember: int = 10_000_000):
+    def __init__(self, path: str, verify: bool = True, remember: int = 16_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -59,8 +62,30 @@ class Codec:
         self.raw[self.unknown] = (train.unk_surface or " ⁇ ").encode()
         self.verify, self.remember = verify, remember
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self._tables(len(pieces))
         self.forget()
 
+    def _tables(self, n: int) -> None:
+        """Symbols of the joint agenda: pieces by their ids, from ``n`` on the characters that only stand inside pieces, then all others by code point."""
+        symbol = dict(self.ids)
+        for c in sorted({c for t in self.ids for c in t}.difference(symbol)):
+            symbol[c] = n + len(symbol) - len(self.ids)
+        self.top = n + len(symbol) - len(self.ids)
+        self.of_char = np.arange(0x110000, dtype=np.int64) + self.top
+        for t, i in symbol.items():
+            if len(t) == 1:
+                self.of_char[ord(t)] = i
+        pairs = [(symbol[t[:k]] << 32 | symbol[t[k:]], self.order[t], i) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in symbol and t[k:] in symbol]
+        pairs.sort()
+        self.keys, self.costs, self.made = (np.array([x[j] for x in pairs], dtype=kind) for j, kind in enumerate((np.int64, np.float64, np.int64)))
+        inside = {i: t for t, i in symbol.items() if t not in self.ids}
+        self.shown = [str(i) for i in range(n)] + [self._bytes(inside[i]) for i in range(n, self.top)]
+        self.spelt = [self.raw.get(i, b"") for i in range(n)] + [inside[i].encode() for i in range(n, self.top)]
+
+    def _bytes(self, c: str) -> str:
+        """Ids of a character that is no piece."""
+        return ",".join(str(self.byte[b]) for b in c.encode("utf-8", "surrogatepass")) if self.byte else str(self.unknown)
+
     def forget(self) -> None:
         """Drop what is remembered of segments."""
         self.held = 0  # characters of the segments known and of their ids
@@ -132,23 +157,88 @@ class Codec:
             return _SEGMENT.findall(text)
         return [f" {x}" for x in text[1:].split(" ")]
 
+    def _cost(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost of each pair and its place in the tables."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        return (np.where(self.keys[at] == key, self.costs[at], _NEVER) if len(self.keys) else np.full(len(key), _NEVER)), at
+
+    def agendas(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, number of each segment's) of segments whose agendas lie end to end, all taking their best pair at once."""
+        sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
+        sym = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        seq = np.repeat(np.arange(len(segments)), sizes)
+        cost, at = np.full(len(sym), _NEVER), np.zeros(len(sym), dtype=np.int64)
+        inner = np.flatnonzero(seq[1:] == seq[:-1])
+        cost[inner], at[inner] = self._cost(sym[inner], sym[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
+            spans = np.diff(np.r_[starts, len(seq)])
+            best = np.repeat(np.minimum.reduceat(cost, starts), spans)
+            live = best < _NEVER
+            if not live.all():
+                done.append((sym[~live], seq[~live]))
+                sym, seq, cost, at, best = sym[live], seq[live], cost[live], at[live], best[live]
+                if not len(sym):
+                    break
+            hit = np.flatnonzero(cost == best)
+            hit = hit[np.r_[True, seq[hit][1:] != seq[hit][:-1]]]  # the leftmost of each
+            sym[hit] = self.made[at[hit]]
+            keep = np.ones(len(sym), dtype=bool)
+            keep[hit + 1] = False
+            moved = hit - np.arange(len(hit))  # where they are once the others are gone
+            sym, seq, cost, at = sym[keep], seq[keep], cost[keep], at[keep]
+            touched = np.zeros(len(sym), dtype=bool)
+            touched[moved] = True
+            touched[np.maximum(moved - 1, 0)] = True
+            near = np.flatnonzero(touched)
+            cost[near] = _NEVER
+            near = near[near + 1 < len(sym)]
+            near = near[seq[near] == seq[near + 1]]
+            cost[near], at[near] = self._cost(sym[near], sym[near + 1])
+        if not done:
+            return sym, np.zeros(len(segments), dtype=np.int64)
+        sym, seq = np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
+        order = np.argsort(seq, kind="stable")
+        return sym[order], np.bincount(seq, minlength=len(segments))
+
     def learn(self, new: list[str]) -> None:
-        ids = [self.agenda(s) for s in new]
-        texts = [self.text_of(x) for x in ids]
+        # without byte pieces a run of strange characters is one id, which a heap's segment sees as a whole
+        joint = [s for s in new if len(s) <= 48 and (self.byte or int(self.of_char[list(map(ord, s))].max()) < self.top)]
+        ids, texts = {}, {}
+        for i in range(0, len(joint), 50_000):
+            some = joint[i : i + 50_000]
+            sym, counts = self.agendas(some)
+            if len(sym) and sym.max() >= self.top:
+                shown = [self.shown[x] if x < self.top else self._bytes(chr(x - self.top)) for x in sym.tolist()]
+                spelt = [self.spelt[x] if x < self.top else chr(x - self.top).encode("utf-8", "surrogatepass") for x in sym.tolist()]
+            else:
+                sym = sym.tolist()
+                shown, spelt = list(map(self.shown.__getitem__, sym)), list(map(self.spelt.__getitem__, sym))
+            ends = np.cumsum(counts).tolist()
+            back = b"".join(spelt).decode("utf-8", "replace")
+            for s, a, b in zip(some, [0, *ends], ends):
+                ids[s] = ",".join(shown[a:b])
+            # the ids of all spell the segments end to end, or each is looked at by itself
+            texts.update(zip(some, some) if back == "".join(some) else ((s, b"".join(spelt[a:b]).decode("utf-8", "replace")) for s, a, b in zip(some, [0, *ends], ends)))
+        for s in set(new).difference(ids):
+            x = self.agenda(s)
+            ids[s], texts[s] = ",".join(map(str, x)), self.text_of(x)
         if self.verify:
             # segments that stand end to end keep their cuts, so the library sees some hundred at once; spaces alone would join the next
-            apart = [k for k, s in enumerate(new) if not s.strip(" ")]
-            whole = [k for k, s in enumerate(new) if s.strip(" ")]
-            for group in [[k] for k in apart if new[k] != " "] + [whole[i : i + 200] for i in range(0, len(whole), 200)]:
-                mine = [x for k in group for x in ids[k]]
-                theirs = self.library.encode("".join([new[k] for k in group])[1:], num_threads=1)
-                if mine != theirs or self.library.decode(theirs) != "".join([texts[k] for k in group])[1:]:
-                    raise AssertionError(f"the library gives other ids or text for a run that begins with {new[group[0]]!r}")
-        for s, x, t in zip(new, ids, texts):
-            self.known[s] = got = ",".join(map(str, x))
+            apart = [[s] for s in new if s != " " and not s.strip(" ")]
+            whole = [s for s in new if s.strip(" ")]
+            for group in apart + [whole[i : i + 500] for i in range(0, len(whole), 500)]:
+                theirs = self.library.encode("".join(group)[1:], num_threads=1)
+                if ",".join([ids[s] for s in group]) != ",".join(map(str, theirs)) or self.library.decode(theirs) != "".join([texts[s] for s in group])[1:]:
+                    raise AssertionError(f"the library gives other ids or text for a run that begins with {group[0]!r}")
+        for s in new:
+            got = ids[s]
+            self.known[s] = got
             self.held += len(s) + len(got)
-            if t != s:
-                self.odd[s] = t
+            if texts[s] != s:
+                self.odd[s] = texts[s]
 
     def run(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(ids' number, ids joined by commas, decoded text) of each text."""
@@ -219,7 +309,7 @@ def _runner(path: str | None, verify: bool, chars_at_once: int, digests: bool, r
     return run
 
 
-def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, verify: bool = True, digests: bool = False, chars_at_once: int = 2_000_000, remember: int = 10_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, verify: bool = True, digests: bool = False, chars_at_once: int = 2_000_000, remember: int = 16_000_000) -> DataFrame:
     """key, n_tokens, ids, decoded: whole texts encoded, then decoded from those ids, in one pass without a shuffle.
 
     With ``digests`` both become SHA-256 in hex, made where the ids are, so that they need not be moved: of the decimal ids joined by commas, and of the text in UTF-8.

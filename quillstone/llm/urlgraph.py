@@ -98,4 +98,5 @@ def judge(pages: DataFrame, rules: list[Rule], ratio: float = 1.0, damping: floa
     scores = ranks.groupBy(F.col("host").alias("h")).agg(part("trust"), part("distrust"))
     scores = scores.withColumn("method", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
     out = cut.drop("html").join(scores, F.col("host") == F.col("h"), "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.coalesce("ruled", "method", F.lit("allow")).alias("verdict"))
+    out = out.select("page_id", "host", "path", "rule", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.coalesce("ruled", "method", F.lit("allow")).alias("verdict"))
+    return scratch.sweep(out)
