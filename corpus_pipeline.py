@@ -32,8 +32,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     The ids that go are written first and broadcast up to a million of them; beyond, the texts are joined with them by a shuffle.
     """
-    k = fresh(docs.columns, "gone")
-    gone = Scratch(spark, "near-copies").keep(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(k)).distinct(), "ids")
+    k, scratch = fresh(docs.columns, "gone"), Scratch(spark, "near-copies")
+    gone = scratch.keep(near_duplicates(docs, scratch=scratch).where("NOT kept").select(F.col("doc_id").alias(k)).distinct(), "ids")
+    scratch.sweep(gone)
     return docs.join(few(gone, 1_000_000), F.col("doc_id") == F.col(k), "left_anti")
 
 
@@ -63,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        # a stage's table goes once the next one is written
+        docs = scratch.sweep(scratch.keep(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
