@@ -131,7 +131,7 @@ def _scorer(told, score: str, least: float, k: int | None, larger: bool, id_type
             held = out
 
         def rows(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x["ids"][i] for i, _, _ in found], query_type), pa.array([r for _, _, r in found], id_type), pa.array([float(s) for _, s, _ in found], pa.float64())], names=["q", "r", "score"])
+            return pa.RecordBatch.from_arrays([pa.array([x["ids"][i] for i, _, _ in found], query_type), pa.array([r for _, _, r in found], id_type), pa.array([float(s) for _, s, _ in found], pa.float64())], names=["__q", "__r", "score"])
 
         for batch in batches:
             lists = batch.column("g")
@@ -169,7 +169,7 @@ def _scorer(told, score: str, least: float, k: int | None, larger: bool, id_type
 
 
 def _scored(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, score: str, least: float, k: int | None, larger: bool = False, row_grams: str = "grams", query_grams: str = "grams", document: str | None = None, block_grams: int = 2_000_000) -> DataFrame:
-    """(q, r, score) against a stated query set, in one pass over the rows for each block of it; rows with nulls for ids take no part.
+    """(__q, __r, score) against a stated query set, in one pass over the rows for each block of it; rows with nulls for ids take no part.
 
     The queries (slides, notes, or the documents of one event) are gathered in blocks of about ``block_grams`` grams, which bounds what is broadcast;
     more blocks mean more passes. No pair is moved but the best of each partition.
@@ -184,7 +184,7 @@ def _scored(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, sco
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
         told = spark.sparkContext.broadcast(_index([(x["q"], x["g"], x["d"]) for x in part.collect()]))
-        got = source.mapInArrow(_scorer(told, score, least, k, larger, to_arrow_type(kind), to_arrow_type(query_kind)), f"q {query_kind.simpleString()}, r {kind.simpleString()}, score double")
+        got = source.mapInArrow(_scorer(told, score, least, k, larger, to_arrow_type(kind), to_arrow_type(query_kind)), f"__q {query_kind.simpleString()}, __r {kind.simpleString()}, score double")
         if blocks > 1:
             got = keep(got)
             told.destroy()
@@ -201,14 +201,14 @@ def top_k(pairs: DataFrame, key: str, k: int, order: list[Column], least: float
 def lexical_topk(slides: DataFrame, records: DataFrame, slide_id: str, record_id: str, slide_grams: str = "grams", record_grams: str = "grams", k: int = 5, least: float = 0.03) -> DataFrame:
     """The ``k`` most similar records of each slide by bigram Jaccard, ties by record id; slides without any stay with nulls."""
     pairs = _scored(records, slides, record_id, slide_id, "jaccard", least, k, row_grams=record_grams, query_grams=slide_grams)
-    best = top_k(pairs, "q", k, [F.col("score").desc(), F.col("r")]).withColumnRenamed("r", record_id)
-    return slides.select(slide_id).join(best, F.col(slide_id) == F.col("q"), "left").drop("q")
+    best = top_k(pairs, "__q", k, [F.col("score").desc(), F.col("__r")]).withColumnRenamed("__r", record_id)
+    return slides.select(slide_id).join(best, F.col(slide_id) == F.col("__q"), "left").drop("__q")
 
 
 def best_document(records: DataFrame, documents: DataFrame, record_id: str, document_id: str, least: float = 0.02) -> DataFrame:
     """Each record's single best document by bigram Jaccard; ties go to the larger id. Rows that share a record_id give one."""
     pairs = _scored(records, documents, record_id, document_id, "jaccard", least, None, larger=True)
-    return top_k(pairs, "r", 1, [F.col("score").desc(), F.col("q").desc()]).select(F.col("r").alias(record_id), F.col("q").alias(document_id), "score")
+    return top_k(pairs, "__r", 1, [F.col("score").desc(), F.col("__q").desc()]).select(F.col("__r").alias(record_id), F.col("__q").alias(document_id), "score")
 
 
 def note_topk(notes: DataFrame, records: DataFrame, eligible: DataFrame, note_id: str, record_id: str, source: str, document: str, k: int = 3, least: float = 0.03) -> DataFrame:
@@ -216,7 +216,7 @@ def note_topk(notes: DataFrame, records: DataFrame, eligible: DataFrame, note_id
     opened = eligible.groupBy(F.col(source).alias("__es")).agg(F.collect_set(F.col(document).cast("string")).alias("allowed"))
     rows = records.join(opened, F.col(source) == F.col("__es"))
     pairs = _scored(rows, notes, record_id, note_id, "containment", least, k, document=document)
-    return top_k(pairs, "q", k, [F.col("score").desc(), F.col("r")]).select(F.col("q").alias(note_id), F.col("r").alias(record_id), "score", "rank")
+    return top_k(pairs, "__q", k, [F.col("score").desc(), F.col("__r")]).select(F.col("__q").alias(note_id), F.col("__r").alias(record_id), "score", "rank")
 
 
 def pair_scores(fragments: DataFrame, key: str) -> DataFrame:
@@ -278,10 +278,18 @@ def deletions(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
 
 
-def fuzzy_terms(records: DataFrame, terms: DataFrame, most: int = 5) -> DataFrame:
-    """Suggested corrections (record_id, original, suggested, page): Latin tokens within one edit of an OCR term and CJK windows of equal length with one different character.
+def reading_keys(words: DataFrame, word: str, readings: DataFrame) -> DataFrame:
+    """(word, reading) of distinct words: their characters' readings in order, a character without one for itself. ``readings(character, reading)``, the least of several."""
+    one = readings.groupBy(F.col("character").alias("__c")).agg(F.min("reading").alias("__r"))
+    chars = words.select(F.col(word).alias("word")).where(F.length(word) > 0).distinct().select("word", F.posexplode(F.split("word", "")).alias("at", "c")).where("c <> ''")
+    met = chars.join(one, F.col("c") == F.col("__c"), "left").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("__r", "c").alias("r")))).alias("k"))
+    return met.select("word", F.array_join("k.r", " ").alias("reading"))
 
-    ``records(record_id, tokens)``, ``terms(page, term)`` with page an ordinal. Pairs meet on deletion neighbourhoods. Equal texts (case aside) are no
+
+def fuzzy_terms(records: DataFrame, terms: DataFrame, most: int = 5, readings: DataFrame | None = None) -> DataFrame:
+    """Suggested corrections (record_id, original, suggested, page): Latin tokens within one edit of an OCR term and CJK windows of equal length with one different character or, with ``readings``, with the same reading.
+
+    ``records(record_id, tokens)``, ``terms(page, term)`` with page an ordinal. Pairs meet on deletion neighbourhoods and on readings. Equal texts (case aside) are no
     correction. The earliest page of a pair counts; ``most`` a record, by page, original and suggestion.
     """
     cjk = f"^[{X.CJK_WIDE}]+$"
@@ -290,7 +298,11 @@ def fuzzy_terms(records: DataFrame, terms: DataFrame, most: int = 5) -> DataFram
     left = a.select("record_id", "original", "lo", F.explode(deletions(F.col("lo"))).alias("d"))
     right = b.select("suggested", "page", "ls", F.explode(deletions(F.col("ls"))).alias("e"))
     near = left.join(right, F.col("d") == F.col("e")).where((F.col("lo") != F.col("ls")) & X.within_one_edit(F.col("lo"), F.col("ls")))
-    near = near.where(~F.col("lo").rlike(cjk) | (F.col("ls").rlike(cjk) & (F.length("lo") == F.length("ls"))))
+    near = near.where(~F.col("lo").rlike(cjk) | (F.col("ls").rlike(cjk) & (F.length("lo") == F.length("ls")))).select("record_id", "original", "suggested", "page")
+    if readings is not None:
+        spoken = lambda df, w, r: df.join(reading_keys(df.where(F.col(w).rlike(cjk)), w, readings).withColumnsRenamed({"word": f"__{w}", "reading": r}), F.col(w) == F.col(f"__{w}"))
+        alike = spoken(a, "original", "ra").join(spoken(b, "suggested", "rb"), (F.col("ra") == F.col("rb")) & (F.length("original") == F.length("suggested")) & (F.col("original") != F.col("suggested")))
+        near = near.unionByName(alike.select("record_id", "original", "suggested", "page"))
     one = near.groupBy("record_id", "original", "suggested").agg(F.min("page").alias("page"))
     rank = F.row_number().over(Window.partitionBy("record_id").orderBy("page", "original", "suggested"))
     return one.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
+from quillstone.operators.windows import neighbor_text
 
 
 def call_model(rows: DataFrame, model: Callable, schema: str) -> DataFrame:
@@ -36,6 +37,23 @@ def chunk_fingerprints(rows: DataFrame, group: str, order: str, cols: list[str])
     return rows.groupBy(group, "chunk").agg(F.sha2(packed, 256).alias("fingerprint"))
 
 
+def adjudication_batches(records: DataFrame, candidates: DataFrame, group: str, order: str, key: str, text: str, size: int = 10, chars: int = 120) -> DataFrame:
+    """(group, key, batch, previous, text, next): the candidates of each group in batches of ``size``, each with the ends of the texts beside it, cut to ``chars`` characters."""
+    c = candidates.select(F.col(key).alias("__c")).distinct()
+    beside = neighbor_text(records.select(group, order, key, F.col(text).alias("__t")), group, order, "__t", chars)
+    rows = beside.join(c, F.col(key) == F.col("__c"), "left_semi")
+    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return rows.withColumn("batch", F.floor((n - 1) / size)).select(group, key, "batch", F.coalesce("previous", F.lit("")).alias("previous"), F.col("__t").alias(text), F.coalesce("next", F.lit("")).alias("next"))
+
+
+def first_answers(answers: DataFrame, group: str, key: str, known: list[str], attempts: int = 5) -> DataFrame:
+    """(group, key, verdict) from ``answers(group, batch, attempt, key, verdict)``: of each batch the first of ``attempts`` tries that gave any known verdict; the rest stays unmarked."""
+    good = answers.where((F.col("attempt") < attempts) & F.col("verdict").isin(known))
+    first = good.groupBy(F.col(group).alias("__g"), F.col("batch").alias("__b")).agg(F.min("attempt").alias("__a"))
+    kept = good.join(first, (F.col(group) == F.col("__g")) & (F.col("batch") == F.col("__b")) & (F.col("attempt") == F.col("__a")))
+    return kept.groupBy(group, key).agg(F.min("verdict").alias("verdict"))
+
+
 def pending(keyed: DataFrame, cache: DataFrame) -> DataFrame:
     """Chunks whose content the ``cache(fingerprint)`` of earlier answers lacks: what a resumed run still has to ask."""
     done = cache.select(F.col("fingerprint").alias("__f"))

@@ -192,16 +192,17 @@ def dedupe_pages(segments: DataFrame, video: str, start: str, phash: str, near:
     return segments.groupBy(video).applyInPandas(run, f"`{video}` {kind}, page_id string, image_time double, time_ranges array<struct<start:double,end:double>>")
 
 
-def zone_hysteresis(samples: DataFrame, key: str, order: list[str], value: str, limit: float) -> DataFrame:
-    """Adds zone (high or low): it switches only after two readings in a row on the other side; the first reading sets it.
-
-    A reading that equals the one before it settles the side; the last settled side holds.
-    """
+def settled(samples: DataFrame, key: str, order: list[str], reading: Column, name: str) -> DataFrame:
+    """Adds ``name``: the last reading that two samples in a row agreed on; the first sample sets it."""
     w = Window.partitionBy(key).orderBy(*order)
-    side = F.when(F.col(value) >= limit, "high").otherwise("low")
-    out = samples.withColumn("__s", side).withColumn("__p", F.lag("__s").over(w))
+    out = samples.withColumn("__s", reading).withColumn("__p", F.lag("__s").over(w))
     out = out.withColumn("__set", F.when(F.col("__p").isNull() | (F.col("__p") == F.col("__s")), F.col("__s")))
-    return out.withColumn("zone", F.last("__set", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__s", "__p", "__set")
+    return out.withColumn(name, F.last("__set", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__s", "__p", "__set")
+
+
+def zone_hysteresis(samples: DataFrame, key: str, order: list[str], value: str, limit: float) -> DataFrame:
+    """Adds zone (high or low): it switches only after two readings in a row on the other side; the first reading sets it."""
+    return settled(samples, key, order, F.when(F.col(value) >= limit, "high").otherwise("low"), "zone")
 
 
 def rate_of_change(samples: DataFrame, key: str, ts: str, value: str, per: float = 10.0) -> DataFrame:

@@ -259,11 +259,13 @@ def hallucination_score(t: Tables) -> DataFrame:
 
 @query("""WITH f AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'user'), '') AS a, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS b FROM conversations GROUP BY conv_id),
 r AS (SELECT *, length(regexp_replace(a, '[^A-Za-z]', '', 'g')) AS la, length(regexp_replace(b, '[^A-Za-z]', '', 'g')) AS lb FROM f)
-SELECT conv_id, CASE WHEN trim(b) = '' THEN 'first' WHEN trim(a) = '' THEN 'second' WHEN la > 0 AND lb > 0 THEN 'first' ELSE 'arbiter' END AS engine FROM r""")
+SELECT conv_id, CASE WHEN trim(b) = '' THEN 'first' WHEN trim(a) = '' THEN 'second' WHEN conv_id % 3 <> 0 AND la > 0 AND lb > 0 THEN 'first' WHEN conv_id % 7 >= 4 AND conv_id % 5 < 3 THEN 'second' WHEN conv_id % 5 >= 3 AND conv_id % 7 < 4 THEN 'first' ELSE 'arbiter' END AS engine FROM r""")
 def engine_route(t: Tables) -> DataFrame:
     side = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), " ")
     rows = t.turns().groupBy("conv_id").agg(side("user").alias("a"), side("assistant").alias("b"))
-    return rows.select("conv_id", P.engine_route(F.col("a"), F.col("b"), F.lit(0.0), F.lit(0.0)).alias("engine"))
+    # every third conversation in CJK letters, so that the loop scores decide
+    cjk = lambda c: F.when(F.col("conv_id") % 3 == 0, F.regexp_replace(c, "[A-Za-z]", "会")).otherwise(F.col(c))
+    return rows.select("conv_id", P.engine_route(cjk("a"), cjk("b"), F.col("conv_id") % 7 / 8, F.col("conv_id") % 5 / 6).alias("engine"))
 
 
 @query("SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, CASE WHEN count(DISTINCT lang) = 1 AND min(lang) = 'en' THEN 'first' ELSE 'first,second' END AS engines FROM documents GROUP BY source")

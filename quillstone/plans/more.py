@@ -12,6 +12,7 @@ from quillstone.operators import graph as G
 from quillstone.operators import joins as J
 from quillstone.operators import model_boundary as M
 from quillstone.operators import projections as P
+from quillstone.operators import resources as S
 from quillstone.operators import retrieval as R
 from quillstone.operators import windows as W
 from quillstone.operators.scratch import work_folder
@@ -384,6 +385,56 @@ def call_model(t: Tables) -> DataFrame:
     return M.call_model(rows, lambda p: p.assign(size=p["text"].str.len(), english=p["lang"] == "en")[["doc_id", "size", "english"]], "doc_id long, size long, english boolean")
 
 
+@query("""WITH n AS (SELECT doc_id, idx, record_id, text, coalesce(right(lag(text) OVER w, 120), '') AS p, coalesce(substr(lead(text) OVER w, 1, 120), '') AS x FROM (SELECT source_id AS doc_id, * FROM rec) WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
+SELECT record_id, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1) // 10 AS BIGINT) AS batch, md5(p || '|' || text || '|' || x) AS said_md5 FROM n WHERE length(text) % 3 = 0""".replace("WITH n", sql("rec", "").rstrip() + ",\nn", 1))
+def adjudication_batches(t: Tables) -> DataFrame:
+    rows = t.records()
+    out = M.adjudication_batches(rows, rows.where(F.length("text") % 3 == 0), "source_id", "idx", "record_id", "text")
+    return out.select("record_id", "batch", F.md5(F.concat_ws("|", "previous", "text", "next")).alias("said_md5"))
+
+
+@query("""WITH a AS (SELECT source, doc_id, doc_id % 4 AS batch, unnest([0, 1, 2, 3, 4, 5]) AS attempt FROM documents), v AS (SELECT *, CASE WHEN attempt < batch OR batch = 3 AND attempt < 5 THEN 'garbled' WHEN doc_id % 2 = 0 THEN 'content' ELSE 'logistics' END AS verdict FROM a)
+SELECT source, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'content' ELSE 'logistics' END AS verdict FROM documents WHERE doc_id % 4 <> 3""")
+def first_answers(t: Tables) -> DataFrame:
+    """A batch answers from its own number of tries on; the last batch only after the five that count."""
+    rows = t.raw("documents").select("source", "doc_id", (F.col("doc_id") % 4).alias("batch"), F.explode(F.array(*map(F.lit, range(6)))).alias("attempt"))
+    garbled = (F.col("attempt") < F.col("batch")) | ((F.col("batch") == 3) & (F.col("attempt") < 5))
+    rows = rows.withColumn("verdict", F.when(garbled, "garbled").when(F.col("doc_id") % 2 == 0, "content").otherwise("logistics"))
+    return M.first_answers(rows, "source", "doc_id", ["content", "logistics", "uncertain"])
+
+
+# ---------------------------------------------------------------- resources
+
+
+_SAMPLES = "s AS (SELECT user_id AS k, event_id * 7.0 AS ts, 300.0 + (event_id * 37 % 97) * 30 AS free_mb, 8000.0 AS total_mb, (event_id * 13 % 40) * 1.0 AS load1, 8.0 AS cores, (event_id * 31 % 11) * 4000.0 AS swap_used_mb FROM events)"
+_ZONED = _SAMPLES + """, r AS (SELECT *, (swap_used_mb - lag(swap_used_mb) OVER w) / nullif(ts - lag(ts) OVER w, 0) * 10 AS rate FROM s WINDOW w AS (PARTITION BY k ORDER BY ts)),
+z AS (SELECT k, ts, CASE WHEN free_mb < 640 OR load1 > 32 OR coalesce(rate > 256, false) AND free_mb < 1024 THEN 'red' WHEN free_mb < 1200 OR load1 > 20 THEN 'yellow' ELSE 'green' END AS raw FROM r),
+p AS (SELECT *, lag(raw) OVER (PARTITION BY k ORDER BY ts) AS was FROM z), zoned AS (SELECT k, ts, raw, last_value(CASE WHEN was IS NULL OR was = raw THEN raw END IGNORE NULLS) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS zone FROM p)"""
+
+
+def _samples(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    return t.raw("events").select(F.col("user_id").alias("k"), (e * 7.0).alias("ts"), (300.0 + e * 37 % 97 * 30).alias("free_mb"), F.lit(8000.0).alias("total_mb"), (e * 13 % 40 * 1.0).alias("load1"), F.lit(8.0).alias("cores"), (e * 31 % 11 * 4000.0).alias("swap_used_mb"))
+
+
+@query(f"WITH {_ZONED} SELECT * FROM zoned")
+def resource_zones(t: Tables) -> DataFrame:
+    return S.zones(_samples(t), "k", "ts").select("k", "ts", "raw", "zone")
+
+
+@query(f"""WITH {_ZONED}, q AS (SELECT event_id AS request, user_id AS k, event_id * 7.0 + 3 AS a FROM events WHERE event_type = 'purchase'),
+w AS (SELECT unnest(list_concat([0.0, 2.0, 6.0], list_transform(range(0, 38), lambda i: 14.0 + 8.0 * i))) AS waited), m AS (SELECT request, waited, zone FROM (SELECT request, waited, k, a + waited AS at FROM q, w) x ASOF LEFT JOIN zoned ON x.k = zoned.k AND x.at >= zoned.ts)
+SELECT request, min(waited) AS waited, arg_min(zone, waited) AS zone, CASE WHEN arg_min(zone, waited) = 'red' THEN 'timeout_pass' WHEN min(waited) > 0 THEN 'resume' ELSE 'pass' END AS action FROM m WHERE zone <> 'red' OR waited >= 300 GROUP BY request""")
+def resource_gate(t: Tables) -> DataFrame:
+    asked = t.raw("events").where("event_type = 'purchase'").select(F.col("event_id").alias("request"), F.col("user_id").alias("k"), (F.col("event_id") * 7.0 + 3).alias("a"))
+    return S.gate(asked, S.zones(_samples(t), "k", "ts"), "request", "k", "a", "ts")
+
+
+@query(sql("rec", "SELECT record_id, end_s - start_s < 2.5 AS is_short FROM rec"))
+def short_flag(t: Tables) -> DataFrame:
+    return P.relevance_candidates(t.records(), "text", "start_s", "end_s", C._HITS).select("record_id", "is_short")
+
+
 # ---------------------------------------------------------------- expectations
 
 

@@ -273,3 +273,46 @@ def test_places_in_a_global_order(spark):
     got = ranked(spark.createDataFrame(rows_, "v long, g string").repartition(7), ["g", "v"], "place").collect()
     want = {(g, v): i + 1 for i, (g, v) in enumerate(sorted((g, v) for v, g in rows_))}
     assert {(r.g, r.v): r.place for r in got} == want
+
+
+def test_terms_that_sound_alike(spark, rows):
+    records = spark.createDataFrame([(1, ["会以", "会议", "x"]), (2, ["记路"])], "record_id long, tokens array<string>")
+    terms = spark.createDataFrame([(3, "会议"), (1, "记录"), (2, "绘艺")], "page long, term string")
+    readings = spark.createDataFrame([("会", "hui"), ("以", "yi"), ("议", "yi"), ("绘", "hui"), ("艺", "yi"), ("记", "ji"), ("路", "lu"), ("录", "lu")], "character string, reading string")
+    assert rows(J.reading_keys(terms, "term", readings)) == [("会议", "hui yi"), ("绘艺", "hui yi"), ("记录", "ji lu")]
+    plain = rows(J.fuzzy_terms(records, terms), "record_id", "original", "suggested")
+    assert plain == [(1, "会以", "会议"), (2, "记路", "记录")]
+    both = rows(J.fuzzy_terms(records, terms, readings=readings), "record_id", "original", "suggested", "page")
+    assert both == [(1, "会以", "会议", 3), (1, "会以", "绘艺", 2), (1, "会议", "绘艺", 2), (2, "记路", "记录", 1)]
+
+
+def test_the_gate_waits_while_red(spark, rows):
+    from quillstone.operators import resources
+
+    calm, busy = (4000.0, 8000.0, 1.0, 8.0, 0.0), (100.0, 8000.0, 1.0, 8.0, 0.0)
+    track = [(0.0, calm), (5.0, busy), (10.0, calm), (20.0, busy), (25.0, busy), (40.0, calm), (45.0, calm), (100.0, busy), (105.0, busy)]
+    samples = spark.createDataFrame([("m", t, *v) for t, v in track], "k string, ts double, free_mb double, total_mb double, load1 double, cores double, swap_used_mb double")
+    zoned = resources.zones(samples, "k", "ts")
+    assert [r.zone for r in zoned.orderBy("ts").collect()] == ["green"] * 4 + ["red", "red", "green", "green", "red"]
+    asks = spark.createDataFrame([(1, "m", 6.0), (2, "m", 26.0), (3, "m", 110.0), (4, "m", -5.0), (5, "none", 0.0)], "request int, k string, a double")
+    got = {r.request: (r.waited, r.action) for r in resources.gate(asks, zoned, "request", "k", "a", "ts").collect()}
+    assert got == {1: (0.0, "pass"), 2: (22.0, "resume"), 3: (302.0, "timeout_pass"), 4: (0.0, "bypass"), 5: (0.0, "bypass")}
+
+
+def test_similarity_to_stated_queries_in_blocks(spark, rows):
+    import random
+
+    rng = random.Random(3)
+    sets = lambda n: [sorted({rng.choice("abcdefghij") + rng.choice("abcdef") for _ in range(rng.randint(0, 12))}) for _ in range(n)]
+    queries, records = list(enumerate(sets(9))), [(f"r{i:02d}", g) for i, g in enumerate(sets(40))]
+    q, r = spark.createDataFrame(queries, "q int, grams array<string>"), spark.createDataFrame([*records, (None, ["ab"]), ("zz", None)], "r string, grams array<string>").repartition(3)
+    score = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = []
+    for i, g in queries:
+        best = sorted(((-score(g, h), k) for k, h in records if set(g) & set(h) and score(g, h) >= 0.1))[:3]
+        want += [(i, k, round(-s, 9), n + 1) for n, (s, k) in enumerate(best)] or [(i, None, None, None)]
+    key = lambda t: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in (t[0], t[3]))
+    got = [(x.q, x.r, x.score and round(x.score, 9), x["rank"]) for x in J.lexical_topk(q, r, "q", "r", k=3, least=0.1).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    parts = J.top_k(J._scored(r, q, "r", "q", "jaccard", 0.1, 3, block_grams=15), "__q", 3, [F.col("score").desc(), F.col("__r")])
+    assert sorted((x["__q"], x["__r"], x["rank"]) for x in parts.collect()) == sorted((a, b, d) for a, b, _, d in want if b)
