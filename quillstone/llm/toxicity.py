@@ -174,9 +174,9 @@ def evidence(sample: DataFrame, docs: DataFrame, scratch: Scratch, prior: float,
     met = counts.unionByName(corpus).groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("n").alias("n"))
     # the null token has the number of all tokens
     met = scratch.keep(met.where("bad + good > 0 OR token IS NULL"), "tokens")
-    all_ = met.agg(F.sum("bad").alias("bads"), F.sum("good").alias("goods"), F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("total")).where("bads > 0 AND goods > 0")
-    a = prior * F.col("n") / (F.col("total") + 1) + floor
-    rows = met.where("token IS NOT NULL").crossJoin(F.broadcast(all_)).withColumn("a", a)
+    both = met.agg(F.sum("bad").alias("bads"), F.sum("good").alias("goods"), F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("total")).where("bads > 0 AND goods > 0")
+    rows = met.where("token IS NOT NULL").withColumn("all", both.select(F.struct("*")).scalar()).where("all IS NOT NULL").select("token", "bad", "good", "n", "all.*")
+    rows = rows.withColumn("a", prior * F.col("n") / (F.col("total") + 1) + floor)
     odds = lambda y, n: F.log((F.col(y) + F.col("a")) / (F.col(n) + prior - F.col(y) - F.col("a")))
     bound = odds("bad", "bads") - odds("good", "goods") - z * F.sqrt(1 / (F.col("bad") + F.col("a")) + 1 / (F.col("good") + F.col("a")))
     return rows.select("token", "bad", bound.alias("bound"), ((F.col("good") + F.col("a")) / (F.col("goods") + prior)).alias("share"))
