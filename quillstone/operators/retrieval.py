@@ -38,7 +38,8 @@ def trigram_postings(rows: DataFrame, key: str, text: str, queries: DataFrame |
         # a look-ahead counts occurrences that overlap
         quoted = F.concat(F.lit(r"(?=\Q"), F.replace("gram", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
         return found.groupBy("gram", "key", (F.length("t") - 2).alias("size")).agg(F.sum(F.regexp_count("t", quoted)).alias("tf"))
-    grams = t.select("key", (F.length("t") - 2).alias("size"), F.explode(X.grams(F.col("t"), 3)).alias("gram"))
+    # sizes and grams first: beside an explode the text would go along with each of its grams
+    grams = t.select("key", (F.length("t") - 2).alias("size"), X.grams(F.col("t"), 3).alias("grams")).select("key", "size", F.explode("grams").alias("gram"))
     return grams.groupBy("gram", "key", "size").agg(F.count(F.lit(1)).alias("tf"))
 
 
