@@ -238,6 +238,23 @@ def laplacian_variance(t: Tables) -> DataFrame:
     return t.raw("embeddings").select("vec_id", F.round(X.laplacian_variance(gray, 8) + 0.013).alias("sharpness"))
 
 
+@query(f"""SELECT w AS word, array_to_string(string_split(translate(w, '{_CJK[1]}', '{_CJK[0]}'), ''), ' ') AS reading FROM (SELECT DISTINCT unnest(flatten(list_transform(regexp_extract_all(t, '[一-鿿]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))) AS w FROM (SELECT {_AS_CJK} AS t FROM benchmark))""")
+def reading_keys(t: Tables) -> DataFrame:
+    """Each stand-in letter reads as the Latin one it stands for."""
+    readings = t.spark.createDataFrame(list(zip(_CJK[1], _CJK[0])), "character string, reading string")
+    words = t.raw("benchmark").select(F.explode(X.cjk_shingles(F.translate("text", *_CJK))).alias("w"))
+    return J.reading_keys(words, "w", readings)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 2) THEN NULL ELSE value END AS seconds FROM events")
+def finite_probe(t: Tables) -> DataFrame:
+    """A probe's numbers, of which some are no numbers."""
+    k = F.col("event_id") % 7
+    odd = F.when(k == 0, "NaN").when(k == 1, "Infinity").when(k == 2, "-Infinity").otherwise(F.col("value").cast("string"))
+    rows = t.raw("events").select("event_id", odd.cast("double").alias("seconds"))
+    return rows.select("event_id", readers.finite("seconds").alias("seconds"))
+
+
 # ---------------------------------------------------------------- projections, joins, windows
 
 
