@@ -157,10 +157,10 @@ def _scorer(told, score: str, least: float, k: int | None, larger: bool, id_type
                     best.append(((max if larger else min)((j for j in at if value[j] == top), key=lambda j: x["ids"][j]), top, key))
                 else:
                     held += [(j, value[j], key) for j in at]
+                    if len(held) > 4 * k * n_items + 2_000:
+                        thin()  # what an item's best rows don't reach is no longer gathered
             if k is None:
                 yield rows(best)
-            elif len(held) > 200_000:
-                thin()
         if k is not None:
             thin()
             yield rows(held)
