@@ -175,7 +175,12 @@ def test_large_groups_of_near_copies(spark, seed):
 
 
 def test_components_of_stars_chains_and_nothing(spark):
-    some = lambda edges: sorted(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()))
+    def some(edges):
+        df = spark.createDataFrame(edges, "u long, v long")
+        got = [sorted(map(tuple, components.components(df, Scratch(spark, "t"), most_edges=most).collect())) for most in (500_000, 0)]
+        assert got[0] == got[1], "with and without broadcasts"
+        return got[0]
+
     assert some([(5, 1), (4, 1), (None, 2), (3, 3)]) == [(1, 1), (4, 1), (5, 1)]
     assert some([(i, i + 1) for i in range(40)]) == [(i, 0) for i in range(41)]
     assert some([]) == []
