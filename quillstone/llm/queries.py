@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe_count, chat, decontam, fingerprint, piece_codec, quality, toxicity, urlgraph, warc
+from quillstone.llm import bpe_count, chat, convtrie, decontam, fingerprint, packing, piece_codec, quality, snapdiff, toxicity, urlgraph, warc
 from quillstone.llm.common import Scratch, few, fold_of, table
 from quillstone.llm.neardup import near_duplicates
 
@@ -138,6 +138,86 @@ SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, c.component_id = s.doc_
 FROM s JOIN (SELECT u, min(v) AS component_id FROM r GROUP BY u) c ON c.u = s.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_chat_formatting, op3_url_filter, op4_token_counts, op5_sentencepiece, op6_toxicity, op7_quality, op8_decontamination, op9_fingerprint, op10_minhash_near_dedup)}
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("ids", "ids_crc32")
 
-ORACLES = {"op1_warc_seekable_bundles": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op10_minhash_near_dedup": OP10_SQL}
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(table(spark, sf_dir, "conversations"), borrow=True).drop("digest")
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text in SQL: its bytes, each followed by eight marks for as many shifts."""
+    signs = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(({text})[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END"
+    return f"xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || {signs}, lambda c, x: {step}))"
+
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM conversations)),
+r AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(sha256(role) || sha256(text), '') OVER w AS prefix, octet_length(encode(text)) AS bytes
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+e AS (
+  SELECT prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, prefix, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p) WHERE last GROUP BY prefix),
+g AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY depth, prefix),
+k AS (SELECT depth - 1 AS depth, left(prefix, length(prefix) - 128) AS prefix, count(*) AS n FROM g WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN k USING (depth, prefix)),
+s AS (
+  SELECT a.prefix, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved
+  FROM f a JOIN f b ON starts_with(b.prefix, a.prefix) GROUP BY a.prefix)
+SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM f JOIN s USING (prefix) LEFT JOIN e USING (prefix) LEFT JOIN g up ON f.depth > 0 AND up.prefix = left(f.prefix, length(f.prefix) - 128)
+"""
+
+
+def _later(docs: DataFrame) -> DataFrame:
+    """The later snapshot of ``documents``: what becomes of a row follows from the crc32 of its doc_id."""
+    k, m = F.col("doc_id"), F.coalesce(fold_of(F.col("doc_id"), 16), F.lit(-1))
+    keys = F.when(m.isin(3, 4), F.array(-1 - k)).when(m == 5, F.array(k, -1 - k)).otherwise(F.array(k))
+    swapped = lambda a, b: F.when(m == 2, F.col(b)).otherwise(F.col(a))
+    text = F.when(m == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text"))
+    rows = docs.where(m != 0).select(F.explode(keys).alias("key"), text.alias("text"), swapped("lang", "source").alias("lang"), F.when(m != 4, swapped("source", "lang")).alias("source"))
+    return rows.withColumnRenamed("key", "doc_id")
+
+
+def op13_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    said = F.concat_ws("\n", *(F.coalesce(c, F.lit("~")) for c in ("text", "lang", "source")))
+    return snapdiff.difference(docs, _later(docs), also={"row_sha256": F.sha2(said, 256)})
+
+
+OP13_SQL = f"""
+WITH m AS (SELECT doc_id, text, lang, source, {_crc32("doc_id::VARCHAR")} % 16 AS m FROM documents),
+b AS (
+  SELECT CASE WHEN m IN (3, 4) THEN -1 - doc_id ELSE doc_id END AS key, CASE WHEN m = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+    CASE WHEN m = 2 THEN source ELSE lang END AS lang, CASE WHEN m = 2 THEN lang WHEN m = 4 THEN NULL ELSE source END AS source
+  FROM m WHERE m <> 0
+  UNION ALL SELECT -1 - doc_id, text, lang, source FROM m WHERE m = 5),
+r AS (SELECT *, sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) AS row_sha256 FROM b),
+x AS (SELECT doc_id, text, lang, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS i FROM documents a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.key = a.doc_id)),
+y AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY key) AS i FROM r WHERE NOT EXISTS (SELECT 1 FROM documents a WHERE r.key = a.doc_id)),
+o AS (
+  SELECT r.key, a.doc_id AS old_key, a.text AS t, a.lang AS l, a.source AS s, r.text, r.lang, r.source, r.row_sha256, true AS met, true AS paired
+  FROM documents a JOIN r ON r.key = a.doc_id
+  UNION ALL SELECT coalesce(y.key, x.doc_id), x.doc_id, x.text, x.lang, x.source, y.text, y.lang, y.source, y.row_sha256, false, y.key IS NOT NULL AND x.doc_id IS NOT NULL
+  FROM x FULL JOIN y ON x.text IS NOT DISTINCT FROM y.text AND x.i = y.i),
+d AS (
+  SELECT *, CASE WHEN paired THEN concat_ws(',', CASE WHEN t IS DISTINCT FROM text THEN 'text' END, CASE WHEN l IS DISTINCT FROM lang THEN 'lang' END,
+    CASE WHEN s IS DISTINCT FROM source THEN 'source' END) ELSE '' END AS changed
+  FROM o)
+SELECT key, old_key, CASE WHEN met AND changed = '' THEN 'same' WHEN met THEN 'update' WHEN paired THEN 'rekey' WHEN old_key IS NULL THEN 'insert' ELSE 'delete' END AS op, changed, row_sha256
+FROM d
+"""
+
+QUERIES = {f.__name__: f for f in (op1_warc_seekable_bundles, op2_chat_formatting, op3_url_filter, op4_token_counts, op5_sentencepiece, op6_toxicity, op7_quality, op8_decontamination, op9_fingerprint, op10_minhash_near_dedup, op11_best_fit_packing, op12_prefix_trie, op13_snapshot_difference)}
+
+ORACLES = {"op1_warc_seekable_bundles": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op10_minhash_near_dedup": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_snapshot_difference": OP13_SQL}
