@@ -2,7 +2,8 @@
 
 Hosts whose urls a rule allows are trusted seeds, hosts with blocked ones distrusted seeds. Personalised PageRank carries trust
 along links; over the reversed links the same walk carries distrust to those who link to distrusted hosts. A host is blocked
-where its distrust exceeds ``ratio`` times its trust; both are shares of their seeds' mass, so only their ratio decides, at any corpus size. Links count once a pair of hosts with their number as weight.
+where its distrust exceeds ``ratio`` times its trust. Both are shares of the mass of all seeds, of which each seeded page has the same, so a rare kind of seed
+is not loud, and only the ratio decides, at any corpus size. Links count once a pair of hosts with their number as weight.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def judge(pages: DataFrame, rules: list[Rule], ratio: float = 1.0, damping: floa
     """page_id, host, path, rule, trust, distrust, verdict for each row of ``pages(page_id, url, html, ...)``.
 
     Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#`` or the end; a null
-    url or one without ``://`` has both empty. A rule fits its host and all subdomains where the path starts with the rule's; the longest
+    url or one without ``://`` has both empty. Repeated rows stay and count as pages; an empty table gives no row; html of any length is read for links once, inside its task. A rule fits its host and all subdomains where the path starts with the rule's; the longest
     decides, the first of equals. Else the host's scores do, which are 0 where no link reaches; only their ratio counts. Pages without a host are allowed unless a rule says otherwise; null html has no links.
     """
     scratch = Scratch(pages.sparkSession, "urls")
@@ -95,7 +96,10 @@ def judge(pages: DataFrame, rules: list[Rule], ratio: float = 1.0, damping: floa
     weights = seeds.where("good > 0").select(F.lit("trust").alias("walk"), "host", F.col("good").alias("weight")).unionByName(seeds.where("bad > 0").select(F.lit("distrust").alias("walk"), "host", F.col("bad").alias("weight")))
     ranks = propagate(walks, weights, scratch, damping, rounds, tolerance)
     part = lambda w: F.coalesce(F.sum(F.when(F.col("walk") == w, F.col("rank"))), F.lit(0.0)).alias(w)
-    scores = ranks.groupBy(F.col("host").alias("h")).agg(part("trust"), part("distrust"))
+    # each walk's ranks sum to one; here each weighs as its seeds do among all
+    mass = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    share = lambda c: (mass[c] or 0.0) / max((mass["good"] or 0.0) + (mass["bad"] or 0.0), 1.0)
+    scores = ranks.groupBy(F.col("host").alias("h")).agg(part("trust"), part("distrust")).withColumns({"trust": F.col("trust") * share("good"), "distrust": F.col("distrust") * share("bad")})
     scores = scores.withColumn("method", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
     out = cut.drop("html").join(scores, F.col("host") == F.col("h"), "left")
     out = out.select("page_id", "host", "path", "rule", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.coalesce("ruled", "method", F.lit("allow")).alias("verdict"))

@@ -128,6 +128,8 @@ def test_op3(spark, made):
             if host and dst and dst != host:
                 links.append((host, dst))
     trust, distrust = plain_walk(links, good), plain_walk([(b, a) for a, b in links], bad)
+    g, b = sum(good.values()), sum(bad.values())
+    trust, distrust = {h: t * g / (g + b) for h, t in trust.items()}, {h: d * b / (g + b) for h, d in distrust.items()}
     verdicts = set()
     for k, url, _ in made["pages"]:
         host, path = plain_split(url)
