@@ -1,9 +1,9 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Tokens are words and their stems of six bytes. Fit: a bounded sample of labelled rows gives the class counts of tokens, each document
+Tokens are words and their stems of six, seven and eight bytes, as inflected words are each rare. Fit: a bounded sample of labelled rows gives the class counts of tokens, each document
 counting a token once, so that a document that repeats itself is one witness; the counts of tokens over all documents are,
 with a small constant, the Dirichlet prior of the log-odds; each token scores the lower confidence bound of its log-odds, a word the
-better of its own and its stem's, and words without evidence a small cost. Score: a linear-time scan finds all maximal segments of a text; extreme-value theory gives each
+best of its own and its stems', and words without evidence a small cost. Score: a linear-time scan finds all maximal segments of a text; extreme-value theory gives each
 its expected number by chance in a clean text of that length (lambda solves the moment equation, K fits the sample's clean
 maxima); a logistic map of the best and of all significant segments, fitted on the sample, gives the probability.
 """
@@ -25,8 +25,8 @@ from quillstone.llm.common import Scratch, give_back, place
 _TABLE = bytes(b if b > 127 or chr(b).isalnum() and not chr(b).isupper() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-#: Bytes of a stem.
-STEM = 6
+#: Bytes of stems.
+STEMS = (6, 7, 8)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -35,7 +35,11 @@ def tokens(text: str) -> list[bytes]:
 
 def terms(words: list[bytes]) -> list[bytes]:
     """Words and the stems of longer ones."""
-    return words + [w[:STEM] + b"*" for w in words if len(w) > STEM]
+    return words + [s for w in words for s in stems(w)]
+
+
+def stems(word: bytes) -> list[bytes]:
+    return [word[:n] + b"*" for n in STEMS if len(word) > n]
 
 
 class Scores(dict):
@@ -47,9 +51,7 @@ class Scores(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) > 100_000:
             self.clear()
-        best = self.known.get(word, self.rest)
-        if len(word) > STEM:
-            best = max(best, self.known.get(word[:STEM] + b"*", self.rest))
+        best = max(self.known.get(t, self.rest) for t in (word, *stems(word)))
         self[word] = best
         return best
 
@@ -111,6 +113,11 @@ class Model:
         return len(words), [x for x in out if x[3] <= self.alpha] or sorted(out, key=lambda x: x[3])[:1]
 
     def features(self, n: int, found: list) -> tuple[float, float, float]:
+        """The best passage's and all significant passages' surprise, and the text's toxic share.
+
+        A surprise is the negative log of an expected number, kept within the numbers that the logistic map can tell apart: one in e^30 by chance is certain,
+        and e^12 by chance is nothing.
+        """
         logs = [-np.log(max(x[3], 1e-30)) for x in found]
         best = max(logs, default=-np.log(self.k * max(n, 1)) - 1)
         return max(-12.0, min(30.0, best)), float(np.log1p(sum(x for x in logs if x > 0))), float(np.log1p(sum(x[2] for x in found) / max(n, 1) * 100))
@@ -145,12 +152,12 @@ def _corpus_counts(most: int):
         held: Counter = Counter()
 
         def out():
-            stems: Counter = Counter()
+            cut: Counter = Counter()
             for w, n in held.items():
-                if len(w) > STEM:
-                    stems[w[:STEM] + b"*"] += n
-            total = sum(held.values()) + sum(stems.values())
-            words, counts = [*held.keys(), *stems.keys(), None], [*held.values(), *stems.values(), total]
+                for s in stems(w):
+                    cut[s] += n
+            total = sum(held.values()) + sum(cut.values())
+            words, counts = [*held.keys(), *cut.keys(), None], [*held.values(), *cut.values(), total]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["token", "n"])
 
@@ -205,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=lambda k: F.lit(True), most_la
     sample = scratch.keep(labelled(docs, labels, "toxic", train, most_labelled), "sample")
     up = evidence(sample, docs, scratch, prior, floor, z).where("bound > 1.0 AND bad > 0").orderBy("token").collect()
     rest, lam, k = -cost, 1.0, 1.0
-    score = {bytes(r.token): min(r.bound, 8.0) for r in up}
+    score = {bytes(r.token): r.bound for r in up}
     if score:
         q = np.array([r.share for r in up])
         s = np.array([score[bytes(r.token)] for r in up])
