@@ -37,15 +37,17 @@ def wide_hash(canon: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(salt), canon)), 16, "0") for salt in (1, 2))))
 
 
-def classes(canon: DataFrame, most_shared: int = 500_000, scratch: Scratch | None = None) -> DataFrame:
+def classes(canon: DataFrame, most_shared: int = 500_000, scratch: Scratch | None = None, hashed: DataFrame | None = None) -> DataFrame:
     """(bucket, strong, copy_of, n_copies, collides) of distinct canonical texts of ``canon(doc_id, bucket, canon)``.
 
     Rows are counted by hash, with combining before the shuffle. Texts of shared hashes alone are then grouped by hash and text, which compares
     bytes; a large group of copies costs a row a task. Shared hashes are broadcast up to ``most_shared``; beyond, texts are joined with them by a shuffle.
+    ``hashed(doc_id, bucket, strong)`` are the same rows, where they are written already, so that only the second step reads texts.
     """
     scratch = scratch or Scratch(canon.sparkSession, "classes")
     strong = F.sha2(F.col("canon"), 256)
-    one = canon.select("doc_id", "bucket", strong.alias("strong")).groupBy("bucket").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), F.min("strong").alias("strong"))
+    hashed = canon.select("doc_id", "bucket", strong.alias("strong")) if hashed is None else hashed.select("doc_id", "bucket", "strong")
+    one = hashed.groupBy("bucket").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"), F.min("strong").alias("strong"))
     one = scratch.keep(one, "buckets")
     shared = few(one.where("n_copies > 1").select(F.col("bucket").alias("b")), most_shared)
     met = canon.select("doc_id", "bucket", "canon").join(shared, F.col("bucket") == F.col("b"), "left_semi").groupBy("bucket", "canon").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("n_copies"))

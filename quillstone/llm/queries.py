@@ -103,7 +103,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "bucket", "strong", "next_bucket", "next_strong", fingerprint.wide_hash(F.col("canon")).alias("edited_bucket"), F.sha2("canon", 256).alias("edited_strong"))
     scratch = Scratch(spark, "fingerprint")
     rows = scratch.keep(rows, "rows")
-    found = scratch.keep(fingerprint.classes(fingerprint.fingerprint(docs).select("doc_id", "bucket", "canon"), scratch=scratch), "classes")
+    found = scratch.keep(fingerprint.classes(fingerprint.fingerprint(docs).select("doc_id", "bucket", "canon"), scratch=scratch, hashed=rows), "classes")
     # hashes that two unlike texts share, among the documents and their edited texts; none is to be expected
     met = found.select("bucket", "strong").union(rows.select("edited_bucket", "edited_strong")).distinct()
     met = few(scratch.keep(met.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b"), "collisions"), 500_000)
