@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -18,16 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the session names none, a local master (tests on one machine) gets a temporary folder; a cluster is told to name one.
-    """
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``, which a session must name."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="quillstone-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return root.rstrip("/")
 
 
