@@ -2,7 +2,8 @@
 
 A token is a literal substring and white space means AND between tokens; there is no query grammar. Full text knows trigrams, so tokens of
 fewer than three characters are no part of it. ``LIKE`` wildcards in a token keep their meaning. Privacy filters come before every tier.
-A query is a few words that the caller holds, so it is part of the plan; tables are read once for counts and once for hits.
+A query is a few words that the caller holds, so it is part of the plan. Without an index tables are read once for counts and once for hits; with a
+``TextIndex`` of kinds ``unit`` (topic, claim) and ``record`` (clean_literal) the postings of the query's trigrams are read instead.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
+from quillstone.operators.fulltext import TextIndex
 
 CERTAINTY = "CASE certainty WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
@@ -105,12 +107,34 @@ def bm25_of(places: list[int]) -> Column:
     return F.when(has, sum((part(i) for i in places), F.lit(0.0)))
 
 
-def search_token(units: DataFrame, records: DataFrame, token: str, limit: int = 20, fulltext: bool = True) -> DataFrame:
+def _indexed_token(index: TextIndex, token: str, limit: int, records: DataFrame | None) -> DataFrame:
+    """``search_token`` from an index: a tier is asked only if those before it found nothing. The driver sees the ``limit`` hits of a tier."""
+    words = phrases_of(token)
+    top = lambda hits, key: hits.select("chunk", "local", "id", key.alias("key")).orderBy("key", "id").limit(limit).collect()
+    tiers = [
+        lambda: top(index.seats(index.best("unit", words, limit), "unit"), -F.col("score")) if words else [],
+        lambda: top(index.seats(index.holds("unit", token), "unit", "certainty"), F.expr(CERTAINTY).cast("double")),
+        lambda: top(index.seats(index.holds("record", token), "record"), F.lit(0.0)) if records is None else [],
+    ]
+    for tier, ask in enumerate(tiers, 1):
+        if found := ask():
+            rows = index.spark.createDataFrame([(tier, r["id"], n, r["chunk"], r["local"]) for n, r in enumerate(found, 1)], "tier int, id string, rank int, chunk long, local int")
+            kind, field = ("record", 0) if tier == 3 else ("unit", 1)
+            return index.texts(rows, kind, field).select("tier", "id", "text", "rank")
+    if records is None:
+        return index.spark.createDataFrame([], "tier int, id string, text string, rank int")
+    rows = records.where(F.col("clean_literal").ilike(f"%{token}%")).orderBy("record_id").limit(limit)
+    return rows.select(F.lit(3).alias("tier"), F.col("record_id").alias("id"), F.col("clean_literal").alias("text"), F.row_number().over(Window.orderBy("record_id")).alias("rank"))
+
+
+def search_token(units: DataFrame | None, records: DataFrame | None, token: str, limit: int = 20, fulltext: bool = True, index: TextIndex | None = None) -> DataFrame:
     """(tier, id, text, rank): the first tier with hits of: full text over topic and claim, LIKE on claim or topic, LIKE on the records.
 
     Tier 1 ranks by BM25 of the token's words over all units; a word of three characters and more is one phrase of trigrams. LIKE ignores case. Each
-    tier keeps its first ``limit`` rows: by score, or by certainty, then by id.
+    tier keeps its first ``limit`` rows: by score, or by certainty, then by id. With an ``index`` the tables aren't read, but for ``records`` that are given.
     """
+    if index is not None:
+        return _indexed_token(index, token, limit, records)
     pattern = f"%{token}%"
     words = phrases_of(token) if fulltext else []
     like = units.where(F.col("claim").ilike(pattern) | F.col("topic").ilike(pattern))
@@ -144,7 +168,27 @@ def _first(rows: DataFrame, by: list[str], order: list, limit: int, name: str, s
     return rows.drop("__part").withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= limit)
 
 
-def search(units: DataFrame, records: DataFrame, query: str, event: str = "event", limit: int = 20) -> DataFrame:
+def _looked_up(index: TextIndex, event: str, asked: list[tuple[str, int]], words: list[str]) -> DataFrame:
+    """(event, kind, id, tier, ordinal, key) of all hits, from an index; each event's units are counted alone."""
+    n = len(words)
+    stats = index.stats.where("kind = 'unit'").select(F.col("event").alias("__e"), F.col("n"), (F.col("size") / F.col("n")).alias("mean"))
+    hits = index.match("unit", words)
+    df = hits.groupBy(F.col("event").alias("__d")).agg(F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(n))).alias("df"))
+    few = stats.join(df, F.col("__e").eqNullSafe(F.col("__d"))).withColumn("idf", F.transform("df", lambda d: F.greatest(F.log((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(1e-6)))).select("__e", "mean", "idf")
+    scored = hits.join(few, F.col("event").eqNullSafe(F.col("__e")))
+    full = [F.struct(F.lit(o).alias("ordinal"), (-bm25_of([words.index(w) for w in phrases_of(t)])).alias("key")) for t, o in asked]
+    found = scored.select("event", "chunk", "local", F.explode(F.filter(F.array(*full), lambda h: h["key"].isNotNull())).alias("h")).select("event", "chunk", "local", F.lit(1).alias("tier"), "h.*")
+    spoken = None
+    for t, o in asked:
+        found = found.unionByName(index.holds("unit", t).select("*", F.lit(2).alias("tier"), F.lit(o).alias("ordinal"), F.lit(None).cast("double").alias("key")))
+        more = index.holds("record", t).select("*", F.lit(3).alias("tier"), F.lit(o).alias("ordinal"), F.lit(0.0).alias("key"))
+        spoken = more if spoken is None else spoken.unionByName(more)
+    found = index.seats(found, "unit", "certainty").withColumn("key", F.coalesce("key", F.expr(CERTAINTY).cast("double")))
+    rows = lambda hits, kind: hits.select(F.col("event").alias(event), F.lit(kind).alias("kind"), "id", "tier", "ordinal", "key")
+    return rows(found, "unit").unionByName(rows(index.seats(spoken, "record"), "record"))
+
+
+def search(units: DataFrame | None, records: DataFrame | None, query: str, event: str = "event", limit: int = 20, index: TextIndex | None = None) -> DataFrame:
     """(event, kind, id, matched, rank): the whole query first; where an event has no hit for it, its tokens, most matched first.
 
     Each event is a package of its own: its units' BM25 counts its units alone. Per event and token the first tier with hits holds: full text, LIKE on
@@ -154,6 +198,18 @@ def search(units: DataFrame, records: DataFrame, query: str, event: str = "event
     parts = tokens_of(query)
     asked = [(query, 0)] + [(t, i + 1) for i, t in enumerate(parts) if t != query]
     words = list(dict.fromkeys(w for t, _ in asked for w in phrases_of(t))) or ["\0\0\0"]
+    rows = _scanned(units, records, event, asked, words) if index is None else _looked_up(index, event, asked, words)
+    # one row an event and token: its tier; and of the whole query and the tokens what comes first
+    best = rows.groupBy(F.col(event).alias("e"), F.col("ordinal").alias("o")).agg(F.min("tier").alias("t"))
+    best = best.withColumn("whole", F.min("o").over(Window.partitionBy("e")) == 0).where("whole = (o = 0)")
+    rows = rows.join(best, (F.col(event) == F.col("e")) & (F.col("ordinal") == F.col("o")) & (F.col("tier") == F.col("t"))).select(event, "kind", "id", "ordinal", "key")
+    rows = _first(rows, [event, "ordinal"], ["key", "id"], limit, "place")
+    merged = rows.groupBy(event, "kind", "id").agg(F.count(F.lit(1)).alias("matched"), F.min(F.struct("ordinal", "place")).alias("seen"))
+    return _first(merged, [event, "kind"], [F.col("matched").desc(), "seen"], limit, "rank").drop("seen")
+
+
+def _scanned(units: DataFrame, records: DataFrame, event: str, asked: list[tuple[str, int]], words: list[str]) -> DataFrame:
+    """(event, kind, id, tier, ordinal, key) of all hits, from the tables."""
     hit = lambda tier, n, key: F.struct(F.lit(tier).alias("tier"), F.lit(n).alias("ordinal"), key.alias("key"))
     some = F.filter(F.col("hits"), lambda h: h["key"].isNotNull())
 
@@ -166,14 +222,7 @@ def search(units: DataFrame, records: DataFrame, query: str, event: str = "event
     seen = lambda *c: lambda t: sum((F.coalesce(F.col(x).ilike(f"%{t}%"), F.lit(False)).cast("int") for x in c), F.lit(0)) > 0
     like = listed(units, "unit", "unit_id", [hit(2, n, F.when(seen("claim", "topic")(t), F.expr(CERTAINTY).cast("double"))) for t, n in asked])
     spoken = listed(records, "record", "record_id", [hit(3, n, F.when(seen("clean_literal")(t), F.lit(0.0))) for t, n in asked])
-    rows = full.unionByName(like).unionByName(spoken)
-    # one row an event and token: its tier; and of the whole query and the tokens what comes first
-    best = rows.groupBy(F.col(event).alias("e"), F.col("ordinal").alias("o")).agg(F.min("tier").alias("t"))
-    best = best.withColumn("whole", F.min("o").over(Window.partitionBy("e")) == 0).where("whole = (o = 0)")
-    rows = rows.join(best, (F.col(event) == F.col("e")) & (F.col("ordinal") == F.col("o")) & (F.col("tier") == F.col("t"))).select(event, "kind", "id", "ordinal", "key")
-    rows = _first(rows, [event, "ordinal"], ["key", "id"], limit, "place")
-    merged = rows.groupBy(event, "kind", "id").agg(F.count(F.lit(1)).alias("matched"), F.min(F.struct("ordinal", "place")).alias("seen"))
-    return _first(merged, [event, "kind"], [F.col("matched").desc(), "seen"], limit, "rank").drop("seen")
+    return full.unionByName(like).unionByName(spoken)
 
 
 def response(hits: DataFrame, events: DataFrame, event: str = "event") -> DataFrame:
@@ -218,13 +267,13 @@ def uncertainties(units: DataFrame, relations: DataFrame, event: str = "event",
     return first.unionByName(notes.select(event, F.lit("note").alias("kind"), "position", F.substring(F.concat("note_id", F.lit(" · conflict · "), "detail"), 1, width).alias("line")))
 
 
-def packet(units: DataFrame, evidence: DataFrame, query: str, limit: int = 8) -> DataFrame:
+def packet(units: DataFrame, evidence: DataFrame, query: str, limit: int = 8, index: TextIndex | None = None) -> DataFrame:
     """(tier, id, rank, text, evidence): units by full text, else by LIKE, each with its evidence rows; else evidence whose text has the query.
 
     ``evidence(evidence_id, source_id, kind, literal_text)``; a unit's evidence is ordered by id, ids without a row are left out.
     """
     spoken = evidence.select(F.col("evidence_id").alias("record_id"), F.col("literal_text").alias("clean_literal"))
-    hits = search_token(units, spoken, query, limit)
+    hits = search_token(units, spoken, query, limit, index=index)
     ids = hits.where("tier < 3").join(units.select("unit_id", F.explode("evidence_ids").alias("e")), F.col("id") == F.col("unit_id")).select("id", "e")
     found = ids.join(evidence.select("evidence_id", "source_id", "kind"), F.col("e") == F.col("evidence_id")).groupBy(F.col("id").alias("u")).agg(F.sort_array(F.collect_list(F.struct("evidence_id", "source_id", "kind"))).alias("evidence"))
     return hits.join(found, F.col("id") == F.col("u"), "left").select("tier", "id", "rank", "text", "evidence")

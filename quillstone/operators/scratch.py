@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the session's ``spark.checkpoint.dir``; only a local master may do without one and gets a temporary folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which driver and executors share; a session must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="quillstone-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/quillstone-work-{uuid.uuid4().hex}"
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return root.rstrip("/")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A fresh folder in the shared one."""
+    return f"{shared_folder(spark)}/quillstone-work-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ from quillstone.operators import model_boundary as M
 from quillstone.operators import projections as P
 from quillstone.operators import retrieval as R
 from quillstone.operators import windows as W
-from quillstone.operators.scratch import work_folder
+from quillstone.operators.fulltext import TextIndex, source_mark
+from quillstone.operators.scratch import shared_folder, work_folder
 from quillstone.plans.domain import Tables, bigrams_sql, compacted_sql, sql
 from quillstone.sources import readers, writers
 from quillstone.streaming import online
@@ -237,9 +238,9 @@ def region_rectangle(t: Tables) -> DataFrame:
     return rows.select("vec_id", "valid", F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"), F.round("c.width", 6).alias("cw"), F.round("c.height", 6).alias("ch"))
 
 
-@query("SELECT conv_id, turn, coalesce(nullif(CASE WHEN turn % 3 = 0 THEN '' ELSE substr(text, 1, 20) END, ''), nullif(CASE WHEN turn % 2 = 0 THEN substr(text, 21, 20) END, ''), role) AS chosen FROM conversations")
+@query("SELECT conv_id, turn, coalesce(nullif(CASE WHEN turn % 3 = 0 THEN '' ELSE text END, ''), nullif(CASE WHEN turn % 2 = 0 THEN lower(text) END, ''), role) AS chosen FROM conversations")
 def first_route(t: Tables) -> DataFrame:
-    rows = t.turns().select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(F.substring("text", 1, 20)).alias("normalized"), F.when(F.col("turn") % 2 == 0, F.substring("text", 21, 20)).alias("noise_reduced"), F.col("role").alias("first"))
+    rows = t.turns().select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")).alias("normalized"), F.when(F.col("turn") % 2 == 0, F.lower("text")).alias("noise_reduced"), F.col("role").alias("first"))
     return rows.select("conv_id", "turn", P.first_route("normalized", "noise_reduced", "first").alias("chosen"))
 
 
@@ -525,10 +526,6 @@ def route_medoid(t: Tables) -> DataFrame:
     return rows.select("item_id", "route", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("min_similarity", 6).alias("min_similarity"))
 
 
-#: Terms that are no correction.
-_OCR_STOP = "一个 我们 你们 他们 她们 它们 这个 那个 这些 那些 什么 怎么 因为 所以 但是 如果 已经 现在 今天 大家 就是 还有 没有 不是 可以 一下 一些 以及 或者 然后 这样 那样 自己 知道 觉得 时候".split()
-
-
 _DELETED = "unnest(list_distinct(list_concat([lower({0})], list_transform(range(1, length({0}) + 1), lambda i: substr(lower({0}), 1, i - 1) || substr(lower({0}), i + 1)))))"
 
 
@@ -541,8 +538,7 @@ def ocr_fuzzy(t: Tables) -> DataFrame:
     """Latin tokens of three or more letters or digits with a letter, CJK runs of 2 to 6 characters as terms and CJK windows of those lengths as tokens."""
     latin = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{3,}"), F.lit(0)), lambda w: w.rlike("[A-Za-z]"))
     records = t.raw("benchmark").select(F.col("item_id").alias("record_id"), F.concat(latin, *(X.cjk_windows("text", n) for n in range(2, 7))).alias("tokens"))
-    words = F.filter(X.ocr_terms("text", []), lambda w: ~w.isin(_OCR_STOP))
-    terms = t.raw("documents").select(F.col("doc_id").alias("page"), F.explode(words).alias("term"))
+    terms = t.raw("documents").select(F.col("doc_id").alias("page"), F.explode(X.ocr_terms("text", [])).alias("term"))
     return J.fuzzy_terms(records, terms).select(F.col("record_id").alias("item_id"), "original", "suggested", "page")
 
 
@@ -897,15 +893,37 @@ al AS (SELECT * FROM one WHERE rank <= 20 UNION ALL SELECT * FROM two WHERE rank
 SELECT * FROM al WHERE tier = (SELECT min(tier) FROM al)""").replace("\n, m AS", ", m AS")
 
 
+def text_index(t: Tables) -> TextIndex:
+    """The index of the folder's units and records, in the shared folder: built once for the files as they are, and read from then on."""
+    root = f"{shared_folder(t.spark)}/quillstone-index-{source_mark(t.spark, [f'{t.folder}/documents.parquet', f'{t.folder}/labels.parquet'])}"
+    if TextIndex.whole(t.spark, root):
+        return TextIndex(t.spark, root)
+    return TextIndex.build(t.spark, root, {"unit": (t.units(), "unit_id", ["topic", "claim"]), "record": (cite_records(t), "record_id", ["clean_literal"])})
+
+
+_TRIGRAMS = "list_transform(range(1, length({0}) - 1), lambda i: substr(lower({0}), i, 3))"
+
+
+@query(sql("units rec", f""", x AS (SELECT 'unit' AS kind, event, greatest(length(topic) - 2, 0) + greatest(length(claim) - 2, 0) AS n, list_distinct(list_concat({_TRIGRAMS.format('topic')}, {_TRIGRAMS.format('claim')})) AS g FROM units
+UNION ALL SELECT 'record', source, greatest(length(rec.text) - 2, 0), list_distinct({_TRIGRAMS.format('rec.text')}) FROM rec JOIN documents ON source_id = doc_id),
+d AS (SELECT kind, event, count(DISTINCT g) AS n_grams FROM (SELECT kind, event, unnest(g) AS g FROM x) GROUP BY 1, 2)
+SELECT kind, event, CAST(sum(len(g)) AS BIGINT) AS n_postings, CAST(sum(n) AS BIGINT) AS n_places, any_value(n_grams) AS n_grams FROM x JOIN d USING (kind, event) GROUP BY 1, 2""").replace("\n, x AS", ", x AS"))
+def search_index(t: Tables) -> DataFrame:
+    """What the stored index holds of each kind and event; trigrams that reach over the sign between two fields are no posting of a text."""
+    over = F.exists(F.array(F.shiftrightunsigned("gram", 42), F.shiftrightunsigned("gram", 21).bitwiseAND(2**21 - 1), F.col("gram").bitwiseAND(2**21 - 1)), lambda c: c == 0)
+    rows = text_index(t).blocks.where(~over)
+    return rows.groupBy("kind", "event").agg(F.sum(F.col("n_docs").cast("long")).alias("n_postings"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_places"), F.count_distinct("gram").alias("n_grams"))
+
+
 @query(_token_sql("thatnd"))
 def search_token(t: Tables) -> DataFrame:
-    return R.search_token(t.units(), cite_records(t), "thatnd")
+    return R.search_token(None, None, "thatnd", index=text_index(t))
 
 
 #: Two letters are no trigram, so the LIKE tier answers.
 @query(_token_sql("nd"))
 def search_short_token(t: Tables) -> DataFrame:
-    return R.search_token(t.units(), cite_records(t), "nd")
+    return R.search_token(None, None, "nd", index=text_index(t))
 
 
 def _search_sql(first: str, second: str, shown: str) -> str:
@@ -928,20 +946,20 @@ hits AS (SELECT event, kind, id, matched, rank FROM (SELECT *, row_number() OVER
 
 @query(_search_sql("ththe", "thatnd", "SELECT * FROM hits"))
 def search_meetings(t: Tables) -> DataFrame:
-    return R.search(t.units(), cite_records(t), "ththe thatnd").select("event", "kind", "id", "matched", "rank")
+    return R.search(None, None, "ththe thatnd", index=text_index(t)).select("event", "kind", "id", "matched", "rank")
 
 
 @query(_search_sql("ththe", "thatnd", "SELECT event, coalesce(string_agg(id, ',' ORDER BY rank) FILTER (WHERE kind = 'unit'), '') AS units, coalesce(string_agg(id, ',' ORDER BY rank) FILTER (WHERE kind = 'record'), '') AS evidence FROM hits GROUP BY event"))
 def search_response(t: Tables) -> DataFrame:
     units = t.units()
-    out = R.response(R.search(units, cite_records(t), "ththe thatnd"), units.select("event"))
+    out = R.response(R.search(None, None, "ththe thatnd", index=text_index(t)), units.select("event"))
     return out.select("event", F.array_join("units", ",").alias("units"), F.array_join("evidence", ",").alias("evidence"))
 
 
 @query("SELECT min(source) AS event, 0 AS n_units, 0 AS n_evidence FROM documents")
 def search_response_empty(t: Tables) -> DataFrame:
     units = t.units()
-    out = R.response(R.search(units, cite_records(t), "qqqqzzzz"), units.select("event"))
+    out = R.response(R.search(None, None, "qqqqzzzz", index=text_index(t)), units.select("event"))
     return out.select("event", F.size("units").alias("n_units"), F.size("evidence").alias("n_evidence"))
 
 
@@ -949,7 +967,7 @@ def search_response_empty(t: Tables) -> DataFrame:
 one AS (SELECT unit_id AS id, evidence_ids, row_number() OVER (ORDER BY {_PART.format(idf=_idf('df'), tf='tf')} DESC, unit_id) AS rank FROM m, k WHERE tf > 0)
 SELECT id, rank, coalesce(string_agg(e.evidence_id || ' ' || e.source_id || ' ' || e.kind, ',' ORDER BY e.evidence_id), '') AS evidence FROM (SELECT id, rank, unnest(evidence_ids) AS i FROM one WHERE rank <= 8) LEFT JOIN evidence e ON i = e.evidence_id GROUP BY id, rank""").replace("\n, m AS", ", m AS"))
 def search_packet(t: Tables) -> DataFrame:
-    out = R.packet(t.units(), t.evidence(), "thatnd")
+    out = R.packet(t.units(), t.evidence(), "thatnd", index=text_index(t))
     line = F.transform("evidence", lambda e: F.concat_ws(" ", e["evidence_id"], e["source_id"], e["kind"]))
     return out.select("id", "rank", F.coalesce(F.array_join(line, ","), F.lit("")).alias("evidence"))
 

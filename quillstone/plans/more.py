@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +22,25 @@ from quillstone.plans.catalog import query
 from quillstone.plans.domain import Tables, sql
 from quillstone.sources import readers, schemas, writers
 from quillstone.streaming import online
+from quillstone.streaming.snapshots import KeyedSnapshot
 
 # ---------------------------------------------------------------- sources and sinks, written and read back
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents")
 def jsonl_strict(t: Tables) -> DataFrame:
-    """Lines that are no objects and blank ones go."""
+    """JSON that is no object and blank lines go; one line that is no JSON stops the job."""
     rows = t.raw("documents").select("doc_id", "lang", "n_chars")
     noise = t.spark.createDataFrame([("[1, 2]",), ('"text"',), ("17",), ("null",), ("   ",)], "value string")
     path = f"{work_folder(t.spark)}/strict.jsonl"
     rows.select(F.to_json(F.struct("*")).alias("value")).unionAll(noise).write.text(path)
-    return readers.jsonl(t.spark, path, rows.schema, "strict")
+    broken = f"{work_folder(t.spark)}/broken.jsonl"
+    t.spark.createDataFrame([("[broken",)], "value string").write.text(broken)
+    try:
+        readers.jsonl(t.spark, broken, rows.schema, "strict").collect()
+    except PySparkException:
+        return readers.jsonl(t.spark, path, rows.schema, "strict")
+    raise AssertionError("a broken line was read")
 
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 50")
@@ -116,16 +124,17 @@ def package_scan(t: Tables) -> DataFrame:
     return out
 
 
-@query(sql("log", "SELECT event, max(ordinal) AS ordinal FROM log GROUP BY event"))
+@query(sql("log", "SELECT event, max(ordinal) AS ordinal, count(*) AS n_rows FROM log GROUP BY event"))
 def progress_snapshot(t: Tables) -> DataFrame:
-    """The sink of a progress stream, called with one batch and read back."""
+    """The sink of a progress stream, called with three batches out of order, the second twice, and read back."""
     rows = t.log().select("event", F.col("ordinal").cast("double").alias("ts"), "ordinal")
     root = work_folder(t.spark)
-    online.upsert_snapshot(rows, 1, root)
-    return t.spark.read.schema("event bigint, ordinal bigint").json(f"{root}/snapshot").select("event", "ordinal")
+    for epoch, part in ((0, 1), (1, 2), (1, 2), (2, 0)):
+        online.upsert_snapshot(rows.where(F.col("ordinal") % 3 == part), epoch, root)
+    return KeyedSnapshot(t.spark, f"{root}/snapshot").read().select("event", "ordinal", "n_rows")
 
 
-@query("SELECT doc_id % 3 AS slide_source_id, md5(string_agg('- ' || printf('L%06d', doc_id) || ' (supports) ' || printf('E%06d', doc_id) || ': ' || lang, chr(10) ORDER BY doc_id)) AS markdown_md5 FROM documents WHERE doc_id <= 300 OR doc_id > 300 GROUP BY 1")
+@query("SELECT doc_id % 3 AS slide_source_id, md5(string_agg('- ' || printf('L%06d', doc_id) || ' (supports) ' || printf('E%06d', doc_id) || ': ' || lang, chr(10) ORDER BY doc_id)) AS markdown_md5 FROM documents GROUP BY 1")
 def slide_markdown(t: Tables) -> DataFrame:
     relations = t.raw("documents").select((F.col("doc_id") % 3).alias("slide_source_id"), F.format_string("L%06d", "doc_id").alias("relation_id"), F.lit("supports").alias("relation"), F.array(F.format_string("E%06d", "doc_id")).alias("slide_evidence_ids"))
     evidence = t.raw("documents").select(F.format_string("E%06d", "doc_id").alias("evidence_id"), F.col("lang").alias("literal_text"))

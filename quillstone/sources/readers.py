@@ -21,13 +21,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType, mode: str = "lenient") -> DataFrame:
-    """JSON lines. ``lenient``: a missing path is an empty table, blank lines go, bad JSON stops the job; ``strict``: a missing path stops too and rows that aren't objects go; ``tolerant``: bad lines go."""
+    """JSON lines. ``lenient``: a missing path is an empty table, blank lines go, bad JSON stops the job; ``strict``: a missing path stops too, a line that is no JSON stops the job, and JSON that is no object goes; ``tolerant``: bad lines go."""
     if mode != "strict" and not exists(spark, path):
         return spark.createDataFrame([], schema)
     if mode == "tolerant":
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     if mode == "strict":
-        objects = spark.read.text(path).where(F.trim("value") != "").where(~F.trim("value").rlike(r'^[\["0-9tfn-]'))
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        kind = F.coalesce(F.schema_of_variant(F.try_parse_json("value")), F.raise_error(F.concat(F.lit("a line is no JSON: "), F.substring("value", 1, 200))).cast("string"))
+        objects = lines.where(F.startswith(kind, F.lit("OBJECT")))
         return objects.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 

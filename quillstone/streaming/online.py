@@ -223,10 +223,15 @@ def latest_snapshot(log: DataFrame, key: str = "event", delay: str | None = None
     return rows.groupBy(key).agg(last.alias("s"), F.count(F.lit(1)).alias("n_rows")).select(key, "s.*", "n_rows")
 
 
-def upsert_snapshot(batch: DataFrame, epoch: int, path: str, key: str = "event") -> None:
-    """A ``foreachBatch`` sink: appends the log rows and rewrites the snapshot; an epoch is a folder of its own, so a retry replaces it."""
+def upsert_snapshot(batch: DataFrame, epoch: int, path: str, key: str = "event", order: str = "ts") -> None:
+    """A ``foreachBatch`` sink: keeps the batch's rows as a log of epochs and merges them into the snapshot, one row a key, the newest by ``order``.
+
+    An epoch that runs again replaces its log and leaves the snapshot as it is. ``KeyedSnapshot(spark, f"{path}/snapshot", key, order).read()`` reads the snapshot.
+    """
+    from quillstone.streaming.snapshots import KeyedSnapshot
+
     batch.write.mode("overwrite").json(f"{path}/log/epoch={epoch}")
-    latest_snapshot(batch, key).write.mode("overwrite").json(f"{path}/snapshot/epoch={epoch}")
+    KeyedSnapshot(batch.sparkSession, f"{path}/snapshot", key, order).upsert(batch, epoch)
 
 
 def current_state(snapshots: DataFrame, live: DataFrame, key: str = "event") -> DataFrame:

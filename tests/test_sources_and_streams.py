@@ -4,11 +4,13 @@ import json
 import os
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.sources import readers, schemas, writers
 from quillstone.streaming import online
+from quillstone.streaming.snapshots import KeyedSnapshot
 
 ROW = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
 
@@ -195,7 +197,54 @@ def test_latest_snapshot_streams(spark, tmp_path):
     streamed = {r.event: r.message for r in spark.sql("SELECT * FROM snap").collect()}
     assert streamed == {r.event: r.message for r in online.latest_snapshot(df).collect()} == {"e0": "m8", "e1": "m9"}
     online.upsert_snapshot(df, 3, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out/snapshot/epoch=3")).count() == 2
+    assert KeyedSnapshot(spark, str(tmp_path / "out/snapshot")).read().count() == 2
+
+
+def test_upserts_merge(spark, rows, tmp_path):
+    snap = KeyedSnapshot(spark, str(tmp_path / "s"), key="event", buckets=4)
+    batch = lambda *r: spark.createDataFrame(list(r), "event string, ts double, v int")
+    with pytest.raises(ValueError):
+        snap.read()
+    assert snap.upsert(batch(("a", 1.0, 1), ("b", 2.0, 2), ("b", 1.0, 9)), 0)
+    assert snap.upsert(batch(("a", 3.0, 5), ("c", 1.0, 3)), 1)
+    got = [("a", 3.0, 5, 2), ("b", 2.0, 2, 2), ("c", 1.0, 3, 1)]
+    assert rows(snap.read()) == got
+    # the same epoch again, and one from before, change nothing
+    assert not snap.upsert(batch(("a", 9.0, 9)), 1) and not snap.upsert(batch(("a", 9.0, 9)), 0)
+    assert rows(snap.read()) == got
+    # an old row doesn't win; a tie does; null keys and orders count
+    assert snap.upsert(batch(("b", 0.5, 7), ("c", 1.0, 4), (None, None, 0)), 5)
+    assert rows(snap.read()) == [("a", 3.0, 5, 2), ("b", 2.0, 2, 3), ("c", 1.0, 4, 2), (None, None, 0, 1)]
+    assert snap.upsert(batch(), 6)
+    assert snap.read().count() == 4 and snap.epochs() == [5, 6]
+    with pytest.raises(ValueError):
+        snap.upsert(spark.createDataFrame([(1,)], "event int"), 7)
+
+
+def test_a_batch_that_dies_before_its_commit_leaves_the_snapshot(spark, rows, tmp_path, monkeypatch):
+    snap = KeyedSnapshot(spark, str(tmp_path / "s"), buckets=2)
+    one = spark.createDataFrame([("a", 1.0)], "event string, ts double")
+    two = spark.createDataFrame([("a", 2.0), ("b", 2.0)], "event string, ts double")
+    snap.upsert(one, 0)
+
+    def dies(epoch, said):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(snap, "_commit", dies)
+        with pytest.raises(OSError):
+            snap.upsert(two, 1)
+    assert rows(snap.read()) == [("a", 1.0, 1)]
+    assert snap.upsert(two, 1) and rows(snap.read()) == [("a", 2.0, 2), ("b", 2.0, 1)]
+
+
+def test_strict_lines_stop(spark, tmp_path):
+    for n, line in enumerate(("not json at all", "[broken", '"open', "17x", '{"doc_id": 1')):
+        (tmp_path / f"{n}.jsonl").write_text('{"doc_id": 1}\n' + line + "\n")
+        with pytest.raises(PySparkException):
+            readers.jsonl(spark, str(tmp_path / f"{n}.jsonl"), T.StructType.fromDDL("doc_id int"), "strict").collect()
+    (tmp_path / "good.jsonl").write_text('{"doc_id": 1}\n[1]\n"x"\n-3\ntrue\nnull\n\n {"doc_id": 2}\n')
+    assert [r[0] for r in readers.jsonl(spark, str(tmp_path / "good.jsonl"), T.StructType.fromDDL("doc_id int"), "strict").collect()] == [1, 2]
 
 
 def test_states_and_tasks(spark, rows):
