@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quillstone.functions import text as X
-from quillstone.operators.scratch import keep, ranked
+from quillstone.operators.ordered import last_before
+from quillstone.operators.scratch import drop, keep, ranked
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, values: list[str], required: bool = True) -> DataFrame:
@@ -240,15 +241,84 @@ def neighbor_cap(pairs: DataFrame, k: int = 4, score: str = "score") -> DataFram
     return kept.select(F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b"), "score").distinct()
 
 
+def nearest_sets(left: DataFrame, right: DataFrame, key: str, left_words: str, right_words: str, k: int, least: float = 0.0, digits: int = 6, first: int = 4) -> DataFrame:
+    """(me, you, score, rank): for each row of ``left`` its ``k`` best rows of ``right`` under another key, by Jaccard of their sets of words, ties by the partner's key.
+
+    Exact, without the pairs that share a word. A row's words are probed from the rarest in ``right`` on, ``first`` of them in the first round, four times as many in all in each
+    next one. Who shares none of the words probed shares at most the r that are left, so its score is at most r of n; once the k-th best found
+    beats that (or ``least`` does), the row is done, and its frequent words, which meet the most partners, are never probed. Partners whose size alone rules them
+    out are not compared either. Scores are rounded to ``digits`` before they are ranked; rows with null keys or without words have no partners. Rounds are kept in the shared folder.
+    """
+    hair = 10.0**-digits
+    sets = lambda df, words, name: df.where(F.col(key).isNotNull()).select(F.col(key).alias(name), F.array_distinct(F.filter(words, lambda w: w.isNotNull())).alias("s")).where(F.size("s") > 0)
+    targets = keep(sets(right, right_words, "you").withColumn("m", F.size("s")))
+    posts = targets.select("you", "m", F.explode("s").alias("w"))
+    rarity = posts.groupBy(F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("df"))
+    mine = sets(left, left_words, "me")
+    # a word's place in the row's own order of rarity; words that ``right`` doesn't have are never probed
+    words = mine.select("me", F.explode("s").alias("w")).join(rarity, F.col("w") == F.col("v")).select("me", "w", "df")
+    probes = words.withColumn("at", F.row_number().over(Window.partitionBy("me").orderBy("df", "w"))).select("me", "w", "at")
+    probes = keep(probes)
+    ends = probes.groupBy(F.col("me").alias("e")).agg(F.max("at").alias("known"))
+    active = keep(mine.join(ends, F.col("me") == F.col("e")).select("me", "s", F.size("s").alias("n"), "known", F.lit(least).cast("double").alias("floor")))
+    best, low, high = None, 0, first
+    while True:
+        some = probes.where((F.col("at") > low) & (F.col("at") <= high)).join(active.select(F.col("me").alias("a"), "n", "floor"), F.col("me") == F.col("a")).drop("a")
+        fits = (F.col("m") >= F.col("n") * F.col("floor") - hair) & (F.col("n") >= F.col("m") * F.col("floor") - hair)
+        met = some.join(posts.select("you", "m", F.col("w").alias("v")), (F.col("w") == F.col("v")) & (F.col("me") != F.col("you")) & fits).select("me", "you").distinct()
+        met = met.join(active.select(F.col("me").alias("a"), F.col("s").alias("x")), F.col("me") == F.col("a")).join(targets.select(F.col("you").alias("b"), F.col("s").alias("y")), F.col("you") == F.col("b"))
+        found = met.select("me", "you", F.round(X.jaccard(F.col("x"), F.col("y")), digits).alias("score")).where(F.col("score") >= least)
+        # a pair that meets again in a later round is the same pair
+        rows = found if best is None else best.select("me", "you", "score").unionByName(found).distinct()
+        rank = F.row_number().over(Window.partitionBy("me").orderBy(F.col("score").desc(), "you"))
+        new = keep(rows.withColumn("rank", rank).where(F.col("rank") <= k))
+        last = new.where(F.col("rank") == k).select(F.col("me").alias("b"), F.col("score").alias("kth"))
+        left_over = F.greatest(F.col("known") - high, F.lit(0)) / F.col("n")
+        floor = F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least))
+        rest = active.join(last, F.col("me") == F.col("b"), "left").where((F.col("known") > high) & (left_over >= floor - hair)).select("me", "s", "n", "known", floor.alias("floor"))
+        rest = keep(rest)
+        for old in (best, active):
+            if old is not None:
+                drop(old)
+        best, active, low, high = new, rest, high, 4 * high
+        if active.isEmpty():
+            break
+    for old in (active, probes, targets):
+        drop(old)
+    return best
+
+
+def nearest_pairs(fragments: DataFrame, key: str, k: int = 4) -> DataFrame:
+    """(a, b, score): what ``neighbor_cap`` keeps of ``pair_scores`` by ``overall``, found without all pairs. ``fragments(key, keywords)``."""
+    kept = nearest_sets(fragments, fragments, key, "keywords", "keywords", k).where("score > 0")
+    return kept.select(F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b"), "score").distinct()
+
+
+def mutual_best_sets(fragments: DataFrame, key: str, least: float, gap: float) -> DataFrame:
+    """(a, b, score): what ``mutual_best`` keeps of the scores of tails against heads, found without all pairs. ``fragments(key, head, tail)``.
+
+    A side's two best partners tell its best and how far it stands before the next.
+    """
+
+    def side(mine: str, other: str) -> DataFrame:
+        best = nearest_sets(fragments, fragments, key, mine, other, 2, least)
+        at = lambda n: F.max(F.when(F.col("rank") == n, F.struct("you", "score")))
+        rows = best.groupBy("me").agg(at(1).alias("x"), at(2).alias("y"))
+        return rows.where(F.col("x.score") - F.coalesce("y.score", F.lit(0.0)) >= gap).select("me", "x.you", "x.score")
+
+    out, back = side("tail", "head"), side("head", "tail").select(F.col("me").alias("b2"), F.col("you").alias("a2"))
+    return out.join(back, (F.col("me") == F.col("a2")) & (F.col("you") == F.col("b2"))).select(F.col("me").alias("a"), F.col("you").alias("b"), "score")
+
+
 def asof(probes: DataFrame, records: DataFrame, on: str, probe_time: str, record_time: str, record_id: str, keep: list[str]) -> DataFrame:
     """For each probe the last record of its key that begins at or before it (ties: the larger id), or null.
 
-    One union and one window; no range join.
+    One union along one order, whose state, the last record, runs on over range partitions: a key of any size is spread over many tasks.
     """
     a = probes.select(F.col(on).alias(on), F.col(probe_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*keep).alias("__keep"), F.lit(None).cast(records.schema[record_id].dataType).alias("__id"))
     b = records.select(F.col(on), F.col(record_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__keep"].dataType).alias("__keep"), F.col(record_id).alias("__id"))
-    order = Window.partitionBy(on).orderBy("__t", "__side", "__id").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(record_id, F.last("__id", ignorenulls=True).over(order)).where("__side = 1").select(on, "__keep.*", record_id)
+    found = last_before(a.unionByName(b), on, ["__t", "__side", "__id"], "__id", "__last")
+    return found.where("__side = 1").select(on, "__keep.*", F.col("__last").alias(record_id))
 
 
 def evidence_packet(units: DataFrame, evidence: DataFrame) -> DataFrame:

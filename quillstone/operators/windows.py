@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
+from quillstone.operators import ordered
 from quillstone.operators.scratch import ranked
 
 
@@ -130,28 +133,14 @@ _TERMINAL, _CONNECT = ".!?。！？…", ("and", "but", "or", "und", "et", "y",
 def paragraphs(records: DataFrame, key: str, order: str, text: str, soft: int = 180, hard: int = 360) -> DataFrame:
     """(key, paragraph, first, last, text): sentences gathered until ``soft`` compact characters and a proper end, or ``hard``.
 
-    State resets at each paragraph; a source's records meet in one task.
+    State resets at each paragraph and runs on over range partitions (``ordered.gathered``), so a source of any length is spread over many tasks. Blank records are left out.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, part, size = [], [], 0
-        for o, t in pdf.sort_values(order, kind="stable")[[order, text]].itertuples(index=False):
-            t = (t or "").strip()
-            if not t:
-                continue
-            part.append((o, t))
-            size += len("".join(t.split()))
-            proper = t[-1] in _TERMINAL and t.rstrip(_TERMINAL).split(" ")[-1].lower() not in _CONNECT
-            if (size >= soft and proper) or size >= hard:
-                out.append(part)
-                part, size = [], 0
-        if part:
-            out.append(part)
-        k = pdf[key].iloc[0]
-        return pd.DataFrame([(k, i, p[0][0], p[-1][0], " ".join(t for _, t in p)) for i, p in enumerate(out)], columns=[key, "paragraph", "first", "last", "text"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in records.schema}
-    return records.select(key, order, text).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, paragraph int, first {kinds[order]}, last {kinds[order]}, text string")
+    said = F.col("__s")
+    ends = F.regexp_replace(said, f"[{re.escape(_TERMINAL)}]+$", "")
+    word = F.lower(F.element_at(F.split(ends, " "), -1))
+    proper = F.substring(said, -1, 1).isin(list(_TERMINAL)) & ~word.isin(list(_CONNECT))
+    rows = records.select(key, order, X.strip(F.coalesce(text, F.lit(""))).alias("__s"))
+    return ordered.gathered(rows, key, order, "__s", F.nullif(F.length(F.regexp_replace(said, r"[\s\p{Z}\x85\x1c-\x1f]+", "")), F.lit(0)), F.when(proper, soft).otherwise(hard), hard)
 
 
 def spaced_topk(rows: DataFrame, key: str, at: str, risk: str, k: int = 4, apart: float = 180.0) -> DataFrame:

@@ -455,23 +455,18 @@ def pair_scores(t: Tables) -> DataFrame:
 @query(f"""WITH {_FRAG}, both_ AS (SELECT a AS me, b AS you, round(overall, 6) AS score FROM pairs UNION ALL SELECT b, a, round(overall, 6) FROM pairs),
 r AS (SELECT *, row_number() OVER (PARTITION BY me ORDER BY score DESC, you) AS rn FROM both_) SELECT DISTINCT least(me, you) AS a, greatest(me, you) AS b, score FROM r WHERE rn <= 4""")
 def neighbor_cap(t: Tables) -> DataFrame:
-    return J.neighbor_cap(_pairs(t).select("a", "b", F.round("overall", 6).alias("score")))
+    return J.nearest_pairs(_fragments(t), "conv_id")
 
 
 _DIRECTED = """d AS (SELECT a, b, round(a_to_b, 6) AS score FROM pairs UNION ALL SELECT b, a, round(b_to_a, 6) FROM pairs)"""
 
 
-def _directed(t: Tables) -> DataFrame:
-    p = _pairs(t)
-    return p.select("a", "b", F.round("a_to_b", 6).alias("score")).unionAll(p.select("b", "a", F.round("b_to_a", 6)))
-
-
 @query(f"""WITH {_FRAG}, {_DIRECTED}, s AS (SELECT * FROM d WHERE score >= 0.05),
 x AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n, score - coalesce(lead(score) OVER (PARTITION BY a ORDER BY score DESC, b), 0) AS gap FROM s),
 y AS (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS n, score - coalesce(lead(score) OVER (PARTITION BY b ORDER BY score DESC, a), 0) AS gap FROM s)
 SELECT x.a, x.b, x.score FROM x JOIN y ON x.a = y.a AND x.b = y.b WHERE x.n = 1 AND y.n = 1 AND x.gap >= 0.005 AND y.gap >= 0.005""")
 def mutual_best_edge(t: Tables) -> DataFrame:
-    return J.mutual_best(_directed(t), 0.05, 0.005)
+    return J.mutual_best_sets(_fragments(t), "conv_id", 0.05, 0.005)
 
 
 @query(f"""WITH {_FRAG}, q AS (SELECT *, greatest(a_to_b, b_to_a) AS hi, least(a_to_b, b_to_a) AS lo FROM pairs)

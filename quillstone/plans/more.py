@@ -383,7 +383,7 @@ k AS (SELECT n, min(z) AS chain FROM cc GROUP BY 1), h AS (SELECT a AS node FROM
 w AS (SELECT node AS head, node, 1 AS position FROM h UNION ALL SELECT w.head, m.b, position + 1 FROM w JOIN m ON m.a = w.node WHERE m.b <> w.head)
 SELECT chain, node, CAST(position AS INTEGER) AS position FROM w JOIN k ON k.n = w.head""")
 def chain_walk(t: Tables) -> DataFrame:
-    return G.chain_walk(J.mutual_best(C._directed(t), 0.05, 0.005))
+    return G.chain_walk(J.mutual_best_sets(C._fragments(t), "conv_id", 0.05, 0.005))
 
 
 # ---------------------------------------------------------------- model boundary
