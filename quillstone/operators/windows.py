@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators import ordered
-from quillstone.operators.scratch import ranked
+from quillstone.operators.scratch import drop, keep, ranked
 
 
 def assign_ids(rows: DataFrame, group: str, order: list[str], prefix: str = "E", name: str = "evidence_id") -> DataFrame:
@@ -159,26 +159,45 @@ def spaced_topk(rows: DataFrame, key: str, at: str, risk: str, k: int = 4, apart
     return rows.groupBy(key).applyInPandas(run, rows.schema)
 
 
-def dedupe_pages(segments: DataFrame, video: str, start: str, phash: str, near: int = 5, most: int = 500) -> DataFrame:
-    """(video, page_id, image time, time_ranges): in time order, the first page within ``near`` bits takes a segment in, else a new page begins; a video of more than ``most`` pages is no slides and has none."""
+def dedupe_pages(segments: DataFrame, video: str, start: str, phash: str, near: int = 5, most: int = 500, rounds: int = 1000) -> DataFrame:
+    """(video, page_id, image time, time_ranges): in time order, the first page within ``near`` bits takes a segment in, else a new page begins; a video of more than ``most`` pages is no slides and has none.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pages: list[list] = []
-        for s, e, h in pdf.sort_values(start, kind="stable")[[start, "end", phash]].itertuples(index=False):
-            gaps = [((int(h) ^ int(p[0])) & (1 << 64) - 1).bit_count() for p in pages]
-            hit = next((i for i, g in enumerate(gaps) if g <= near), None)
-            if hit is None and len(pages) >= most:
-                pages = []
-                break
-            if hit is None:
-                pages.append([h, s, [{"start": s, "end": e}]])
-            else:
-                pages[hit][2].append({"start": s, "end": e})
-        v = pdf[video].iloc[0]
-        return pd.DataFrame([(v, f"P{i + 1}", s, r) for i, (_, s, r) in enumerate(pages)], columns=[video, "page_id", "image_time", "time_ranges"])
-
-    kind = segments.schema[video].dataType.simpleString()
-    return segments.groupBy(video).applyInPandas(run, f"`{video}` {kind}, page_id string, image_time double, time_ranges array<struct<start:double,end:double>>")
+    Equal hashes of a video are one. Hashes within ``near`` bits agree in one of ``near`` + 1 bands, so they meet there. Who begins a page is settled in rounds: a hash with no
+    earlier one near that is open or begins a page begins one; who has a page's first hash before it joins. So a video of any length is spread over many tasks. Segments with a null start or hash are
+    left out; equal starts count by hash.
+    """
+    bands = min(near + 1, 64)
+    bits = [(64 * i // bands, 64 * (i + 1) // bands) for i in range(bands)]
+    cut = lambda a, b: F.shiftrightunsigned("h", a).bitwiseAND((1 << b - a) - 1 if b - a < 63 else -1)
+    rows = segments.select(F.col(video).alias("v"), F.col(start).cast("double").alias("s"), F.col("end").cast("double").alias("e"), F.col(phash).cast("long").alias("h")).where("s IS NOT NULL AND h IS NOT NULL")
+    one = keep(rows.groupBy("v", "h").agg(F.min("s").alias("s")))
+    spread = one.select("v", "h", "s", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), cut(a, b).alias("x")) for i, (a, b) in enumerate(bits)))).alias("b")).select("v", "h", "s", "b.*")
+    other = spread.select(F.col("v").alias("v2"), F.col("h").alias("h2"), F.col("s").alias("s2"), F.col("band").alias("band2"), F.col("x").alias("x2"))
+    earlier = (F.col("s2") < F.col("s")) | (F.col("s2") == F.col("s")) & (F.col("h2") < F.col("h"))
+    met = (F.col("v").eqNullSafe(F.col("v2"))) & (F.col("band") == F.col("band2")) & (F.col("x") == F.col("x2")) & earlier
+    links = keep(spread.join(other, met).where(F.bit_count(F.col("h").bitwiseXOR(F.col("h2"))) <= near).select("v", "h", "s", "h2", "s2").distinct())
+    now = keep(one.withColumn("begins", F.lit(None).cast("boolean")))
+    for _ in range(rounds):
+        if now.where("begins IS NULL").isEmpty():
+            break
+        known = now.select(F.col("v").alias("v3"), F.col("h").alias("h3"), F.col("begins").alias("b3"))
+        seen = links.join(known, F.col("v").eqNullSafe(F.col("v3")) & (F.col("h2") == F.col("h3"))).groupBy(F.col("v").alias("v4"), F.col("h").alias("h4")).agg(F.bool_or(F.coalesce("b3", F.lit(False))).alias("joins"), F.bool_or(F.col("b3").isNull()).alias("waits"))
+        told = F.when(F.col("begins").isNotNull(), F.col("begins")).when(F.col("joins"), False).when(F.col("waits"), F.lit(None)).otherwise(True)
+        new = keep(now.join(seen, F.col("v").eqNullSafe(F.col("v4")) & (F.col("h") == F.col("h4")), "left").select("v", "h", "s", told.alias("begins")))
+        drop(now)
+        now = new
+    else:
+        raise RuntimeError(f"pages did not settle in {rounds} rounds")
+    first = now.where("begins").select("v", "h", "s")
+    few = first.groupBy(F.col("v").alias("v5")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
+    pages = first.join(few, F.col("v").eqNullSafe(F.col("v5")), "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("s", "h")))
+    p = pages.select(F.col("v").alias("pv"), F.col("h").alias("ph"), F.col("s").alias("ps"), "n")
+    own = pages.select("v", "h", "n", "s")
+    joined = links.join(p, F.col("v").eqNullSafe(F.col("pv")) & (F.col("h2") == F.col("ph"))).join(now.where("NOT begins").select(F.col("v").alias("v6"), F.col("h").alias("h6")), F.col("v").eqNullSafe(F.col("v6")) & (F.col("h") == F.col("h6")), "left_semi")
+    joined = joined.groupBy("v", "h").agg(F.min_by("n", "n").alias("n"), F.min_by("ps", "n").alias("s"))
+    at = own.unionByName(joined).select(F.col("v").alias("av"), F.col("h").alias("ah"), "n", F.col("s").alias("image_time"))
+    out = rows.join(at, F.col("v").eqNullSafe(F.col("av")) & (F.col("h") == F.col("ah"))).groupBy("v", "n", "image_time").agg(F.sort_array(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end")))).alias("time_ranges"))
+    return out.select(F.col("v").alias(video), F.format_string("P%d", "n").alias("page_id"), "image_time", "time_ranges")
 
 
 def settled(samples: DataFrame, key: str, order: list[str], reading: Column, name: str) -> DataFrame:

@@ -1,12 +1,11 @@
 """Online operators: frame segmentation, latest snapshots, liveness and stalls.
 
-The segmentation's state machine is one pure class; batch tables run it per video in grouped pandas, streams in stateful pandas.
+The segmentation's state machine is one pure class; batch tables run it per video in grouped pandas, streams with typed state (``streaming.stateful``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -137,7 +136,7 @@ class Segmenter:
 _SEGMENT = "start double, end double, best_t double, phash bigint"
 
 
-def _frame(row) -> tuple:
+def frame_of(row) -> tuple:
     return float(row[0]), int(row[1]), [float(x) for x in row[2]] if row[2] is not None else [], float(row[3])
 
 
@@ -152,7 +151,7 @@ def segment_frames(frames: DataFrame, video: str = "video", duration: str | None
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = Segmenter(**settings)
         for row in pdf.sort_values("t", kind="stable")[columns].itertuples(index=False):
-            if not s.push(_frame(row)):
+            if not s.push(frame_of(row)):
                 break
         v = pdf[video].iloc[0]
         got = s.finish(None if duration is None else float(pdf[duration].max()))
@@ -161,53 +160,11 @@ def segment_frames(frames: DataFrame, video: str = "video", duration: str | None
     return frames.groupBy(video).applyInPandas(run, f"`{video}` {frames.schema[video].dataType.simpleString()}, {_SEGMENT}")
 
 
-def segment_stream(frames: DataFrame, idle: str = "1 minute", **settings) -> DataFrame:
-    """The streaming twin: segments of a video come out once no frame has arrived for ``idle``. Frames arrive in time order; state is the machine itself."""
-    import json
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = Segmenter(**(settings | (json.loads(state.get[0]) if state.exists else {})))
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], x["start"], x["end"], x["best_t"], x["phash"]) for x in s.finish()], columns=["video", "start", "end", "best_t", "phash"])
-            return
-        for pdf in batches:
-            for row in pdf.sort_values("t", kind="stable")[["t", "phash", "gray64", "lap"]].itertuples(index=False):
-                s.push(_frame(row))
-        state.update((json.dumps(asdict(s)),))
-        state.setTimeoutDuration(_millis(idle))
-
-    return frames.groupBy("video").applyInPandasWithState(run, f"video string, {_SEGMENT}", "machine string", "append", "ProcessingTimeTimeout")
-
-
-def _millis(span: str) -> int:
+def millis(span: str) -> int:
     n, unit = span.split()
     return int(float(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000}[unit.rstrip("s")])
 
 
-def stall_stream(log: DataFrame, idle: str = "10 minutes", key: str = "event") -> DataFrame:
-    """(event, state, n_rows, last_ts) of a progress stream (event, ts): ``running`` after each batch of an event's rows, ``stalled`` once none has come for ``idle``.
-
-    The timer is one of processing time in the event's state, which holds two numbers; a stalled event that goes on runs again.
-    """
-
-    def run(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, None)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [name[0]], "state": ["stalled"], "n_rows": [n], "last_ts": [last]})
-            return
-        for pdf in batches:
-            n += len(pdf)
-            last = max([x for x in (last, pdf["ts"].max()) if x is not None])
-        state.update((n, last))
-        state.setTimeoutDuration(_millis(idle))
-        yield pd.DataFrame({key: [name[0]], "state": ["running"], "n_rows": [n], "last_ts": [last]})
-
-    kind = log.schema[key].dataType.simpleString()
-    return log.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, state string, n_rows bigint, last_ts double", "n bigint, last double", "append", "ProcessingTimeTimeout")
-
-
 def frame_shortfall(seen: DataFrame, expected: Column) -> DataFrame:
     """Adds short: fewer frames than expected by more than 2 and more than a tenth."""
     return seen.withColumn("short", F.col("frames") < expected - F.greatest(F.lit(2.0), expected * 0.1))

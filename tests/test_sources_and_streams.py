@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.sources import readers, schemas, writers
-from quillstone.streaming import online
+from quillstone.streaming import online, stateful
 from quillstone.streaming.snapshots import KeyedSnapshot
 
 ROW = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
@@ -158,7 +158,7 @@ def test_the_stream_equals_the_batch(spark, tmp_path):
     for i, (low, high) in enumerate(((0, 15), (15, 33), (33, 60))):
         df.where(f"t >= {low} AND t < {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = online.segment_stream(stream, "3 seconds").writeStream.outputMode("append").format("memory").queryName("segs").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = stateful.segment_stream(stream, "3 seconds").writeStream.outputMode("append").format("memory").queryName("segs").option("checkpointLocation", str(tmp_path / "cp")).start()
     until(lambda: spark.sql("SELECT * FROM segs").count() >= len(want), lambda i: df.limit(0).write.mode("append").parquet(str(tmp_path / "in")))
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM segs").collect())) == want
@@ -179,7 +179,7 @@ def test_events_without_rows_stall(spark, tmp_path):
     log = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.5)], "event string, ts double")
     log.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
-    q = online.stall_stream(stream, "2 seconds").writeStream.outputMode("append").format("memory").queryName("stalls").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = stateful.stall_stream(stream, "2 seconds").writeStream.outputMode("append").format("memory").queryName("stalls").option("checkpointLocation", str(tmp_path / "cp")).start()
     found = lambda: {(r.event, r.state): (r.n_rows, r.last_ts) for r in spark.sql("SELECT * FROM stalls").collect()}
     until(lambda: ("b", "stalled") in found(), lambda i: log.limit(0).write.mode("append").parquet(str(tmp_path / "in")))
     q.stop()
