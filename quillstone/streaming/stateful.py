@@ -160,8 +160,8 @@ class _Zones(StatefulProcessor):
 def zone_stream(samples: DataFrame, key: str, order: list[str], value: str, limit: float, forget: str | None = None) -> DataFrame:
     """The streaming twin of ``windows.zone_hysteresis``: each sample with its zone, high or low, which switches only after two readings in a row on the other side.
 
-    A key's samples arrive in order from batch to batch; within one they are sorted by ``order``. State is two words a key, forgotten after ``forget`` without a sample.
+    A key's samples arrive in order from batch to batch; within one they are sorted by ``order``. State is two words a key, forgotten after ``forget`` without a sample; a query with such a limit runs batches without rows, as timers do.
     """
     kind = ", ".join(f"`{c}` {samples.schema[c].dataType.simpleString()}" for c in (key, *order, value))
     processor = _Zones(key, order, value, limit, None if forget is None else millis(forget))
-    return samples.groupBy(key).transformWithStateInPandas(processor, f"{kind}, zone string", "Append", "ProcessingTime")
+    return samples.groupBy(key).transformWithStateInPandas(processor, f"{kind}, zone string", "Append", "None" if forget is None else "ProcessingTime")

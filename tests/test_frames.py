@@ -217,7 +217,7 @@ def test_zones_on_a_stream(spark, tmp_path):
         spark.createDataFrame([r for r in rows if r[1] // 14 == part], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / f"{part}"))
     folder = tmp_path / "in"
     spark.createDataFrame([], kind).write.parquet(str(folder))
-    stream = stateful.zone_stream(spark.readStream.schema(kind).parquet(str(folder)), "k", ["n"], "v", 50.0, forget="1 hour")
+    stream = stateful.zone_stream(spark.readStream.schema(kind).parquet(str(folder)), "k", ["n"], "v", 50.0)
     q = stream.writeStream.format("memory").queryName("zones").option("checkpointLocation", str(tmp_path / "cp")).start()
     for part in range(3):
         for f in (tmp_path / f"{part}").glob("*.parquet"):
