@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as X
 from quillstone.operators import aggregates as A
 from quillstone.operators import expectations as E
+from quillstone.operators import frames as V
 from quillstone.operators import graph as G
 from quillstone.operators import joins as J
 from quillstone.operators import model_boundary as M
@@ -20,7 +22,7 @@ from quillstone.operators.scratch import work_folder
 from quillstone.plans import catalog as C
 from quillstone.plans.catalog import query
 from quillstone.plans.domain import Tables, sql
-from quillstone.sources import readers, schemas, writers
+from quillstone.sources import frames, readers, schemas, writers
 from quillstone.streaming import online
 from quillstone.streaming.snapshots import KeyedSnapshot
 
@@ -177,6 +179,52 @@ def readable_transcript(t: Tables) -> DataFrame:
     return writers.readable(W.paragraphs(t.records(), "source_id", "idx", "text"), records, "source_id", "idx").select("source_id", "paragraph", F.md5("line").alias("line_md5"))
 
 
+# ---------------------------------------------------------------- frames
+
+
+_PIXEL = "CAST(round(greatest(0.0, least(255.0, 128 + 400 * CAST(x AS DOUBLE)))) AS BIGINT)"
+
+
+def _pictures(t: Tables) -> DataFrame:
+    """Embedding vectors as grey frames of eight columns, a video a label."""
+    level = lambda x: F.lpad(F.hex(F.round(F.greatest(F.lit(0.0), F.least(F.lit(255.0), 128 + 400 * x.cast("double")))).cast("long")), 2, "0")
+    rows = t.raw("embeddings").select(F.concat(F.lit("v"), F.coalesce("label", F.lit(0)).cast("string")).alias("video"), "vec_id", F.size("embedding").alias("n"), F.unhex(F.array_join(F.transform("embedding", level), "")).alias("pixels"))
+    frame = (F.row_number().over(Window.partitionBy("video").orderBy("vec_id")) - 1).cast("long")
+    return rows.select("video", frame.alias("frame"), frame.cast("double").alias("t"), F.lit(8).alias("width"), (F.col("n") / 8).cast("int").alias("height"), F.lit(1).alias("channels"), "pixels")
+
+
+@query(f"""SELECT 'v' || coalesce(label, 0) AS video, row_number() OVER (PARTITION BY coalesce(label, 0) ORDER BY vec_id) - 1 AS frame, (row_number() OVER (PARTITION BY coalesce(label, 0) ORDER BY vec_id) - 1) / 2.0 AS t,
+CAST(list_sum(list_transform(embedding, lambda x: {_PIXEL})) AS BIGINT) AS total FROM embeddings""")
+def raw_frames(t: Tables) -> DataFrame:
+    """Frames are written to a file a video and read back in ranges of seven."""
+    rows = _pictures(t)
+    height, folder = rows.agg(F.max("height")).first()[0] or 1, work_folder(t.spark)
+    frames.write_frames(rows, folder, 8, height)
+    total = F.expr("aggregate(sequence(1, length(pixels)), 0L, (a, i) -> a + CAST(conv(hex(substr(pixels, i, 1)), 16, 10) AS BIGINT))")
+    return frames.read_frames(t.spark, folder, 8, height, fps=2.0, frames_per_part=7).select("video", "frame", "t", total.alias("total"))
+
+
+@query()
+def frame_descriptors(t: Tables) -> DataFrame:
+    return V.describe(_pictures(t)).select("video", "frame", "phash", F.round("lap", 6).alias("lap"), F.round(F.aggregate("gray64", F.lit(0.0), lambda a, x: a + x) / 4096, 6).alias("mean"))
+
+
+@query()
+def still_regions(t: Tables) -> DataFrame:
+    """A framed slide on a ground of embedding values, which move from frame to frame."""
+
+    def drawn(parts):
+        for pdf in parts:
+            made = []
+            for frame, pixels in zip(pdf["frame"], pdf["pixels"]):
+                ground = np.roll(np.resize(np.frombuffer(pixels, dtype=np.uint8), 96 * 64), int(frame) * 37).reshape(64, 96).copy()
+                ground[6:46, 8:72], ground[8:44, 10:70], ground[20:23, 20:50] = 0, 235, 40
+                made.append(ground.tobytes())
+            yield pdf.assign(width=96, height=64, channels=1, pixels=made)
+
+    return V.still_region(_pictures(t).mapInPandas(drawn, _pictures(t).schema))
+
+
 # ---------------------------------------------------------------- text functions
 
 

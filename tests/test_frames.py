@@ -226,3 +226,30 @@ def test_zones_on_a_stream(spark, tmp_path):
     q.stop()
     batch = W.zone_hysteresis(spark.createDataFrame(rows, kind), "k", ["n"], "v", 50.0)
     assert {(r["k"], r["n"], r["zone"]) for r in spark.sql("SELECT * FROM zones").collect()} == {(r["k"], r["n"], r["zone"]) for r in batch.collect()}
+
+
+def test_registered_frames(spark):
+    """The queries over the smallest tables."""
+    from quillstone.plans import catalog, more
+
+    folder = "/root/testdata/sf0.001"
+    t = catalog.Tables(spark, folder)
+    pictures = {(r["video"], r["frame"]): np.frombuffer(bytes(r["pixels"]), dtype=np.uint8).reshape(r["height"], 8) for r in more._pictures(t).collect()}
+    got = {(r["video"], r["frame"]): r for r in catalog.QUERIES["frame_descriptors"](spark, folder).collect()}
+    assert got.keys() == pictures.keys()
+    for k in sorted(pictures)[:25]:
+        assert got[k]["phash"] == plain_hash(pictures[k].astype(float))
+        assert got[k]["mean"] == pytest.approx(plain_shrunk(pictures[k].astype(float), 64).mean(), abs=1e-4)
+    films = {}
+    for (v, i), p in sorted(pictures.items()):
+        g = np.roll(np.resize(p.ravel(), 96 * 64), i * 37).reshape(64, 96).copy()
+        g[6:46, 8:72], g[8:44, 10:70], g[20:23, 20:50] = 0, 235, 40
+        films.setdefault(v, []).append(g)
+    for r in catalog.QUERIES["still_regions"](spark, folder).collect():
+        want = plain_region(films.pop(r["video"]))
+        if want is None:
+            assert r["x"] is None
+        else:
+            (x, y, w, h), sure = want
+            assert (r["x"], r["y"], r["width"], r["height"], r["confidence"]) == pytest.approx((x / 96, y / 64, w / 96, h / 64, sure), abs=1e-6)
+    assert not films
