@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,10 +18,10 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf(T.StringType())
-def compact_nfkc(s: pd.Series) -> pd.Series:
-    """NFKC, then letters and digits only. Null stays null."""
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKC", x) if c.isalnum()))
+def compact_nfkc(c: str | Column) -> Column:
+    """NFKC, by the ICU routine on Spark's class path, then letters and digits only. Null stays null."""
+    whole = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(col(c), F.lit("")), F.lit(True))
+    return F.when(col(c).isNotNull(), F.regexp_replace(whole, r"[^\p{L}\p{N}]", ""))
 
 
 def compact_alnum(c: str | Column) -> Column:

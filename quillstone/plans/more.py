@@ -145,7 +145,11 @@ def slide_markdown(t: Tables) -> DataFrame:
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE text = '') AS empty, count(*) = count(DISTINCT doc_id) AS ids_unique FROM documents")
 def stage_receipt(t: Tables) -> DataFrame:
-    return writers.receipt(t.raw("documents"), empty=F.count_if(F.col("text") == ""), ids_unique=F.count(F.lit(1)) == F.count_distinct("doc_id"))
+    """The counts are observed on the write; whether ids are unique is asked of the written id column alone."""
+    path = f"{work_folder(t.spark)}/stage"
+    seen = writers.write_with_receipt(t.raw("documents"), path, empty=F.count_if(F.col("text") == ""))
+    ids = t.spark.read.parquet(path).select((F.count(F.lit(1)) == F.count_distinct("doc_id")).alias("ids_unique"))
+    return ids.select(F.lit(seen["n_rows"]).cast("long").alias("n_rows"), F.lit(seen["empty"]).cast("long").alias("empty"), "ids_unique")
 
 
 @query(sql("units evidence", "SELECT topic, unit_id, '' AS evidence_id, md5('### ' || unit_id || ' [' || certainty || ']' || chr(10) || claim) AS line_md5 FROM units UNION ALL SELECT topic, unit_id, e.evidence_id, md5('- ' || e.evidence_id || ' ' || e.source_id || ' ' || e.kind || ': ' || e.literal_text) FROM (SELECT topic, unit_id, unnest(evidence_ids) AS i FROM units) JOIN evidence e ON i = e.evidence_id"))

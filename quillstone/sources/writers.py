@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
@@ -78,6 +78,13 @@ def receipt(rows: DataFrame, **counts) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), *(v.alias(k) for k, v in counts.items()))
 
 
+def write_with_receipt(rows: DataFrame, path: str, **counts) -> dict:
+    """Write a table and return its receipt, ``n_rows`` and the named ``counts``, which are observed as the rows pass; nothing is read again. Counts of distinct values can't be observed."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n_rows"), *(v.alias(k) for k, v in counts.items())).write.mode("overwrite").parquet(path)
+    return dict(seen.get)
+
+
 def archive_plan(manifest: DataFrame, current: DataFrame) -> DataFrame:
     """What an archive move would do to each file: move where the hash still holds, refuse where it changed or went. Nothing is moved here."""
     c = current.select(F.col("path").alias("__p"), F.col("sha256").alias("__h"))

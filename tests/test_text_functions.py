@@ -84,3 +84,11 @@ def test_terms_windows_details_filler(one):
 
 def test_hamming_uses_all_bits(one):
     assert one(X.hamming(F.lit(-1).cast("long"), F.lit(0).cast("long"))) == 64
+
+
+def test_compact_nfkc(spark):
+    import unicodedata
+
+    texts = ["", None, "ﬁne Ｗｉｄｅ①²", "a-b c_d", "é́x", "漢字、かな。ｶﾞ", "Ⅷ ½", "\U0001d400\U0001f600z", "١٢٣"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.compact_nfkc("t").alias("c")).collect()
+    assert {r.i: r.c for r in rows} == {i: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t) if c.isalnum()) for i, t in enumerate(texts)}
