@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quillstone.functions import text as X
 from quillstone.operators import projections as P
+from quillstone.operators.fulltext import TextIndex
 from quillstone.sources import schemas as S
 
 
@@ -142,15 +143,20 @@ def normalize_evidence(whisper: DataFrame, vision: DataFrame, chunks: DataFrame,
 
 
 def package(spark: SparkSession, root: str, event: str | None = None) -> dict[str, DataFrame]:
-    """A package's tables, partitioned by event; private events are never read."""
+    """A package's tables, partitioned by event, and the blocks of its text index as ``postings``; private events are never read."""
     out = {}
     for name in S.PACKAGE_TABLES:
-        df = spark.read.parquet(f"{root}/{name}")
+        df = package_index(spark, root).blocks if name == "postings" else spark.read.parquet(f"{root}/{name}")
         df = P.hide_private(df)
         out[name] = df.where(F.col("event") == event) if event else df
     return out
 
 
+def package_index(spark: SparkSession, root: str) -> TextIndex:
+    """What ``retrieval.search`` and its like take to answer from a package."""
+    return TextIndex(spark, f"{root}/index")
+
+
 def finite(c: str) -> Column:
     """A probe's number, null where it isn't finite."""
     x = F.col(c).cast("double")

@@ -1,4 +1,4 @@
-"""Sinks: JSON lines, packages of Parquet tables with trigram postings, and markdown views."""
+"""Sinks: JSON lines, packages of Parquet tables with a text index, and markdown views."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
-from quillstone.operators.retrieval import trigram_postings
+from quillstone.operators import projections as P
+from quillstone.operators.fulltext import TextIndex
 
 
 def jsonl(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
@@ -15,13 +16,12 @@ def jsonl(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
 
 
 def package(tables: dict[str, DataFrame], root: str) -> None:
-    """Rebuild a package: its tables by event, and trigram postings of units and records bucketed by gram."""
+    """Rebuild a package: its tables by event, and the text index of its units and records, from which search answers; private events are in no index."""
     for name, df in tables.items():
         df.write.mode("overwrite").partitionBy("event").parquet(f"{root}/{name}")
-    u = tables["units"].select("event", F.concat_ws("|", "event", "unit_id").alias("k"), F.concat_ws(" ", F.array_join("topic_path", " "), "claim").alias("t"))
-    r = tables["literal_records"].select("event", F.concat_ws("|", "event", "record_id").alias("k"), F.col("clean_literal").alias("t"))
-    made = trigram_postings(u.unionByName(r), "k", "t").withColumn("event", F.substring_index("key", "|", 1))
-    made.write.mode("overwrite").partitionBy("event").parquet(f"{root}/postings")
+    units = P.hide_private(tables["units"].withColumn("topic", F.array_join("topic_path", " / ")))
+    records = P.hide_private(tables["literal_records"])
+    TextIndex.build(units.sparkSession, f"{root}/index", {"unit": (units, "unit_id", ["topic", "claim"]), "record": (records, "record_id", ["clean_literal"])})
 
 
 def _lines(rows: DataFrame, group: str, order: list[str], line) -> DataFrame:

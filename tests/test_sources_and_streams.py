@@ -8,6 +8,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.operators.fulltext import packed
+from quillstone.operators.retrieval import search_token
 from quillstone.sources import readers, schemas, writers
 from quillstone.streaming import online, stateful
 from quillstone.streaming.snapshots import KeyedSnapshot
@@ -70,7 +72,9 @@ def test_package_round_trip_hides_private(spark, tmp_path):
     empty = spark.createDataFrame([("e", "z")], "event string, evidence_id string")
     writers.package({"units": units, "literal_records": records, "evidence": empty, "dispositions": empty, "relations": empty}, str(tmp_path / "p"))
     got = readers.package(spark, str(tmp_path / "p"))
-    assert [r.unit_id for r in got["units"].collect()] == ["U1"] and got["postings"].where("gram = 'lau'").count() == 1
+    assert [r.unit_id for r in got["units"].collect()] == ["U1"] and got["postings"].where(F.col("gram") == int(packed("lau")[0])).count() == 1
+    assert [r.id for r in search_token(None, None, "launch", index=readers.package_index(spark, str(tmp_path / "p"))).collect()] == ["U1"]
+    assert search_token(None, None, "secret", index=readers.package_index(spark, str(tmp_path / "p"))).count() == 0
     assert set(got) == set(schemas.PACKAGE_TABLES)
 
 
