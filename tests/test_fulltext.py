@@ -70,8 +70,8 @@ def test_one_word_stops_early_with_the_same_result(spark, tmp_path):
     rows = [(f"U{i:03d}", "a", "t", "budget " * (30 if i < 10 else 1) + "filler words " * 20) for i in range(400)]
     units = spark.createDataFrame(rows, "unit_id string, event string, topic string, claim string")
     index = build(spark, tmp_path / "i", units, spark.createDataFrame([], "record_id string, event string, clean_literal string"), chars_at_once=3000)
-    top = lambda hits: index.seats(hits, "unit").orderBy(F.col("score").desc(), "id").limit(5).collect()
-    few = index.best("unit", ["budget"], 5, first=1)
+    top = lambda hits: index.seats(hits, "unit").orderBy(F.col("score").desc(), "id").limit(3).collect()
+    few = index.best("unit", ["budget"], 3, first=1)
     assert top(few) == top(index.best("unit", ["budget"], 10**6))
     assert few.count() < 60 and index.best("unit", ["budget"], 10**6).count() == 400
 
