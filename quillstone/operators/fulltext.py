@@ -190,6 +190,9 @@ class TextIndex:
             source = one if source is None else source.unionByName(one)
         source = source.repartitionByRange("kind", "event", "id").sortWithinPartitions("kind", "event", "id", "t")
         source.mapInArrow(_indexer(chars_at_once), _MADE).write.mode("overwrite").option("parquet.block.size", group_bytes).partitionBy("part").parquet(f"{root}/made")
+        for part in ("rows", "blocks"):  # without rows there would be no folders
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/made/part={part}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
         drafts = spark.read.schema(_BLOCK).parquet(f"{root}/made/part=blocks")
         drafts.repartitionByRange("gram", "chunk").sortWithinPartitions("gram", "chunk").write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(f"{root}/blocks")
         stats = spark.read.schema(_SEAT).parquet(f"{root}/made/part=rows").groupBy("kind", "event").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("size"))
