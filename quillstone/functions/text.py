@@ -191,12 +191,15 @@ def pixel_difference(a: Column, b: Column) -> Column:
 
 def laplacian_variance(gray: Column, width: int) -> Column:
     """Variance of the four-neighbour Laplacian over the inner pixels of a row-major image: how sharp it is; 0 without inner pixels."""
-    height = F.floor(F.size(gray) / width).cast("int")
-    inner = F.filter(F.sequence(F.lit(0), F.greatest(height * width - 1, F.lit(0))), lambda i: (i % width).between(1, width - 2) & F.floor(i / width).between(1, height - 2))
-    at = lambda i: F.coalesce(F.get(gray, i), F.lit(0.0)).cast("double")
-    edges = F.transform(inner, lambda i: at(i - 1) + at(i + 1) + at(i - width) + at(i + width) - 4 * at(i))
+
+    def edges(g: Column) -> Column:
+        height = F.floor(F.size(g) / width).cast("int")
+        inner = F.filter(F.sequence(F.lit(0), F.greatest(height * width - 1, F.lit(0))), lambda i: (i % width).between(1, width - 2) & F.floor(i / width).between(1, height - 2))
+        at = lambda i: F.coalesce(F.get(g, i), F.lit(0.0)).cast("double")
+        return F.transform(inner, lambda i: at(i - 1) + at(i + 1) + at(i - width) + at(i + width) - 4 * at(i))
+
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(a), F.lit(1))
-    return let(edges, lambda e: mean(F.transform(e, lambda x: x * x)) - mean(e) * mean(e))
+    return let(let(gray, edges), lambda e: mean(F.transform(e, lambda x: x * x)) - mean(e) * mean(e))
 
 
 def strip_filler(c: str | Column, fillers: list[str]) -> Column:

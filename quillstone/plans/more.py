@@ -286,7 +286,7 @@ def lenient_json(t: Tables) -> DataFrame:
 @query("""WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: round(x * 100) * 1.0) AS g FROM embeddings), n AS (SELECT *, lag(g) OVER (ORDER BY vec_id) AS h FROM g)
 SELECT vec_id, round(list_sum(list_transform(list_zip(g, h), lambda z: abs(z[1] - z[2]))) / len(g) / 255, 6) AS difference FROM n WHERE h IS NOT NULL""")
 def pixel_difference(t: Tables) -> DataFrame:
-    rows = t.raw("embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 100).cast("double")).alias("g"))
+    rows = t.raw("embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * F.lit(100).cast("float")).cast("double")).alias("g"))
     other = rows.select((F.col("vec_id") + 1).alias("k"), F.col("g").alias("h"))
     return rows.join(other, F.col("vec_id") == F.col("k")).select("vec_id", F.round(X.pixel_difference(F.col("g"), F.col("h")), 6).alias("difference"))
 
@@ -296,7 +296,7 @@ e AS (SELECT vec_id, list_transform(list_filter(range(0, 64), lambda i: i % 8 BE
 SELECT vec_id, round(list_var_pop(e) + 0.013) AS sharpness FROM e""")
 def laplacian_variance(t: Tables) -> DataFrame:
     """An embedding's 64 values as an image of eight rows."""
-    gray = F.transform("embedding", lambda x: F.round(x * 100).cast("double"))
+    gray = F.transform("embedding", lambda x: F.round(x * F.lit(100).cast("float")).cast("double"))
     return t.raw("embeddings").select("vec_id", F.round(X.laplacian_variance(gray, 8) + 0.013).alias("sharpness"))
 
 
