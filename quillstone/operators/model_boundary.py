@@ -146,7 +146,7 @@ def nominate(candidates: DataFrame, nominated: DataFrame, key: str, n_records: C
     return out.withColumn("nominated", use).withColumn("candidates", F.when(use, F.col("__ids")).otherwise(F.col("candidates"))).drop("__k", "__ids")
 
 
-def report_references(reports: DataFrame, units: DataFrame, key: str, text: str, pattern: str = r"U\d{6}") -> DataFrame:
+def report_references(reports: DataFrame, units: DataFrame, key: str, text: str, pattern: str = r"U\d{6,}") -> DataFrame:
     """Per report: unit ids it cites, those that don't exist, and whether it is valid (cites some, all known)."""
     cited = reports.select(F.col(key).alias("__k"), F.explode_outer(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0)))).alias("id"))
     known = units.select(F.col("unit_id").alias("__u")).distinct()

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from quillstone.operators import model_boundary as M
 from quillstone.plans import catalog, more  # noqa: F401
 
 
@@ -19,3 +20,10 @@ def test_pixels_are_rounded_as_floats(spark, tmp_path):
     got = {r.vec_id: r.sharpness for r in catalog.QUERIES["laplacian_variance"](spark, str(tmp_path)).collect()}
     assert got == {0: np.round(e.var() + 0.013), 1: 0.0}
     assert [r.difference for r in catalog.QUERIES["pixel_difference"](spark, str(tmp_path)).collect()] == [round(float(g.mean()) / 255, 6)]
+
+
+def test_references_of_seven_digits(spark):
+    reports = spark.createDataFrame([(1, "U1000001 and U000007"), (2, "U1000002"), (3, "none")], "k long, text string")
+    units = spark.createDataFrame([("U1000001",), ("U000007",), ("U100000",)], "unit_id string")
+    got = {r.k: (r.n_cited, r.n_unknown, r.valid) for r in M.report_references(reports, units, "k", "text").collect()}
+    assert got == {1: (2, 0, True), 2: (1, 1, False), 3: (0, 0, False)}
