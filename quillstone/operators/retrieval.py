@@ -177,7 +177,7 @@ def _looked_up(index: TextIndex, event: str, asked: list[tuple[str, int]], words
     few = stats.join(df, F.col("__e").eqNullSafe(F.col("__d"))).withColumn("idf", F.transform("df", lambda d: F.greatest(F.log((F.col("n") - d + 0.5) / (d + 0.5)), F.lit(1e-6)))).select("__e", "mean", "idf")
     scored = hits.join(few, F.col("event").eqNullSafe(F.col("__e")))
     full = [F.struct(F.lit(o).alias("ordinal"), (-bm25_of([words.index(w) for w in phrases_of(t)])).alias("key")) for t, o in asked]
-    found = scored.select("event", "chunk", "local", F.explode(F.filter(F.array(*full), lambda h: h["key"].isNotNull())).alias("h")).select("event", "chunk", "local", F.lit(1).alias("tier"), "h.*")
+    found = scored.select("event", "chunk", "local", "id", "certainty", F.explode(F.filter(F.array(*full), lambda h: h["key"].isNotNull())).alias("h")).select("event", "chunk", "local", "id", "certainty", F.lit(1).alias("tier"), "h.*")
     spoken = None
     for t, o in asked:
         found = found.unionByName(index.holds("unit", t).select("*", F.lit(2).alias("tier"), F.lit(o).alias("ordinal"), F.lit(None).cast("double").alias("key")))

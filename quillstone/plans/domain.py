@@ -17,9 +17,9 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def records(self) -> DataFrame:
-        """record_id, source_id, idx, text, start_s, end_s: sentences of documents at 15 characters a second."""
-        rows = self.raw("documents").select(F.col("doc_id").alias("source_id"), F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("idx", "text"))
+    def records(self, *also: str) -> DataFrame:
+        """record_id, source_id, idx, text, start_s, end_s: sentences of documents at 15 characters a second, with the columns ``also`` of their document."""
+        rows = self.raw("documents").select(F.col("doc_id").alias("source_id"), *also, F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("idx", "text"))
         w = Window.partitionBy("source_id").orderBy("idx")
         before = F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
         return rows.withColumn("start_s", before / 15).withColumn("end_s", (before + F.length("text")) / 15).withColumn("record_id", F.format_string("R%06d_%05d", "source_id", "idx"))

@@ -143,10 +143,10 @@ def normalize_evidence(whisper: DataFrame, vision: DataFrame, chunks: DataFrame,
 
 
 def package(spark: SparkSession, root: str, event: str | None = None) -> dict[str, DataFrame]:
-    """A package's tables, partitioned by event, and the blocks of its text index as ``postings``; private events are never read."""
+    """A package's tables, partitioned by event, and the heads of its text index as ``postings``; private events are never read."""
     out = {}
     for name in S.PACKAGE_TABLES:
-        df = package_index(spark, root).blocks if name == "postings" else spark.read.parquet(f"{root}/{name}")
+        df = package_index(spark, root).heads if name == "postings" else spark.read.parquet(f"{root}/{name}")
         df = P.hide_private(df)
         out[name] = df.where(F.col("event") == event) if event else df
     return out
