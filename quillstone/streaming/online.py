@@ -203,8 +203,15 @@ def next_stage(stages: DataFrame, run: str = "run") -> DataFrame:
     return stages.where(F.col("status") != "passed").groupBy(run).agg(F.min_by("stage", "ordinal").alias("next_stage"))
 
 
-def ready_tasks(tasks: DataFrame, needs: DataFrame, done: DataFrame) -> DataFrame:
-    """Tasks not done whose needs (task, needs) all are."""
+def ready_tasks(tasks: DataFrame, needs: DataFrame, done: DataFrame, many: int = 1_000_000) -> DataFrame:
+    """Tasks not done whose needs (task, needs) all are.
+
+    A need of more than ``many`` rows would fill one task of a join; such needs are few, one for each ``many`` rows at most, so they are told to all tasks.
+    """
     d = done.select(F.col("task").alias("__d")).distinct()
-    unmet = needs.join(d, F.col("needs") == F.col("__d"), "left_anti").select(F.col("task").alias("__u")).distinct()
+    often = needs.groupBy(F.col("needs").alias("__n")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > many)
+    often = often.join(d, F.col("__n") == F.col("__d"), "left").select("__n", F.col("__d").isNotNull().alias("__met"), F.lit(True).alias("__often"))
+    told = needs.join(F.broadcast(often), F.col("needs").eqNullSafe(F.col("__n")), "left")
+    rest = told.where("__often IS NULL").select("task", "needs").join(d, F.col("needs") == F.col("__d"), "left_anti")
+    unmet = told.where("NOT __met").select("task").unionAll(rest.select("task")).select(F.col("task").alias("__u")).distinct()
     return tasks.join(d, F.col("task") == F.col("__d"), "left_anti").join(unmet, F.col("task") == F.col("__u"), "left_anti")
