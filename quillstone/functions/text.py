@@ -66,7 +66,9 @@ def grams(c: Column, n: int = 2) -> Column:
 
 def char_bigrams(c: str | Column) -> Column:
     """Distinct 2-grams of the compact form."""
-    return F.array_distinct(grams(compact_alnum(c)))
+    # the compact form has no surrogate pairs, so a look-ahead at each place is each 2-gram
+    cut = lambda t: F.when(F.length(t) == 1, F.array(t)).otherwise(F.array_distinct(F.regexp_extract_all(t, F.lit("(?=(..))"), F.lit(1))))
+    return let(F.coalesce(compact_alnum(c), F.lit("")), cut)
 
 
 def words(c: str | Column) -> Column:
