@@ -286,8 +286,8 @@ def nearest_sets(left: DataFrame, right: DataFrame, key: str, left_words: str, r
 
 
 def nearest_pairs(fragments: DataFrame, key: str, k: int = 4) -> DataFrame:
-    """(a, b, score): what ``neighbor_cap`` keeps of ``pair_scores`` by ``overall``, found without all pairs. ``fragments(key, keywords)``."""
-    kept = nearest_sets(fragments, fragments, key, "keywords", "keywords", k).where("score > 0")
+    """(a, b, score): what ``neighbor_cap`` keeps of ``pair_scores`` by ``overall``, a row's best of each pair of blocks alone being moved. ``fragments(key, keywords)``."""
+    kept = overlaps.nearest(fragments, key, [("keywords", "keywords")], k)
     return kept.select(F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b"), "score").distinct()
 
 

@@ -66,3 +66,19 @@ def test_pairs_are_not_shuffled(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
     assert G.fallback_judge(out).where("relation = 'same_continuous'").isEmpty()
+
+
+def test_nearest_pairs(spark, rows):
+    """As the best of all pairs; what moves are rows and each block's best, not the pairs that share a word."""
+    data, df = fragments(spark, 4, spare=False)
+    pairs = spark.createDataFrame([(a, b, round(s + 1e-12, 6)) for a, b, s, *_ in plain(data) if s], "a long, b long, score double")
+    out = J.nearest_pairs(df, "key", 3)
+    assert rows(out) == rows(J.neighbor_cap(pairs, 3))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_halves_are_rounded_up(spark):
+    """1 of 640 is 0.0015625, 0.001563 in six digits."""
+    df = spark.createDataFrame([(1, ["x", *(f"a{i}" for i in range(320))]), (2, ["x", *(f"b{i}" for i in range(319))])], "key string, keywords array<string>")
+    assert [tuple(r) for r in J.nearest_pairs(df, "key", 1).collect()] == [("1", "2", 0.001563)]
