@@ -292,18 +292,18 @@ def nearest_pairs(fragments: DataFrame, key: str, k: int = 4) -> DataFrame:
 
 
 def mutual_best_sets(fragments: DataFrame, key: str, least: float, gap: float) -> DataFrame:
-    """(a, b, score): what ``mutual_best`` keeps of the scores of tails against heads, found without all pairs. ``fragments(key, head, tail)``.
+    """(a, b, score): what ``mutual_best`` keeps of the scores of tails against heads, a row's two best of each pair of blocks alone being moved. ``fragments(key, head, tail)``.
 
     A side's two best partners tell its best and how far it stands before the next.
     """
+    best = keep(overlaps.nearest(fragments, key, [("tail", "head"), ("head", "tail")], 2, least))
 
-    def side(mine: str, other: str) -> DataFrame:
-        best = nearest_sets(fragments, fragments, key, mine, other, 2, least)
+    def side(s: int) -> DataFrame:
         at = lambda n: F.max(F.when(F.col("rank") == n, F.struct("you", "score")))
-        rows = best.groupBy("me").agg(at(1).alias("x"), at(2).alias("y"))
+        rows = best.where(F.col("side") == s).groupBy("me").agg(at(1).alias("x"), at(2).alias("y"))
         return rows.where(F.col("x.score") - F.coalesce("y.score", F.lit(0.0)) >= gap).select("me", "x.you", "x.score")
 
-    out, back = side("tail", "head"), side("head", "tail").select(F.col("me").alias("b2"), F.col("you").alias("a2"))
+    out, back = side(0), side(1).select(F.col("me").alias("b2"), F.col("you").alias("a2"))
     return out.join(back, (F.col("me") == F.col("a2")) & (F.col("you") == F.col("b2"))).select(F.col("me").alias("a"), F.col("you").alias("b"), "score")
 
 

@@ -82,3 +82,13 @@ def test_halves_are_rounded_up(spark):
     """1 of 640 is 0.0015625, 0.001563 in six digits."""
     df = spark.createDataFrame([(1, ["x", *(f"a{i}" for i in range(320))]), (2, ["x", *(f"b{i}" for i in range(319))])], "key string, keywords array<string>")
     assert [tuple(r) for r in J.nearest_pairs(df, "key", 1).collect()] == [("1", "2", 0.001563)]
+
+
+def test_mutual_best_takes_one_pass(spark, rows, monkeypatch):
+    """Tails against heads and back from one pass over the blocks, without rounds."""
+    kept = []
+    monkeypatch.setattr(J, "keep", lambda df, keep=J.keep: kept.append(1) or keep(df))
+    data, df = fragments(spark, 4, spare=False)
+    directed = [(a, b, round(x + 1e-12, 6)) for a, b, _, x, _, _ in plain(data)] + [(b, a, round(x + 1e-12, 6)) for a, b, _, _, x, _ in plain(data)]
+    assert rows(J.mutual_best_sets(df, "key", 0.05, 0.005)) == rows(J.mutual_best(spark.createDataFrame(directed, "a long, b long, score double"), 0.05, 0.005))
+    assert len(kept) == 1
