@@ -144,19 +144,20 @@ def paragraphs(records: DataFrame, key: str, order: str, text: str, soft: int =
 
 
 def spaced_topk(rows: DataFrame, key: str, at: str, risk: str, k: int = 4, apart: float = 180.0) -> DataFrame:
-    """Per key a greedy pick of the riskiest rows (ties: the earlier), each at least ``apart`` from those picked."""
+    """Per key a greedy pick of the riskiest rows (ties: the earlier), each at least ``apart`` from those picked.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        ordered = pdf.sort_values([risk, at], ascending=[False, True], kind="stable")
-        for i, t in zip(ordered.index, ordered[at]):
-            if len(kept) == k:
-                break
-            if all(abs(t - ordered.at[j, at]) >= apart for j in kept):
-                kept.append(i)
-        return ordered.loc[kept]
-
-    return rows.groupBy(key).applyInPandas(run, rows.schema)
+    Each pick is a window over the one order by risk, so rows are sorted once and a key's rows may spill. Rows without a time are far from none.
+    """
+    worth = F.nanvl(risk, F.lit(None).cast("double")) if rows.schema[risk].dataType.simpleString() in ("float", "double") else F.col(risk)
+    w = Window.partitionBy(key).orderBy(worth.desc_nulls_last(), F.col(at).asc_nulls_last())
+    so_far, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = rows.withColumn("__free", F.lit(True)).withColumn("__kept", F.lit(False))
+    for _ in range(k):
+        out = out.withColumn("__nth", F.count(F.when(F.col("__free"), 1)).over(so_far)).withColumn("__pick", F.first(F.when(F.col("__free"), F.struct(F.col(at).cast("double").alias("t"))), ignorenulls=True).over(whole))
+        now = F.col("__free") & (F.col("__nth") == 1)
+        far = F.coalesce(F.nanvl(F.abs(F.col(at).cast("double") - F.col("__pick.t")), F.lit(None).cast("double")) >= apart, F.lit(False))
+        out = out.withColumn("__kept", F.col("__kept") | now).withColumn("__free", F.col("__free") & ~now & far).drop("__nth", "__pick")
+    return out.where("__kept").drop("__free", "__kept")
 
 
 def dedupe_pages(segments: DataFrame, video: str, start: str, phash: str, near: int = 5, most: int = 500, rounds: int = 1000) -> DataFrame:
