@@ -2,8 +2,8 @@
 
 A token is a literal substring and white space means AND between tokens; there is no query grammar. Full text knows trigrams, so tokens of
 fewer than three characters are no part of it. ``LIKE`` wildcards in a token keep their meaning. Privacy filters come before every tier.
-A query is a few words that the caller holds, so it is part of the plan. Without an index tables are read once for counts and once for hits; with a
-``TextIndex`` of kinds ``unit`` (topic, claim) and ``record`` (clean_literal) the postings of the query's trigrams are read instead.
+A query is a few words that the caller holds, so it is part of the plan. Without an index tables are read once for counts and once for hits of each tier that is asked; with a
+``TextIndex`` of kinds ``unit`` (topic, claim) and ``record`` (clean_literal) the postings of the query's trigrams are read instead. Hits are written once, as what follows asks for them more than once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
 from quillstone.operators.fulltext import TextIndex
+from quillstone.operators.scratch import keep
 
 CERTAINTY = "CASE certainty WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
@@ -131,7 +132,7 @@ def search_token(units: DataFrame | None, records: DataFrame | None, token: str,
     """(tier, id, text, rank): the first tier with hits of: full text over topic and claim, LIKE on claim or topic, LIKE on the records.
 
     Tier 1 ranks by BM25 of the token's words over all units; a word of three characters and more is one phrase of trigrams. LIKE ignores case. Each
-    tier keeps its first ``limit`` rows: by score, or by certainty, then by id. With an ``index`` the tables aren't read, but for ``records`` that are given.
+    tier keeps its first ``limit`` rows: by score, or by certainty, then by id; it is asked only if those before it found nothing. With an ``index`` the tables aren't read, but for ``records`` that are given.
     """
     if index is not None:
         return _indexed_token(index, token, limit, records)
@@ -140,14 +141,15 @@ def search_token(units: DataFrame | None, records: DataFrame | None, token: str,
     like = units.where(F.col("claim").ilike(pattern) | F.col("topic").ilike(pattern))
     second = like.select(F.lit(2).alias("tier"), F.col("unit_id").alias("id"), F.col("claim").alias("text"), F.expr(CERTAINTY).cast("double").alias("key"))
     third = records.where(F.col("clean_literal").ilike(pattern)).select(F.lit(3).alias("tier"), F.col("record_id").alias("id"), F.col("clean_literal").alias("text"), F.lit(0.0).alias("key"))
-    top = lambda df: df.orderBy("key", "id").limit(limit)
-    rows = top(second).unionAll(top(third))
+    tiers = [second, third]
     if words:
         scored = match(units, words, [], "topic", "claim").withColumn("score", bm25_of(list(range(len(words))))).where("score IS NOT NULL")
-        rows = top(scored.select(F.lit(1).alias("tier"), F.col("unit_id").alias("id"), F.col("claim").alias("text"), (-F.col("score")).alias("key"))).unionAll(rows)
-    # three times ``limit`` rows at most
-    out = rows.withColumn("best", F.min("tier").over(Window.partitionBy())).where("tier = best")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("tier").orderBy("key", "id"))).drop("key", "best")
+        tiers.insert(0, scored.select(F.lit(1).alias("tier"), F.col("unit_id").alias("id"), F.col("claim").alias("text"), (-F.col("score")).alias("key")))
+    for rows in tiers:
+        out = keep(rows.orderBy("key", "id").limit(limit))
+        if not out.isEmpty():
+            break
+    return out.select("tier", "id", "text", F.row_number().over(Window.partitionBy("tier").orderBy("key", "id")).alias("rank"))
 
 
 def tokens_of(query: str) -> list[str]:
