@@ -200,7 +200,7 @@ def search(units: DataFrame | None, records: DataFrame | None, query: str, event
     parts = tokens_of(query)
     asked = [(query, 0)] + [(t, i + 1) for i, t in enumerate(parts) if t != query]
     words = list(dict.fromkeys(w for t, _ in asked for w in phrases_of(t))) or ["\0\0\0"]
-    rows = _scanned(units, records, event, asked, words) if index is None else _looked_up(index, event, asked, words)
+    rows = keep(_scanned(units, records, event, asked, words) if index is None else _looked_up(index, event, asked, words))
     # one row an event and token: its tier; and of the whole query and the tokens what comes first
     best = rows.groupBy(F.col(event).alias("e"), F.col("ordinal").alias("o")).agg(F.min("tier").alias("t"))
     best = best.withColumn("whole", F.min("o").over(Window.partitionBy("e")) == 0).where("whole = (o = 0)")
@@ -229,6 +229,7 @@ def _scanned(units: DataFrame, records: DataFrame, event: str, asked: list[tuple
 
 def response(hits: DataFrame, events: DataFrame, event: str = "event") -> DataFrame:
     """(event, units, evidence): ids in rank order of each event that has hits; if none has, the first event with nothing. Lists hold ``search``'s limit at most."""
+    hits = keep(hits)
     ids = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "id")))), lambda x: x["id"])
     got = hits.groupBy(event).agg(ids("unit").alias("units"), ids("record").alias("evidence"))
     none = events.agg(F.min(event).alias(event)).select(event, F.array().cast("array<string>").alias("units"), F.array().cast("array<string>").alias("evidence"))

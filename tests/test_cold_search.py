@@ -28,6 +28,17 @@ def test_a_question_builds_no_index(spark, monkeypatch):
     assert TextIndex.whole(spark, catalog._index_root(catalog.Tables(spark, SMALL))) and ask(spark, names[:2]) == {n: cold[n] for n in names[:2]}
 
 
+def test_what_follows_reads_hits_and_not_tables(spark):
+    """A response takes the hits twice and a packet too; the texts aren't read again for that."""
+    row = ("e", "U0", "t", "budget", "high", ["E1"])
+    units = spark.createDataFrame([row], "event string, unit_id string, topic string, claim string, certainty string, evidence_ids array<string>").repartition(1)
+    records = spark.createDataFrame([("e", "R0", "budget")], "event string, record_id string, clean_literal string").repartition(1)
+    hits = R.search(units, records, "budget")
+    assert "LogicalRDD" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    token = R.search_token(units, records, "budget")
+    assert "LogicalRDD" not in token._jdf.queryExecution().optimizedPlan().toString() and [tuple(r) for r in token.collect()] == [(1, "U0", "budget", 1)]
+
+
 @pytest.mark.parametrize("token, tier", [("budget", 1), ("bu", 2), ("zz", 3), ("qq", None)])
 def test_tiers_in_turn(spark, token, tier):
     units = spark.createDataFrame([("U0", "t", "budget", "high"), ("U1", "t", "budget", "low")], "unit_id string, topic string, claim string, certainty string")
